@@ -47,3 +47,31 @@ def fold(doc_id: Column, n: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.transform(F.array(value), body)[0]
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Rows in an Arrow batch, so that a Python worker holds a few MB of texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def pieces_of(texts: list, limit: int = 4_000_000):
+    """Cuts a list of texts into runs of at most limit characters (one text at least)."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and size + n > limit:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def spread(starts, lengths):
+    """Indices start, start + 1, ... for each of the runs, in one flat array."""
+    import numpy as np
+
+    ends = np.cumsum(lengths)
+    if not len(ends) or not ends[-1]:
+        return np.zeros(0, np.int64)
+    return np.arange(ends[-1]) + np.repeat(np.asarray(starts, np.int64) - ends + lengths, lengths)
