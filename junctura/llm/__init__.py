@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import piece_bpe, quality_rules, transport_stream
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, piece_bpe, transport_stream)
 
 
 def queries():
