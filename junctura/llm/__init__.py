@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_crf, minhash_forest, piece_bpe, quality_rules, transport_stream, warc
+from . import language_crf, minhash_forest, piece_bpe, quality_rules, repeats, transport_stream, warc
 
-_MODULES = (quality_rules, piece_bpe, transport_stream, warc, language_crf, minhash_forest)
+_MODULES = (quality_rules, repeats, piece_bpe, transport_stream, warc, language_crf, minhash_forest)
 
 
 def queries():
