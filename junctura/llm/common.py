@@ -75,3 +75,12 @@ def spread(starts, lengths):
     if not len(ends) or not ends[-1]:
         return np.zeros(0, np.int64)
     return np.arange(ends[-1]) + np.repeat(np.asarray(starts, np.int64) - ends + lengths, lengths)
+
+
+def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int) -> DataFrame:
+    """At most rows rows of df, spread by a seeded hash of the key; for fitting models only.
+
+    A share a little over rows / count is taken first, so that no partition sends more than its part of the sample."""
+    share = min(1.0, 1.5 * rows / max(1, df.count()))
+    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30))
+    return df.withColumn("__place", place).filter(F.col("__place") < int(share * (1 << 30))).orderBy("__place", key).limit(rows).drop("__place")
