@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_crf, minhash_forest, piece_bpe, quality_rules, repeats, toxicity, transport_stream, warc
+from . import language_crf, license_scan, minhash_forest, mixing, piece_bpe, quality_rules, repeats, toxicity, transport_stream, warc
 
-_MODULES = (quality_rules, repeats, piece_bpe, toxicity, transport_stream, warc, language_crf, minhash_forest)
+_MODULES = (quality_rules, repeats, mixing, license_scan, piece_bpe, toxicity, transport_stream, warc, language_crf, minhash_forest)
 
 
 def queries():
