@@ -72,6 +72,12 @@ def context_similarity(a: Column, b: Column) -> Column:
     return F.greatest(local_similarity(a, b), local_similarity(a, reverse_complement(b)))
 
 
+@F.pandas_udf(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
+def aligned_pair(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Both strings of a global alignment."""
+    return pd.DataFrame([global_alignment(x or "", y or "")[1:] for x, y in zip(a, b, strict=True)], columns=["a", "b"], dtype=object)
+
+
 @F.pandas_udf(T.StructType([T.StructField("homology", T.IntegerType()), T.StructField("inserted", T.IntegerType())]))
 def junction_runs(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Longest interior runs of equal bases and of gaps in two aligned strings; a run counts once a later base ends it."""
@@ -86,7 +92,7 @@ def junction_runs(a: pd.Series, b: pd.Series) -> pd.DataFrame:
                 gap = gap + 1 if "-" in (p, q) else 0
         return best_same, best_gap
 
-    return pd.DataFrame([runs(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["homology", "inserted"])
+    return pd.DataFrame([runs(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["homology", "inserted"], dtype="int32")
 
 
 def cluster_pairs(df: DataFrame, by: list[str], eps: int) -> DataFrame:

@@ -111,7 +111,7 @@ def peaks(hits: DataFrame, contigs: DataFrame, k: int, width: int = 5, diff: int
             right = s[inside]
             found |= set((inside - m - width)[left - right >= diff].tolist()) | set(inside[left - right <= -diff].tolist())
         out = sorted(p for p in found if p >= 0)
-        return pd.DataFrame({"contig": [pdf.contig.iloc[0]] * len(out), "pos": out})
+        return pd.DataFrame({"contig": np.full(len(out), pdf.contig.iloc[0], object), "pos": np.array(out, np.int64)})
 
     return joined.groupBy("contig").applyInPandas(run, "contig string, pos long")
 

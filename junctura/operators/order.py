@@ -66,6 +66,29 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 # --- greedy merges ------------------------------------------------------------------------------------------------
 
 
+def sorted_groups(df: DataFrame, key: str, order: str, run, schema: str) -> DataFrame:
+    """run over the rows (named tuples) of each group, in order; groups lie whole and sorted in partitions, and batches
+    of many small groups pass to Python together, unlike one call a group."""
+
+    def stream(frames):
+        last, rows = None, []
+        for pdf in frames:
+            out: list = []
+            for r in pdf.itertuples(index=False):
+                if rows and getattr(r, key) != last:
+                    out += run(rows)
+                    rows = []
+                last = getattr(r, key)
+                rows.append(r)
+            if out:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+        if rows and (out := run(rows)):
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(stream, schema)
+
+
 def running_mean_merge(df: DataFrame, by: str, pos: str, gap: int = 5000) -> DataFrame:
     """Positions of a contig merged along the line: a position within gap of the anchor joins it, and the anchor moves
     to int(mean) + 1 of its members. Columns: by, pos, anchor (the cluster's last one)."""
@@ -92,27 +115,25 @@ def drop_near_repeats(df: DataFrame, near: int = 50) -> DataFrame:
     either orientation. Columns: row_id, from_ref, from_pos, to_ref, to_pos."""
     pair = F.concat_ws("&", F.least("from_ref", "to_ref"), F.greatest("from_ref", "to_ref"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
+    def run(rows: list) -> list[tuple]:
         cells: dict[tuple, list[tuple]] = {}
         keep = []
-        for r in pdf.sort_values("row_id").itertuples(index=False):
+        for r in rows:
             spellings = [(r.from_ref, r.from_pos, r.to_ref, r.to_pos), (r.to_ref, r.to_pos, r.from_ref, r.from_pos)]
             found = any(
-                k[0] == a and k[2] == b and abs(k[1] - p) < near and abs(k[3] - q) < near
+                abs(k[0] - p) < near and abs(k[1] - q) < near
                 for a, p, b, q in spellings
                 for x in (-1, 0, 1)
                 for y in (-1, 0, 1)
-                for k in cells.get((a, p // near + x, q // near + y), ())
+                for k in cells.get((a, p // near + x, b, q // near + y), ())
             )
             if not found:
-                keep.append(r.row_id)
-                kept.append(spellings[0])
-                cells.setdefault((r.from_ref, r.from_pos // near, r.to_pos // near), []).append(spellings[0])
-        return pdf[pdf.row_id.isin(keep)][["row_id", "from_ref", "from_pos", "to_ref", "to_pos"]]
+                keep.append((r.row_id, *spellings[0]))
+                cells.setdefault((r.from_ref, r.from_pos // near, r.to_ref, r.to_pos // near), []).append((r.from_pos, r.to_pos))
+        return keep
 
-    schema = "row_id long, from_ref string, from_pos long, to_ref string, to_pos long"
-    return df.select("row_id", "from_ref", "from_pos", "to_ref", "to_pos", pair.alias("__pair")).groupBy("__pair").applyInPandas(run, schema)
+    rows = df.select("row_id", "from_ref", "from_pos", "to_ref", "to_pos", pair.alias("pair"))
+    return sorted_groups(rows, "pair", "row_id", run, "row_id long, from_ref string, from_pos long, to_ref string, to_pos long")
 
 
 def merge_raw_clusters(df: DataFrame, near: int = 50) -> DataFrame:
@@ -121,8 +142,7 @@ def merge_raw_clusters(df: DataFrame, near: int = 50) -> DataFrame:
     of the pair's first row; else it opens one. Columns: ref1, ref2, reverse, p1 and p2 (distinct, sorted), support."""
     pair = F.concat_ws("&", F.least("ref1", "ref2"), F.greatest("ref1", "ref2"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("row_id").itertuples(index=False))
+    def run(rows: list) -> list[tuple]:
         a, b = rows[0].ref1, rows[0].ref2
         clusters: list[dict] = []
         for r in rows:
@@ -135,10 +155,10 @@ def merge_raw_clusters(df: DataFrame, near: int = 50) -> DataFrame:
                 c["p1"].add(x)
                 c["p2"].add(y)
                 c["support"] += r.support
-        return pd.DataFrame([{"ref1": a, "ref2": b, "reverse": c["reverse"], "p1": sorted(c["p1"]), "p2": sorted(c["p2"]), "support": c["support"]} for c in clusters])
+        return [(a, b, c["reverse"], sorted(c["p1"]), sorted(c["p2"]), c["support"]) for c in clusters]
 
-    schema = "ref1 string, ref2 string, reverse string, p1 array<long>, p2 array<long>, support long"
-    return df.select("row_id", "ref1", "pos1", "ref2", "pos2", "reverse", "support", pair.alias("__pair")).groupBy("__pair").applyInPandas(run, schema)
+    rows = df.select("row_id", "ref1", "pos1", "ref2", "pos2", "reverse", "support", pair.alias("pair"))
+    return sorted_groups(rows, "pair", "row_id", run, "ref1 string, ref2 string, reverse string, p1 array<long>, p2 array<long>, support long")
 
 
 def merge_segments(df: DataFrame, by: list[str], near: int = 50) -> DataFrame:

@@ -189,12 +189,38 @@ def u03(v):
 @query("u02_x13_junctions", None)
 def u02(v):
     """Homology and inserted bases in global alignments of flanks."""
-    import pandas as pd
-
-    @F.pandas_udf("struct<a:string,b:string>")
-    def aligned(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([A.global_alignment(p, q)[1:] for p, q in zip(x, y, strict=True)], columns=["a", "b"])
-
     two = v.seqs.select((F.col("n") - 1).alias("n"), F.substring("seq", 10, 30).alias("y"))
-    pairs = v.seqs.join(two, "n").select("contig", aligned(F.substring("seq", 1, 30), "y").alias("p"))
+    pairs = v.seqs.join(two, "n").select("contig", A.aligned_pair(F.substring("seq", 1, 30), "y").alias("p"))
     return pairs.select("contig", A.junction_runs("p.a", "p.b").alias("r")).select("contig", "r.homology", "r.inserted")
+
+
+@query("m01_m02_cohort_auc", None)
+def m01(v):
+    """AUC of a random forest over the 25 markers: each cohort left out, and the size-weighted mean."""
+    from ..operators import learning, stats
+    from .cohort import presence
+
+    rows = stats.fisher_exact(presence(v), "a", "b", "c", "d")
+    markers = [r.tag for r in rows.orderBy("p_value", "tag").limit(25).collect()]  # a bounded list of names
+    labels = v.phe.filter("full_disease IN ('CRC', 'healthy')").select("sample", "cohort", (F.col("full_disease") == "CRC").cast("double").alias("label"))
+    tags = v.bkp.select("sample", X.pair_tag(F.col("from_genome"), F.col("to_genome")).alias("tag")).distinct()
+    scores, mean = learning.leave_one_out(learning.feature_table(tags, labels, markers))
+    return v.spark.createDataFrame([*sorted(scores.items()), ("all", mean)], "cohort string, auc double")
+
+
+@query("z01_simulated_events", None)
+def z01(v):
+    """Simulated transfers between the sequences: the recipients' new sequences and the truth."""
+    from ..operators.simulation import simulate_transfers
+
+    return simulate_transfers(v.seqs.select("contig", "seq"), seed=1)
+
+
+@query("u04_verified_events", None)
+def u04(v):
+    """Events whose rebuilt junctions are spanned by a long alignment."""
+    from ..operators.simulation import verified_junctions
+
+    events = v.ev.select("event_id", F.lit(1000).cast("long").alias("left_junction"), (F.lit(1000) + F.col("delete_end") - F.col("delete_start")).alias("right_junction"))
+    aligned = v.ev.select("event_id", (F.col("insert_locus") % 1100).alias("t_start"), (F.col("insert_locus") % 1100 + 500 + F.col("event_id") % 2000).alias("t_end"))
+    return verified_junctions(events, aligned)
