@@ -97,3 +97,26 @@ def converged(df: DataFrame, by: list[str], x: str, y: str, points: int = 3, slo
     last = df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(x).desc()))).filter(F.col("__r") <= points)
     agg = last.groupBy(*by).agg(F.count("*").alias("__n"), F.regr_slope(y, x).alias("slope"))
     return agg.filter(F.col("__n") == points).select(*by, "slope", (F.abs("slope") <= slope).alias("converged"))
+
+
+def saturation_fit(points: DataFrame, by: str, rounds: int = 50) -> DataFrame:
+    """by, a, b of a * (1 - exp(-b * x)) fitted to each group's few points (x, y doubles) by damped Gauss-Newton steps."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        x, y = pdf.x.to_numpy(float), pdf.y.to_numpy(float)
+        a, b, damp = float(y.max()) or 1.0, 1.0 / max(float(x.mean()), 1e-9), 1e-3
+        loss = lambda p, q: float(((y - p * (1 - np.exp(-q * x))) ** 2).sum())
+        for _ in range(rounds):
+            e = np.exp(-b * x)
+            jac = np.c_[1 - e, a * x * e]
+            step = np.linalg.solve(jac.T @ jac + damp * np.eye(2), jac.T @ (y - a * (1 - e)))
+            if b + step[1] > 0 and loss(a + step[0], b + step[1]) <= loss(a, b):
+                a, b, damp = a + step[0], b + step[1], damp / 3
+            else:
+                damp *= 5
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "a": [a], "b": [b]})
+
+    kind = points.schema[by].dataType.simpleString()
+    return points.select(by, "x", "y").groupBy(by).applyInPandas(run, f"{by} {kind}, a double, b double")

@@ -224,3 +224,39 @@ def u04(v):
     events = v.ev.select("event_id", F.lit(1000).cast("long").alias("left_junction"), (F.lit(1000) + F.col("delete_end") - F.col("delete_start")).alias("right_junction"))
     aligned = v.ev.select("event_id", (F.col("insert_locus") % 1100).alias("t_start"), (F.col("insert_locus") % 1100 + 500 + F.col("event_id") % 2000).alias("t_end"))
     return verified_junctions(events, aligned)
+
+
+@query("x15_microhomology", oracle("seqs", """
+    SELECT contig, coalesce(max(k), 0)::bigint AS longest FROM (SELECT a.contig, k FROM pr a, (SELECT unnest(range(3, 11)) AS k) ks
+      WHERE len(list_intersect(list_transform(range(1, 32 - k), lambda i: substring(a.x, i::int, k::int)), list_transform(range(1, 32 - k), lambda i: substring(a.y, i::int, k::int)))) > 0) z GROUP BY contig""",
+    "pr AS (SELECT a.contig, substring(a.seq, 1, 30) AS x, substring(b.seq, 41, 30) AS y FROM seqs a JOIN seqs b ON a.n = b.n - 1 WHERE length(a.seq) >= 30 AND length(b.seq) >= 70)"))
+def x15(v):
+    """The longest k (3 to 10) of which two flanks share a k-mer."""
+    two = v.seqs.filter("length(seq) >= 70").select((F.col("n") - 1).alias("n"), F.substring("seq", 41, 30).alias("y"))
+    pairs = v.seqs.filter("length(seq) >= 30").join(two, "n").select("contig", F.substring("seq", 1, 30).alias("x"), "y")
+    cut = lambda c, k: F.transform(F.sequence(F.lit(1), F.lit(31 - k)), lambda i: F.substr(F.col(c), i, F.lit(k)))
+    found = [F.when(F.arrays_overlap(cut("x", k), cut("y", k)), F.lit(k)) for k in range(3, 11)]
+    longest = F.greatest(*found)
+    return pairs.select("contig", longest.cast("long").alias("longest")).filter("longest is not null")
+
+
+@query("t09_saturation_fit", None)
+def t09(v):
+    """a and b of a * (1 - exp(-b * x)) over each individual's cumulated tags."""
+    from ..operators.stats import saturation_fit
+
+    first = v.ts.groupBy("individual", "tag").agg(F.min("time_point").alias("t"))
+    points = v.ts.select("individual", F.col("time_point").alias("x")).distinct().join(first, "individual").filter("t <= x").groupBy("individual", "x").agg(F.count("*").cast("double").alias("y"))
+    return saturation_fit(points.withColumn("x", F.col("x").cast("double") + 1), "individual")
+
+
+@query("s20_phenotype_union", oracle("phe reads_num", """
+    SELECT sample, src, coalesce(o.bases, p.bases)::bigint AS bases, CASE WHEN disease = 'control' THEN 'healthy' ELSE disease END AS grp
+    FROM (SELECT *, 'one' AS src FROM phe WHERE cohort IN ('C0', 'C1') UNION ALL SELECT *, 'two' FROM phe WHERE cohort IN ('C2', 'C3')) p LEFT JOIN (SELECT sample, reads_num * 100 AS bases FROM reads_num WHERE reads_num > 2000000) o USING (sample)"""))
+def s20(v):
+    """Phenotypes of two table groups in one, with another table's base counts where it has them."""
+    part = lambda cohorts, name: v.phe.filter(F.col("cohort").isin(*cohorts)).withColumn("src", F.lit(name))
+    both = part(("C0", "C1"), "one").unionByName(part(("C2", "C3"), "two"))
+    other = v.reads_num.filter("reads_num > 2000000").select("sample", (F.col("reads_num") * 100).alias("other"))
+    group = F.when(F.col("disease") == "control", "healthy").otherwise(F.col("disease"))
+    return both.join(other, "sample", "left").select("sample", "src", F.coalesce("other", "bases").alias("bases"), group.alias("grp"))
