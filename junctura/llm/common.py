@@ -16,12 +16,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Folders made where the session names none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach: spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="junctura-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="junctura-")
     return where.rstrip("/")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fold, pieces_of, small_batches
+from .common import bounded_sample, documents, fold, pieces_of, small_batches
 
 NAME = "op9_language_crf"
 UNKNOWN = "und"
@@ -243,10 +243,8 @@ class Labeller:
 
 def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Learns from at most rows rows of df that have a language and a text."""
-    labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = [F.xxhash64(F.col(key), F.lit(SEED)), F.col(key), F.xxhash64(text)]
-    sample = labelled.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(lang).alias("l"), F.struct(*order).alias("o")).orderBy("o").limit(rows)
-    got = sample.select("t", "l").collect()
+    labelled = df.filter(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(lang).alias("l"))
+    got = bounded_sample(labelled, F.col("k"), rows, SEED).filter("t is not null").select("t", "l").collect()
     return train([r.t for r in got], [r.l for r in got])
 
 

@@ -31,7 +31,7 @@ NAME = "op10_minhash_forest"
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH = 16, 6, 2
 #: Entries before its own that an entry is compared with in each tree; the nearest have the longest common prefixes.
-NEIGHBOURS = 8
+NEIGHBOURS = 4
 #: Candidates of a representative that are confirmed before the rest.
 FIRST = 2
 
@@ -197,7 +197,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
             for a, b in pieces_of(texts, 1_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())], ["doc_id", "shingles"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(ids, "doc_id", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(ids.hint("merge"), "doc_id", "left_semi")
     return chosen.mapInArrow(run, "doc_id long, shingles binary")
 
 
@@ -221,7 +221,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
     one, two = sets.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), sets.withColumnsRenamed({"doc_id": "b", "shingles": "y"})
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: float = 0.5) -> DataFrame:
@@ -240,7 +240,7 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float = 0.5) -> DataFrame:
             keep = pa.array(share >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(share).filter(keep)], ["a", "b", "share"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, share double")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, share double")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -249,9 +249,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     made = staged(signatures(docs, text), "signatures")
     some = made.filter("set_hash is not null")
     classes = staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    reps = staged(some.join(classes.select(F.col("node").alias("doc_id"), F.col("set_hash").alias("h")), "doc_id").filter("set_hash = h").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"]), "representatives")
+    reps = staged(some.join(classes.select(F.col("node").alias("doc_id"), F.col("set_hash").alias("h")).hint("merge"), "doc_id").filter("set_hash = h").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"]), "representatives")
     pairs = staged(likely(candidates(reps), reps), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = staged(sets_of(docs, ids, text).dropDuplicates(["doc_id"]), "sets")
     # a few pairs of each representative, spread by a hash; the order has no bearing on the result
     from pyspark.sql import Window
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(more))
     named = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     linked = staged(named, "named")
-    out = made.drop("sig").join(linked, "set_hash", "left")
+    out = made.drop("sig").join(linked.hint("merge"), "set_hash", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 

@@ -146,7 +146,9 @@ def records_in(source, start: int, end: int):
 def read_archives(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload (null for revisits)."""
     starts = F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))
-    splits = manifest.filter("bytes > 0").select("path", F.explode(starts).alias("start")).repartition(F.col("path"), F.col("start"))
+    splits = manifest.filter("bytes > 0").select("path", F.explode(starts).alias("start"))
+    # a task for each split: by their own bytes these rows would all be put into one
+    splits = splits.repartition(max(1, splits.count()))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
 
     def run(batches):

@@ -5,16 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a written table under spark.checkpoint.dir (a new temporary folder where that is unset), read again."""
-    spark = df.sparkSession
+#: Folders made where the session names none, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as the session has it; where it is unset (tests, a single machine) a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="junctura-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/stored-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        where = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="junctura-")
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a written table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
