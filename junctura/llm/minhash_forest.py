@@ -2,13 +2,16 @@
 
 Documents with equal shingle sets form a class; its least id stands for it. Every class representative has TREES
 signatures of DEPTH MinHash values. Each tree is the table of its signatures in sorted order (one range-partitioned
-sort for all trees); candidates of an entry are the entries just before it with a common prefix of at least
-LEAST_DEPTH values. In sparse regions that is everything that shares the least depth; in dense regions the nearest
-entries are those with the longest common prefix, so the depth adapts to the region. Candidates at the border of two
-sort partitions are found from the partitions' first and last entries.
-
-Links are confirmed by Jaccard similarity of the full sets: first a few candidates of each representative, then, once
-these have been joined into components, every candidate that still lies between two components. A pair with a
+sort for all trees); candidates of an entry are its neighbours with a common prefix of at least LEAST_DEPTH values. In
+sparse regions that is everything that shares the least depth; in dense regions the nearest entries are those with the
+longest common prefix, so the depth adapts to the region. Candidates at the border of two sort partitions are found
+from the partitions' first and last entries.
+
+Links are confirmed by Jaccard similarity of the full sets, in rounds. The first takes next neighbours. Each further
+round sorts the entries with the components found so far, takes entries of one component in succession as one run, and
+compares what lies at the borders of runs, NEIGHBOURS entries deep: a large group no longer fills the places beside an
+entry. It takes only entries of regions of three or more, as smaller ones are done. Rounds end when one has confirmed
+nothing new. A pair with a
 similarity of s is missed by all trees with a chance of about (1 - s**LEAST_DEPTH)**TREES, under 2e-6 at 0.75 for a
 pair by itself and far less within a group.
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, pieces_of, small_batches, staged
@@ -30,8 +33,12 @@ from .components import components
 NAME = "op10_minhash_forest"
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, LEAST_DEPTH = 16, 6, 2
-#: Entries before its own that an entry is compared with in each tree; the nearest have the longest common prefixes.
+#: Entries on each side of a border between components that are compared in each tree; the nearest have the longest
+#: common prefixes.
 NEIGHBOURS = 4
+#: Share of equal two-bit sketches below which a pair is not followed: 0.8125 is expected at the threshold, five standard
+#: deviations above.
+LEAST_AGREEMENT = 0.61
 #: Candidates of a representative that are confirmed before the rest.
 FIRST = 2
 
@@ -114,76 +121,122 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary")
 
 
-def _near(trees: list[int], keys: list[bytes], ids: list[int], own: int):
-    """Candidate pairs among sorted entries; only pairs whose later entry is at own or behind."""
+def sketch(sig: bytes) -> bytes:
+    """The two lowest bits of each MinHash value."""
+    return np.packbits(np.unpackbits(np.frombuffer(sig, np.uint8)[3::4, None], axis=1)[:, 6:]).tobytes()
+
+
+def _near(trees: list[int], keys: list[bytes], ids: list[int], parts: list[int], sketches: list[bytes], own: int, lags: int):
+    """Candidate pairs among sorted entries, only those whose later entry is at own or behind; and for each entry from
+    own on, whether its region may hold three entries or more.
+
+    Entries of one component in succession form a run. The first lags entries of a run meet the last lags entries
+    before it; entries of one component never meet, nor do those whose sketches differ too much."""
     n = len(ids)
-    sig = np.frombuffer(b"".join(keys), np.uint8).reshape(n, DEPTH * 4)
-    tree, node = np.array(trees, np.int64), np.array(ids, np.int64)
+    sig = np.frombuffer(b"".join(keys), np.uint8).reshape(n, DEPTH * 4)[:, : LEAST_DEPTH * 4]
+    bits = np.frombuffer(b"".join(sketches), np.uint8).reshape(n, TREES * DEPTH // 4)
+    tree, node, part = np.array(trees, np.int64), np.array(ids, np.int64), np.array(parts, np.int64)
+    first = np.r_[True, (part[1:] != part[:-1]) | (tree[1:] != tree[:-1])]
+    start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     left, right = [], []
-    for lag in range(1, min(NEIGHBOURS, n - 1) + 1):
-        i = np.arange(max(lag, own), n)
-        near = (tree[i] == tree[i - lag]) & (sig[i, : LEAST_DEPTH * 4] == sig[i - lag, : LEAST_DEPTH * 4]).all(axis=1) & (node[i] != node[i - lag])
-        left.append(np.minimum(node[i], node[i - lag])[near])
-        right.append(np.maximum(node[i], node[i - lag])[near])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+    for lag in range(1, lags + 1):
+        i = np.flatnonzero((np.arange(n) >= own) & (np.arange(n) - start < lags) & (start >= lag))
+        j = start[i] - lag
+        near = (tree[i] == tree[j]) & (part[i] != part[j]) & (sig[i] == sig[j]).all(axis=1)
+        i, j = i[near], j[near]
+        x = np.unpackbits(bits[i] ^ bits[j], axis=1)
+        near = (x[:, ::2] | x[:, 1::2]).mean(axis=1) <= 1 - LEAST_AGREEMENT
+        left.append(np.minimum(node[i], node[j])[near])
+        right.append(np.maximum(node[i], node[j])[near])
+    # what lies beyond the entries at hand counts as one of the region
+    same = np.r_[True, True, (tree[1:] == tree[:-1]) & (sig[1:] == sig[:-1]).all(axis=1), True, True]
+    here, after = same[1 : n + 1], same[2 : n + 2]
+    crowded = (here & same[:n]) | (here & after) | (after & same[3 : n + 3])
+    return np.concatenate(left), np.concatenate(right), crowded[own:]
+
+
+def forest(reps: DataFrame) -> DataFrame:
+    """The entries of all trees: tree, key, node, sketch, from reps (node, sig)."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of neighbours in the forest of reps (node, sig)."""
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = reps.select("node", F.posexplode(F.array(*[F.substring("sig", 1 + t * DEPTH * 4, DEPTH * 4) for t in range(TREES)])).alias("tree", "key"))
-    ordered = entries.select("tree", "key", "node").repartitionByRange(n, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sketch(x) for x in batch.column(1).to_pylist()], pa.binary())], ["node", "sig", "sketch"])
 
-    def run(batches):
+    drawn = reps.select("node", "sig").mapInArrow(run, "node long, sig binary, sketch binary")
+    keys = F.array(*[F.substring("sig", 1 + t * DEPTH * 4, DEPTH * 4) for t in range(TREES)])
+    return drawn.select("node", "sketch", F.posexplode(keys).alias("tree", "key")).select(F.col("tree").cast("long").alias("tree"), "key", "node", "sketch")
+
+
+def candidates(entries: DataFrame, lags: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs a < b of neighbours among entries (tree, key, node, component, sketch) that lie in two
+    components and may be similar; the entries of regions of three or more, without their components)."""
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = entries.select("tree", "key", "node", "component", "sketch").repartitionByRange(n, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    # what a later entry can still meet: a run's first entries and those before the run
+    reach = 2 * lags
+    names = ["a", "b", "part", "place", "tree", "key", "node", "component", "sketch"]
+
+    def table(k: int, columns: dict):
         import pyarrow as pa
+
+        kinds = dict(zip(names, [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.int64(), pa.binary()], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[x], kinds[x]) if x in columns else pa.nulls(k, kinds[x]) for x in names], names)
+
+    def run(batches):
         from pyspark import TaskContext
 
-        part, names = TaskContext.get().partitionId(), ["a", "b", "part", "place", "tree", "key", "node"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-        tail: tuple[list, list, list] = ([], [], [])
-        head: tuple[list, list, list] = ([], [], [])
+        number = TaskContext.get().partitionId()
+        tail: tuple[list, ...] = ([], [], [], [], [])
+        head: tuple[list, ...] = ([], [], [], [], [])
 
         def border(rows, first: int):
             k = len(rows[0])
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([part] * k, pa.int64()), pa.array(range(first, first + k), pa.int64()), *[pa.array(c, t) for c, t in zip(rows, kinds[4:], strict=True)]], names)
+            return table(k, dict(zip(names[4:], rows, strict=True)) | {"part": [number] * k, "place": range(first, first + k)})
 
         seen = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             new = [c.to_pylist() for c in batch.columns]
             rows = [t + x for t, x in zip(tail, new, strict=True)]
-            a, b = _near(*rows, own=len(tail[0]))
+            a, b, crowded = _near(*rows, own=len(tail[0]), lags=lags)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), t) for t in kinds[2:]]], names)
-            if seen < NEIGHBOURS:
-                head = tuple((h + x)[:NEIGHBOURS] for h, x in zip(head, new, strict=True))
+                yield table(len(a), {"a": a, "b": b})
+            at = np.flatnonzero(crowded).tolist()
+            if at:
+                yield table(len(at), {x: [c[i] for i in at] for x, c in zip(names[4:], new, strict=True) if x != "component"})
+            if seen < reach:
+                head = tuple((h + x)[:reach] for h, x in zip(head, new, strict=True))
             seen += len(new[0])
-            tail = tuple(x[-NEIGHBOURS:] for x in rows)
-        yield from border(head, 0)
-        if seen > NEIGHBOURS:
-            k = min(NEIGHBOURS, seen - NEIGHBOURS)
-            yield from border(tuple(x[-k:] for x in tail), NEIGHBOURS)
+            tail = tuple(x[-reach:] for x in rows)
+        if seen:
+            yield border(head, 0)
+        if seen > reach:
+            k = min(reach, seen - reach)
+            yield border(tuple(x[-k:] for x in tail), reach)
 
-    schema = "a long, b long, part long, place long, tree int, key binary, node long"
-    found = staged(ordered.select(F.col("tree").cast("long").alias("tree"), "key", "node").mapInArrow(run, schema.replace("tree int", "tree long")), "neighbours")
+    found = staged(ordered.mapInArrow(run, "a long, b long, part long, place long, tree long, key binary, node long, component long, sketch binary"), "neighbours")
 
     def seam(batches):
         import pyarrow as pa
 
-        # the borders of all partitions in order: 2 * NEIGHBOURS entries each, whatever the input
+        # the borders of all partitions in order: 2 * reach entries each, whatever the input
         rows: list = []
         for batch in batches:
             rows += zip(*[c.to_pylist() for c in batch.columns], strict=True)
             if len(rows) > 20_000:
-                a, b = _near(*[list(c) for c in zip(*rows, strict=True)], own=0)
+                a, b, _ = _near(*[list(c) for c in zip(*rows, strict=True)], own=0, lags=lags)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                rows = rows[-NEIGHBOURS:]
+                rows = rows[-reach:]
         if rows:
-            a, b = _near(*[list(c) for c in zip(*rows, strict=True)], own=0)
+            a, b, _ = _near(*[list(c) for c in zip(*rows, strict=True)], own=0, lags=lags)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    borders = found.filter("a is null").coalesce(1).sortWithinPartitions("part", "place").select("tree", "key", "node").mapInArrow(seam, "a long, b long")
-    return found.filter("a is not null").select("a", "b").unionByName(borders).distinct()
+    borders = found.filter("part is not null").coalesce(1).sortWithinPartitions("part", "place").select("tree", "key", "node", "component", "sketch").mapInArrow(seam, "a long, b long")
+    pairs = found.filter("a is not null").select("a", "b").unionByName(borders).distinct()
+    return pairs, found.filter("tree is not null and part is null").select("tree", "key", "node", "sketch")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
@@ -224,23 +277,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def likely(pairs: DataFrame, reps: DataFrame, least: float = 0.5) -> DataFrame:
-    """The pairs whose signatures agree in at least that share of values, with the share: what falls below is more than
-    five standard deviations under the threshold."""
-    one, two = reps.select(F.col("node").alias("a"), F.col("sig").alias("x")), reps.select(F.col("node").alias("b"), F.col("sig").alias("y"))
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), ">u4").reshape(-1, TREES * DEPTH) for i in (2, 3))
-            share = (u == v).mean(axis=1)
-            keep = pa.array(share >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(share).filter(keep)], ["a", "b", "share"])
+def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in two components of found (node, component)."""
+    ca, cb = found.withColumnsRenamed({"node": "a", "component": "ca"}), found.withColumnsRenamed({"node": "b", "component": "cb"})
+    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, share double")
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of found (node, component) with further links (a, b)."""
+    if links.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -250,22 +302,24 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     some = made.filter("set_hash is not null")
     classes = staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     reps = staged(some.join(classes.select(F.col("node").alias("doc_id"), F.col("set_hash").alias("h")).hint("merge"), "doc_id").filter("set_hash = h").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"]), "representatives")
-    pairs = staged(likely(candidates(reps), reps), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(sets_of(docs, ids, text).dropDuplicates(["doc_id"]), "sets")
+    pairs, crowded = candidates(forest(reps).withColumn("component", F.col("node")), 1)
+    pairs = staged(pairs, "pairs")
     # a few pairs of each representative, spread by a hash; the order has no bearing on the result
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a"))
     ranked = staged(pairs.select("a", "b", rank.alias("rank")), "ranked")
-    links = staged(confirmed(ranked.filter(F.col("rank") <= FIRST), sets), "links")
-    found = components(links)
-    ca, cb = found.withColumnsRenamed({"node": "a", "component": "ca"}), found.withColumnsRenamed({"node": "b", "component": "cb"})
-    rest = ranked.filter(F.col("rank") > FIRST).join(ca, "a", "left").join(cb, "b", "left")
-    between = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = staged(confirmed(between, sets), "more")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(more))
+    sets = staged(sets_of(docs, ends(pairs), text).dropDuplicates(["doc_id"]), "sets")
+    found = components(staged(confirmed(ranked.filter(F.col("rank") <= FIRST), sets), "links"))
+    rest = between(ranked.filter(F.col("rank") > FIRST), found)
+    found = merged(found, staged(confirmed(rest, sets), "more"))
+    tested = pairs.select("a", "b")
+    while True:
+        labelled = crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = staged(candidates(labelled)[0].join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        sets = staged(sets_of(docs, ends(pairs), text).dropDuplicates(["doc_id"]), "sets")
+        links = staged(confirmed(pairs, sets), "links")
+        if links.isEmpty():
+            break
+        found, tested = merged(found, links), tested.unionByName(pairs.select("a", "b"))
     named = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     linked = staged(named, "named")
     out = made.drop("sig").join(linked.hint("merge"), "set_hash", "left")
