@@ -36,7 +36,7 @@ LEAST, GRAM = 400, 64
 SPAN = LEAST - GRAM + 1
 #: Different segments of one anchor that meet in one task; larger groups are split by offset.
 GROUP = 1024
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 
 _RND = np.random.default_rng(2)
 _TABLE = _RND.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
