@@ -11,9 +11,15 @@ Links are confirmed by Jaccard similarity of the full sets, in rounds. The first
 round sorts the entries with the components found so far, takes entries of one component in succession as one run, and
 compares what lies at the borders of runs, NEIGHBOURS entries deep: a large group no longer fills the places beside an
 entry. It takes only entries of regions of three or more, as smaller ones are done. Rounds end when one has confirmed
-nothing new. A pair with a
-similarity of s is missed by all trees with a chance of about (1 - s**LEAST_DEPTH)**TREES, under 2e-6 at 0.75 for a
-pair by itself and far less within a group.
+nothing new.
+
+The rounds leave pairs unmet in regions crowded with texts that are no near-duplicates of each other. An exact join
+settles all representatives that lie in a region of three or more in some tree: shingles are ordered by the number of
+those sets that hold them, rare ones first; two sets that reach the threshold share one of the first n - ceil(0.75 n) + 1
+of each, and at the first they share, what is left of both must suffice. Every pair that passes, lies in two components
+and has not been tested is confirmed on the full sets. So a linked pair is missed only if it shares the least depth in
+no tree, with a chance of about (1 - s**LEAST_DEPTH)**TREES at similarity s, under 2e-6 at 0.75, or if it shares regions
+of two only and its sketches disagree.
 
 Cases: a null text and one without words have an empty set, no links, and stand alone as their own component. Equal
 sets are always linked. Rows that repeat an id and text give equal rows. Further columns are not read.
@@ -277,6 +283,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def unmet(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """The distinct pairs a < b of sets (doc_id, shingles) that lie in two components of found (node, component) and can
+    reach PERCENT by the prefix and position bounds; no pair that reaches it is left out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in pieces_of(raw):
+                sizes = np.array([len(x) // 8 for x in raw[a:b]], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.frombuffer(b"".join(raw[a:b]), np.int64))], ["node", "n", "shingle"])
+
+    each = sets.mapInArrow(run, "node long, n long, shingle long")
+    held = each.withColumn("holders", F.count("*").over(Window.partitionBy("shingle"))).filter("holders > 1")
+    listed = held.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("x"))
+    # shingles that no other set holds come first and can meet nothing
+    alone = F.col("n") - F.size("x")
+    first = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1
+    cut = listed.select("node", "n", alone.alias("alone"), F.slice("x", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int")).alias("x"))
+    prefix = cut.select("node", "n", "alone", F.posexplode("x").alias("place", "x")).select("node", "n", F.col("x.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("place")).alias("left"))
+    named = staged(prefix.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "prefixes")
+    mixed = named.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("shingle")
+    # sizes in a ratio of at least PERCENT lie in one bin or in two that touch
+    sized = named.join(mixed.hint("merge"), "shingle", "left_semi").withColumn("bin", F.floor(F.log("n") / float(np.log(100 / PERCENT + 0.01))))
+    one = sized.select("shingle", "bin", *[F.col(x).alias(f"{x}1") for x in ("node", "n", "left", "component")])
+    two = sized.select("shingle", F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])).alias("bin"), *[F.col(x).alias(f"{x}2") for x in ("node", "n", "left", "component")])
+    apart = (F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2"))
+    enough = (100 + PERCENT) * F.least("left1", "left2") >= PERCENT * (F.col("n1") + F.col("n2"))
+    alike = 100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2")
+    met = one.hint("merge").join(two, ["shingle", "bin"]).filter(apart & enough & alike)
+    return met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
@@ -320,6 +360,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         if links.isEmpty():
             break
         found, tested = merged(found, links), tested.unionByName(pairs.select("a", "b"))
+    tested = tested.unionByName(pairs.select("a", "b"))
+    sets = staged(sets_of(docs, crowded.select(F.col("node").alias("doc_id")).distinct(), text).dropDuplicates(["doc_id"]), "crowded-sets")
+    pairs = staged(unmet(sets, found).join(tested.hint("merge"), ["a", "b"], "left_anti"), "unmet")
+    found = merged(found, staged(confirmed(pairs, sets), "last-links"))
     named = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     linked = staged(named, "named")
     out = made.drop("sig").join(linked.hint("merge"), "set_hash", "left")

@@ -57,6 +57,22 @@ def test_components_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_pairs_among_texts_that_share_boilerplate(spark):
+    rnd = random.Random(7)
+    words = lambda n: ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(n)]
+    base = words(120)
+    texts = [base + words(21) for _ in range(500)]  # 0.734 alike, no near-duplicates
+    for _ in range(20):
+        own = words(21)
+        texts += [base + own, base + own[:3] + words(18)]  # 0.768 alike
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute(rows)
+    assert sum(not kept for *_, kept in want.values()) == 20
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     assert sorted(tuple(r) for r in M.near_duplicates(df).collect()) == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)]
