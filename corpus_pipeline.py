@@ -17,6 +17,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LANGUAGE = 0.5
 #: The mix keeps this percentage of the tokens that reach it, each document once at most.
 MIX_PERCENT = 90
+#: Repeats of this many bytes are cut out: 51 words and the blanks between them have as many at least.
+LEAST_REPEAT = 101
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur twice or more; n_chars follows the text."""
-    cut = repeats.remove_repeats(docs.select(*COLUMNS))
+    """Documents without the passages of LEAST_REPEAT bytes that occur twice or more; n_chars follows the text."""
+    cut = repeats.remove_repeats(docs.select(*COLUMNS), LEAST_REPEAT)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

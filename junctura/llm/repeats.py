@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .common import documents, pieces_of, small_batches, spread, staged
 
 NAME = "op2_repeats"
+#: Least length of a repeat in bytes unless the caller names another, and most bytes of an anchor's hash.
 LEAST, GRAM = 400, 64
-SPAN = LEAST - GRAM + 1
 #: Different segments of one anchor that meet in one task; larger groups are split by offset.
 GROUP = 1024
 CHUNK_BYTES = 1_000_000
@@ -44,6 +44,12 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 
+def _sizes(least: int) -> tuple[int, int]:
+    """Bytes of an anchor's hash, and the number of offsets it can have in a window."""
+    gram = min(GRAM, (least + 1) // 2)
+    return gram, least - gram + 1
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -69,31 +75,32 @@ class Hashes:
         return _mix((self.total[b] - self.total[a]) * self.down[a])
 
 
-def anchors(raw: list[bytes]) -> list[tuple]:
+def anchors(raw: list[bytes], least: int = LEAST) -> list[tuple]:
     """For each byte string, arrays q (anchor), lo and hi (offsets q - start of its windows), key and th."""
+    gram, span = _sizes(least)
     empty = (np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.int64))
     lengths = np.array([len(r) for r in raw], np.int64)
-    if not (lengths >= LEAST).any():
+    if not (lengths >= least).any():
         return [empty] * len(raw)
     flat = np.frombuffer(b"".join(raw), np.uint8)
     n, hashes = len(flat), Hashes(flat)
-    grams = _mix((hashes.total[GRAM:] - hashes.total[:-GRAM]) * hashes.down[: n - GRAM + 1])
+    grams = _mix((hashes.total[gram:] - hashes.total[:-gram]) * hashes.down[: n - gram + 1])
     bits = np.uint64(n.bit_length())
     packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
-    padded = np.full(-(-len(packed) // SPAN) * SPAN, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded = np.full(-(-len(packed) // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[: len(packed)] = packed
-    blocks = padded.reshape(-1, SPAN)
+    blocks = padded.reshape(-1, span)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[: n - LEAST + 1], ahead[SPAN - 1 : SPAN + n - LEAST])
+    lowest = np.minimum(back[: n - least + 1], ahead[span - 1 : span + n - least])
     starts = np.cumsum(lengths) - lengths
-    owned = np.maximum(lengths - LEAST + 1, 0)
+    owned = np.maximum(lengths - least + 1, 0)
     p = spread(starts, owned)
-    q = (least[p] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    q = (lowest[p] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
     last = np.r_[first[1:], len(q)] - 1
     anchor, hi, lo = q[first], q[first] - p[first], q[first] - p[last]
-    th = _mix(hashes.of(p[first], p[last] + LEAST) + (hi * 1024 + lo).astype(np.uint64))
+    th = _mix(hashes.of(p[first], p[last] + least) + (hi * 1024 + lo).astype(np.uint64))
     key = grams[anchor]
     cuts = np.searchsorted(p[first], np.r_[starts, n])
     out = []
@@ -184,11 +191,11 @@ def common_prefix_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.
     return order, np.cumsum(border[: n + 1])
 
 
-def repeated_windows(segments: list[bytes]) -> list[np.ndarray]:
+def repeated_windows(segments: list[bytes], least: int = LEAST) -> list[np.ndarray]:
     """For each segment, which of its windows occur twice or more in all segments."""
     lengths = np.array([len(s) for s in segments], np.int64)
-    order, group = common_prefix_classes(np.frombuffer(b"".join(segments), np.uint8), LEAST)
-    starts, counts = np.cumsum(lengths) - lengths, lengths - LEAST + 1
+    order, group = common_prefix_classes(np.frombuffer(b"".join(segments), np.uint8), least)
+    starts, counts = np.cumsum(lengths) - lengths, lengths - least + 1
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     own = group[place[spread(starts, counts)]]
@@ -202,7 +209,7 @@ def _true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, least: int) -> DataFrame:
     schema = "doc_id long, h long, n_bytes long, sha string, q array<int>, lo array<smallint>, hi array<smallint>, key array<long>, th array<long>"
 
     def run(batches):
@@ -213,7 +220,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             texts = batch.column(2).to_pylist()
             for a, b in pieces_of(texts, 700_000):
                 raw = [(t or "").encode() for t in texts[a:b]]
-                made = anchors(raw)
+                made = anchors(raw, least)
                 borders = pa.array(np.r_[0, np.cumsum([len(m[0]) for m in made])].astype(np.int32))
                 lists = [pa.ListArray.from_arrays(borders, pa.array(np.concatenate([m[i] for m in made]).astype(k))) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(r) for r in raw], pa.int64()), pa.array([sha256(r).hexdigest() for r in raw]), *lists], ["doc_id", "h", "n_bytes", "sha", "q", "lo", "hi", "key", "th"])
@@ -221,7 +228,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(run, schema)
 
 
-def _segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _segments(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """The bytes of wanted segments (doc_id, h, q, key, th, c, d, lo, hi): k0, t0, key, th, c, d, q (in seg), lo, hi, seg."""
     packed = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("q", "key", "th", "c", "d", "lo", "hi")).alias("w"))
 
@@ -232,7 +239,7 @@ def _segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 for k in range(0, len(some), 2000):
-                    rows = [(w["key"], w["th"], w["key"], w["th"], w["c"], w["d"], w["hi"], w["lo"], w["hi"], raw[w["q"] - w["hi"] : w["q"] - w["lo"] + LEAST]) for w in some[k : k + 2000]]
+                    rows = [(w["key"], w["th"], w["key"], w["th"], w["c"], w["d"], w["hi"], w["lo"], w["hi"], raw[w["q"] - w["hi"] : w["q"] - w["lo"] + least]) for w in some[k : k + 2000]]
                     yield _batch(rows)
 
     return texts.join(packed, ["doc_id", "h"]).select("text", "w").mapInArrow(run, _SEGMENT)
@@ -249,13 +256,13 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
 
-def _search(segments: DataFrame) -> DataFrame:
+def _search(segments: DataFrame, least: int) -> DataFrame:
     """k0, t0, o1, o2: offset ranges of repeated windows, from whole groups of segments with one key."""
 
     def solve(rows: list):
         import pyarrow as pa
 
-        found = [(k0, t0, hi - b, hi - a) for (k0, t0, _, hi, _), flags in zip(rows, repeated_windows([r[4] for r in rows]), strict=True) for a, b in _true_runs(flags)]
+        found = [(k0, t0, hi - b, hi - a) for (k0, t0, _, hi, _), flags in zip(rows, repeated_windows([r[4] for r in rows], least), strict=True) for a, b in _true_runs(flags)]
         columns = zip(*found, strict=True) if found else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["k0", "t0", "o1", "o2"])
 
@@ -276,7 +283,7 @@ def _search(segments: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "k0 long, t0 long, o1 int, o2 int")
 
 
-def _narrowed(segments: DataFrame, width: int) -> DataFrame:
+def _narrowed(segments: DataFrame, width: int, least: int) -> DataFrame:
     """Segments cut into offset ranges of a width, keyed by the bytes that all windows of a range share."""
 
     def run(batches):
@@ -288,25 +295,25 @@ def _narrowed(segments: DataFrame, width: int) -> DataFrame:
                     b0, b1 = bin_ * width, bin_ * width + width - 1
                     cuts.append((max(lo, b0), min(hi, b1), b0, b1))
                 x = np.array(cuts, np.int64)
-                shared = hashes.of(q - x[:, 2], q - x[:, 3] + LEAST)
-                whole = hashes.of(q - x[:, 1], q - x[:, 0] + LEAST)
+                shared = hashes.of(q - x[:, 2], q - x[:, 3] + least)
+                whole = hashes.of(q - x[:, 1], q - x[:, 0] + least)
                 keys = _mix(shared + np.array([key], np.int64).view(np.uint64) + x[:, 2].astype(np.uint64)).view(np.int64).tolist()
                 ths = _mix(whole + (x[:, 1] * 1024 + x[:, 0]).astype(np.uint64)).view(np.int64).tolist()
                 for (a, b, _, _), k, t in zip(cuts, keys, ths, strict=True):
-                    rows.append((k0, t0, k, t, c, 0, b, a, b, seg[q - b : q - a + LEAST]))
+                    rows.append((k0, t0, k, t, c, 0, b, a, b, seg[q - b : q - a + least]))
             yield _batch(rows)
 
     return segments.mapInArrow(run, _SEGMENT)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(one row for each of docs: doc_id, h, n_bytes, sha; the texts with repeats: doc_id, h, text, spans).
 
-    h is the text's hash; spans are array<struct<a, b>> of repeated byte ranges [a, b), which may overlap."""
+    A repeat has least bytes or more. h is the text's hash; spans are array<struct<a, b>> of repeated byte ranges [a, b), which may overlap."""
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
-    scan = staged(_scan(rows), "scan")
+    scan = staged(_scan(rows, least), "scan")
     every = scan.select("doc_id", "h", F.explode(F.arrays_zip("q", "lo", "hi", "key", "th")).alias("x")).select("doc_id", "h", "x.*")
     keys = staged(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     found = staged(every.join(keys, "key", "left_semi"), "anchors")
@@ -316,23 +323,23 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     sizes = staged(kinds.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "sizes")
     results = kinds.filter("c > 1").select(F.col("key").alias("k0"), F.col("th").alias("t0"), F.col("lo").alias("o1"), F.col("hi").alias("o2"))
     wanted = kinds.join(sizes, "key").select("at.*", "key", "th", "c", "d", "lo", "hi")
-    segments = staged(_segments(texts, wanted), "segments")
-    results = results.unionByName(staged(_search(segments.filter(F.col("d") <= GROUP)), "searched"))
-    hot, width = segments.filter(F.col("d") > GROUP), SPAN
+    segments = staged(_segments(texts, wanted, least), "segments")
+    results = results.unionByName(staged(_search(segments.filter(F.col("d") <= GROUP), least), "searched"))
+    hot, width = segments.filter(F.col("d") > GROUP), _sizes(least)[1]
     while not hot.isEmpty():
         width = -(-width // 4)
-        cut = staged(_narrowed(hot, width).drop("d"), "cut")
+        cut = staged(_narrowed(hot, width, least).drop("d"), "cut")
         kinds_ = staged(cut.groupBy("key", "th").agg(F.sum("c").alias("all"), F.min(F.struct("k0", "t0")).alias("at")), "cut-kinds")
         sizes_ = staged(kinds_.groupBy("key").agg(F.count("*").alias("d"), F.min("all").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "cut-sizes")
         both = cut.join(kinds_, ["key", "th"])
         results = results.unionByName(both.filter("all > 1").select("k0", "t0", F.col("lo").alias("o1"), F.col("hi").alias("o2")))
         single = both.filter((F.col("at.k0") == F.col("k0")) & (F.col("at.t0") == F.col("t0"))).join(sizes_, "key")
         left = staged(single.select(*[x.split()[0] for x in _SEGMENT.split(", ")]), "cut-segments")
-        results = results.unionByName(staged(_search(left.filter(F.col("d") <= GROUP)), "searched"))
+        results = results.unionByName(staged(_search(left.filter(F.col("d") <= GROUP), least), "searched"))
         hot = left.filter(F.col("d") > GROUP)
     ranges = staged(results, "ranges")
     placed = found.join(ranges, (F.col("key") == F.col("k0")) & (F.col("th") == F.col("t0")))
-    spans = placed.groupBy("doc_id", "h").agg(F.collect_list(F.struct((F.col("q") - F.col("o2")).alias("a"), (F.col("q") - F.col("o1") + LEAST).alias("b"))).alias("spans"))
+    spans = placed.groupBy("doc_id", "h").agg(F.collect_list(F.struct((F.col("q") - F.col("o2")).alias("a"), (F.col("q") - F.col("o1") + least).alias("b"))).alias("spans"))
     return scan.select("doc_id", "h", "n_bytes", "sha"), texts.join(spans, ["doc_id", "h"])
 
 
@@ -368,9 +375,9 @@ def _cut(touched: DataFrame) -> DataFrame:
     return touched.select("doc_id", "h", "text", "spans").mapInArrow(run, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string, rest string")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut out of text; rows whose whole text was cut fall away."""
-    _, touched = repeated_spans(docs)
+def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """docs with repeated passages of least bytes or more cut out of text; rows whose whole text was cut fall away."""
+    _, touched = repeated_spans(docs, least=least)
     cut = staged(_cut(touched).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "rest"), "rest")
     keyed = docs.withColumn("__id0", F.col("doc_id").cast("long")).withColumn("__h0", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(cut, (F.col("__id0") == F.col("__id")) & (F.col("__h0") == F.col("__h")), "left")

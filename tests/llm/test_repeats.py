@@ -5,6 +5,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
+import corpus_pipeline as C
 from junctura.llm import repeats as R
 
 
@@ -68,3 +69,19 @@ def test_remove_and_empty_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, h string")
     assert sorted(tuple(r) for r in R.remove_repeats(df).collect()) == [(2, "left ", "b"), (3, None, "c"), (4, "short", "d")]
     assert R.remove_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [1024, 3])
+def test_pipeline_stage_cuts_passages_of_51_words(spark, monkeypatch, group):
+    monkeypatch.setattr(R, "GROUP", group)
+    rnd = random.Random(8)
+    make = lambda n, k: " ".join("".join(rnd.choices("abcdefghij", k=k)) for _ in range(n))
+    usual, least, under = make(51, 5), make(51, 1), make(45, 1)
+    texts = [f"{make(40, 6)} {x} {make(40, 6)}" for x in [usual, least, under] * 6]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in C.drop_repeats(spark, df, "").collect()}
+    monkeypatch.setattr(R, "LEAST", 101)
+    want = brute([(i, t.encode()) for i, t in enumerate(texts)])
+    assert [(i, sha256(got[i].encode()).hexdigest()) for i in sorted(got)] == [(i, sha) for i, *_, sha in want]
+    assert all((x in got[i]) == (x is under) for i, x in enumerate([usual, least, under] * 6))
