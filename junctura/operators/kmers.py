@@ -126,13 +126,57 @@ def binned_peaks(found: DataFrame, intervals: DataFrame, size: int = 50) -> Data
 
 
 def read_votes(read_hashes: DataFrame, peak_hashes: DataFrame, least: int = 6) -> DataFrame:
-    """Votes of reads for contigs through peak hashes: contig, pos, support of peaks that reads split between contigs
-    point to. A read counts if two or more contigs get least votes; of these the two with most votes are taken."""
-    met = read_hashes.join(peak_hashes, "h")
-    votes = met.groupBy("read_name", "contig").agg(F.countDistinct("pos_in_read").alias("votes"), F.min_by("pos", "pos_in_read").alias("pos")).filter(F.col("votes") >= least)
+    """Votes of reads (read_name, pos_in_read, hash_no, h) for contigs through peak hashes (h, contig, pos): contig, pos,
+    support of peaks that reads split between contigs point to.
+
+    An offset votes once: of its peaks in the order of hash_no, contig and pos, for the contig with most votes so far,
+    the last one of those; a contig without votes is taken only if nothing is yet. A contig's peak is that of its first
+    vote. A read counts if two or more contigs get least votes; all with as many as the first or the second are taken."""
+    order = ["read_name", "pos_in_read", "hash_no", "contig", "pos"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        read = offset = pick = None
+        count: dict[str, int] = {}
+        first: dict[str, int] = {}
+
+        def vote() -> None:
+            if pick is not None:
+                count[pick[0]] = count.get(pick[0], 0) + 1
+                first.setdefault(*pick)
+
+        def table(rows: list[tuple]):
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["read_name", "contig", "pos", "votes"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for name, at, _, contig, pos in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (name, at) != (read, offset):
+                    vote()
+                    pick = None
+                    if name != read:
+                        out += [(read, c, first[c], n) for c, n in count.items()]
+                        count.clear()
+                        first.clear()
+                    read, offset = name, at
+                if contig in count:
+                    if pick is None or count[contig] >= count.get(pick[0], 0):
+                        pick = (contig, pos)
+                elif pick is None:
+                    pick = (contig, pos)
+            yield table(out)
+        vote()
+        yield table([(read, c, first[c], n) for c, n in count.items()])
+
+    met = read_hashes.join(peak_hashes, "h").select(*order).repartition("read_name").sortWithinPartitions(*order)
+    votes = met.mapInArrow(run, "read_name string, contig string, pos long, votes long").filter(F.col("votes") >= least)
     w = Window.partitionBy("read_name")
-    ranked = votes.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.col("votes").desc(), "contig"))).filter("n > 1 and r <= 2")
-    return ranked.groupBy("contig", "pos").agg(F.least(F.count("*"), F.lit(254)).alias("support"))
+    ranked = votes.withColumn("r", F.row_number().over(w.orderBy(F.col("votes").desc(), "contig")))
+    # null where a read has one contig only
+    second = ranked.withColumn("second", F.max(F.when(F.col("r") == 2, F.col("votes"))).over(w)).filter("votes >= second")
+    return second.groupBy("contig", "pos").agg(F.least(F.count("*"), F.lit(254)).alias("support"))
 
 
 def occupancy(read_hashes: DataFrame, k: int, least: int = 3) -> DataFrame:

@@ -93,11 +93,11 @@ def k10(v):
 
 @query("k11_k13_read_votes", None)
 def k11(v):
-    """Peaks supported by sequences whose k-mers point to two contigs."""
+    """Peaks supported by sequences whose k-mers point to two contigs or more."""
     found = K.peaks(_hits(v), _lengths(v), _K)
     h = _hashes(v)
     near = h.filter("n % 2 = 1").join(found, ["contig", "pos"]).select("h", "contig", "pos")
-    reads = h.filter("n % 2 = 0").select(F.col("contig").alias("read_name"), F.col("pos").alias("pos_in_read"), "h")
+    reads = h.filter("n % 2 = 0").select(F.col("contig").alias("read_name"), F.col("pos").alias("pos_in_read"), "hash_no", "h")
     return K.read_votes(reads, near, 3)
 
 

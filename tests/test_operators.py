@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from junctura.operators import alignment, events, graph, joins, order, stats
+from junctura.operators import alignment, events, graph, joins, kmers, order, stats
 
 
 def test_islands_and_union(spark):
@@ -127,3 +127,38 @@ def test_precise_breakpoint(spark):
     cl = spark.createDataFrame([(1, 1000, 1200, ref)], "cluster long, lo long, hi long, ref string")
     rd = spark.createDataFrame([(1, 1, "ACGT", True), (1, 2, ref[80:110], True), (1, 3, ref[10:40], False)], "cluster long, row_id long, clip string, right boolean")
     assert tuple(alignment.precise_breakpoints(cl, rd).first()) == (1, 1080, 2.0, 2)
+
+
+def brute_votes(reads, peaks, least):
+    support = {}
+    for name in {r[0] for r in reads}:
+        count, first = {}, {}
+        for offset in sorted({r[1] for r in reads if r[0] == name}):
+            chosen, most = None, 0
+            for _, contig, pos in sorted((e, c, p) for n, o, e, h in reads if (n, o) == (name, offset) for g, c, p in peaks if g == h):
+                if contig in count and count[contig] >= most:
+                    chosen, most = (contig, pos), count[contig]
+                elif contig not in count and chosen is None:
+                    chosen, most = (contig, pos), 0
+            if chosen:
+                count[chosen[0]] = count.get(chosen[0], 0) + 1
+                first.setdefault(*chosen)
+        enough = {c: n for c, n in count.items() if n >= least}
+        if len(enough) > 1:
+            two = sorted(enough.values())[-2:]
+            for c in enough:
+                if enough[c] in two:
+                    support[c, first[c]] = support.get((c, first[c]), 0) + 1
+    return {(c, p): min(n, 254) for (c, p), n in support.items()}
+
+
+def test_read_votes(spark):
+    rnd = random.Random(9)
+    tied = [("tied", i, 0, 1000 + i % 3) for i in range(9)]  # three contigs with three votes each
+    reads = tied + [(f"r{i}", o, e, rnd.randrange(40)) for i in range(40) for o in range(30) for e in range(3)]
+    peaks = [(1000, "x", 7), (1001, "y", 8), (1002, "z", 9)] + [(h, rnd.choice("abcde"), rnd.randrange(5)) for h in range(30) for _ in range(1 + h % 2)]
+    peaks = sorted(set(peaks))
+    r = spark.createDataFrame(reads, "read_name string, pos_in_read long, hash_no int, h long").repartition(3)
+    p = spark.createDataFrame(peaks, "h long, contig string, pos long")
+    got = {(x.contig, x.pos): x.support for x in kmers.read_votes(r, p, 3).collect()}
+    assert got == brute_votes(reads, peaks, 3) and {("x", 7), ("y", 8), ("z", 9)} <= set(got)
