@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach: spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """The folder that every executor can reach: spark.checkpoint.dir; where that is unset on one machine (tests), a new
+    temporary one. A cluster must name it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         where = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="junctura-")
     return where.rstrip("/")
@@ -34,7 +38,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_folder = path.rpartition("/")[0]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that staged() gave, once nothing reads them any more: what followed has been written itself."""
+    for t in tables:
+        if folder := t.__dict__.pop("_staged_folder", None):
+            context = t.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         after = staged(jumped, "labels")
         # a round without a change of the sum has changed nothing, as labels only fall
         before_sum, after_sum = (x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0] for x in (labels, after))
+        discard(up, labels)
         labels = after
         if before_sum == after_sum:
+            discard(e)
             return labels.withColumnRenamed("label", "component")

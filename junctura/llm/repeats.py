@@ -1,23 +1,28 @@
-"""Removal of repeated passages: every byte covered by a LEAST-byte string that starts twice or more in the corpus.
+"""Removal of repeated passages: every symbol covered by a string of `least` symbols that starts twice or more in the corpus.
 
-Distribution: each LEAST-byte window belongs to one anchor, the leftmost least GRAM-byte hash inside it, so equal
-windows have equal anchors at equal offsets. An anchor owns a run of windows, its segment. Segments are dealt out by
-the anchor's hash; those whose anchor occurs once can hold no repeat and fall away before any text is moved. Equal
-segments are combined to one with a count, so that thousands of copies cost one row.
+Symbols are the bytes of a text or its words: with unit "byte" a repeat has at least `least` bytes (op2: LEAST), with
+"word" at least `least` words (PASSAGE: over 50), whatever blanks stand between them; words are held as 64-bit hashes.
+
+Distribution: copies of a text are one text with a count. Each window of `least` symbols belongs to one anchor, the
+leftmost least hash of a shorter string inside it, so equal windows have equal anchors at equal offsets. An anchor owns
+a run of windows, its segment. Segments are dealt out by the anchor's hash; those whose anchor occurs once can hold no
+repeat and fall away before any text is moved. Equal segments are combined to one with a count, so that thousands of
+places of one passage cost one row.
 
 Search: the different segments of an anchor's group meet in one task, whose segments form one text. Its suffixes are
-sorted to LEAST characters, and breadth-first backward extension on the Burrows-Wheeler transform finds all common
-prefixes by increasing length: an interval of suffixes that share a string is extended to the left by each character
+sorted to `least` symbols, and breadth-first backward extension on the Burrows-Wheeler transform finds all common
+prefixes by increasing length: an interval of suffixes that share a string is extended to the left by each symbol
 before it, and the borders that are new at this length have a common prefix of exactly that length. It stops at
-LEAST; borders without a value then join windows that share LEAST bytes. Work is on runs of the transform, so groups
-of copies cost few steps.
+`least`; borders without a value then join windows that share `least` symbols. Work is on runs of the transform, so
+groups of copies cost few steps.
 
-Groups with more than GROUP different segments are split: their windows are dealt out anew by offset range, keyed by the
-bytes that all windows of a range share. Ranges narrow until, at one offset, that key is the whole window; no group
-is left out or cut. Strings are compared by 64-bit hashes within a group where they are not compared by the search.
+The suffixes of a group with more than GROUP different segments are split into ranges that each can hold all equal
+windows: by the offset of the anchor and by the symbols that all windows of the range share. Ranges narrow until GROUP
+segments are left, and are then searched; equal segments meet on the way and are combined. At one offset that key is the
+whole window; no group is left out or cut. Strings are compared by 64-bit hashes when they are combined.
 
-Cases: a null text is empty. Texts under LEAST bytes keep all. Equal rows, even with equal ids, repeat each other.
-Further columns are carried along by remove_repeats().
+Cases: a null text is empty. Texts under `least` symbols keep all. Equal rows, even with equal ids, repeat each other,
+so of copies none is kept. Further columns are carried along by remove_repeats().
 """
 
 from __future__ import annotations
@@ -27,25 +32,28 @@ from hashlib import sha256
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import documents, pieces_of, small_batches, spread, staged
+from .common import discard, documents, pieces_of, small_batches, spread, staged
 
 NAME = "op2_repeats"
-#: Least length of a repeat in bytes unless the caller names another, and most bytes of an anchor's hash.
-LEAST, GRAM = 400, 64
+#: Least bytes of a repeat, least words of a passage, and most symbols of an anchor's hash.
+LEAST, PASSAGE, GRAM = 400, 51, 64
 #: Different segments of one anchor that meet in one task; larger groups are split by offset.
 GROUP = 1024
-CHUNK_BYTES = 1_000_000
+#: Symbols of the segments that are searched at once, unless one group has more.
+CHUNK = 1_000_000
+EMPTY_SHA = sha256(b"").hexdigest()
 
 _RND = np.random.default_rng(2)
 _TABLE = _RND.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def _sizes(least: int) -> tuple[int, int]:
-    """Bytes of an anchor's hash, and the number of offsets it can have in a window."""
+    """Symbols of an anchor's hash, and the number of offsets it can have in a window."""
     gram = min(GRAM, (least + 1) // 2)
     return gram, least - gram + 1
 
@@ -57,33 +65,52 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substrings of a byte array, from prefix sums."""
+    """Hashes of any substrings of an array of symbols, from prefix sums."""
 
     _powers: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
-    def __init__(self, flat: np.ndarray):
-        n = len(flat) + 1
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols) + 1
         if len(Hashes._powers[0]) < n:
             up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
             up[0] = down[0] = 1
             Hashes._powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
         up, self.down = Hashes._powers
         self.total = np.zeros(n, np.uint64)
-        np.cumsum(_TABLE[flat] * up[: n - 1], out=self.total[1:])
+        np.cumsum((_TABLE[symbols] if symbols.dtype == np.uint8 else symbols) * up[: n - 1], out=self.total[1:])
 
     def of(self, a, b) -> np.ndarray:
         return _mix((self.total[b] - self.total[a]) * self.down[a])
 
 
-def anchors(raw: list[bytes], least: int = LEAST) -> list[tuple]:
-    """For each byte string, arrays q (anchor), lo and hi (offsets q - start of its windows), key and th."""
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end."""
+    blank = _SPACE[np.frombuffer(raw + b" ", np.uint8)]
+    before = np.r_[True, blank[:-1]]
+    return np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
+
+
+def symbols_of(raw: list[bytes], unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts in one array, and the number of each text's."""
+    if unit == "byte":
+        return np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+    flat = b"\n".join([*raw, b""])
+    first, last = word_places(flat)
+    borders = np.cumsum([0] + [len(r) + 1 for r in raw])
+    return Hashes(np.frombuffer(flat, np.uint8)).of(first, last) | np.uint64(1), np.diff(np.searchsorted(first, borders))
+
+
+def _dtype(unit: str):
+    return np.uint8 if unit == "byte" else np.uint64
+
+
+def anchors(symbols: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> list[tuple]:
+    """For each of the texts, arrays q (anchor), lo and hi (offsets q - start of its windows), key and th."""
     gram, span = _sizes(least)
     empty = (np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    lengths = np.array([len(r) for r in raw], np.int64)
     if not (lengths >= least).any():
-        return [empty] * len(raw)
-    flat = np.frombuffer(b"".join(raw), np.uint8)
-    n, hashes = len(flat), Hashes(flat)
+        return [empty] * len(lengths)
+    n, hashes = len(symbols), Hashes(symbols)
     grams = _mix((hashes.total[gram:] - hashes.total[:-gram]) * hashes.down[: n - gram + 1])
     bits = np.uint64(n.bit_length())
     packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -110,18 +137,19 @@ def anchors(raw: list[bytes], least: int = LEAST) -> list[tuple]:
 
 
 def suffix_order(symbols: np.ndarray, least: int) -> np.ndarray:
-    """Suffixes of the symbols (1 to 256), the empty one first, sorted by their first least symbols or more."""
+    """Suffixes of the symbols (from 1), the empty one first, sorted by their first least symbols or more."""
     n = len(symbols)
-    wide = np.zeros(n + 8, np.uint64)
+    bits = int(symbols.max(initial=1)).bit_length()
+    depth = 63 // bits
+    wide = np.zeros(n + depth + 1, np.uint64)
     wide[:n] = symbols
     key = np.zeros(n + 1, np.uint64)
-    for j in range(7):
-        key = (key << np.uint64(9)) | wide[j : j + n + 1]
+    for j in range(depth):
+        key = (key << np.uint64(bits)) | wide[j : j + n + 1]
     order = np.argsort(key, kind="stable")
     head = np.r_[True, key[order[1:]] != key[order[:-1]]]
     rank = np.empty(n + 1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n + 1), 0))
-    depth = 7
     while depth < least:
         # only suffixes that still share their place with others are sorted again
         open_ = ~(head & np.r_[head[1:], True])
@@ -141,9 +169,10 @@ def suffix_order(symbols: np.ndarray, least: int) -> np.ndarray:
 
 
 def common_prefix_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix order of a byte array, and for each place the class of suffixes that share least bytes."""
+    """The suffix order of an array of symbols, and for each place the class of suffixes that share least of them."""
     n = len(text)
-    symbols = text.astype(np.int64) + 1
+    symbols = (text.astype(np.int64) if text.dtype == np.uint8 else np.unique(text, return_inverse=True)[1]) + 1
+    size = int(symbols.max(initial=1)) + 1
     order = suffix_order(symbols, least)
     before = np.where(order > 0, symbols[order - 1], 0)
     by_symbol = np.argsort(before, kind="stable")
@@ -181,9 +210,9 @@ def common_prefix_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.
         rest = np.flatnonzero(new & ~first)
         if len(rest):  # the symbol has several runs in the interval: find its first
             heads = np.flatnonzero(first & ~last)
-            name = which[heads] * 512 + char[runs[heads]]
+            name = which[heads] * size + char[runs[heads]]
             sort = np.argsort(name, kind="stable")
-            found = heads[sort[np.searchsorted(name[sort], which[rest] * 512 + char[runs[rest]])]]
+            found = heads[sort[np.searchsorted(name[sort], which[rest] * size + char[runs[rest]])]]
             into.append(back[np.maximum(run_start[runs[found]], low[found])])
             out.append(to[rest])
         lb, rb = np.concatenate(into), np.concatenate(out)
@@ -191,10 +220,10 @@ def common_prefix_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.
     return order, np.cumsum(border[: n + 1])
 
 
-def repeated_windows(segments: list[bytes], least: int = LEAST) -> list[np.ndarray]:
+def repeated_windows(segments: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]:
     """For each segment, which of its windows occur twice or more in all segments."""
     lengths = np.array([len(s) for s in segments], np.int64)
-    order, group = common_prefix_classes(np.frombuffer(b"".join(segments), np.uint8), least)
+    order, group = common_prefix_classes(np.concatenate(segments), least)
     starts, counts = np.cumsum(lengths) - lengths, lengths - least + 1
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -209,8 +238,9 @@ def _true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _scan(docs: DataFrame, least: int) -> DataFrame:
-    schema = "doc_id long, h long, n_bytes long, sha string, q array<int>, lo array<smallint>, hi array<smallint>, key array<long>, th array<long>"
+def _scan(rows: DataFrame, least: int, unit: str) -> DataFrame:
+    """doc_id, h, n_symbols and the anchors as arrays of rows (doc_id, h, text)."""
+    schema = "doc_id long, h long, n_symbols long, q array<int>, lo array<smallint>, hi array<smallint>, key array<long>, th array<long>"
 
     def run(batches):
         import pyarrow as pa
@@ -219,30 +249,28 @@ def _scan(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in pieces_of(texts, 700_000):
-                raw = [(t or "").encode() for t in texts[a:b]]
-                made = anchors(raw, least)
+                symbols, lengths = symbols_of([(t or "").encode() for t in texts[a:b]], unit)
+                made = anchors(symbols, lengths, least)
                 borders = pa.array(np.r_[0, np.cumsum([len(m[0]) for m in made])].astype(np.int32))
                 lists = [pa.ListArray.from_arrays(borders, pa.array(np.concatenate([m[i] for m in made]).astype(k))) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(r) for r in raw], pa.int64()), pa.array([sha256(r).hexdigest() for r in raw]), *lists], ["doc_id", "h", "n_bytes", "sha", "q", "lo", "hi", "key", "th"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths), *lists], ["doc_id", "h", "n_symbols", "q", "lo", "hi", "key", "th"])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def _segments(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """The bytes of wanted segments (doc_id, h, q, key, th, c, d, lo, hi): k0, t0, key, th, c, d, q (in seg), lo, hi, seg."""
-    packed = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("q", "key", "th", "c", "d", "lo", "hi")).alias("w"))
+def _segments(texts: DataFrame, wanted: DataFrame, least: int, unit: str) -> DataFrame:
+    """The symbols of wanted segments (h, q, key, th, c, d, lo, hi): k0, t0, key, th, c, d, q (in seg), lo, hi, seg."""
+    packed = wanted.groupBy("h").agg(F.collect_list(F.struct("q", "key", "th", "c", "d", "lo", "hi")).alias("w"))
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
+                symbols, _ = symbols_of([(text or "").encode()], unit)
                 for k in range(0, len(some), 2000):
-                    rows = [(w["key"], w["th"], w["key"], w["th"], w["c"], w["d"], w["hi"], w["lo"], w["hi"], raw[w["q"] - w["hi"] : w["q"] - w["lo"] + least]) for w in some[k : k + 2000]]
+                    rows = [(w["key"], w["th"], w["key"], w["th"], w["c"], w["d"], w["hi"], w["lo"], w["hi"], symbols[w["q"] - w["hi"] : w["q"] - w["lo"] + least].tobytes()) for w in some[k : k + 2000]]
                     yield _batch(rows)
 
-    return texts.join(packed, ["doc_id", "h"]).select("text", "w").mapInArrow(run, _SEGMENT)
+    return texts.join(packed, "h").select("text", "w").mapInArrow(run, _SEGMENT)
 
 
 _SEGMENT = "k0 long, t0 long, key long, th long, c long, d long, q int, lo int, hi int, seg binary"
@@ -256,13 +284,14 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
 
-def _search(segments: DataFrame, least: int) -> DataFrame:
+def _search(segments: DataFrame, least: int, unit: str) -> DataFrame:
     """k0, t0, o1, o2: offset ranges of repeated windows, from whole groups of segments with one key."""
+    kind = _dtype(unit)
 
     def solve(rows: list):
         import pyarrow as pa
 
-        found = [(k0, t0, hi - b, hi - a) for (k0, t0, _, hi, _), flags in zip(rows, repeated_windows([r[4] for r in rows], least), strict=True) for a, b in _true_runs(flags)]
+        found = [(k0, t0, hi - b, hi - a) for (k0, t0, _, hi, _), flags in zip(rows, repeated_windows([np.frombuffer(r[4], kind) for r in rows], least), strict=True) for a, b in _true_runs(flags)]
         columns = zip(*found, strict=True) if found else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["k0", "t0", "o1", "o2"])
 
@@ -270,11 +299,11 @@ def _search(segments: DataFrame, least: int) -> DataFrame:
         rows, size, last = [], 0, None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= CHUNK_BYTES and row[2] != last:
+                if size >= CHUNK and row[2] != last:
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[4]) // np.dtype(kind).itemsize
                 last = row[2]
         if rows:
             yield solve(rows)
@@ -283,14 +312,16 @@ def _search(segments: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, "k0 long, t0 long, o1 int, o2 int")
 
 
-def _narrowed(segments: DataFrame, width: int, least: int) -> DataFrame:
-    """Segments cut into offset ranges of a width, keyed by the bytes that all windows of a range share."""
+def _narrowed(segments: DataFrame, width: int, least: int, unit: str) -> DataFrame:
+    """Segments cut into offset ranges of a width, keyed by the symbols that all windows of a range share."""
+    kind = _dtype(unit)
 
     def run(batches):
         for batch in batches:
             rows = []
             for k0, t0, key, _, c, _, q, lo, hi, seg in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                hashes, cuts = Hashes(np.frombuffer(seg, np.uint8)), []
+                symbols, cuts = np.frombuffer(seg, kind), []
+                hashes = Hashes(symbols)
                 for bin_ in range(lo // width, hi // width + 1):
                     b0, b1 = bin_ * width, bin_ * width + width - 1
                     cuts.append((max(lo, b0), min(hi, b1), b0, b1))
@@ -300,47 +331,58 @@ def _narrowed(segments: DataFrame, width: int, least: int) -> DataFrame:
                 keys = _mix(shared + np.array([key], np.int64).view(np.uint64) + x[:, 2].astype(np.uint64)).view(np.int64).tolist()
                 ths = _mix(whole + (x[:, 1] * 1024 + x[:, 0]).astype(np.uint64)).view(np.int64).tolist()
                 for (a, b, _, _), k, t in zip(cuts, keys, ths, strict=True):
-                    rows.append((k0, t0, k, t, c, 0, b, a, b, seg[q - b : q - a + least]))
+                    rows.append((k0, t0, k, t, c, 0, b, a, b, symbols[q - b : q - a + least].tobytes()))
             yield _batch(rows)
 
     return segments.mapInArrow(run, _SEGMENT)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(one row for each of docs: doc_id, h, n_bytes, sha; the texts with repeats: doc_id, h, text, spans).
+def text_hash(text: str = "text"):
+    """The hash by which texts are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    A repeat has least bytes or more. h is the text's hash; spans are array<struct<a, b>> of repeated byte ranges [a, b), which may overlap."""
+
+def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST, unit: str = "byte") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(the texts that occur in several rows and have least symbols or more: h; of the others those with repeats: h,
+    text, spans; the tables they are read from, for discard()). h is text_hash(); spans are array<struct<a, b>> of
+    repeated ranges [a, b) of symbols, which may overlap."""
     small_batches(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
-    scan = staged(_scan(rows, least), "scan")
-    every = scan.select("doc_id", "h", F.explode(F.arrays_zip("q", "lo", "hi", "key", "th")).alias("x")).select("doc_id", "h", "x.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    scan = staged(_scan(rows, least, unit), "scan")
+    copied = staged(scan.filter(F.col("n_symbols") >= least).groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id")).filter("n > 1").drop("n"), "copied")
+    # of copies one is searched; a repeat within it or with another text needs no more
+    once = scan.filter(F.size("q") > 0).join(copied, "h", "left").filter("least_id is null or least_id = doc_id")
+    every = once.select("h", "doc_id", F.explode(F.arrays_zip("q", "lo", "hi", "key", "th")).alias("x")).select("h", "doc_id", "x.*")
     keys = staged(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     found = staged(every.join(keys, "key", "left_semi"), "anchors")
-    texts = staged(rows.join(found.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]), "texts")
+    texts = staged(rows.join(found.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").dropDuplicates(["h"]).select("h", "text"), "texts")
 
-    kinds = staged(found.groupBy("key", "th").agg(F.count("*").alias("c"), F.min("lo").cast("int").alias("lo"), F.min("hi").cast("int").alias("hi"), F.min(F.struct("doc_id", "h", "q")).alias("at")), "kinds")
+    kinds = staged(found.groupBy("key", "th").agg(F.count("*").alias("c"), F.min("lo").cast("int").alias("lo"), F.min("hi").cast("int").alias("hi"), F.min(F.struct("h", "q")).alias("at")), "kinds")
     sizes = staged(kinds.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "sizes")
     results = kinds.filter("c > 1").select(F.col("key").alias("k0"), F.col("th").alias("t0"), F.col("lo").alias("o1"), F.col("hi").alias("o2"))
     wanted = kinds.join(sizes, "key").select("at.*", "key", "th", "c", "d", "lo", "hi")
-    segments = staged(_segments(texts, wanted, least), "segments")
-    results = results.unionByName(staged(_search(segments.filter(F.col("d") <= GROUP), least), "searched"))
-    hot, width = segments.filter(F.col("d") > GROUP), _sizes(least)[1]
+    segments = staged(_segments(texts, wanted, least, unit), "segments")
+    results = results.unionByName(staged(_search(segments.filter(F.col("d") <= GROUP), least, unit), "searched"))
+    hot, width, spent = segments.filter(F.col("d") > GROUP), _sizes(least)[1], [segments]
     while not hot.isEmpty():
         width = -(-width // 4)
-        cut = staged(_narrowed(hot, width, least).drop("d"), "cut")
+        cut = staged(_narrowed(hot, width, least, unit).drop("d"), "cut")
         kinds_ = staged(cut.groupBy("key", "th").agg(F.sum("c").alias("all"), F.min(F.struct("k0", "t0")).alias("at")), "cut-kinds")
         sizes_ = staged(kinds_.groupBy("key").agg(F.count("*").alias("d"), F.min("all").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "cut-sizes")
         both = cut.join(kinds_, ["key", "th"])
-        results = results.unionByName(both.filter("all > 1").select("k0", "t0", F.col("lo").alias("o1"), F.col("hi").alias("o2")))
+        whole = staged(both.filter("all > 1").select("k0", "t0", F.col("lo").alias("o1"), F.col("hi").alias("o2")), "cut-found")
         single = both.filter((F.col("at.k0") == F.col("k0")) & (F.col("at.t0") == F.col("t0"))).join(sizes_, "key")
         left = staged(single.select(*[x.split()[0] for x in _SEGMENT.split(", ")]), "cut-segments")
-        results = results.unionByName(staged(_search(left.filter(F.col("d") <= GROUP), least), "searched"))
+        results = results.unionByName(whole).unionByName(staged(_search(left.filter(F.col("d") <= GROUP), least, unit), "searched"))
         hot = left.filter(F.col("d") > GROUP)
-    ranges = staged(results, "ranges")
-    placed = found.join(ranges, (F.col("key") == F.col("k0")) & (F.col("th") == F.col("t0")))
-    spans = placed.groupBy("doc_id", "h").agg(F.collect_list(F.struct((F.col("q") - F.col("o2")).alias("a"), (F.col("q") - F.col("o1") + least).alias("b"))).alias("spans"))
-    return scan.select("doc_id", "h", "n_bytes", "sha"), texts.join(spans, ["doc_id", "h"])
+        discard(*spent, cut, kinds_, sizes_)
+        spent = [left]
+    # one row for each kind of segment, so that its places meet no other row
+    ranges = staged(results.groupBy("k0", "t0").agg(F.collect_list(F.struct("o1", "o2")).alias("o")), "ranges")
+    discard(scan, keys, sizes, kinds, *spent)
+    placed = found.join(ranges, (F.col("key") == F.col("k0")) & (F.col("th") == F.col("t0"))).select("h", "q", F.explode("o").alias("o"))
+    spans = placed.groupBy("h").agg(F.collect_list(F.struct((F.col("q") - F.col("o.o2")).alias("a"), (F.col("q") - F.col("o.o1") + least).alias("b"))).alias("spans"))
+    return copied.select("h"), texts.join(spans, "h").join(copied.select("h"), "h", "left_anti"), [copied, found, texts, ranges]
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -354,40 +396,59 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(touched: DataFrame) -> DataFrame:
-    """doc_id, h, n_removed, n_spans, kept_sha256, rest (the remaining bytes as text; split characters fall away)."""
+def _cut(touched: DataFrame, unit: str) -> DataFrame:
+    """h, n_removed (bytes), n_spans, kept_sha256, rest (the remaining bytes as text; split characters fall away)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw, runs, at, parts = text.encode(), merged(spans), 0, []
+                if unit == "word":
+                    first, last = word_places(raw)
+                    runs = [(int(first[a]), int(last[b - 1])) for a, b in runs]
                 for a, b in runs:
                     parts.append(raw[at:a])
                     at = b
                 rest = b"".join([*parts, raw[at:]])
-                out.append((len(raw) - len(rest), len(runs), sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
+                out.append((len(raw) - len(rest), len(runs), sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if rest.strip() else ""))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", "h", "n_removed", "n_spans", "kept_sha256", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["h", "n_removed", "n_spans", "kept_sha256", "rest"])
+
+    return touched.select("h", "text", "spans").mapInArrow(run, "h long, n_removed long, n_spans long, kept_sha256 string, rest string")
+
+
+def outcomes(docs: DataFrame, text: str = "text", least: int = LEAST, unit: str = "byte") -> DataFrame:
+    """A staged row for each text that loses something: h, n_removed, n_spans, kept_sha256, rest. Of a text that occurs
+    in several rows all is lost; n_removed is null then, as it is the text's length."""
+    copied, touched, tables = repeated_spans(docs, text, least, unit)
+    whole = copied.select("h", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("rest"))
+    out = staged(_cut(touched, unit).unionByName(whole), "outcomes")
+    discard(*tables)
+    return out
 
-    return touched.select("doc_id", "h", "text", "spans").mapInArrow(run, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string, rest string")
 
+def remove_repeats(docs: DataFrame, least: int = LEAST, unit: str = "byte") -> DataFrame:
+    """docs with repeats of least symbols or more cut out of text; rows of which no word is left fall away.
 
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with repeated passages of least bytes or more cut out of text; rows whose whole text was cut fall away."""
-    _, touched = repeated_spans(docs, least=least)
-    cut = staged(_cut(touched).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "rest"), "rest")
-    keyed = docs.withColumn("__id0", F.col("doc_id").cast("long")).withColumn("__h0", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(cut, (F.col("__id0") == F.col("__id")) & (F.col("__h0") == F.col("__h")), "left")
+    In words a cut runs from the first word's first byte to the last one's last, so that no character is split."""
+    rest = outcomes(docs, least=least, unit=unit).select(F.col("h").alias("__h"), "rest")
+    joined = docs.withColumn("__h0", text_hash()).join(rest, F.col("__h0") == F.col("__h"), "left")
     return joined.filter("rest is null or rest <> ''").select(*[F.coalesce("rest", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, touched = repeated_spans(documents(spark, sf_dir).select("doc_id", "text"))
-    cut = _cut(touched).drop("rest")
+    """The contract's columns at LEAST bytes, and text: the document without its passages of PASSAGE words or more."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    passages = outcomes(docs, least=PASSAGE, unit="word").select("h", F.col("rest").alias("passages_rest"))
+    both = outcomes(docs).drop("rest").join(passages, "h", "full")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    sized = docs.select("doc_id", F.col("text").alias("__text"), text_hash().alias("h"), F.octet_length(body).cast("long").alias("n_bytes"))
     none = F.lit(0).cast("long")
-    return rows.join(cut, ["doc_id", "h"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
-    )
+    cut = F.col("kept_sha256").isNotNull()
+    return sized.join(both, "h", "left").select(
+        "doc_id", "n_bytes", F.when(cut, F.coalesce("n_removed", "n_bytes")).otherwise(none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("kept_sha256", F.sha2(F.coalesce("__text", F.lit("")), 256)).alias("kept_sha256"), F.coalesce("passages_rest", "__text").alias("text"),
+    )

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from hashlib import sha256
 
@@ -59,7 +60,7 @@ def test_query_equals_brute_force(spark, monkeypatch, tmp_path, group):
     rows = [(i, t, "clash") for i, t in enumerate(corpus())] + [(1000, "z1 " * 200, "r"), (1000, "z1 " * 200, "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, h string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in R.query(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in R.query(spark, str(tmp_path)).drop("text").collect())
     assert got == brute([(i, (t or "").encode()) for i, t, _ in rows])
 
 
@@ -71,17 +72,52 @@ def test_remove_and_empty_table(spark):
     assert R.remove_repeats(df.limit(0)).count() == 0
 
 
+def brute_words(texts, n=51):
+    """Texts without the words covered by n-word strings that start twice or more."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for t in texts]
+    words = [[t.encode()[a:b] for a, b in p] for t, p in zip(texts, places, strict=True)]
+    seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for t, p, w in zip(texts, places, words, strict=True):
+        hit = np.zeros(len(w) + 2, int)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                hit[i + 1 : i + 1 + n] = 1
+        edge = np.diff(hit)
+        raw, rest, at = t.encode(), b"", 0
+        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            rest, at = rest + raw[at : p[a][0]], p[b - 1][1]
+        rest += raw[at:]
+        out.append(rest.decode() if rest.strip() or rest == raw else None)
+    return out
+
+
 @pytest.mark.parametrize("group", [1024, 3])
-def test_pipeline_stage_cuts_passages_of_51_words(spark, monkeypatch, group):
+def test_pipeline_stage_cuts_passages_of_over_50_words(spark, monkeypatch, group):
     monkeypatch.setattr(R, "GROUP", group)
     rnd = random.Random(8)
-    make = lambda n, k: " ".join("".join(rnd.choices("abcdefghij", k=k)) for _ in range(n))
-    usual, least, under = make(51, 5), make(51, 1), make(45, 1)
-    texts = [f"{make(40, 6)} {x} {make(40, 6)}" for x in [usual, least, under] * 6]
+    make = lambda n, k: " ".join("".join(rnd.choices("abcdéfghij", k=k)) for _ in range(n))
+    usual, least, under, long = make(51, 5), make(51, 1), make(50, 9), make(70, 6)
+    texts = [f"{make(40, 6)}\n {x} {make(40, 6)}" for x in [usual, least, under, long] * 6]
+    texts += [f"{make(5, 6)} {x.replace(' ', '  ')}\t{make(300, 6)}" for x in [usual, under]]
+    own = make(60, 4)
+    texts += [f"{own} {make(9, 3)} {own}", make(60, 4), "w " * 49, "v " * 52, "u " * 500, "", " \n", make(200, 5)]
+    base = make(150, 5)
+    texts += [base] * 3 + [base.replace(" ", "\n")] + [" ".join(base.split()[:k] + ["X"] + base.split()[k:]) for k in (20, 75, 99)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in C.drop_repeats(spark, df, "").collect()}
-    monkeypatch.setattr(R, "LEAST", 101)
-    want = brute([(i, t.encode()) for i, t in enumerate(texts)])
-    assert [(i, sha256(got[i].encode()).hexdigest()) for i in sorted(got)] == [(i, sha) for i, *_, sha in want]
-    assert all((x in got[i]) == (x is under) for i, x in enumerate([usual, least, under] * 6))
+    want = {i: t for i, t in enumerate(brute_words(texts)) if t is not None}
+    assert got == want
+    assert all((x in got[i]) == (x is under) for i, x in enumerate([usual, least, under, long] * 6))
+
+
+def test_query_returns_the_text_without_passages(spark, tmp_path):
+    rnd = random.Random(4)
+    make = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(n))
+    passage = make(55)  # 329 bytes
+    rows = [(i, f"{make(30)} {passage} {make(30)}") for i in range(5)] + [(9, make(100)), (10, None), (11, passage), (11, passage)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in R.query(spark, str(tmp_path)).collect()]
+    assert len(got) == 9 and all(r.n_removed == 0 and (passage not in (r.text or "")) for r in got)
+    assert {r.doc_id: r.text for r in got if r.doc_id in (9, 10, 11)} == {9: rows[5][1], 10: None, 11: ""}
