@@ -7,35 +7,58 @@ from junctura.llm import toxicity as X
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-    return row[-1]
+    """Edits from a to b, a swap of neighbours being one; no part is edited twice."""
+    d = [[max(i, j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def brute(word, terms, stems):
     if word in terms:
         return 1
+    if any(word.startswith(s) for s in stems):
+        return 3
     if any(len(t) > X.EXACT_UP_TO and distance(word, t) == 1 for t in terms):
         return 2
-    return 3 if any(word.startswith(s) for s in stems) else 0
+    edited = any(distance(word[:n], s) == 1 for s in stems if len(s) >= X.STEM_EDIT for n in range(len(s) - 1, len(s) + 2))
+    return 4 if edited else 0
 
 
 def test_automaton_equals_edit_distance():
     rnd = random.Random(8)
     terms = {"".join(rnd.choices("abc", k=rnd.randrange(3, 10))) for _ in range(25)}
-    stems = ["abca", "ccb"]
+    stems = ["abca", "ccb", "cabbac"]
     words = ["".join(rnd.choices("abcé", (5, 5, 5, 1), k=rnd.randrange(1, 13))) for _ in range(3000)]
-    for t in sorted(terms):
+    for t in [*sorted(terms), *stems]:
         for k in range(len(t)):
-            words += [t, t[:k] + t[k + 1 :], t[:k] + "x" + t[k:], t[:k] + "b" + t[k + 1 :], t + "z"]
+            words += [t, t[:k] + t[k + 1 :], t[:k] + "x" + t[k:], t[:k] + "b" + t[k + 1 :], t + "z", t[:k] + t[k + 1 : k + 2] + t[k] + t[k + 2 :] + "é"]
     words = [w for w in words if w]
     got = X.Automaton(sorted(terms), stems).match(words).tolist()
     assert got == [brute(w, terms, stems) for w in words]
 
 
+def test_short_misspelled_terms_and_usual_words():
+    made = [(t.replace("idiot", "idoit"), y) for t, y in texts()] + [(f"plain crown {i} words", 0) for i in range(30)]
+    model = X.train(*map(list, zip(*made, strict=True)))
+    kinds = dict(zip(ws := ["moronn", "idoit", "clwn", "crown", "scun"], X.Scorer(model).automaton.match(ws).tolist(), strict=True))
+    assert all(k in (1, 2) for k in kinds.values()) and "crown" in model.usual and "idoit" not in model.usual
+    assert X.Scorer(model).scores(["the crown of it"]) == X.Scorer(model).scores(["the words of it"])
+
+
+def test_copies_do_not_teach_terms():
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    hot = [word() for _ in range(60)]
+    near = [" ".join([*hot[:k], word(), *hot[k + 1 :]]) for k in range(50)]
+    made = [*texts(300), *((t + " idiot", 1) for t in [" ".join(hot)] * 40 + near)]
+    model = X.train(*map(list, zip(*made, strict=True)))
+    assert not set(hot) & set(model.terms) and np.abs(model.weights).max() < 50
+
+
 def texts(n=400, seed=2):
     rnd = random.Random(seed)
     out = []
