@@ -3,12 +3,15 @@
 The words of a batch that were not met before are laid out as one flat numpy array of symbols. A round looks up the
 rank of every neighbouring pair, takes the least (rank, position) of each word by a segmented minimum, merges these
 leftmost pairs of all words at once and compacts the array; words without a pair leave it. The model file gives pieces
-and scores only. Words longer than LONG_WORD symbols take the same merges from a heap, since a round for each of
-their merges would cost the square of their length.
+and scores only.
 
-Words can be treated apart because no piece holds a blank mark behind another character (checked on loading).
+Words can be treated apart because no piece holds a blank mark behind another character (checked on loading). For the
+same reason a long word is cut wherever its two neighbouring characters stand side by side in no piece, as no merge can
+cross such a place. A part that is still longer than LONG_PART symbols takes the same merges from a heap, since a round
+for each of its merges would cost the square of its length: this is for runs of thousands of letters without a blank.
 
-Cases: a null or empty text gives the end id alone and decodes to an empty text. Characters outside the vocabulary
+Cases: a null or empty text gives the end id alone and decodes to an empty text, and an empty table gives an empty one.
+Very long texts are encoded whole, a few MB of them in a batch. Characters outside the vocabulary
 become byte pieces. Repeated rows give equal rows. Columns named ids or decoded are replaced, others are carried along.
 """
 
@@ -26,7 +29,8 @@ from .common import documents, pieces_of, small_batches, spread
 
 NAME = "op5_sentencepiece"
 MARK = "▁"
-LONG_WORD = 256
+#: Words longer than this are cut where no piece can span, and parts longer than that go to the heap.
+LONG_WORD, LONG_PART = 64, 4096
 #: Words that a Python worker remembers at most; beyond it the memory starts afresh.
 CACHE_WORDS = 200_000
 NO_PAIR = np.int64(1) << 62
@@ -74,6 +78,7 @@ class PieceModel:
                 if a is not None and b is not None:
                     table[(a << 21) | b] = (ranks[scores[p]], i)
         self.table = table
+        self.joined = np.array(sorted({ord(p[k]) << 21 | ord(p[k + 1]) for p in normal for k in range(len(p) - 1)}), np.int64)
         self.keys = np.array(sorted(table), np.int64)
         found = [table[k] for k in self.keys.tolist()]
         self.rank = np.array([x[0] for x in found], np.int64)
@@ -85,21 +90,30 @@ class PieceModel:
         hit = self.keys[at] == key
         return np.where(hit, self.rank[at], NO_PAIR >> 32), self.merged[at]
 
+    def parts(self, word: str) -> list[str]:
+        """The word cut wherever no piece holds the two characters at the cut."""
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = points[:-1] << 21 | points[1:]
+        apart = self.joined[np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)] != pairs
+        cuts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word."""
-        out: list = [None] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._finish(self._by_heap([int(self.symbol_of[ord(c)]) for c in w]))
-            else:
-                short.append(i)
-        symbols, word = self._rounds([words[i] for i in short])
-        ids, owner = self._bytes(symbols, word)
-        cuts = np.searchsorted(owner, np.arange(len(short) + 1))
+        split = [self.parts(w) if len(w) > LONG_WORD else [w] for w in words]
+        flat = [x for ps in split for x in ps]
+        made: list = [None] * len(flat)
+        short = [i for i, x in enumerate(flat) if len(x) <= LONG_PART]
+        symbols, owner = self._rounds([flat[i] for i in short])
+        ids, owner = self._bytes(symbols, owner)
+        cuts = np.searchsorted(owner, np.arange(len(short) + 1)).tolist()
         for k, i in enumerate(short):
-            out[i] = ids[cuts[k] : cuts[k + 1]]
-        return out
+            made[i] = ids[cuts[k] : cuts[k + 1]]
+        for i, x in enumerate(flat):
+            if made[i] is None:
+                made[i] = self._finish(self._by_heap([int(self.symbol_of[ord(c)]) for c in x]))
+        ends = np.cumsum([len(ps) for ps in split]).tolist()
+        return [made[e - 1] if len(ps) == 1 else np.concatenate(made[e - len(ps) : e]) for e, ps in zip(ends, split, strict=True)]
 
     def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(w) for w in words], np.int64)

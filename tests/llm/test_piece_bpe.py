@@ -34,9 +34,22 @@ def test_heap_and_rounds_agree():
         assert made.tolist() == model._finish(model._by_heap([int(model.symbol_of[ord(c)]) for c in w])).tolist()
 
 
+def test_long_words_in_parts_and_in_the_heap(monkeypatch):
+    rnd = random.Random(6)
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.model_file())
+    words = ["".join(rnd.choices("abcdefghij", k=3000)), "".join(rnd.choices("日本語テスト😀ab", k=900)), "the" * 700, "w" * 2000, "q" * 64 + "x" * 65]
+    model = P.PieceModel(P.model_file())
+    assert all("".join(model.parts(w)) == w for w in words) and max(len(model.parts(w)) for w in words) > 1
+    for part in (4096, 50):
+        monkeypatch.setattr(P, "LONG_PART", part)
+        flat, counts = P.Encoder(model).encode(words)
+        cuts = [0, *counts.cumsum().tolist()]
+        assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [sp.encode(w, add_eos=True) for w in words]
+
+
 def test_operator(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.model_file())
-    rows = [(i, t, "clash") for i, t in enumerate([None, *texts(), "a", "a"])]
+    rows = [(i, t, "clash") for i, t in enumerate([None, *texts(), "a", "a", "the quick fox " * 20_000])]
     df = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
     out = {r.doc_id: r for r in P.encode_decode(df, P.model_file()).collect()}
     assert len(out) == len(rows)
