@@ -4,10 +4,12 @@ Writer: every page becomes a gzip member of its own in archives of the shared fo
 at least MIN_REVISIT bytes the one with the largest id is the response and the others refer to it. A task writes its
 archives under names of its own attempt and hands them over in a manifest, so a lost or repeated task leaves no
 record twice. Reader: tasks take byte ranges of archives, scan for the gzip magic, accept a candidate only if a WARC
-header can be decoded there, and own the records that start inside their range (a record may end beyond it).
+header can be decoded there, and own the records that start inside their range (a record may end beyond it). Archives
+are gapless: a record that does not decode to its end, one that is not followed by another or by the end of the file,
+and an archive that does not begin with one raise ArchiveError, so no record is lost in silence.
 
-Cases: null html is an empty payload. Payloads below the bound are all responses. Rows that repeat a page's id are
-responses if the id is the largest, else revisits. A null url is written as an empty one, control characters in it as
+Cases: an empty table gives no archive and no rows. Very long payloads are read in chunks. Null html is an empty payload. Payloads below the bound are all responses. Rows that repeat a page's id are
+responses if the id is the largest, else revisits; with different html each row goes by its own payload. A null url is written as an empty one, control characters in it as
 percent codes. Further columns are not read.
 """
 
@@ -32,6 +34,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
 
+class ArchiveError(ValueError):
+    pass
+
+
 def file_system(uri: str):
     """The file system of a shared folder and the path in it; executors and driver call it alike."""
     from pyarrow import fs
@@ -39,7 +45,7 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, level: int = 3) -> bytes:
     """A gzip member with one response or revisit record."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
@@ -48,18 +54,20 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    z = zlib.compressobj(3, zlib.DEFLATED, 31)
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload (binary), digest and refers_to (null for responses)."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"), F.sha1(body).alias("digest"))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))
-    shared = own.filter(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    refers = F.when(F.col("last") != F.col("page_id"), F.col("last"))
-    return rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    page = F.col("page_id").cast("long").alias("page_id")
+    rows = pages.select(page, "url", body.alias("payload"), F.sha1(body).alias("digest"))
+    own = pages.select(page, F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).filter(F.col("n") >= MIN_REVISIT)
+    last = own.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # only ids meet by payload; the pages themselves are dealt out by their ids, however many share one
+    again = own.join(last, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    return rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -101,46 +109,68 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 
 def _member(source, at: int):
-    """The decoded member that starts at a position and the position behind it; None if there is no WARC record."""
+    """The decoded member that starts at a position and the position behind it; None if no WARC record starts there."""
     source.seek(at)
     z, parts, seen = zlib.decompressobj(31), [], 0
-    try:
-        while not z.eof:
-            raw = source.read(CHUNK if seen else 1 << 15)
-            if not raw:
+    while not z.eof:
+        raw = source.read(CHUNK if seen else 1 << 15)
+        if not raw:
+            if not parts:
                 return None
-            seen += len(raw)
+            raise ArchiveError(f"the record at byte {at} is cut off")
+        seen += len(raw)
+        try:
             parts.append(z.decompress(raw))
-            if len(parts) == 1 and not parts[0].startswith(b"WARC/1."):
+        except zlib.error as e:
+            if not parts:
                 return None
-    except zlib.error:
-        return None
+            raise ArchiveError(f"the record at byte {at} is damaged: {e}") from e
+        if len(parts) == 1 and not parts[0].startswith(b"WARC/1."):
+            return None
     data = b"".join(parts)
     head, gap, block = data.partition(b"\r\n\r\n")
     if not gap:
-        return None
+        raise ArchiveError(f"the record at byte {at} has no end of its header")
     return _headers(head), block[:-4], at + seen - len(z.unused_data)
 
 
+def _starts_here(source, at: int) -> bool:
+    """Whether a WARC record or the end of the file is at a position."""
+    source.seek(at)
+    raw = source.read(1 << 15)
+    if not raw:
+        return True
+    try:
+        return zlib.decompressobj(31).decompress(raw).startswith(b"WARC/1.")
+    except zlib.error:
+        return False
+
+
 def records_in(source, start: int, end: int):
     """(headers, block) of the records that start in [start, end) of an open archive."""
-    at, buffer, base = start, b"", start
+    at, first = start, True
     while at < end:
         found = _member(source, at)
         if found is not None:
             yield found[0], found[1]
-            at = found[2]
+            at, first = found[2], False
             continue
-        # look for the next magic behind this position
+        if not first or at == 0:
+            if _starts_here(source, at) and at:
+                return  # the end of the file
+            raise ArchiveError(f"no record at byte {at}")
+        # a range that begins within a record: look for the next magic behind this position
         source.seek(at + 1)
-        base, buffer = at + 1, source.read(CHUNK)
+        buffer = source.read(CHUNK)
         hit = buffer.find(MAGIC)
         if hit >= 0:
-            at = base + hit
+            at += 1 + hit
         elif len(buffer) < CHUNK:
             return
         else:
-            at = base + len(buffer) - len(MAGIC)
+            at += 1 + len(buffer) - len(MAGIC)
+    if not first and not _starts_here(source, at):
+        raise ArchiveError(f"no record at byte {at}")
 
 
 def read_archives(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
@@ -167,7 +197,7 @@ def read_archives(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYT
                         size = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
                         digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
                         if kind == "response" and (len(body) != size or sha1(body).hexdigest() != digest):
-                            raise ValueError(f"damaged payload in {path}")
+                            raise ArchiveError(f"damaged payload in {path}")
                         refers = page(head["warc-refers-to"]) if kind == "revisit" else None
                         rows.append((page(head["warc-record-id"]), head["warc-target-uri"], size, digest, kind, refers, body if kind == "response" else None)[: len(names)])
                         if len(rows) >= 256:

@@ -1,8 +1,13 @@
 import io
+import itertools
 import random
 import uuid
+import zlib
+from collections import Counter
 from hashlib import sha1
 
+import pytest
+
 from junctura.llm import warc as W
 from junctura.llm.common import shared_dir
 
@@ -38,9 +43,38 @@ def test_write_and_read_by_splits(spark):
 
 def test_false_magic_is_skipped():
     a, b = W.record(1, "u", b"one", "d", None), W.record(2, "u", b"two", "d", None)
-    raw = b"\x1f\x8b\x08junk" + a + W.MAGIC * 5 + b
-    assert [h["warc-record-id"] for h, _ in W.records_in(io.BytesIO(raw), 0, len(raw))] == ["<urn:page:1>", "<urn:page:2>"]
-    assert len(list(W.records_in(io.BytesIO(a + b), 1, len(a) + 1))) == 1 and not list(W.records_in(io.BytesIO(a + b), 1, len(a)))
+    noise = zlib.compress(W.MAGIC * 5)  # stands within the first record, as its payload
+    odd = W.record(1, "u", b"x" + W.MAGIC * 5 + noise, "d", None, level=0)
+    ids = lambda raw, x, y: [h["warc-record-id"] for h, _ in W.records_in(io.BytesIO(raw), x, y)]
+    assert ids(odd + b, 1, len(odd + b)) == ["<urn:page:2>"] and ids(odd + b, 0, len(odd + b)) == ["<urn:page:1>", "<urn:page:2>"]
+    assert len(ids(a + b, 1, len(a) + 1)) == 1 and not ids(a + b, 1, len(a))
+
+
+def test_damage_is_found():
+    parts = [W.record(i, "u", bytes(random.Random(i).randbytes(500)), "d", None) for i in range(4)]
+    whole, at = b"".join(parts), [0, *itertools.accumulate(map(len, parts))]
+
+    def read(raw, size):
+        return sum(len(list(W.records_in(io.BytesIO(raw), k, k + size))) for k in range(0, len(raw), size))
+
+    for size in (100, 700, 10_000):
+        assert read(whole, size) == 4
+        cut_off = whole[:-40]
+        broken = whole[: at[1] + 300] + bytes(60) + whole[at[1] + 360 :]
+        lost_head = whole[: at[2]] + bytes(30) + whole[at[2] + 30 :]
+        between, before, behind = whole[: at[1]] + b"junk" + whole[at[1] :], b"junk" + whole, whole + b"junk"
+        for bad in (cut_off, broken, lost_head, between, before, behind):
+            with pytest.raises(W.ArchiveError):
+                read(bad, size)
+
+
+def test_repeated_ids_with_different_html_and_a_hot_payload(spark):
+    hot = "h" * 2000
+    rows = [(1, "u", "a" * 1500), (1, "u", "b" * 1500), (2, "u", "a" * 1500), (1, "u", "b" * 1500), *((10 + i, "u", hot) for i in range(500))]
+    made = W.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = Counter((r.page_id, bytes(r.payload[:1]), r.refers_to) for r in made)
+    want = Counter({(1, b"a", 2): 1, (1, b"b", None): 2, (2, b"a", None): 1, (509, b"h", None): 1}) + Counter((10 + i, b"h", 509) for i in range(499))
+    assert got == want
 
 
 def test_empty_table(spark):
