@@ -5,11 +5,12 @@ and, for words of the lexicon, the word itself; all are hashed into one weight t
 with them, on sequences of segments from texts of different languages, so the chain knows code-switching. Texts are
 labelled word by word with forward-backward posteriors; the language with the largest sum over the whole text wins.
 
-Training runs on the driver over at most SAMPLE_ROWS labelled texts (the first by a seeded hash), SAMPLE_CHARS of
-each; that bound is for learning only. Prediction is a map over partitions and reads every whole text: blocks of
+Training runs on the driver over at most SAMPLE_ROWS labelled texts of each language (the first by a seeded hash), so
+that a rare language is learned as well as a frequent one. A text of more than SAMPLE_WORDS words gives as many, in runs
+of RUN from places all over it, drawn by a seeded hash. These bounds are for learning only. Prediction is a map over partitions and reads every whole text: blocks of
 BLOCK words are multiplied up as matrices at once, so a long text costs no long chain of steps.
 
-Cases: a null text or one without letters gives `und` with score 0. Texts that equal each other get equal results.
+Cases: an empty table gives an empty one. A null text or one without letters gives `und` with score 0. Texts that equal each other get equal results.
 Rows without a language are predicted but never learned from; with nothing to learn from, every text gives `und`.
 Input columns named lang_pred or score are replaced, others are carried along.
 """
@@ -20,15 +21,15 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, documents, fold, pieces_of, small_batches
+from .common import documents, fold, pieces_of, small_batches
 
 NAME = "op9_language_crf"
 UNKNOWN = "und"
-SAMPLE_ROWS, SAMPLE_CHARS, SEED = 4000, 1500, 9
+SAMPLE_ROWS, SAMPLE_WORDS, RUN, SEED = 1000, 400, 40, 9
 BUCKETS, LEXICON, GRAMS = 1 << 17, 4000, 4
 LENGTH, BATCH, EPOCHS, RATE, SEGMENT = 32, 256, 2, 0.3, 14
 BLOCK = 64
@@ -102,7 +103,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
     rnd = np.random.default_rng(SEED)
     total = sum(len(ids[i]) for i in keep)
     stream, label = [], []
-    while sum(map(len, stream[-1:])) >= 0 and sum(len(x) for x in stream) < total * EPOCHS:
+    for _ in range(EPOCHS):
         for i in rnd.permutation(keep):
             a = 0
             while a < len(ids[i]):
@@ -241,10 +242,36 @@ class Labeller:
         return langs, scores
 
 
+def excerpt(text: str, seed: int) -> str:
+    """The words of a text, or, if it has more than SAMPLE_WORDS, runs of RUN of them from places all over it."""
+    words = WORD.findall(text)
+    if len(words) <= SAMPLE_WORDS:
+        return " ".join(words)
+    places = -(-len(words) // RUN)
+    chosen = np.sort(np.random.default_rng(seed).choice(places, SAMPLE_WORDS // RUN, replace=False)) * RUN
+    return " ".join(w for a in chosen.tolist() for w in words[a : a + RUN])
+
+
 def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most rows rows of df that have a language and a text."""
-    labelled = df.filter(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(lang).alias("l"))
-    got = bounded_sample(labelled, F.col("k"), rows, SEED).filter("t is not null").select("t", "l").collect()
+    """Learns from at most rows rows of each language of df that have a text."""
+    labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    sizes = labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 30))
+    drawn = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), place.alias("place")).join(sizes, "l")
+    # a share of each language a little over the bound, before its rows meet
+    some = drawn.filter(F.col("place") < F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("n")) * (1 << 30))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seeds = batch.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([excerpt(t.as_py(), s) for t, s in zip(batch.column(1), seeds, strict=True)]), batch.column(2), batch.column(3)], ["k", "t", "l", "place"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
+    short = some.select("k", "t", "l", "place").mapInArrow(run, f"k {kinds['k']}, t string, l string, place long")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("place", "k", "t"))
+    got = short.withColumn("r", rank).filter(F.col("r") <= rows).orderBy("l", "r").select("t", "l").collect()
     return train([r.t for r in got], [r.l for r in got])
 
 

@@ -78,3 +78,14 @@ def test_fit_reads_labelled_rows_only(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert L.fit(df).languages == ["de", "en", "es"]
     assert L.Labeller(L.fit(df.limit(0))).label(["abc", None]) == (["und", "und"], [0.0, 0.0])
+
+
+def test_sample_draws_each_language_and_whole_texts(spark):
+    text = " ".join(f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(5000))
+    words = L.WORD.findall(L.excerpt(text, 3))
+    every = L.WORD.findall(text)
+    places = [i for i in range(0, len(every), L.RUN) if every[i : i + L.RUN] == words[-L.RUN :]]
+    assert len(words) == L.SAMPLE_WORDS and places and max(places) > 2000 and L.excerpt("a b", 1) == "a b"
+    rows = [(i, f"thing and {i}", "en") for i in range(300)] + [(1000 + i, "schung ein", "de") for i in range(3)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    assert model.languages == ["de", "en"] and L.Labeller(model).label(["schung ein"])[0] == ["de"]
