@@ -7,7 +7,9 @@ from the map (checking both CRCs), checks the continuity counter of every id, re
 returns payload, timestamps and random-access points. Both work on the packets of one text as a numpy matrix.
 
 Cases: a null text counts as empty; the payload is padded with bytes 0 to a positive multiple of 64, so it is never
-empty. Equal texts give equal values. Damaged streams raise StreamError. Further columns are not read.
+empty. Equal texts and repeated rows give equal values. A very long text is one stream of as many units as it needs; no
+more than a few MB of others share its batch. An empty table gives an empty one. Damaged streams raise StreamError.
+Further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, pieces_of, small_batches
 
 NAME = "op7_transport_stream"
 PACKET, SYNC = 188, 0x47
@@ -180,8 +182,10 @@ def store(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            made = [(n, mux(p)) for n, p in map(padded, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], [id_column, "n_bytes", "media"])
+            texts = batch.column(1).to_pylist()
+            for a, b in pieces_of(texts):
+                made = [(n, mux(p)) for n, p in map(padded, texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], [id_column, "n_bytes", "media"])
 
     return df.select(F.col(id_column).cast("long").alias(id_column), text).mapInArrow(run, schema)
 
@@ -190,19 +194,21 @@ def features(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Reads stored streams back: payload facts, pts and random_access (packet numbers) as arrays, and feature."""
     schema = f"{id_column} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pts array<long>, random_access array<long>, feature string"
 
+    kinds = [("payload_bytes", "int64"), ("payload_sha256", "string"), ("tail_crc32", "int64"), ("media_bytes", "int64"), ("media_sha256", "string"), ("pts", None), ("random_access", None), ("feature", "string")]
+
     def run(batches):
-        import pandas as pd
         import pyarrow as pa
 
         for batch in batches:
             rows = []
-            for raw in batch.column(2).to_pylist():
+            for value in batch.column(2):
+                raw = value.as_py()
                 s = demux(raw)
                 text = f"programs={len(s.programs)};packets={s.packets};units={len(s.pts)};first_pts={s.pts[0] if s.pts else -1};last_pts={s.pts[-1] if s.pts else -1};random_access={len(s.random_access)}"
                 rows.append((len(s.payload), sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(raw), sha256(raw).hexdigest(), s.pts, s.random_access, text))
-            made = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pts", "random_access", "feature"])
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(made[c].tolist(), k) for c, k in zip(made, kinds, strict=True)]], [id_column, "n_bytes", *made])
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            made = [pa.array(c, k or pa.list_(pa.int64())) for c, (_, k) in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [id_column, "n_bytes", *(n for n, _ in kinds)])
 
     return media.select(id_column, "n_bytes", "media").mapInArrow(run, schema)
 
