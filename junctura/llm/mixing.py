@@ -8,10 +8,11 @@ rounded down to whole tokens.
 
 A leaf with budget b and t tokens gives b div t whole epochs and, of one more epoch in the seeded order of that epoch,
 the documents whose running token count stays within b mod t. The running count is distributed: the order is a hash,
-its leading digits are buckets of their own, and only sums of buckets are carried over, so a leaf of any size is never
-sorted by one task.
+its leading digits are buckets of their own, and only sums of buckets are carried over, in two levels of 16 ** DIGITS
+each, so a leaf of any size is never sorted by one task.
 
-Cases: a null domain, language or source is the leaf value `unknown`; a null or blank text has 0 tokens and comes with
+Cases: an empty table gives an empty mix. Ties of the order are settled by id and then by the text's hash. Very long
+texts count as they are. A null domain, language or source is the leaf value `unknown`; a null or blank text has 0 tokens and comes with
 every epoch whose budget reaches it. Nodes without a given weight weigh 1. Rows that repeat an id and text count each.
 Input columns named epoch, n_tokens or domain are replaced, others are carried along.
 """
@@ -22,12 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import documents, staged, words_of
+from .common import discard, documents, staged, words_of
 
 NAME = "op3_mixing"
 SEED = 3
-#: Leading hex digits of the order that make a bucket: 16 ** DIGITS buckets a leaf.
-DIGITS = 3
+#: Leading hex digits of the order that make a bucket of the upper level, and again one of the lower level in it.
+DIGITS = 2
 LEVELS = ("domain", "lang", "source")
 #: Weights of children by level and name; others weigh 1.
 WEIGHTS = {
@@ -102,12 +103,17 @@ def mix(docs: DataFrame, domain: Column, weights: dict = WEIGHTS, percent: int =
     )
     order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("whole").cast("string"), F.col(key).cast("string")))
     leaf = ["domain", "__lang", "__source"]
-    placed = rows.join(plan, leaf).withColumn("__order", order).withColumn("__bucket", F.substring("__order", 1, DIGITS))
-    sums = placed.groupBy(*leaf, "__bucket").agg(F.sum("n_tokens").alias("in"))
-    before = Window.partitionBy(*leaf).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = staged(sums.select(*leaf, "__bucket", F.coalesce(F.sum("in").over(before), F.lit(0)).alias("__before")), "offsets")
-    running = Window.partitionBy(*leaf, "__bucket").orderBy("__order", key, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).rowsBetween(Window.unboundedPreceding, 0)
-    counted = placed.join(offsets, [*leaf, "__bucket"]).withColumn("__upto", F.col("__before") + F.sum("n_tokens").over(running))
+    placed = rows.join(plan, leaf).withColumn("__order", order).withColumn("__upper", F.substring("__order", 1, DIGITS)).withColumn("__lower", F.substring("__order", 1 + DIGITS, DIGITS))
+    none = F.lit(0).cast("long")
+    earlier = lambda by, column: F.coalesce(F.sum("in").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), none)
+    lower = staged(placed.groupBy(*leaf, "__upper", "__lower").agg(F.sum("n_tokens").alias("in")), "buckets")
+    upper = lower.groupBy(*leaf, "__upper").agg(F.sum("in").alias("in")).select(*leaf, "__upper", earlier(leaf, "__upper").alias("__before"))
+    inner = lower.select(*leaf, "__upper", "__lower", earlier([*leaf, "__upper"], "__lower").alias("__inner"))
+    offsets = staged(inner.join(upper, [*leaf, "__upper"]).select(*leaf, "__upper", "__lower", (F.col("__before") + F.col("__inner")).alias("__before")), "offsets")
+    discard(lower)
+    bucket = [*leaf, "__upper", "__lower"]
+    running = Window.partitionBy(*bucket).orderBy("__order", key, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.join(offsets, bucket).withColumn("__upto", F.col("__before") + F.sum("n_tokens").over(running))
     whole = F.when(F.col("whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).otherwise(F.array().cast("array<long>"))
     partial = F.when((F.col("rest") > 0) & (F.col("__upto") <= F.col("rest")), F.array("whole")).otherwise(F.array().cast("array<long>"))
     return counted.select(*carried, "domain", "n_tokens", F.explode(F.concat(whole, partial)).alias("epoch"))
