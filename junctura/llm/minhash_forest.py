@@ -10,19 +10,21 @@ from the partitions' first and last entries.
 Links are confirmed by Jaccard similarity of the full sets, in rounds. The first takes next neighbours. Each further
 round sorts the entries with the components found so far, takes entries of one component in succession as one run, and
 compares what lies at the borders of runs, NEIGHBOURS entries deep: a large group no longer fills the places beside an
-entry. It takes only entries of regions of three or more, as smaller ones are done. Rounds end when one has confirmed
-nothing new.
+entry. It takes only entries of regions of three or more, as both entries of a region of two have met. Rounds end when
+one has confirmed nothing new.
 
-The rounds leave pairs unmet in regions crowded with texts that are no near-duplicates of each other. An exact join
-settles all representatives that lie in a region of three or more in some tree: shingles are ordered by the number of
-those sets that hold them, rare ones first; two sets that reach the threshold share one of the first n - ceil(0.75 n) + 1
-of each, and at the first they share, what is left of both must suffice. Every pair that passes, lies in two components
-and has not been tested is confirmed on the full sets. So a linked pair is missed only if it shares the least depth in
-no tree, with a chance of about (1 - s**LEAST_DEPTH)**TREES at similarity s, under 2e-6 at 0.75, or if it shares regions
-of two only and its sketches disagree.
+The rounds are the quick way for regions of three or more; they follow only pairs whose sketches agree. What they leave
+unmet there, an exact join settles, over all representatives that lie in such a region in some tree: shingles are
+ordered by the number of those sets that hold them, rare ones first; two sets that reach the threshold share one of the
+first n - ceil(0.75 n) + 1 of each, and at the first they share, what is left of both must suffice. Every pair that
+passes, lies in two components and has not been tested is confirmed on the full sets. So a linked pair is missed only
+if it shares the least depth in no tree, with a chance of about (1 - s**LEAST_DEPTH)**TREES at similarity s, under 2e-6
+at 0.75: this is the forest's own approximation.
 
 Cases: a null text and one without words have an empty set, no links, and stand alone as their own component. Equal
-sets are always linked. Rows that repeat an id and text give equal rows. Further columns are not read.
+sets are always linked. Rows that repeat an id and text give equal rows. Of rows that repeat an id with different
+texts, the set with the least hash is compared with others for that id; the further ones are linked to equal sets only.
+Very long texts are read whole. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, pieces_of, small_batches, staged
+from .common import discard, documents, pieces_of, small_batches, staged
 from .components import components
 
 NAME = "op10_minhash_forest"
@@ -42,8 +44,8 @@ TREES, DEPTH, LEAST_DEPTH = 16, 6, 2
 #: Entries on each side of a border between components that are compared in each tree; the nearest have the longest
 #: common prefixes.
 NEIGHBOURS = 4
-#: Share of equal two-bit sketches below which a pair is not followed: 0.8125 is expected at the threshold, five standard
-#: deviations above.
+#: Share of equal two-bit sketches below which the rounds do not follow a pair of a crowded region: 0.8125 is expected at
+#: the threshold, five standard deviations above. The exact join does not look at sketches.
 LEAST_AGREEMENT = 0.61
 #: Candidates of a representative that are confirmed before the rest.
 FIRST = 2
@@ -120,7 +122,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in pieces_of(texts, 1_000_000):
                 sets = shingle_sets(texts[a:b])
-                rows = [(len(s), blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, signature(s) if len(s) else None) for s in sets]
+                rows = [(len(s), set_hash(s), signature(s) if len(s) else None) for s in sets]
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)]], ["doc_id", "n_shingles", "set_hash", "sig"])
 
@@ -137,13 +139,18 @@ def _near(trees: list[int], keys: list[bytes], ids: list[int], parts: list[int],
     own on, whether its region may hold three entries or more.
 
     Entries of one component in succession form a run. The first lags entries of a run meet the last lags entries
-    before it; entries of one component never meet, nor do those whose sketches differ too much."""
+    before it; entries of one component never meet, nor, where a region may hold three or more, do those whose sketches
+    differ too much."""
     n = len(ids)
     sig = np.frombuffer(b"".join(keys), np.uint8).reshape(n, DEPTH * 4)[:, : LEAST_DEPTH * 4]
     bits = np.frombuffer(b"".join(sketches), np.uint8).reshape(n, TREES * DEPTH // 4)
     tree, node, part = np.array(trees, np.int64), np.array(ids, np.int64), np.array(parts, np.int64)
     first = np.r_[True, (part[1:] != part[:-1]) | (tree[1:] != tree[:-1])]
     start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    # what lies beyond the entries at hand counts as one of the region
+    same = np.r_[True, True, (tree[1:] == tree[:-1]) & (sig[1:] == sig[:-1]).all(axis=1), True, True]
+    here, after = same[1 : n + 1], same[2 : n + 2]
+    crowded = (here & same[:n]) | (here & after) | (after & same[3 : n + 3])
     left, right = [], []
     for lag in range(1, lags + 1):
         i = np.flatnonzero((np.arange(n) >= own) & (np.arange(n) - start < lags) & (start >= lag))
@@ -151,13 +158,9 @@ def _near(trees: list[int], keys: list[bytes], ids: list[int], parts: list[int],
         near = (tree[i] == tree[j]) & (part[i] != part[j]) & (sig[i] == sig[j]).all(axis=1)
         i, j = i[near], j[near]
         x = np.unpackbits(bits[i] ^ bits[j], axis=1)
-        near = (x[:, ::2] | x[:, 1::2]).mean(axis=1) <= 1 - LEAST_AGREEMENT
+        near = ((x[:, ::2] | x[:, 1::2]).mean(axis=1) <= 1 - LEAST_AGREEMENT) | ~crowded[i]
         left.append(np.minimum(node[i], node[j])[near])
         right.append(np.maximum(node[i], node[j])[near])
-    # what lies beyond the entries at hand counts as one of the region
-    same = np.r_[True, True, (tree[1:] == tree[:-1]) & (sig[1:] == sig[:-1]).all(axis=1), True, True]
-    here, after = same[1 : n + 1], same[2 : n + 2]
-    crowded = (here & same[:n]) | (here & after) | (after & same[3 : n + 3])
     return np.concatenate(left), np.concatenate(right), crowded[own:]
 
 
@@ -175,9 +178,10 @@ def forest(reps: DataFrame) -> DataFrame:
     return drawn.select("node", "sketch", F.posexplode(keys).alias("tree", "key")).select(F.col("tree").cast("long").alias("tree"), "key", "node", "sketch")
 
 
-def candidates(entries: DataFrame, lags: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
+def candidates(entries: DataFrame, lags: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(distinct pairs a < b of neighbours among entries (tree, key, node, component, sketch) that lie in two
-    components and may be similar; the entries of regions of three or more, without their components)."""
+    components and may be similar; the entries of regions of three or more, without their components; the staged table
+    both are read from)."""
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = entries.select("tree", "key", "node", "component", "sketch").repartitionByRange(n, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     # what a later entry can still meet: a run's first entries and those before the run
@@ -228,7 +232,7 @@ def candidates(entries: DataFrame, lags: int = NEIGHBOURS) -> tuple[DataFrame, D
     def seam(batches):
         import pyarrow as pa
 
-        # the borders of all partitions in order: 2 * reach entries each, whatever the input
+        # the borders of all partitions in order: 2 * reach entries each
         rows: list = []
         for batch in batches:
             rows += zip(*[c.to_pylist() for c in batch.columns], strict=True)
@@ -240,13 +244,18 @@ def candidates(entries: DataFrame, lags: int = NEIGHBOURS) -> tuple[DataFrame, D
             a, b, _ = _near(*[list(c) for c in zip(*rows, strict=True)], own=0, lags=lags)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    borders = found.filter("part is not null").coalesce(1).sortWithinPartitions("part", "place").select("tree", "key", "node", "component", "sketch").mapInArrow(seam, "a long, b long")
+    # the filter runs on all partitions; only the borders meet in one task
+    borders = found.filter("part is not null").repartition(1).sortWithinPartitions("part", "place").select("tree", "key", "node", "component", "sketch").mapInArrow(seam, "a long, b long")
     pairs = found.filter("a is not null").select("a", "b").unionByName(borders).distinct()
-    return pairs, found.filter("tree is not null and part is null").select("tree", "key", "node", "sketch")
+    return pairs, found.filter("tree is not null and part is null").select("tree", "key", "node", "sketch"), found
+
+
+def set_hash(shingles: np.ndarray) -> bytes | None:
+    return blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and shingles (sorted 64-bit values as bytes) of the documents in ids."""
+    """doc_id and shingles (sorted 64-bit values as bytes) of the documents in ids; of several sets that with the least hash."""
 
     def run(batches):
         import pyarrow as pa
@@ -254,10 +263,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces_of(texts, 1_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())], ["doc_id", "shingles"])
+                sets = shingle_sets(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([set_hash(s) for s in sets], pa.binary())], ["doc_id", "shingles", "set_hash"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(ids.hint("merge"), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc_id long, shingles binary")
+    made = chosen.mapInArrow(run, "doc_id long, shingles binary, set_hash binary").filter("set_hash is not null")
+    return made.groupBy("doc_id").agg(F.min_by("shingles", "set_hash").alias("shingles"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -341,31 +352,41 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     made = staged(signatures(docs, text), "signatures")
     some = made.filter("set_hash is not null")
     classes = staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    reps = staged(some.join(classes.select(F.col("node").alias("doc_id"), F.col("set_hash").alias("h")).hint("merge"), "doc_id").filter("set_hash = h").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"]), "representatives")
-    pairs, crowded = candidates(forest(reps).withColumn("component", F.col("node")), 1)
+    own = some.join(classes.select(F.col("node").alias("doc_id"), F.col("set_hash").alias("h")).hint("merge"), "doc_id").filter("set_hash = h")
+    reps = staged(own.groupBy(F.col("doc_id").alias("node")).agg(F.min_by("sig", "set_hash").alias("sig")), "representatives")
+    pairs, crowded, first = candidates(forest(reps).withColumn("component", F.col("node")), 1)
     pairs = staged(pairs, "pairs")
     # a few pairs of each representative, spread by a hash; the order has no bearing on the result
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a"))
     ranked = staged(pairs.select("a", "b", rank.alias("rank")), "ranked")
-    sets = staged(sets_of(docs, ends(pairs), text).dropDuplicates(["doc_id"]), "sets")
-    found = components(staged(confirmed(ranked.filter(F.col("rank") <= FIRST), sets), "links"))
-    rest = between(ranked.filter(F.col("rank") > FIRST), found)
-    found = merged(found, staged(confirmed(rest, sets), "more"))
-    tested = pairs.select("a", "b")
+    sets = staged(sets_of(docs, ends(pairs), text), "sets")
+    links = staged(confirmed(ranked.filter(F.col("rank") <= FIRST), sets), "links")
+    found = components(links)
+    more = staged(confirmed(between(ranked.filter(F.col("rank") > FIRST), found), sets), "more")
+    discard(sets, ranked, links, reps)
+    found, tested, spent = merged(found, more), pairs.select("a", "b"), [pairs]
     while True:
         labelled = crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = staged(candidates(labelled)[0].join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        sets = staged(sets_of(docs, ends(pairs), text).dropDuplicates(["doc_id"]), "sets")
+        met, _, read = candidates(labelled)
+        pairs = staged(met.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        discard(read)
+        spent.append(pairs)
+        tested = tested.unionByName(pairs.select("a", "b"))
+        sets = staged(sets_of(docs, ends(pairs), text), "sets")
         links = staged(confirmed(pairs, sets), "links")
+        discard(sets)
         if links.isEmpty():
             break
-        found, tested = merged(found, links), tested.unionByName(pairs.select("a", "b"))
-    tested = tested.unionByName(pairs.select("a", "b"))
-    sets = staged(sets_of(docs, crowded.select(F.col("node").alias("doc_id")).distinct(), text).dropDuplicates(["doc_id"]), "crowded-sets")
+        found = merged(found, links)
+    sets = staged(sets_of(docs, crowded.select(F.col("node").alias("doc_id")).distinct(), text), "crowded-sets")
     pairs = staged(unmet(sets, found).join(tested.hint("merge"), ["a", "b"], "left_anti"), "unmet")
     found = merged(found, staged(confirmed(pairs, sets), "last-links"))
-    named = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    linked = staged(named, "named")
+    discard(sets, pairs, first, *spent)
+    # of sets that share an id only the compared one, with the least hash, takes the id's component
+    compared = Window.partitionBy("node").orderBy("set_hash")
+    named = classes.withColumn("__r", F.row_number().over(compared)).join(found, "node", "left")
+    linked = staged(named.select("set_hash", F.coalesce(F.when(F.col("__r") == 1, F.col("component")), "node").alias("component")), "named")
+    discard(classes)
     out = made.drop("sig").join(linked.hint("merge"), "set_hash", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))

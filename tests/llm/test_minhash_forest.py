@@ -79,6 +79,33 @@ def test_repeated_rows_and_empty_table(spark):
     assert M.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    base = [f"w{i}" for i in range(40)]
+    one, two, other = " ".join(base), " ".join([*base[:39], "x"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, one), (5, two), (5, other), (7, other), (8, other)]
+    got = [sorted(tuple(r) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()) for n in (1, 4)]
+    compared = min((two, other), key=lambda t: M.set_hash(M.shingle_sets([t])[0]))
+    own = 1 if compared == two else 5
+    want = [(1, 36, 1, True), (5, 36, own, own == 5), (5, 36, 5, True), (7, 36, 5, False), (8, 36, 5, False)]
+    assert got[0] == got[1] == sorted(want)
+
+
+def test_recall_in_a_crowded_region_of_short_boilerplate(spark):
+    rnd = random.Random(12)
+    words = lambda n: ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(n)]
+    base = words(60)
+    texts = [base + words(20) for _ in range(300)]  # under the threshold to each other
+    for _ in range(30):
+        own = words(20)
+        k = rnd.randrange(1, 4)
+        texts += [base + own, base + own[:-k] + words(k)]
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(not kept for *_, kept in want.values()) >= 25
+
+
 def test_connected_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(2000, 2100)] + [(5000, 5000), (7000, 6999), (6999, 7000)]
     got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
