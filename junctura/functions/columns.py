@@ -34,9 +34,9 @@ def hgt_tag(ref1: Column, pos1: Column, ref2: Column, pos2: Column, size: int =
 
 
 def event_tag(receptor: Column, insert: Column, donor: Column, start: Column, end: Column, size: int = 100, legacy: bool = False) -> Column:
-    """The tag of an event's bins; legacy repeats the insertion in the last place."""
+    """The tag of an event's bins, halves to the even one; legacy repeats the insertion in the last place."""
     last = insert if legacy else end
-    return F.concat_ws("&", receptor, bin_trunc(insert, size).cast("string"), donor, bin_trunc(start, size).cast("string"), bin_trunc(last, size).cast("string"))
+    return F.concat_ws("&", receptor, bin_even(insert, size).cast("string"), donor, bin_even(start, size).cast("string"), bin_even(last, size).cast("string"))
 
 
 def lineage_level(lineage: Column, level: int) -> Column:
@@ -157,21 +157,21 @@ def ko_list(attrs: Column) -> Column:
 
 # fixed values: keyword patterns of product classes; of several that match, the last counts
 PRODUCT_CLASSES = (
-    ("plasmid", "plasmid|relaxase|conjugative|mobilization|conjugal"),
-    ("phage", "phage|capsid|tail protein|head protein|portal|baseplate"),
-    ("transposon", "transposon|transposase|transposition|insertion element|IS[0-9]"),
-    ("Other_HGT_mechanisms", "integrase|integron|recombinase|resolvase|excisionase"),
-    ("CAZYmes", "glycosyl|glycoside|polysaccharide|carbohydrate|pectate|cellulase"),
-    ("ARG", "lactamase|antibiotic|multidrug|resistance|tetracycline|macrolide"),
-)
+    ("plasmid", r"relax\S*|conjug\S*|mob\S*|plasmid|type IV|chromosome partitioning|chromosome segregation"),
+    ("phage", r"capsid|phage|tail|head|tape measure|antiterminatio"),
+    ("transposon", r"transpos\S*|insertion|Tra[A-Z]|Tra[0-9]|IS[0-9]|conjugate transposon"),
+    ("Other_HGT_mechanisms", r"integrase|excision\S*|exonuclease|recomb|toxin|restrict\S*|resolv\S*|topoisomerase|reverse transcrip"),
+    ("CAZYmes", r"glycosyltransferase|glycoside hydrolase|xylan|monooxygenase|rhamnos\S*|cellulose|sialidase|\S*ose($|\s|\-)|acetylglucosaminidase|cellobiose|galact\S*|fructose|aldose|starch|mannose|mannan\S*|glucan|lyase|glycosyltransferase|glycosidase|pectin|SusD|SusC|fructokinase|galacto\S*|arabino\S*"),
+    ("ARG", r"azole resistance|antibiotic resistance|TetR|tetracycline resistance|VanZ|betalactam\S*|beta-lactam|antimicrob\S*|lantibio\S*"),
+)
 
 
 def product_class(product: Column) -> Column:
-    out = None
-    for name, pattern in reversed(PRODUCT_CLASSES):
-        test = product.rlike(f"(?i){pattern}") if name != "transposon" else product.rlike(pattern)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise("NA")
+    """The class of a product by its keywords (in their own case); unclassified if none matches."""
+    out = F.lit("unclassified")
+    for name, pattern in PRODUCT_CLASSES:
+        out = F.when(product.rlike(pattern), name).otherwise(out)
+    return out
 
 
 def is_insertion_sequence(product: Column) -> Column:

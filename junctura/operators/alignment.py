@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import reverse_complement
+from .checkpoints import stored
 
 
 def local_score(a: str, b: str, match: int = 2, mismatch: int = -3, opening: int = 5, extending: int = 2) -> int:
@@ -31,34 +35,67 @@ def local_score(a: str, b: str, match: int = 2, mismatch: int = -3, opening: int
     return best
 
 
-def global_alignment(a: str, b: str, match: float = 1, mismatch: float = -2, opening: float = 5, extending: float = 2) -> tuple[float, str, str]:
-    """Score and aligned strings of a global alignment with free end gaps."""
+def local_scores(a: str, windows, match: int = 2, mismatch: int = -3, opening: int = 5, extending: int = 2):
+    """local_score of a with each row of a matrix of bytes, all rows side by side."""
+    import numpy as np
+
+    rows, m = windows.shape
+    steps = np.arange(m + 1) * extending
+    h, f, best = np.zeros((rows, m + 1), np.int32), np.full((rows, m + 1), -(10**6), np.int32), np.zeros(rows, np.int32)
+    for c in a.encode():
+        f = np.maximum(h - opening, f - extending)
+        g = np.zeros((rows, m + 1), np.int32)
+        g[:, 1:] = np.maximum(0, np.maximum(h[:, :-1] + np.where(windows == c, match, mismatch), f[:, 1:]))
+        run = np.maximum.accumulate(g + steps, axis=1)[:, :-1] - opening + extending - steps[1:]
+        g[:, 1:] = np.maximum(g[:, 1:], run)
+        best = np.maximum(best, g.max(axis=1))
+        h = g
+    return best
+
+
+def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -2, opening: int = 5, extending: int = 2) -> tuple[float, str, str]:
+    """Score and aligned strings of a global alignment; a gap of n costs opening + (n - 1) * extending, at an end nothing.
+
+    Of equally good alignments the traceback takes pairs before gaps in b and those before gaps in a."""
+    import numpy as np
+
     n, m = len(a), len(b)
-    low = -1e9
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    up = [[low] * (m + 1) for _ in range(n + 1)]
-    side = [[low] * (m + 1) for _ in range(n + 1)]
+    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    low = -(10**7)
+    best, up, side = np.zeros((n + 1, m + 1), np.int64), np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            free_up, free_side = j == m, i == n
-            up[i][j] = max(best[i - 1][j] - (0 if free_up else opening), up[i - 1][j] - (0 if free_up else extending))
-            side[i][j] = max(best[i][j - 1] - (0 if free_side else opening), side[i][j - 1] - (0 if free_side else extending))
-            best[i][j] = max(best[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), up[i][j], side[i][j])
-    i, j, x, y = n, m, [], []
+        up[i, 1:] = np.maximum(best[i - 1, 1:] - opening, up[i - 1, 1:] - extending)
+        if m:
+            up[i, m] = max(best[i - 1, m], up[i - 1, m])
+        g = best[i].copy()
+        g[1:] = np.maximum(best[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), up[i, 1:])
+        first, more = (0, 0) if i == n else (opening, extending)
+        steps = np.arange(m + 1) * more
+        # a gap along the row opens where no gap along it ends; opening twice never gains
+        side[i, 1:] = np.maximum.accumulate(g + steps)[:-1] - first + more - steps[1:]
+        best[i, 1:] = np.maximum(g[1:], side[i, 1:])
+    i, j, p, q, state = n, m, [], [], "best"
     while i or j:
-        if i and j and best[i][j] == best[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            x.append(a[i - 1])
-            y.append(b[j - 1])
-            i, j = i - 1, j - 1
-        elif i and (not j or best[i][j] == up[i][j]):
-            x.append(a[i - 1])
-            y.append("-")
+        if state == "best":
+            if i and j and best[i, j] == best[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+                p.append(a[i - 1])
+                q.append(b[j - 1])
+                i, j = i - 1, j - 1
+                continue
+            state = "up" if i and (not j or best[i, j] == up[i, j]) else "side"
+        if state == "up":
+            first = opening if 0 < j < m else 0
+            state = "best" if not j or up[i, j] == best[i - 1, j] - first else "up"
             i -= 1
+            p.append(a[i])
+            q.append("-")
         else:
-            x.append("-")
-            y.append(b[j - 1])
+            first = opening if 0 < i < n else 0
+            state = "best" if not i or side[i, j] == best[i, j - 1] - first else "side"
             j -= 1
-    return best[n][m], "".join(reversed(x)), "".join(reversed(y))
+            p.append("-")
+            q.append(b[j])
+    return float(best[n, m]), "".join(reversed(p)), "".join(reversed(q))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -78,36 +115,54 @@ def aligned_pair(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([global_alignment(x or "", y or "")[1:] for x, y in zip(a, b, strict=True)], columns=["a", "b"], dtype=object)
 
 
-@F.pandas_udf(T.StructType([T.StructField("homology", T.IntegerType()), T.StructField("inserted", T.IntegerType())]))
-def junction_runs(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Longest interior runs of equal bases and of gaps in two aligned strings; a run counts once a later base ends it."""
+def homology_run(a: str, b: str) -> int:
+    """The longest run of columns of two aligned strings in which neither has a gap."""
+    both = "".join(" " if "-" in pair else "x" for pair in zip(a, b, strict=True))
+    return max(map(len, both.split()), default=0)
 
-    def runs(x: str, y: str) -> tuple[int, int]:
-        same = gap = best_same = best_gap = 0
-        for p, q in zip(x, y, strict=False):
-            if p == q and p != "-":
-                same, best_gap, gap = same + 1, max(best_gap, gap), 0
-            else:
-                best_same, same = max(best_same, same), 0
-                gap = gap + 1 if "-" in (p, q) else 0
-        return best_same, best_gap
 
-    return pd.DataFrame([runs(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["homology", "inserted"], dtype="int32")
+def inserted_run(reference: str) -> int:
+    """The longest run of gaps in an aligned reference that lies between bases, the last column left out."""
+    return max(map(len, re.findall("(?<=[^-])-+(?=[^-])", reference[:-1])), default=0)
+
+
+@F.pandas_udf(T.StructType([T.StructField("homology", T.IntegerType()), T.StructField("inserted", T.IntegerType())]))
+def junction_runs(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """homology_run of two aligned strings and inserted_run of the second one."""
+    return pd.DataFrame([(homology_run(x or "", y or ""), inserted_run(y or "")) for x, y in zip(a, b, strict=True)], columns=["homology", "inserted"], dtype="int32")
 
 
 def cluster_pairs(df: DataFrame, by: list[str], eps: int) -> DataFrame:
     """2-D single-linkage clusters (Euclidean, inclusive eps, every point counts) of (pos, mate_pos) within by.
 
-    Points of a grid cell of eps meet those of neighbouring cells only. The cluster's id is its least point id."""
+    Points of a grid cell whose diagonal is within eps are one cluster, so cells are linked instead of points. Two cells
+    are linked if a point of one lies within eps of one of the other; for that the outermost points of each row of a
+    cell suffice if the other lies beside it, and those of each column if it lies above. However many points there are,
+    a cell shows twice its width of them at most. The cluster's id is its least point id."""
     from .graph import connected_components
 
-    cell = df.select("point", *by, "pos", "mate_pos", F.floor(F.col("pos") / eps).alias("cx"), F.floor(F.col("mate_pos") / eps).alias("cy"))
-    around = cell.select(*by, F.col("point").alias("q"), F.col("pos").alias("qx"), F.col("mate_pos").alias("qy"), F.explode(F.array(*[F.struct((F.col("cx") + i).alias("x"), (F.col("cy") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))
-    around = around.select(*by, "q", "qx", "qy", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
-    d2 = (F.col("pos") - F.col("qx")) * (F.col("pos") - F.col("qx")) + (F.col("mate_pos") - F.col("qy")) * (F.col("mate_pos") - F.col("qy"))
-    edges = cell.join(around, [*by, "cx", "cy"]).filter((F.col("q") <= F.col("point")) & (d2 <= eps * eps)).select(F.col("q").alias("src"), F.col("point").alias("dst"))
-    found = connected_components(edges)
-    return df.join(found.select(F.col("node").alias("point"), F.col("component").alias("cluster")), "point")
+    width = max(1, int(eps / math.sqrt(2)))
+    grid = ["__cx", "__cy"]
+    placed = df.withColumn("__cx", F.floor(F.col("pos") / width)).withColumn("__cy", F.floor(F.col("mate_pos") / width))
+    cells = stored(placed.groupBy(*by, *grid).agg(F.min("point").alias("cell")))
+    points = placed.select(*by, *grid, "pos", "mate_pos").distinct()
+
+    def outermost(line: str, along: str) -> DataFrame:
+        ends = points.groupBy(*by, *grid, line).agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
+        return ends.select(*by, *grid, line, F.explode(F.array_distinct(F.array("lo", "hi"))).alias(along)).join(cells, [*by, *grid])
+
+    def links(shown: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+        other = shown.select(*by, F.col("pos").alias("__px"), F.col("mate_pos").alias("__py"), F.col("cell").alias("__cell"), F.explode(F.array(*[F.struct((F.col("__cx") - i).alias("__cx"), (F.col("__cy") - j).alias("__cy")) for i, j in offsets])).alias("__c"))
+        other = other.select(*by, "__px", "__py", "__cell", "__c.__cx", "__c.__cy")
+        dx, dy = F.col("pos") - F.col("__px"), F.col("mate_pos") - F.col("__py")
+        return shown.join(other, [*by, *grid]).filter(dx * dx + dy * dy <= eps * eps).select(F.col("cell").alias("src"), F.col("__cell").alias("dst")).distinct()
+
+    reach = -(-(eps + 1) // width)
+    beside = links(outermost("mate_pos", "pos"), [(i, j) for i in range(1, reach + 1) for j in range(-reach, reach + 1)])
+    above = links(outermost("pos", "mate_pos"), [(0, j) for j in range(1, reach + 1)])
+    found = connected_components(beside.unionByName(above)).select(F.col("node").alias("cell"), "component")
+    named = cells.join(found, "cell", "left").select(*by, *grid, F.coalesce("component", "cell").alias("cluster"))
+    return placed.join(named, [*by, *grid]).drop(*grid)
 
 
 def raw_clusters(points: DataFrame, by: list[str]) -> DataFrame:
@@ -130,25 +185,22 @@ def precise_breakpoints(clusters: DataFrame, reads: DataFrame, least_length: int
     Reads are taken in row order, the first one with a position decides. Columns: cluster, pos, similarity, row_id."""
 
     def run(key, cl: pd.DataFrame, rd: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        none = pd.DataFrame(columns=["cluster", "pos", "similarity", "row_id"])
         if cl.empty:
-            return pd.DataFrame(columns=["cluster", "pos", "similarity", "row_id"])
-        ref, lo = cl.ref.iloc[0], int(cl.lo.iloc[0])
+            return none
+        ref, lo = np.frombuffer(cl.ref.iloc[0].encode(), np.uint8), int(cl.lo.iloc[0])
         for r in rd.sort_values("row_id").itertuples(index=False):
             n = len(r.clip)
-            if n <= least_length:
+            if n <= least_length or n > len(ref):
                 continue
-            best, where = least_score, None
-            for at in range(0, len(ref) - n + 1):
-                window = ref[at : at + n]
-                same = sum(x == y for x, y in zip(window, r.clip, strict=True))
-                if 2 * same / n <= best:  # no alignment of equal lengths beats two points a match
-                    continue
-                s = local_score(r.clip, window) / n
-                if s > best:
-                    best, where = s, at
-            if where is not None:
+            windows = np.lib.stride_tricks.sliding_window_view(ref, n)
+            scores = np.concatenate([local_scores(r.clip, windows[k : k + 4096]) for k in range(0, len(windows), 4096)]) / n
+            where = int(scores.argmax())  # the first of the best
+            if scores[where] > least_score:
                 pos = lo + where if r.right else lo + where + n
-                return pd.DataFrame({"cluster": [key[0]], "pos": [pos], "similarity": [best], "row_id": [r.row_id]})
-        return pd.DataFrame(columns=["cluster", "pos", "similarity", "row_id"])
+                return pd.DataFrame({"cluster": [key[0]], "pos": [pos], "similarity": [float(scores[where])], "row_id": [r.row_id]})
+        return none
 
     return clusters.groupBy("cluster").cogroup(reads.groupBy("cluster")).applyInPandas(run, "cluster long, pos long, similarity double, row_id long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; where it is unset (tests, a single machine) a temporary folder."""
+    """spark.checkpoint.dir as the session has it; where it is unset on one machine (tests) a temporary folder. A cluster must
+    name it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         where = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="junctura-")
     return where.rstrip("/")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import genome
+from .checkpoints import stored
 from .graph import matching_per_component
 from .joins import canonical_pair
 from .order import islands
@@ -43,22 +44,25 @@ def event_pairs(bkp: DataFrame, shared: int = SHARED, least: int = LEAST_LENGTH)
     """Pairs i < j of breakpoints (bkp_id, sample, ends, if_reverse, cross_split_reads) that form an event.
 
     Columns: sample, i, j, receptor, insert_locus, donor, delete_start, delete_end, reverse_flag, weight."""
-    flat = canonical_pair(bkp.select("bkp_id", "sample", "from_ref", "from_pos", "from_side", "to_ref", "to_pos", "to_side", "if_reverse", "cross_split_reads"))
+    columns = ["bkp_id", "sample", "from_ref", "from_pos", "from_side", "to_ref", "to_pos", "to_side", "if_reverse", "cross_split_reads"]
+    # read four times below
+    flat = stored(canonical_pair(bkp.select(*columns)))
 
     def one(close: str, far: str) -> DataFrame:
-        at = lambda side: flat.select(
+        # the segment runs from a tail to a head, so only these two sides meet
+        at = lambda side: flat.filter(F.col(f"{far}_side") == side).select(
             "sample", "a_ref", "b_ref", "if_reverse", F.col("bkp_id").alias(side), F.col(f"{close}_pos").alias(f"{side}_close"), F.col(f"{far}_pos").alias(f"{side}_far"),
-            F.col(f"{far}_side").alias(f"{side}_side"), F.col("cross_split_reads").alias(f"{side}_n"), F.floor(F.col(f"{close}_pos") / shared).alias("bin"),
+            F.col("cross_split_reads").alias(f"{side}_n"), F.floor(F.col(f"{close}_pos") / shared).alias("bin"),
         )
-        left, right = at("i"), at("j").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-        met = left.join(right, ["sample", "a_ref", "b_ref", "if_reverse", "bin"]).filter((F.col("i") < F.col("j")) & (F.abs(F.col("i_close") - F.col("j_close")) < shared))
-        met = met.filter(F.abs(F.col("i_far") - F.col("j_far")) > shared)
-        turned = F.col("i_far") > F.col("j_far")
-        start, end = F.least("i_far", "j_far"), F.greatest("i_far", "j_far")
-        facing = F.when(turned, (F.col("j_side") == "tail") & (F.col("i_side") == "head")).otherwise((F.col("i_side") == "tail") & (F.col("j_side") == "head"))
-        return met.filter(facing & (end - start >= least)).select(
-            "sample", "i", "j", F.col(f"{close}_ref").alias("receptor"), F.col("i_close").alias("insert_locus"), F.col(f"{far}_ref").alias("donor"),
-            start.alias("delete_start"), end.alias("delete_end"), F.col("if_reverse").alias("reverse_flag"), ((F.col("i_n") + F.col("j_n")) / F.lit(2.0)).alias("weight"),
+        right = at("head").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+        near = F.abs(F.col("tail_close") - F.col("head_close")) < shared
+        length = F.col("head_far") - F.col("tail_far")
+        met = at("tail").join(right, ["sample", "a_ref", "b_ref", "if_reverse", "bin"]).filter(near & (length > shared) & (length >= least))
+        first = F.col("tail") < F.col("head")
+        return met.select(
+            "sample", F.least("tail", "head").alias("i"), F.greatest("tail", "head").alias("j"), F.col(f"{close}_ref").alias("receptor"),
+            F.when(first, F.col("tail_close")).otherwise(F.col("head_close")).alias("insert_locus"), F.col(f"{far}_ref").alias("donor"),
+            F.col("tail_far").alias("delete_start"), F.col("head_far").alias("delete_end"), F.col("if_reverse").alias("reverse_flag"), ((F.col("tail_n") + F.col("head_n")) / F.lit(2.0)).alias("weight"),
         )
 
     return one("a", "b").unionByName(one("b", "a"))
@@ -66,11 +70,13 @@ def event_pairs(bkp: DataFrame, shared: int = SHARED, least: int = LEAST_LENGTH)
 
 def unambiguous(pairs: DataFrame, pool: DataFrame, shared: int = SHARED, eps: int = 100, most: int = 2) -> DataFrame:
     """Pairs whose insertion site sees at most `most` clusters of donor positions in the pool of breakpoints."""
+    site = stored(pairs.select("receptor", "donor", "insert_locus").distinct())
+    contigs = site.select("receptor", "donor").distinct()
     ends = pool.select(F.col("from_ref").alias("receptor"), F.col("from_pos").alias("r_pos"), F.col("to_ref").alias("donor"), F.col("to_pos").alias("d_pos"))
-    ends = ends.unionByName(pool.select(F.col("to_ref").alias("receptor"), F.col("to_pos").alias("r_pos"), F.col("from_ref").alias("donor"), F.col("from_pos").alias("d_pos"))).distinct()
-    site = pairs.select("receptor", "donor", "insert_locus").distinct()
-    spread = ends.withColumn("bin", F.explode(F.array(*[F.floor(F.col("r_pos") / shared) + k for k in (-1, 0, 1)])))
-    seen = site.withColumn("bin", F.floor(F.col("insert_locus") / shared)).join(spread, ["receptor", "donor", "bin"]).filter(F.abs(F.col("r_pos") - F.col("insert_locus")) < shared)
+    ends = ends.unionByName(pool.select(F.col("to_ref").alias("receptor"), F.col("to_pos").alias("r_pos"), F.col("from_ref").alias("donor"), F.col("from_pos").alias("d_pos")))
+    ends = ends.join(contigs, ["receptor", "donor"], "left_semi").distinct().withColumn("bin", F.floor(F.col("r_pos") / shared))
+    asked = site.withColumn("bin", F.explode(F.array(*[F.floor(F.col("insert_locus") / shared) + k for k in (-1, 0, 1)])))
+    seen = asked.join(ends, ["receptor", "donor", "bin"]).filter(F.abs(F.col("r_pos") - F.col("insert_locus")) < shared)
     key = ["receptor", "donor", "insert_locus"]
     counts = islands(seen.select(*key, "d_pos").distinct(), key, "d_pos", eps).groupBy(*key).agg(F.max("cluster").alias("n"))
     return pairs.join(counts.filter(F.col("n") <= most).select(*key), key, "left_semi")
@@ -82,9 +88,10 @@ def events(bkp: DataFrame, contigs: DataFrame | None = None, least: int = LEAST_
     pool = inter_genome(bkp)
     used = pool.filter(F.col("cross_split_reads") >= support)
     used = away_from_ends(used, contigs) if contigs is not None else used
-    pairs = event_pairs(used, least=least)
+    pairs = stored(event_pairs(used, least=least))
     pairs = unambiguous(pairs, pool) if ambiguity else pairs
     if matching:
+        pairs = stored(pairs)
         chosen = matching_per_component(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "weight"))
         pairs = pairs.join(chosen.select(F.col("src").alias("i"), F.col("dst").alias("j")), ["i", "j"], "left_semi")
     return pairs

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import stored
+from .matching import max_weight_matching
+from .order import sorted_groups
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -24,84 +26,34 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = stored(low.join(up, "label").select("node", F.col("next").alias("label")))
 
 
-def max_weight_matching(n: int, edges: list[tuple[int, int, float]]) -> set[tuple[int, int]]:
-    """A matching of greatest total weight among nodes 0 to n - 1.
-
-    Exact by dynamic programming over subsets up to 18 nodes. A larger component, which in this use is a chain or a
-    small tangle of breakpoints, is improved from the greedy matching by exchanging paths of up to three edges until
-    none gains."""
-    weight = {}
-    for a, b, w in edges:
-        if a != b and w > 0:
-            key = (min(a, b), max(a, b))
-            weight[key] = max(weight.get(key, 0.0), w)
-    if n <= 18:
-        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-
-        def solve(mask: int) -> tuple[float, tuple]:
-            if mask in best:
-                return best[mask]
-            low = (mask & -mask).bit_length() - 1
-            rest = mask & (mask - 1)
-            out = solve(rest)
-            for (a, b), w in weight.items():
-                if low in (a, b):
-                    other = b if a == low else a
-                    if rest >> other & 1:
-                        got, pairs = solve(rest & ~(1 << other))
-                        if got + w > out[0]:
-                            out = (got + w, (*pairs, (a, b)))
-            best[mask] = out
-            return out
-
-        return set(solve((1 << n) - 1)[1])
-    mate: dict[int, tuple[int, int]] = {}
-    order = sorted(weight, key=lambda e: (-weight[e], e))
-    for e in order:
-        if e[0] not in mate and e[1] not in mate:
-            mate[e[0]] = mate[e[1]] = e
-    near: dict[int, list[tuple[int, int]]] = {}
-    for e in order:
-        near.setdefault(e[0], []).append(e)
-        near.setdefault(e[1], []).append(e)
-    changed = True
-    while changed:
-        changed = False
-        for e in order:
-            if mate.get(e[0]) == e:
-                continue
-            out = {mate[x] for x in e if x in mate}
-            freed = {x for m in out for x in m} - set(e)
-            extra, used = [], set(e)
-            for x in sorted(freed):  # what the removed edges leave free may take a new partner
-                for f in near.get(x, ()):
-                    y = f[1] if f[0] == x else f[0]
-                    if y not in used and x not in used and (y not in mate or mate[y] in out):
-                        extra.append(f)
-                        used |= {x, y}
-                        break
-            if weight[e] + sum(weight[f] for f in extra) > sum(weight[m] for m in out) + 1e-12:
-                for m in out:
-                    mate.pop(m[0], None)
-                    mate.pop(m[1], None)
-                for f in (e, *extra):
-                    mate[f[0]] = mate[f[1]] = f
-                changed = True
-    return set(mate.values())
+def matching_per_component(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight) of a maximum-weight matching of every component: src, dst, weight, component.
 
+    Edges that share no end with another one are taken as they are. The components of the rest are dealt out whole, many
+    to a batch; a component, which in this use is a tangle of breakpoints of one sample, is solved by one task."""
+    e = stored(edges.filter("src <> dst and weight > 0").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").cast("double").alias("weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    shared = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    one = e.join(shared.withColumnRenamed("node", "src"), "src", "left_anti").join(shared.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    rest = stored(e.join(one.select("src", "dst"), ["src", "dst"], "left_anti"))
+    comp = connected_components(rest).select(F.col("node").alias("src"), "component")
 
-def matching_per_component(edges: DataFrame) -> DataFrame:
-    """Edges (src, dst, weight) of a maximum-weight matching of every component: src, dst, weight, component."""
-    comp = connected_components(edges).select(F.col("node").alias("src"), "component")
+    def start():
+        rows: list = []
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf.src) | set(pdf.dst))
-        at = {v: i for i, v in enumerate(nodes)}
-        chosen = max_weight_matching(len(nodes), [(at[r.src], at[r.dst], r.weight) for r in pdf.itertuples()])
-        keep = [(min(at[r.src], at[r.dst]), max(at[r.src], at[r.dst])) in chosen for r in pdf.itertuples()]
-        return pdf[keep].sort_values("weight", ascending=False).drop_duplicates(["src", "dst"])
+        def step(r):
+            rows.append(r)
+            return ()
+
+        def end():
+            nodes = sorted({r.src for r in rows} | {r.dst for r in rows})
+            at = {v: i for i, v in enumerate(nodes)}
+            chosen = max_weight_matching(len(nodes), [(at[r.src], at[r.dst], r.weight) for r in rows])
+            return [(r.src, r.dst, r.weight, r.component) for r in rows if (at[r.src], at[r.dst]) in chosen]
+
+        return step, end
 
-    return edges.select("src", "dst", F.col("weight").cast("double")).join(comp, "src").groupBy("component").applyInPandas(run, "src long, dst long, weight double, component long")
+    tangles = sorted_groups(rest.join(comp, "src").select("src", "dst", "weight", "component"), "component", ["src", "dst"], start, "src long, dst long, weight double, component long")
+    return one.select("src", "dst", "weight", F.col("src").alias("component")).unionByName(tangles)
 
 
 def graph_metrics(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -54,19 +54,29 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[st
     return joined.filter((F.col("__bin") == first) & (shared >= least)).withColumn("overlap", shared).drop("__bin")
 
 
-def asof_join(points: DataFrame, segments: DataFrame, keys: list[str], pos: str, start: str, slack: int = 0) -> DataFrame:
-    """Each point with the last segment with start - slack <= pos (nulls if there is none).
+def asof_join(points: DataFrame, segments: DataFrame, keys: list[str], pos: str, start: str, slack: int = 0, bin_size: int = 1_000_000) -> DataFrame:
+    """Each point with the last segment with start - slack <= pos (nulls if there is none; of equal starts the greatest row).
 
-    A union sorted by position carries the last segment forward; one shuffle on the keys, no pairs are formed."""
+    A union sorted by position carries the last segment forward; no pairs are formed. Keys are dealt out over bins of
+    bin_size; what a bin needs from before it is the last segment of an earlier one, carried over the bins alone."""
     from pyspark.sql import Window
 
     seg_cols = [c for c in segments.columns if c not in keys]
     point_cols = [c for c in points.columns if c not in keys]
-    a = points.select(*keys, F.col(pos).alias("__at"), F.lit(1).alias("__kind"), F.struct(*point_cols).alias("__p"), F.lit(None).cast(segments.select(F.struct(*seg_cols).alias("s")).schema[0].dataType).alias("__s"))
-    b = segments.select(*keys, (F.col(start) - slack).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(a.schema["__p"].dataType).alias("__p"), F.struct(*seg_cols).alias("__s"))
-    w = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__s", F.last("__s", ignorenulls=True).over(w)).filter("__kind = 1")
-    return both.select(*keys, "__p.*", *[F.col(f"__s.{c}").alias(c) for c in seg_cols])
+    s = segments.select(*keys, (F.col(start) - slack).alias("__at"), F.struct(*seg_cols).alias("__s")).withColumn("__bin", _bin(F.col("__at"), bin_size))
+    p = points.select(*keys, F.col(pos).alias("__at"), F.struct(*point_cols).alias("__p")).withColumn("__bin", _bin(F.col("__at"), bin_size))
+    last = s.groupBy(*keys, "__bin").agg(F.max(F.struct("__at", "__s")).alias("__last"))
+    none = F.lit(None).cast(last.schema["__last"].dataType)
+    bins = last.unionByName(p.select(*keys, "__bin", none.alias("__last"))).groupBy(*keys, "__bin").agg(F.max("__last").alias("__last"))
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.withColumn("__s", F.last("__last", ignorenulls=True).over(earlier)["__s"]).filter(F.col("__s").isNotNull())
+    no_point, no_segment = F.lit(None).cast(p.schema["__p"].dataType).alias("__p"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s")
+    before = carried.select(*keys, "__bin", F.lit(None).cast("long").alias("__at"), F.lit(0).alias("__kind"), no_point, "__s")
+    own = s.select(*keys, "__bin", F.col("__at").cast("long"), F.lit(0).alias("__kind"), no_point, "__s")
+    asked = p.select(*keys, "__bin", F.col("__at").cast("long"), F.lit(1).alias("__kind"), "__p", no_segment)
+    w = Window.partitionBy(*keys, "__bin").orderBy(F.asc_nulls_first("__at"), "__kind", "__s").rowsBetween(Window.unboundedPreceding, 0)
+    met = before.unionByName(own).unionByName(asked).withColumn("__s", F.last("__s", ignorenulls=True).over(w)).filter("__kind = 1")
+    return met.select(*keys, "__p.*", *[F.col(f"__s.{c}").alias(c) for c in seg_cols])
 
 
 def fallback_join(left: DataFrame, dim: DataFrame, keys: list[Column], dim_key: str, value: str) -> DataFrame:
@@ -88,18 +98,27 @@ def canonical_pair(df: DataFrame, a: str = "from", b: str = "to", fields: tuple[
     return df.select(*rest, *one, *two)
 
 
-def split_reads_to_clusters(reads: DataFrame, clusters: DataFrame, insert: int) -> DataFrame:
-    """Split reads (a_ref, a_pos, b_ref, b_pos) attached to every cluster (p1, p2 arrays of positions) of their contig
-    pair that has a position within insert bases on each side; the two sides are tested independently."""
-    hit = lambda arr, pos: F.exists(arr, lambda p: F.abs(p - pos) < insert)
-    joined = reads.join(clusters, ["a_ref", "b_ref"])
-    return joined.filter(hit(F.col("p1"), F.col("a_pos")) & hit(F.col("p2"), F.col("b_pos")))
+def split_reads_to_clusters(reads: DataFrame, ends: DataFrame, key: str, cluster: str, insert: int) -> DataFrame:
+    """Split reads (key, a_ref, a_pos, b_ref, b_pos) attached to every cluster of their contig pair that has a position
+    within insert bases on each side: distinct key and cluster.
 
+    ends: cluster, a_ref, b_ref, side (a or b) and pos, a row for each position of a cluster. The two sides are tested
+    independently, each by a band join on bins, so that no cluster's positions meet in one row."""
 
-def matched_truth(truth: DataFrame, calls: DataFrame, tol: int = 50) -> DataFrame:
-    """Truth rows (ref1, pos1, ref2, pos2) that a call (cref1, cpos1, cref2, cpos2) meets in either orientation."""
-    turned = calls.selectExpr("cref1", "cpos1", "cref2", "cpos2").unionByName(calls.selectExpr("cref2 AS cref1", "cpos2 AS cpos1", "cref1 AS cref2", "cpos1 AS cpos2"))
+    def hits(side: str) -> DataFrame:
+        own = ends.filter(F.col("side") == side).select("a_ref", "b_ref", cluster, "pos").distinct()
+        some = reads.select("a_ref", "b_ref", key, F.col(f"{side}_pos").alias("__pos"))
+        return band_join(some, own, ["a_ref", "b_ref"], "__pos", "pos", insert).select(key, cluster).distinct()
+
+    return hits("a").join(hits("b"), [key, cluster])
+
+
+def matched_truth(truth: DataFrame, calls: DataFrame, tol: int = 50, by: list[str] = ()) -> DataFrame:
+    """Truth rows (by, ref1, pos1, ref2, pos2) that a call (by, cref1, cpos1, cref2, cpos2) meets in either orientation."""
+    own = [F.col(k).alias(f"__{k}") for k in by]
+    turned = calls.select(*own, "cref1", "cpos1", "cref2", "cpos2").unionByName(calls.select(*own, F.col("cref2").alias("cref1"), F.col("cpos2").alias("cpos1"), F.col("cref1").alias("cref2"), F.col("cpos1").alias("cpos2"))).distinct()
     near = turned.withColumn("__bin", F.explode(F.array(*[_bin(F.col("cpos1"), tol) + k for k in (-1, 0, 1)])))
     left = truth.withColumn("__bin", _bin(F.col("pos1"), tol))
     test = (F.col("ref1") == F.col("cref1")) & (F.col("ref2") == F.col("cref2")) & (left["__bin"] == near["__bin"]) & (F.abs(F.col("pos1") - F.col("cpos1")) < tol) & (F.abs(F.col("pos2") - F.col("cpos2")) < tol)
+    test = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in by], test)
     return left.join(near, test, "left_semi").drop("__bin")

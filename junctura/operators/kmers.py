@@ -1,8 +1,10 @@
 """k-mer engine: binary codes, masked hashes, counts, windows of hits and peaks, over long tables.
 
 A k-mer's hash with function i takes at each position the bit of one of three binary base codes, by a seeded table of
-permutations; the canonical hash is the lesser of the k-mer's and its reverse complement's. Codes are strings of 0 and 1
-from translate(), masks are constants, so a hash is a few bit operations on longs within code generation.
+permutations; the canonical hash is the lesser of the k-mer's and its reverse complement's. sequence_hashes() computes
+them for whole sequences in Arrow batches: a window of k bits is put together from windows of 1, 2, 4, ... bits, for all
+positions at once. kmers() and hashes() give the same from columns alone, for tables that hold k-mers as they are; to cut
+k-mers out of a long string costs the square of its length, as a position in it must be counted from its start.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def _bits(seq: Column, code: str) -> Column:
 
 
 def kmers(seqs: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """keep, pos (from 0) and kmer of every k-mer of ACGT only."""
+    """keep, pos (from 0) and kmer of every k-mer of ACGT only; sequences shorter than k have none and keep their names."""
     spots = F.explode(F.when(F.length("seq") >= k, F.sequence(F.lit(0), F.length("seq") - k)).otherwise(F.array().cast("array<int>")))
     cut = seqs.select(*keep, F.upper("seq").alias("seq"), spots.alias("pos")).select(*keep, F.col("pos").cast("long").alias("pos"), F.expr(f"substring(seq, pos + 1, {k})").alias("kmer"))
     return cut.filter(~F.col("kmer").rlike("[^ACGT]"))
@@ -55,6 +57,70 @@ def hashes(table: DataFrame, masks: list[list[int]], keep: list[str]) -> DataFra
     return coded.select(*keep, F.explode(F.array(*each)).alias("x")).select(*keep, "x.hash_no", "x.h").filter("h <> 0")
 
 
+def _bit_windows(bits, k: int, turned: bool):
+    """The number made of each k bits in succession, the first one highest (lowest if turned)."""
+    import numpy as np
+
+    power, size, out, have = bits.astype(np.int64), 1, None, 0
+    while True:
+        if k & size:
+            if out is None:
+                out = power
+            else:
+                n = min(len(out), len(power) - have)
+                out = out[:n] | power[have : have + n] << have if turned else out[:n] << size | power[have : have + n]
+            have += size
+        size *= 2
+        if size > k:
+            return out[: len(bits) - k + 1]
+        n = max(len(power) - size // 2, 0)
+        power = power[:n] | power[size // 2 : size // 2 + n] << (size // 2) if turned else power[:n] << (size // 2) | power[size // 2 : size // 2 + n]
+
+
+def canonical_hashes(seq: str, k: int, masks: list[list[int]]):
+    """The positions of a sequence's k-mers of ACGT only, and an array of their canonical hashes for each hash function."""
+    import numpy as np
+
+    letters = np.frombuffer(seq.upper().encode("ascii", "replace"), np.uint8)
+    if len(letters) < k:
+        return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * len(masks)
+    base = np.full(256, 4, np.int64)
+    base[list(b"ACGT")] = range(4)
+    at = base[letters]
+    bad = np.r_[0, np.cumsum(at == 4)]
+    pos = np.flatnonzero(bad[k:] == bad[:-k])
+    tables = [np.array([*map(int, code), 0]) for code in CODES]
+    forward = [_bit_windows(t[at], k, False)[pos] for t in tables]
+    # A and T, C and G stand for each other; read backwards the last base comes first
+    backward = [_bit_windows(t[[3, 2, 1, 0, 4]][at], k, True)[pos] for t in tables]
+    mixed = lambda side, mask: side[0] & mask[0] | side[1] & mask[1] | side[2] & mask[2]
+    return pos, [np.minimum(mixed(forward, m), mixed(backward, m)) for m in masks]
+
+
+def sequence_hashes(seqs: DataFrame, k: int, masks: list[list[int]], keep: list[str], seq: str = "seq", chunk: int = 500_000) -> DataFrame:
+    """keep, pos (from 0), hash_no and h (canonical) of every k-mer of ACGT only; a hash of 0 is none. Sequences shorter
+    than k have none and keep their names. Long sequences are worked off in chunks."""
+    kinds = {f.name: f.dataType.simpleString() for f in seqs.schema}
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(len(keep))[row].as_py() or ""
+                for a in range(0, max(len(text) - k + 1, 0), chunk):
+                    pos, found = canonical_hashes(text[a : a + chunk + k - 1], k, masks)
+                    pos, h = np.tile(pos + a, len(masks)), np.concatenate(found)
+                    number = np.repeat(np.arange(len(masks), dtype=np.int32), len(pos) // len(masks))
+                    some = h != 0
+                    same = pa.array(np.full(int(some.sum()), row))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).take(same) for i in range(len(keep))], pa.array(pos[some]), pa.array(number[some]), pa.array(h[some])], [*keep, "pos", "hash_no", "h"])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], "pos long", "hash_no int", "h long"])
+    return seqs.select(*keep, seq).mapInArrow(run, schema)
+
+
 def frequent(read_hashes: DataFrame, least: int = 3) -> DataFrame:
     """The hashes that occur at least so often, over all hash functions together."""
     return read_hashes.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
@@ -179,6 +245,14 @@ def read_votes(read_hashes: DataFrame, peak_hashes: DataFrame, least: int = 6) -
     return second.groupBy("contig", "pos").agg(F.least(F.count("*"), F.lit(254)).alias("support"))
 
 
+def support_intervals(votes: DataFrame, around: int = 500, least: int = 1) -> DataFrame:
+    """contig, start, end about peaks (contig, pos, support) with enough support, those closer than around joined."""
+    from .order import interval_union
+
+    wide = votes.filter(F.col("support") >= least).select("contig", F.greatest(F.col("pos") - around, F.lit(1).cast("long")).alias("start"), (F.col("pos") + around).alias("end"))
+    return interval_union(wide, ["contig"], "start", "end", gap=around - 1)
+
+
 def occupancy(read_hashes: DataFrame, k: int, least: int = 3) -> DataFrame:
     """Shares of the 2^k table that are empty and that hold fewer than least, for each hash function."""
     counts = read_hashes.groupBy("hash_no", "h").agg(F.count("*").alias("n"))

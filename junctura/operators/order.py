@@ -1,7 +1,10 @@
 """Order-dependent operators: islands, interval union, ranks, top-k and sequential greedy merges.
 
-Those that a window can express are windows; the greedy ones, whose outcome depends on earlier outcomes, run inside
-groups that provably do not interact (one contig or contig pair), in the order of an explicit row id.
+Those that a window can express are windows. The greedy ones, whose outcome depends on earlier outcomes, run in the order
+of an explicit row id over groups that cannot interact: a contig or contig pair is first cut, on Spark, into runs of
+occupied position bins, along both ends where there are two. Rows stream through a group; what is held is the state of
+its open clusters. Where positions leave no gap at all a run is the whole contig, as each outcome may then depend on all
+before it.
 """
 
 from __future__ import annotations
@@ -66,118 +69,172 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 # --- greedy merges ------------------------------------------------------------------------------------------------
 
 
-def sorted_groups(df: DataFrame, key: str, order: str, run, schema: str) -> DataFrame:
-    """run over the rows (named tuples) of each group, in order; groups lie whole and sorted in partitions, and batches
-    of many small groups pass to Python together, unlike one call a group."""
+def bin_runs(df: DataFrame, by: list[str], pos: str, width: int, name: str) -> DataFrame:
+    """df with name, the first bin of the run of occupied bins of width that holds a row's position: rows of different runs
+    lie more than width apart. Only occupied bins are sorted, of which a contig has so many as its length allows."""
+    binned = df.withColumn("__bin", F.floor(F.col(pos) / width))
+    w = Window.partitionBy(*by).orderBy("__bin")
+    opens = F.when(F.coalesce(F.col("__bin") - F.lag("__bin").over(w), F.lit(2)) > 1, F.col("__bin"))
+    runs = binned.select(*by, "__bin").distinct().withColumn("__open", opens)
+    runs = runs.withColumn(name, F.last("__open", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__open")
+    return binned.join(runs, [*by, "__bin"]).drop("__bin")
+
+
+def sorted_groups(df: DataFrame, key: str, order: list[str], start, schema: str) -> DataFrame:
+    """Rows (named tuples) of each group in order through a pair of functions from start(): step(row) and end(), which
+    return output rows. Groups lie whole and sorted in partitions, and batches of many small groups pass to Python
+    together, unlike one call a group."""
 
     def stream(frames):
-        last, rows = None, []
+        last = step = end = None
         for pdf in frames:
             out: list = []
             for r in pdf.itertuples(index=False):
-                if rows and getattr(r, key) != last:
-                    out += run(rows)
-                    rows = []
-                last = getattr(r, key)
-                rows.append(r)
+                if step is None or getattr(r, key) != last:
+                    if step is not None:
+                        out += end()
+                    step, end = start()
+                    last = getattr(r, key)
+                out += step(r)
             if out:
                 yield pd.DataFrame(out, columns=names, dtype=object)
-        if rows and (out := run(rows)):
+        if step is not None and (out := list(end())):
             yield pd.DataFrame(out, columns=names, dtype=object)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(stream, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(stream, schema)
+
+
+def _around(cells: dict, x: int, y: int, near: int):
+    """What lies in the cell of a point and the eight about it."""
+    for i in (x // near - 1, x // near, x // near + 1):
+        for j in (y // near - 1, y // near, y // near + 1):
+            yield from cells.get((i, j), ())
 
 
 def running_mean_merge(df: DataFrame, by: str, pos: str, gap: int = 5000) -> DataFrame:
     """Positions of a contig merged along the line: a position within gap of the anchor joins it, and the anchor moves
     to int(mean) + 1 of its members. Columns: by, pos, anchor (the cluster's last one)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        label, anchors, members, anchor = [], [], [], None
-        for p in pdf[pos].tolist():
-            if anchor is not None and p - anchor < gap:
-                members.append(p)
-                anchor = sum(members) // len(members) + 1
-                anchors[-1] = anchor
+    # an anchor lies at most one base behind its last member
+    runs = bin_runs(df.select(by, pos), [by], pos, gap + 1, "__run").withColumn("group_key", F.concat_ws("|", by, F.col("__run").cast("string")))
+
+    def start():
+        members: list = []
+        state = {"sum": 0, "anchor": None}
+
+        def close():
+            return [(c, p, state["anchor"]) for c, p in members]
+
+        def step(r):
+            c, p = getattr(r, by), getattr(r, pos)
+            out = ()
+            if state["anchor"] is not None and p - state["anchor"] < gap:
+                members.append((c, p))
+                state["sum"] += p
+                state["anchor"] = state["sum"] // len(members) + 1
             else:
-                members, anchor = [p], p
-                anchors.append(anchor)
-            label.append(len(anchors) - 1)
-        return pdf[[by, pos]].assign(anchor=[anchors[k] for k in label])
+                out = close()
+                members[:] = [(c, p)]
+                state["sum"] = state["anchor"] = p
+            return out
+
+        return step, close
+
+    return sorted_groups(runs.select("group_key", by, pos), "group_key", [pos], start, f"{by} string, {pos} long, anchor long")
+
 
-    return df.select(by, pos).groupBy(by).applyInPandas(run, f"{by} string, {pos} long, anchor long")
+def _pair_runs(df: DataFrame, ref1: str, pos1: str, ref2: str, pos2: str, near: int, more: list[str] = ()) -> DataFrame:
+    """df with __pair, and __key of rows that may interact: of one contig pair (and equal in more) and of runs of bins of
+    both ends. On one contig with itself the lesser position counts as the first, as either spelling may come."""
+    turned = (F.col(ref1) > F.col(ref2)) | ((F.col(ref1) == F.col(ref2)) & (F.col(pos1) > F.col(pos2)))
+    rows = df.withColumn("__pair", F.concat_ws("&", F.least(ref1, ref2), F.greatest(ref1, ref2)))
+    rows = rows.withColumn("__x", F.when(turned, F.col(pos2)).otherwise(F.col(pos1))).withColumn("__y", F.when(turned, F.col(pos1)).otherwise(F.col(pos2)))
+    rows = bin_runs(rows, ["__pair", *more], "__x", near, "__rx")
+    rows = bin_runs(rows, ["__pair", *more, "__rx"], "__y", near, "__ry")
+    return rows.withColumn("group_key", F.concat_ws("|", "__pair", *more, F.col("__rx").cast("string"), F.col("__ry").cast("string"))).drop("__x", "__y", "__rx", "__ry")
 
 
 def drop_near_repeats(df: DataFrame, near: int = 50) -> DataFrame:
     """Rows kept in row_id order unless an earlier kept row of the contig pair lies within near bases at both ends, in
     either orientation. Columns: row_id, from_ref, from_pos, to_ref, to_pos."""
-    pair = F.concat_ws("&", F.least("from_ref", "to_ref"), F.greatest("from_ref", "to_ref"))
-
-    def run(rows: list) -> list[tuple]:
-        cells: dict[tuple, list[tuple]] = {}
-        keep = []
-        for r in rows:
-            spellings = [(r.from_ref, r.from_pos, r.to_ref, r.to_pos), (r.to_ref, r.to_pos, r.from_ref, r.from_pos)]
-            found = any(
-                abs(k[0] - p) < near and abs(k[1] - q) < near
-                for a, p, b, q in spellings
-                for x in (-1, 0, 1)
-                for y in (-1, 0, 1)
-                for k in cells.get((a, p // near + x, b, q // near + y), ())
-            )
-            if not found:
-                keep.append((r.row_id, *spellings[0]))
-                cells.setdefault((r.from_ref, r.from_pos // near, r.to_ref, r.to_pos // near), []).append((r.from_pos, r.to_pos))
-        return keep
-
-    rows = df.select("row_id", "from_ref", "from_pos", "to_ref", "to_pos", pair.alias("pair"))
-    return sorted_groups(rows, "pair", "row_id", run, "row_id long, from_ref string, from_pos long, to_ref string, to_pos long")
+
+    def start():
+        cells: dict[str, dict] = {}
+
+        def step(r):
+            # kept rows by their first contig, which on a pair of two contigs is the spelling
+            for a, p, q in ((r.from_ref, r.from_pos, r.to_pos), (r.to_ref, r.to_pos, r.from_pos)):
+                if any(abs(x - p) < near and abs(y - q) < near for x, y in _around(cells.get(a, {}), p, q, near)):
+                    return ()
+            cells.setdefault(r.from_ref, {}).setdefault((r.from_pos // near, r.to_pos // near), []).append((r.from_pos, r.to_pos))
+            return [(r.row_id, r.from_ref, r.from_pos, r.to_ref, r.to_pos)]
+
+        return step, lambda: ()
+
+    rows = _pair_runs(df.select("row_id", "from_ref", "from_pos", "to_ref", "to_pos"), "from_ref", "from_pos", "to_ref", "to_pos", near)
+    return sorted_groups(rows.drop("__pair"), "group_key", ["row_id"], start, "row_id long, from_ref string, from_pos long, to_ref string, to_pos long")
 
 
 def merge_raw_clusters(df: DataFrame, near: int = 50) -> DataFrame:
     """Raw clusters (row_id, ref1, pos1, ref2, pos2, reverse, support) of each unordered contig pair merged in row order:
     a row joins every cluster of its direction whose first positions lie within near on both sides, in the orientation
     of the pair's first row; else it opens one. Columns: ref1, ref2, reverse, p1 and p2 (distinct, sorted), support."""
-    pair = F.concat_ws("&", F.least("ref1", "ref2"), F.greatest("ref1", "ref2"))
 
-    def run(rows: list) -> list[tuple]:
-        a, b = rows[0].ref1, rows[0].ref2
+    def start():
         clusters: list[dict] = []
-        for r in rows:
-            x, y = (r.pos1, r.pos2) if r.ref1 == a else (r.pos2, r.pos1)
-            joined = [c for c in clusters if c["reverse"] == r.reverse and abs(c["first"][0] - x) < near and abs(c["first"][1] - y) < near]
+        cells: dict[tuple, list[dict]] = {}
+
+        def step(r):
+            # a contig's pair with itself has one spelling only
+            x, y = (r.pos1, r.pos2) if r.ref1 == r.first1 else (r.pos2, r.pos1)
+            joined = [c for c in _around(cells, x, y, near) if abs(c["x"] - x) < near and abs(c["y"] - y) < near]
             if not joined:
-                joined = [{"reverse": r.reverse, "first": (x, y), "p1": set(), "p2": set(), "support": 0}]
-                clusters += joined
+                joined = [{"row": (r.first1, r.first2, r.reverse), "x": x, "y": y, "p1": set(), "p2": set(), "support": 0}]
+                clusters.append(joined[0])
+                cells.setdefault((x // near, y // near), []).append(joined[0])
             for c in joined:
                 c["p1"].add(x)
                 c["p2"].add(y)
                 c["support"] += r.support
-        return [(a, b, c["reverse"], sorted(c["p1"]), sorted(c["p2"]), c["support"]) for c in clusters]
+            return ()
+
+        return step, lambda: [(*c["row"], sorted(c["p1"]), sorted(c["p2"]), c["support"]) for c in clusters]
 
-    rows = df.select("row_id", "ref1", "pos1", "ref2", "pos2", "reverse", "support", pair.alias("pair"))
-    return sorted_groups(rows, "pair", "row_id", run, "ref1 string, ref2 string, reverse string, p1 array<long>, p2 array<long>, support long")
+    rows = df.select("row_id", "ref1", "pos1", "ref2", "pos2", "reverse", "support")
+    # one contig with itself: positions are taken as they are spelled, so the runs must not turn them
+    own, two = F.col("ref1") == F.col("ref2"), F.col("ref1") != F.col("ref2")
+    key = _pair_runs(rows.filter(two), "ref1", "pos1", "ref2", "pos2", near, ["reverse"])
+    loops = rows.filter(own).withColumn("__pair", F.concat_ws("&", "ref1", "ref2"))
+    loops = bin_runs(bin_runs(loops, ["__pair", "reverse"], "pos1", near, "__rx"), ["__pair", "reverse", "__rx"], "pos2", near, "__ry")
+    loops = loops.withColumn("group_key", F.concat_ws("|", "__pair", "reverse", F.col("__rx").cast("string"), F.col("__ry").cast("string"))).drop("__rx", "__ry")
+    first = rows.groupBy(F.concat_ws("&", F.least("ref1", "ref2"), F.greatest("ref1", "ref2")).alias("__pair")).agg(F.min_by("ref1", "row_id").alias("first1"), F.min_by("ref2", "row_id").alias("first2"))
+    keyed = key.unionByName(loops).join(first, "__pair").drop("__pair")
+    return sorted_groups(keyed, "group_key", ["row_id"], start, "ref1 string, ref2 string, reverse string, p1 array<long>, p2 array<long>, support long")
 
 
 def merge_segments(df: DataFrame, by: list[str], near: int = 50) -> DataFrame:
     """Donor segments (row_id, start, end, recipient) of a group merged greedily: a segment within near bases at both
     ends of a cluster's first one joins it. Columns: by, start, end (the first one's), n_segments, n_recipients."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start():
         clusters: list[list] = []
-        for r in pdf.sort_values("row_id").itertuples(index=False):
-            for c in clusters:
-                if abs(c[0] - r.start) < near and abs(c[1] - r.end) < near:
-                    c[2] += 1
-                    c[3].add(r.recipient)
-                    break
+        cells: dict[tuple, list[int]] = {}
+
+        def step(r):
+            near_ones = [k for k in _around(cells, r.start, r.end, near) if abs(clusters[k][0] - r.start) < near and abs(clusters[k][1] - r.end) < near]
+            if near_ones:
+                c = clusters[min(near_ones)]
+                c[2] += 1
+                c[3].add(r.recipient)
             else:
-                clusters.append([r.start, r.end, 1, {r.recipient}])
-        head = pdf.iloc[0][by].tolist()
-        return pd.DataFrame([[*head, c[0], c[1], c[2], len(c[3])] for c in clusters], columns=[*by, "start", "end", "n_segments", "n_recipients"])
+                cells.setdefault((r.start // near, r.end // near), []).append(len(clusters))
+                clusters.append([r.start, r.end, 1, {r.recipient}, tuple(getattr(r, c) for c in by)])
+            return ()
+
+        return step, lambda: [(*c[4], c[0], c[1], c[2], len(c[3])) for c in clusters]
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["start long", "end long", "n_segments long", "n_recipients long"])
-    return df.select(*by, "row_id", "start", "end", "recipient").groupBy(*by).applyInPandas(run, schema)
+    rows = bin_runs(bin_runs(df.select(*by, "row_id", "start", "end", "recipient"), by, "start", near, "__rx"), [*by, "__rx"], "end", near, "__ry")
+    keyed = rows.withColumn("group_key", F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "__rx", "__ry")])).drop("__rx", "__ry")
+    return sorted_groups(keyed, "group_key", ["row_id"], start, schema)

@@ -41,15 +41,29 @@ def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     return df.withColumn("p_value", _fisher(*[F.col(x).cast("long") for x in (a, b, c, d)])).withColumn("odds_ratio", odds)
 
 
-def bonferroni(df: DataFrame, p: str, by: list[str] = ()) -> DataFrame:
-    return df.withColumn("p_adj", F.least(F.lit(1.0), F.col(p) * F.count("*").over(Window.partitionBy(*(by or [F.lit(0)])))))
+def _with_group(df: DataFrame, part: DataFrame, by: list[str]) -> DataFrame:
+    """df with the columns of a table that has one row for each group, one row in all without groups."""
+    return df.join(part, by) if by else df.crossJoin(F.broadcast(part))  # one row
 
 
-def benjamini_hochberg(df: DataFrame, p: str, tie: str, by: list[str] = ()) -> DataFrame:
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = df.withColumn("__m", F.count("*").over(group)).withColumn("__r", F.row_number().over(group.orderBy(p, tie)))
-    from_above = group.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(from_above))).drop("__m", "__r")
+def bonferroni(df: DataFrame, p: str, by: list[str] = ()) -> DataFrame:
+    """df with p_adj: p times the number of tests of its group, 1 at most."""
+    tests = df.groupBy(*by).agg(F.count("*").alias("__m"))
+    return _with_group(df, tests, list(by)).withColumn("p_adj", F.least(F.lit(1.0), F.col(p) * F.col("__m"))).drop("__m")
+
+
+def benjamini_hochberg(df: DataFrame, p: str, by: list[str] = ()) -> DataFrame:
+    """df with q_value: the least p * m / r of a p-value and all greater ones, r being the number of tests up to it.
+
+    Equal p-values share their value, so that only the distinct ones of a group, with their counts, are sorted."""
+    by = list(by)
+    each = df.groupBy(*by, F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = each.withColumn("__r", F.sum("__n").over(group.orderBy("__p"))).withColumn("__m", F.sum("__n").over(group))
+    above = group.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    found = upto.select(*by, "__p", F.least(F.lit(1.0), F.min(F.col("__p") * F.col("__m") / F.col("__r")).over(above)).alias("q_value"))
+    own = df.withColumn("__p", F.col(p))
+    return own.join(found, [*by, "__p"]).drop("__p")
 
 
 def mann_whitney(df: DataFrame, by: list[str], group: str, value: str, first: Column, correct: bool = True, ties: bool = True) -> DataFrame:

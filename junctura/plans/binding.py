@@ -50,8 +50,9 @@ VIEWS: dict[str, str] = {
     "genes": """
         SELECT p_partkey AS gene_id, concat('G', cast((p_partkey * p_partkey) % 97 AS STR), '_', cast(p_partkey % 2 + 1 AS STR)) AS contig,
           cast((p_partkey * 37) % 10000 AS bigint) AS g_start, cast((p_partkey * 37) % 10000 + p_size * 30 + 100 AS bigint) AS g_end,
-          concat('ID=gene', cast(p_partkey AS STR), ';product=', CASE p_partkey % 8 WHEN 0 THEN 'phage tail protein' WHEN 1 THEN 'transposase IS200'
-            WHEN 2 THEN 'plasmid relaxase' WHEN 3 THEN 'beta-lactamase class A' WHEN 4 THEN 'glycosyl hydrolase' WHEN 5 THEN 'DNA polymerase' WHEN 6 THEN 'integrase' ELSE 'hypothetical protein' END,
+          concat('ID=gene', cast(p_partkey AS STR), ';product=', CASE p_partkey % 14 WHEN 0 THEN 'phage tail protein' WHEN 1 THEN 'transposase IS200'
+            WHEN 2 THEN 'plasmid relaxase' WHEN 3 THEN 'beta-lactamase class A' WHEN 4 THEN 'glycosyl hydrolase' WHEN 5 THEN 'DNA topoisomerase' WHEN 6 THEN 'phage integrase' WHEN 7 THEN 'toxin of plasmid'
+            WHEN 8 THEN 'mobilization protein A' WHEN 9 THEN 'sucrose permease' WHEN 10 THEN 'VanZ like protein' WHEN 11 THEN 'conjugal transfer TraG' WHEN 12 THEN 'head protein' ELSE 'hypothetical protein' END,
             ';KEGG=ko:K', cast(p_partkey % 40 AS STR), ',ko:K', cast(p_partkey % 17 + 40 AS STR), ';COG=', substring('JKLEGMCH', cast(p_partkey % 7 + 1 AS int), 2)) AS attrs
         FROM @part""",
     "ko_pathway": """
@@ -66,7 +67,7 @@ VIEWS: dict[str, str] = {
     # split and discordant alignments
     "aln": """
         SELECT l_orderkey * 8 + l_linenumber AS aln_id, concat('q', cast(l_orderkey AS STR)) AS qname,
-          cast(1 + 64 * (l_linenumber % 2) + 128 * (1 - l_linenumber % 2) + 16 * (l_suppkey % 2) + 2 * (l_partkey % 2) + 1024 * (CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END) AS bigint) AS flag,
+          cast(1 + 64 * (l_linenumber % 2) + 128 * (1 - l_linenumber % 2) + 16 * (l_orderkey % 2) + 2 * (l_partkey % 2) + 1024 * (CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END) AS bigint) AS flag,
           concat('G', cast(l_partkey % 23 AS STR), '_1:', cast(1000 * (l_suppkey % 5) + 1 AS STR), '-', cast(1000 * (l_suppkey % 5) + 6000 AS STR)) AS ref,
           cast(l_partkey * 13 % 4000 AS bigint) AS pos, cast(l_quantity AS bigint) + 10 AS mapq, cast(l_partkey % 1400 - 200 AS bigint) AS tlen,
           CASE WHEN l_suppkey % 4 = 0 THEN concat(cast(40 + l_linenumber AS STR), 'S', cast(60 - l_linenumber AS STR), 'M') WHEN l_suppkey % 4 = 1 THEN concat(cast(60 + l_linenumber AS STR), 'M', cast(40 - l_linenumber AS STR), 'S')
@@ -85,8 +86,8 @@ VIEWS: dict[str, str] = {
         SELECT concat('S', cast(o_custkey % 40 AS STR)) AS sample, concat('s__S', cast(o_orderkey % 47 AS STR)) AS species, round(sum(o_totalprice) / 1000, 3) AS abundance
         FROM @orders GROUP BY 1, 2""",
     "seqs": """
-        SELECT concat('c', cast(doc_id AS STR)) AS contig, doc_id AS n, substring(translate(regexp_replace(lower(text), '[^a-z]', ''GFLAG), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 400) AS seq
-        FROM @documents WHERE doc_id < 120""",
+        SELECT concat('c', cast(doc_id AS STR)) AS contig, doc_id AS n, translate(regexp_replace(lower(text), '[^a-z]', ''GFLAG), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq
+        FROM @documents""",
 }
 #: Order in which views may use each other.
 _ORDER = list(VIEWS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from .binding import oracle
 from .catalog import query
+from .projections import CLASSES
 
 
 @query("a01_insert_size", oracle("aln", """
@@ -170,9 +171,10 @@ def a17(v):
     return v.ev.groupBy("reverse_flag").agg(F.round(F.avg(length), 6).alias("mean"), F.median(length).alias("med"), F.min(length).alias("lo"), F.max(length).alias("hi"), F.sum(length).alias("total"))
 
 
-@query("a18_transposon_segments", oracle("ev genes", """
+@query("a18_transposon_segments", oracle("genes ev", """
     SELECT donor, count(*)::bigint AS n, count(*) FILTER (WHERE tr)::bigint AS n_transposon FROM (
-      SELECT donor, delete_start, delete_end, bool_or(attrs LIKE '%transposase%') AS tr FROM (SELECT DISTINCT donor, delete_start, delete_end FROM ev) s JOIN genes ON contig = donor AND least(delete_end, g_end) - greatest(delete_start, g_start) >= 0 GROUP BY ALL) x GROUP BY donor"""))
+      SELECT donor, delete_start, delete_end, bool_or(cls = 'transposon') AS tr FROM (SELECT DISTINCT donor, delete_start, delete_end FROM ev) s JOIN c ON contig = donor AND least(delete_end, g_end) - greatest(delete_start, g_start) >= 0 GROUP BY ALL) x GROUP BY donor""",
+    f"c AS (SELECT contig, g_start, g_end, {CLASSES} AS cls FROM (SELECT *, regexp_extract(attrs, 'product=([^;]*)', 1) AS product FROM genes) p)"))
 def a18(v):
     from ..operators.joins import overlap_join
 

@@ -58,14 +58,16 @@ def j02(v):
 
 
 @query("j03_reads_to_clusters", oracle("bkp", """
-    SELECT r.bkp_id, k.cid FROM r JOIN k ON r.ar = k.ar AND r.br = k.br
-    WHERE len(list_filter(k.p1, lambda p: abs(p - r.ap) < 300)) > 0 AND len(list_filter(k.p2, lambda p: abs(p - r.bp) < 300)) > 0""", """
+    SELECT bkp_id, cid FROM (SELECT DISTINCT r.bkp_id, k.cid FROM r JOIN (SELECT DISTINCT ar, br, cid, ap FROM c) k ON r.ar = k.ar AND r.br = k.br AND abs(k.ap - r.ap) < 300) x
+    JOIN (SELECT DISTINCT r.bkp_id, k.cid FROM r JOIN (SELECT DISTINCT ar, br, cid, bp FROM c) k ON r.ar = k.ar AND r.br = k.br AND abs(k.bp - r.bp) < 300) y USING (bkp_id, cid)""", """
     r AS (SELECT bkp_id, least(from_ref, to_ref) AS ar, greatest(from_ref, to_ref) AS br, CASE WHEN from_ref > to_ref THEN to_pos ELSE from_pos END AS ap, CASE WHEN from_ref > to_ref THEN from_pos ELSE to_pos END AS bp FROM bkp),
-    k AS (SELECT ar, br, min(bkp_id) AS cid, list(ap ORDER BY ap) AS p1, list(bp ORDER BY bp) AS p2 FROM r WHERE bkp_id % 5 = 0 GROUP BY ar, br)"""))
+    c AS (SELECT *, concat_ws('|', ar, br, (ap // 900)::varchar, (bp // 900)::varchar) AS cid FROM r)"""))
 def j03(v):
+    """Breakpoints as reads, attached to the clusters of breakpoints of one square of 900 bases a side."""
     reads = joins.canonical_pair(v.bkp.select("bkp_id", "from_ref", "from_pos", "to_ref", "to_pos"), fields=("ref", "pos"))
-    clusters = reads.filter("bkp_id % 5 = 0").groupBy("a_ref", "b_ref").agg(F.min("bkp_id").alias("cid"), F.collect_list("a_pos").alias("p1"), F.collect_list("b_pos").alias("p2"))
-    return joins.split_reads_to_clusters(reads, clusters, 300).select("bkp_id", "cid")
+    square = F.concat_ws("|", "a_ref", "b_ref", F.expr("cast(a_pos div 900 AS string)"), F.expr("cast(b_pos div 900 AS string)"))
+    ends = reads.select("a_ref", "b_ref", square.alias("cid"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_pos").alias("pos")), F.struct(F.lit("b").alias("side"), F.col("b_pos").alias("pos")))).alias("e")).select("a_ref", "b_ref", "cid", "e.*")
+    return joins.split_reads_to_clusters(reads, ends, "bkp_id", "cid", 300)
 
 
 @query("j04_alignments_near_breakpoints", oracle("bkp aln", """
@@ -112,33 +114,34 @@ def j08b(v):
     return out.select("event_id", "gene_id", "overlap")
 
 
-_TRUTH = """t AS (SELECT bkp_id, from_ref AS r1, from_pos AS p1, to_ref AS r2, to_pos AS p2 FROM bkp WHERE sample = 'S1'),
-    c0 AS (SELECT to_ref AS r1, to_pos + 7 AS p1, from_ref AS r2, from_pos - 7 AS p2 FROM bkp WHERE sample IN ('S1', 'S2') AND bkp_id % 3 <> 0),
-    c AS (SELECT * FROM c0 UNION ALL SELECT r2, p2, r1, p1 FROM c0)"""
+# calls are the truth of each sample in the other spelling, shifted by up to 60 bases
+_TRUTH = """t AS (SELECT bkp_id, sample, from_ref AS r1, from_pos AS p1, to_ref AS r2, to_pos AS p2 FROM bkp),
+    c0 AS (SELECT sample, to_ref AS r1, to_pos + (bkp_id % 121 - 60) AS p1, from_ref AS r2, from_pos - (bkp_id % 121 - 60) AS p2 FROM bkp),
+    c AS (SELECT * FROM c0 UNION SELECT sample, r2, p2, r1, p1 FROM c0)"""
 
 
 def _truth(v):
-    t = v.bkp.filter("sample = 'S1'").selectExpr("bkp_id", "from_ref AS ref1", "from_pos AS pos1", "to_ref AS ref2", "to_pos AS pos2")
-    c = v.bkp.filter("sample IN ('S1', 'S2') AND bkp_id % 3 <> 0").selectExpr("to_ref AS cref1", "to_pos + 7 AS cpos1", "from_ref AS cref2", "from_pos - 7 AS cpos2")
+    t = v.bkp.selectExpr("bkp_id", "sample", "from_ref AS ref1", "from_pos AS pos1", "to_ref AS ref2", "to_pos AS pos2")
+    c = v.bkp.selectExpr("sample", "to_ref AS cref1", "to_pos + (bkp_id % 121 - 60) AS cpos1", "from_ref AS cref2", "from_pos - (bkp_id % 121 - 60) AS cpos2")
     return t, c
 
 
-@query("j09_truth_found", oracle("bkp", "SELECT bkp_id FROM t WHERE EXISTS (SELECT 1 FROM c WHERE t.r1 = c.r1 AND t.r2 = c.r2 AND abs(t.p1 - c.p1) < 50 AND abs(t.p2 - c.p2) < 50)", _TRUTH))
+@query("j09_truth_found", oracle("bkp", "SELECT bkp_id FROM t WHERE EXISTS (SELECT 1 FROM c WHERE t.sample = c.sample AND t.r1 = c.r1 AND t.r2 = c.r2 AND abs(t.p1 - c.p1) < 50 AND abs(t.p2 - c.p2) < 50)", _TRUTH))
 def j09(v):
-    return joins.matched_truth(*_truth(v)).select("bkp_id")
+    return joins.matched_truth(*_truth(v), by=["sample"]).select("bkp_id")
 
 
 @query("a27_recall_fdr_f1", oracle("bkp", """
     SELECT round(found / nt::double, 2) AS recall, round(1 - right_ / nc::double, 2) AS fdr, round(2 * (found / nt::double) * (right_ / nc::double) / (found / nt::double + right_ / nc::double), 2) AS f1 FROM (
       SELECT (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM c0) AS nc,
-      (SELECT count(*) FROM t WHERE EXISTS (SELECT 1 FROM c WHERE t.r1 = c.r1 AND t.r2 = c.r2 AND abs(t.p1 - c.p1) < 50 AND abs(t.p2 - c.p2) < 50)) AS found,
-      (SELECT count(*) FROM c0 WHERE EXISTS (SELECT 1 FROM (SELECT r1, p1, r2, p2 FROM t UNION ALL SELECT r2, p2, r1, p1 FROM t) t WHERE t.r1 = c0.r1 AND t.r2 = c0.r2 AND abs(t.p1 - c0.p1) < 50 AND abs(t.p2 - c0.p2) < 50)) AS right_) x""", _TRUTH))
+      (SELECT count(*) FROM t WHERE EXISTS (SELECT 1 FROM c WHERE t.sample = c.sample AND t.r1 = c.r1 AND t.r2 = c.r2 AND abs(t.p1 - c.p1) < 50 AND abs(t.p2 - c.p2) < 50)) AS found,
+      (SELECT count(*) FROM c0 WHERE EXISTS (SELECT 1 FROM (SELECT sample, r1, p1, r2, p2 FROM t UNION SELECT sample, r2, p2, r1, p1 FROM t) t WHERE t.sample = c0.sample AND t.r1 = c0.r1 AND t.r2 = c0.r2 AND abs(t.p1 - c0.p1) < 50 AND abs(t.p2 - c0.p2) < 50)) AS right_) x""", _TRUTH))
 def a27(v):
     t, c = _truth(v)
-    called = c.selectExpr("cref1 AS ref1", "cpos1 AS pos1", "cref2 AS ref2", "cpos2 AS pos2")
-    swapped = t.selectExpr("ref1 AS cref1", "pos1 AS cpos1", "ref2 AS cref2", "pos2 AS cpos2")
+    called = c.selectExpr("sample", "cref1 AS ref1", "cpos1 AS pos1", "cref2 AS ref2", "cpos2 AS pos2")
+    swapped = t.selectExpr("sample", "ref1 AS cref1", "pos1 AS cpos1", "ref2 AS cref2", "pos2 AS cpos2")
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    counts = one(t, "nt").crossJoin(one(c, "nc")).crossJoin(one(joins.matched_truth(t, c), "found")).crossJoin(one(joins.matched_truth(called, swapped), "right"))  # one row each
+    counts = one(t, "nt").crossJoin(one(c, "nc")).crossJoin(one(joins.matched_truth(t, c, by=["sample"]), "found")).crossJoin(one(joins.matched_truth(called, swapped, by=["sample"]), "right"))  # one row each
     recall, precision = F.col("found") / F.col("nt").cast("double"), F.col("right") / F.col("nc").cast("double")
     return counts.select(F.round(recall, 2).alias("recall"), F.round(1 - precision, 2).alias("fdr"), F.round(2 * recall * precision / (recall + precision), 2).alias("f1"))
 
@@ -154,14 +157,25 @@ def j10(v):
     return sized.select("s1", "s2", F.round(F.col("k") / (F.col("n1") + F.col("n2") - F.col("k")).cast("double"), 9).alias("jaccard"))
 
 
-@query("j11_fuzzy_shared_events", oracle("ev", """
-    SELECT b.event_id FROM ev b WHERE sample = 'S2' AND EXISTS (SELECT 1 FROM ev a WHERE a.sample = 'S3' AND a.reverse_flag = b.reverse_flag AND abs(a.insert_locus - b.insert_locus) < 500 AND abs(a.delete_start - b.delete_start) < 500 AND abs(a.delete_end - b.delete_end) < 500)"""))
+@query("j11_fuzzy_jaccard", oracle("ev phe", """
+    SELECT x.sample AS s1, y.sample AS s2, round(coalesce(k, 0) / (x.n + y.n - coalesce(k, 0))::double, 9) AS jaccard
+    FROM n x JOIN n y ON x.cohort = y.cohort AND x.sample < y.sample LEFT JOIN (
+      SELECT a.sample AS s1, b.sample AS s2, count(DISTINCT b.event_id) AS k FROM e a JOIN e b ON a.cohort = b.cohort AND a.sample < b.sample AND a.receptor = b.receptor AND a.donor = b.donor AND a.reverse_flag = b.reverse_flag
+        AND abs(a.insert_locus - b.insert_locus) < 500 AND abs(a.delete_start - b.delete_start) < 500 AND abs(a.delete_end - b.delete_end) < 500 GROUP BY ALL) z ON z.s1 = x.sample AND z.s2 = y.sample""",
+    "e AS (SELECT ev.*, cohort FROM ev JOIN phe USING (sample)), n AS (SELECT sample, cohort, count(*) AS n FROM e GROUP BY ALL)"))
 def j11(v):
-    """Events of one sample met by another's within a tolerance on three coordinates and the flag."""
-    a = v.ev.filter("sample = 'S3'").select("reverse_flag", F.col("insert_locus").alias("i"), F.col("delete_start").alias("s"), F.col("delete_end").alias("e"))
-    b = v.ev.filter("sample = 'S2'").select("event_id", "reverse_flag", "insert_locus", "delete_start", "delete_end")
-    near = joins.band_join(b, a, ["reverse_flag"], "insert_locus", "i", 500).filter("abs(s - delete_start) < 500 AND abs(e - delete_end) < 500")
-    return near.select("event_id").distinct()
+    """Samples of one cohort compared by their events: those of the second that meet one of the first within a tolerance on
+    three coordinates, over all of the first and those of the second that meet none."""
+    e = v.ev.join(v.phe.select("sample", "cohort"), "sample")
+    key = ["cohort", "receptor", "donor", "reverse_flag"]
+    a = e.select(*key, F.col("sample").alias("s1"), F.col("insert_locus").alias("i"), F.col("delete_start").alias("s"), F.col("delete_end").alias("e"))
+    b = e.select(*key, F.col("sample").alias("s2"), "event_id", "insert_locus", "delete_start", "delete_end")
+    near = joins.band_join(b, a, key, "insert_locus", "i", 500).filter("s1 < s2 AND abs(s - delete_start) < 500 AND abs(e - delete_end) < 500")
+    shared = near.select("s1", "s2", "event_id").distinct().groupBy("s1", "s2").agg(F.count("*").alias("k"))
+    n = e.groupBy("cohort", "sample").agg(F.count("*").alias("n"))
+    pairs = n.select("cohort", F.col("sample").alias("s1"), F.col("n").alias("n1")).join(n.select("cohort", F.col("sample").alias("s2"), F.col("n").alias("n2")), "cohort").filter("s1 < s2")
+    k = F.coalesce("k", F.lit(0))
+    return pairs.join(shared, ["s1", "s2"], "left").select("s1", "s2", F.round(k / (F.col("n1") + F.col("n2") - k).cast("double"), 9).alias("jaccard"))
 
 
 @query("j12_fallback_lookup", oracle("abund phe", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
@@ -13,37 +14,38 @@ from .binding import oracle
 from .catalog import query
 from .cohort import with_taxa
 
-_K, _E = 12, 3
+_K, _E = 28, 3
 _MASKS = K.coder(_K, _E)
 
 
 def _hash_sql() -> str:
-    def value(s: str, mask: list[int]) -> str:
-        parts = []
-        for code, m in zip(K.CODES, mask, strict=True):
-            terms = [f"(CASE WHEN translate(substring({s}, {z + 1}, 1), 'ACGT', '{code}') = '1' THEN {1 << (_K - 1 - z)} ELSE 0 END)" for z in range(_K) if m >> (_K - 1 - z) & 1]
-            parts += terms
-        return " + ".join(parts)
+    bits = lambda s, code: f"translate({s}, 'ACGT', '{code}')::BIT::bigint"
+    value = lambda side, mask: " | ".join(f"({side}{c} & {m})" for c, m in enumerate(mask))
+    coded = ", ".join(f"{bits(s, code)} AS {side}{c}" for side, s in (("f", "kmer"), ("r", "rc")) for c, code in enumerate(K.CODES))
+    hashes = ", ".join(f"least({value('f', m)}, {value('r', m)})::bigint AS h{i}" for i, m in enumerate(_MASKS))
+    return f"SELECT contig, n, pos, {hashes} FROM (SELECT contig, n, pos, {coded} FROM k1) c"
 
-    return ", ".join(f"least({value('kmer', m)}, {value('rc', m)})::bigint AS h{i}" for i, m in enumerate(_MASKS))
 
-
-_KMERS = f"""k0 AS (SELECT contig, n, (i - 1)::bigint AS pos, substring(seq, i::int, {_K}) AS kmer FROM (SELECT contig, n, seq, unnest(range(1, length(seq) - {_K} + 2)) AS i FROM seqs WHERE length(seq) >= {_K}) x),
-    k1 AS (SELECT *, translate(reverse(kmer), 'ACGT', 'TGCA') AS rc FROM k0), k2 AS (SELECT contig, n, pos, {_hash_sql()} FROM k1),
+# k-mers are cut out of blocks of 200 positions, as a place in a long string is found by counting from its start
+_KMERS = f"""kb AS (SELECT contig, n, 200 * b AS off, substring(seq, 200 * b + 1, {199 + _K}) AS blk FROM (SELECT contig, n, seq, unnest(range(0, (length(seq) - {_K}) // 200 + 1)) AS b FROM seqs WHERE length(seq) >= {_K}) x),
+    k0 AS (SELECT contig, n, (off + i - 1)::bigint AS pos, substring(blk, i::int, {_K}) AS kmer FROM (SELECT *, unnest(range(1, length(blk) - {_K} + 2)) AS i FROM kb) y),
+    k1 AS (SELECT *, translate(reverse(kmer), 'ACGT', 'TGCA') AS rc FROM k0), k2 AS ({_hash_sql()}),
     kh AS (SELECT contig, n, pos, 0 AS hash_no, h0 AS h FROM k2 WHERE h0 <> 0 UNION ALL SELECT contig, n, pos, 1, h1 FROM k2 WHERE h1 <> 0 UNION ALL SELECT contig, n, pos, 2, h2 FROM k2 WHERE h2 <> 0)"""
 
 
 def _hashes(v):
-    return K.hashes(K.kmers(v.seqs, _K, ["contig", "n"]), _MASKS, ["contig", "n", "pos"])
+    return K.sequence_hashes(v.seqs, _K, _MASKS, ["contig", "n"])
 
 
-@query("k01_k03_hashes", oracle("seqs", "SELECT contig, pos, hash_no, h FROM kh", _KMERS))
+@query("k01_k03_hashes", oracle("seqs", "SELECT contig, hash_no, count(*)::bigint AS n, min(h)::bigint AS least, bit_xor(h * (pos + 1))::bigint AS digest FROM kh GROUP BY contig, hash_no", _KMERS))
 def k03(v):
-    return _hashes(v).select("contig", "pos", "hash_no", "h")
+    """The hashes of every position, summed up for each sequence and hash function."""
+    return _hashes(v).groupBy("contig", "hash_no").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.bit_xor(F.col("h") * (F.col("pos") + 1)).alias("digest"))
 
 
 @query("k04_frequent_hashes", oracle("seqs", "SELECT h, count(*)::bigint AS n FROM kh WHERE n % 2 = 0 GROUP BY h HAVING count(*) >= 3", _KMERS))
 def k04(v):
+    """Of the even sequences, which stand for reads here; the odd ones stand for the reference."""
     return K.frequent(_hashes(v).filter("n % 2 = 0"))
 
 
@@ -91,9 +93,7 @@ def k10(v):
     return K.binned_peaks(K.peaks(_hits(v), _lengths(v), _K), K.good_intervals(K.good_windows(_hits(v), _lengths(v), 50, 0.9, 0.2), _lengths(v), 50))
 
 
-@query("k11_k13_read_votes", None)
-def k11(v):
-    """Peaks supported by sequences whose k-mers point to two contigs or more."""
+def _votes(v):
     found = K.peaks(_hits(v), _lengths(v), _K)
     h = _hashes(v)
     near = h.filter("n % 2 = 1").join(found, ["contig", "pos"]).select("h", "contig", "pos")
@@ -101,6 +101,18 @@ def k11(v):
     return K.read_votes(reads, near, 3)
 
 
+@query("k11_k12_read_votes", None)
+def k11(v):
+    """Peaks supported by sequences whose k-mers point to two contigs or more."""
+    return _votes(v)
+
+
+@query("k13_support_intervals", None)
+def k13(v):
+    """The stretches about supported peaks."""
+    return K.support_intervals(_votes(v))
+
+
 @query("k14_occupancy", oracle("seqs", f"SELECT hash_no, round(1 - count(*) / {float(1 << _K)}, 9) AS empty_rate, round(1 - count(*) FILTER (WHERE c >= 3) / {float(1 << _K)}, 9) AS below_rate FROM (SELECT hash_no, h, count(*) AS c FROM kh GROUP BY hash_no, h) x GROUP BY hash_no", _KMERS))
 def k14(v):
     return K.occupancy(_hashes(v), _K).select("hash_no", F.round("empty_rate", 9).alias("empty_rate"), F.round("below_rate", 9).alias("below_rate"))
@@ -114,11 +126,11 @@ def _graph(v):
 _EDGE = "ed AS (SELECT sample, substring(from_genome, 2)::bigint AS src, substring(to_genome, 2)::bigint AS dst, cross_split_reads::double AS weight FROM bkp WHERE cross_split_reads >= 5), "
 
 
-@query("g01_components", oracle("ev", """
-    SELECT node, min(c) AS component FROM r GROUP BY node""", """
-    ee AS (SELECT DISTINCT event_id % 997 AS a, (event_id * 31 + 7) % 1009 + 2000 AS b FROM ev WHERE event_id % 3 = 0 AND event_id < 2000), s AS (SELECT a, b FROM ee UNION SELECT b, a FROM ee)""").replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT node, min(c)", ", r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON r.node = s.a) SELECT node, min(c)"))
+@query("g01_components", oracle("ev", "SELECT event_id AS node, min(event_id) OVER (PARTITION BY sample, receptor) AS component FROM ev QUALIFY count(*) OVER (PARTITION BY sample, receptor) > 1"))
 def g01(v):
-    e = v.ev.filter("event_id % 3 = 0 and event_id < 2000").select((F.col("event_id") % 997).alias("src"), ((F.col("event_id") * 31 + 7) % 1009 + 2000).alias("dst"))
+    """Chains from each event to the next one of its sample and receptor."""
+    w = Window.partitionBy("sample", "receptor").orderBy("event_id")
+    e = v.ev.select(F.col("event_id").alias("src"), F.lead("event_id").over(w).alias("dst")).filter("dst is not null")
     return G.connected_components(e)
 
 
@@ -179,10 +191,12 @@ def u01(v):
 
 @query("u03_precise_breakpoints", None)
 def u03(v):
-    """Clips cut from the sequences are placed on them again."""
-    clusters = v.seqs.filter("length(seq) >= 120").select(F.col("n").alias("cluster"), F.lit(1000).cast("long").alias("lo"), (F.lit(1000) + F.length("seq")).cast("long").alias("hi"), F.col("seq").alias("ref"))
-    start = (F.col("n") * 7 % 60 + 1).cast("int")
-    reads = v.seqs.filter("length(seq) >= 120").select(F.col("n").alias("cluster"), F.col("n").alias("row_id"), F.col("seq").substr(start, F.lit(30)).alias("clip"), F.lit(True).alias("right"))
+    """Clips from places all over the sequences are placed on the stretch about them again."""
+    some = v.seqs.filter("length(seq) >= 120").withColumn("at", F.pmod(F.xxhash64("contig"), F.length("seq") - 30).cast("long"))
+    lo = F.greatest(F.col("at") - 200, F.lit(0).cast("long"))
+    ref = F.substring("seq", (lo + 1).cast("int"), F.lit(430))
+    clusters = some.select(F.col("n").alias("cluster"), lo.alias("lo"), (lo + F.length(ref)).cast("long").alias("hi"), ref.alias("ref"))
+    reads = some.select(F.col("n").alias("cluster"), F.col("n").alias("row_id"), F.substring("seq", (F.col("at") + 1).cast("int"), F.lit(30)).alias("clip"), F.lit(True).alias("right"))
     return A.precise_breakpoints(clusters, reads)
 
 
@@ -194,20 +208,42 @@ def u02(v):
     return pairs.select("contig", A.junction_runs("p.a", "p.b").alias("r")).select("contig", "r.homology", "r.inserted")
 
 
-@query("m01_m02_cohort_auc", None)
-def m01(v):
-    """AUC of a random forest over the 25 markers: each cohort left out, and the size-weighted mean."""
-    from ..operators import learning, stats
-    from .cohort import presence
+def _labelled(v):
+    """(tags of samples, labels of samples: sample, cohort, label), written once, as each fold reads them."""
+    from ..operators.checkpoints import stored
 
-    rows = stats.fisher_exact(presence(v), "a", "b", "c", "d")
-    markers = [r.tag for r in rows.orderBy("p_value", "tag").limit(25).collect()]  # a bounded list of names
     labels = v.phe.filter("full_disease IN ('CRC', 'healthy')").select("sample", "cohort", (F.col("full_disease") == "CRC").cast("double").alias("label"))
-    tags = v.bkp.select("sample", X.pair_tag(F.col("from_genome"), F.col("to_genome")).alias("tag")).distinct()
-    scores, mean = learning.leave_one_out(learning.feature_table(tags, labels, markers))
+    return stored(v.bkp.select("sample", X.pair_tag(F.col("from_genome"), F.col("to_genome")).alias("tag")).distinct()), stored(labels)
+
+
+@query("m01_cross_validation", None)
+def m01(v):
+    """AUC of a random forest over 25 markers in each of five stratified folds."""
+    from ..operators import learning
+
+    tags, labels = _labelled(v)
+    scores = learning.cross_validated(learning.feature_table(tags, labels, learning.markers(tags, labels, 25)))
+    return v.spark.createDataFrame(list(enumerate(scores)), "fold int, auc double")
+
+
+@query("m02_cohort_auc", None)
+def m02(v):
+    """AUC of a random forest over 25 markers: each cohort left out, and the size-weighted mean."""
+    from ..operators import learning
+
+    scores, mean = learning.leave_one_out(*_labelled(v))
     return v.spark.createDataFrame([*sorted(scores.items()), ("all", mean)], "cohort string, auc double")
 
 
+@query("m03_external_validation", None)
+def m03(v):
+    """AUC, accuracy and false positives on one cohort of a forest trained on the others."""
+    from ..operators import learning
+
+    tags, labels = _labelled(v)
+    return learning.validated(tags, labels.filter("cohort <> 'C3'"), tags, labels.filter("cohort = 'C3'"))
+
+
 @query("z01_simulated_events", None)
 def z01(v):
     """Simulated transfers between the sequences: the recipients' new sequences and the truth."""
@@ -216,14 +252,48 @@ def z01(v):
     return simulate_transfers(v.seqs.select("contig", "seq"), seed=1)
 
 
+@query("z02_scenarios", None)
+def z02(v):
+    """The parameters of simulated scenarios with their seeds."""
+    from ..operators.simulation import scenarios
+
+    return scenarios(v.spark)
+
+
+def _sequence_events(v):
+    """Events between neighbouring sequences, with places all over them."""
+    two = v.seqs.select((F.col("n") - 1).alias("n"), F.col("contig").alias("donor"), F.length("seq").alias("l2"))
+    met = v.seqs.join(two, "n").filter("length(seq) >= 300 and l2 >= 500")
+    place = lambda seed, top: F.pmod(F.xxhash64("n", F.lit(seed)), top).cast("long")
+    start = (F.lit(120) + place(2, F.col("l2") - 420)).alias("delete_start")
+    return met.select(F.col("n").alias("event_id"), F.col("contig").alias("receptor"), (F.lit(100) + place(1, F.length("seq") - 200)).alias("insert_locus"), "donor", start, (start + F.lit(200)).alias("delete_end"), F.when(F.col("n") % 2 == 0, "True").otherwise("False").alias("reverse_flag"))
+
+
 @query("u04_verified_events", None)
 def u04(v):
-    """Events whose rebuilt junctions are spanned by a long alignment."""
-    from ..operators.simulation import verified_junctions
-
-    events = v.ev.select("event_id", F.lit(1000).cast("long").alias("left_junction"), (F.lit(1000) + F.col("delete_end") - F.col("delete_start")).alias("right_junction"))
-    aligned = v.ev.select("event_id", (F.col("insert_locus") % 1100).alias("t_start"), (F.col("insert_locus") % 1100 + 500 + F.col("event_id") % 2000).alias("t_end"))
-    return verified_junctions(events, aligned)
+    """Recipients rebuilt from events, and which of them long alignments bear out."""
+    from ..operators.simulation import rebuilt_recipients, verified_junctions
+
+    built = rebuilt_recipients(_sequence_events(v), v.seqs.select("contig", "seq"), window=80).filter("complete").withColumn("length", F.length("seq").cast("long"))
+    place = lambda seed, n: F.pmod(F.xxhash64("event_id", "k", F.lit(seed)), F.lit(n)).cast("long")
+    aligned = built.select("event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("event_id", place(1, 200).alias("t_start"), (F.lit(100) + place(2, 260)).alias("t_end")).filter("t_end > t_start")
+    return verified_junctions(built, aligned, long=300)
+
+
+@query("u05_mechanisms", None)
+def u05(v):
+    """Mechanisms of events from repeats, mobile elements, inserted bases and homology at their junctions."""
+    from ..operators.mechanisms import mechanism_evidence
+
+    events = _sequence_events(v)
+    region = lambda seed, size: v.seqs.filter("length(seq) > 300").select("contig", F.pmod(F.xxhash64("contig", F.lit(seed)), F.length("seq") - 200).cast("long").alias("start")).withColumn("end", F.col("start") + size)
+    # reads that end at the segment's start, with bases of another sequence for some
+    donors = v.seqs.select(F.col("contig").alias("donor"), "seq")
+    at = F.col("delete_start")
+    cut = lambda a, n: F.substring("seq", (a + 1).cast("int"), F.lit(n))
+    extra = F.when(F.col("event_id") % 3 == 0, F.lit("ACGTTGCATGCA")).when(F.col("event_id") % 3 == 1, F.lit("TTGCA")).otherwise(F.lit(""))
+    reads = events.join(donors, "donor").select("event_id", F.lit("start").alias("side"), F.col("event_id").alias("row_id"), F.concat(cut(at - 80, 40), extra, cut(at - 40, 40)).alias("seq"), F.lit("+").alias("strand"))
+    return mechanism_evidence(events, region(3, 90), region(4, 60), v.seqs.select("contig", "seq"), reads)
 
 
 @query("x15_microhomology", oracle("seqs", """

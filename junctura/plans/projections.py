@@ -67,14 +67,14 @@ def f05(v):
 
 @query("f04_split_reads", oracle("aln", """
     SELECT qname, non_overlap FROM (
-      SELECT p.qname, (least(x.m, y.m) - greatest(0, least(x.a + x.m, y.a + y.m) - greatest(x.a, y.a)))::bigint AS non_overlap
-      FROM (SELECT qname, count(*) AS n, min(aln_id) AS i, max(aln_id) AS j FROM s GROUP BY qname) p
-      JOIN s x ON x.aln_id = p.i JOIN s y ON y.aln_id = p.j WHERE n = 2) z WHERE non_overlap >= 20""",
+      SELECT qname, (least(x.m, y.m) - greatest(0, least(x.a + x.m, y.a + y.m) - greatest(x.a, y.a)))::bigint AS non_overlap
+      FROM (SELECT qname, count(*) AS n, min(struct_pack(i := aln_id, a := a, m := m)) AS x, max(struct_pack(i := aln_id, a := a, m := m)) AS y FROM s GROUP BY qname) p WHERE n = 2) z WHERE non_overlap >= 20""",
     f"s AS (SELECT *, CASE WHEN flag & 16 <> 0 THEN {_RIGHT} ELSE {_LEFT} END AS a, {_MI} AS m FROM aln WHERE flag & 1024 = 0)"))
 def f04(v):
     """Reads with exactly two alignments that are not duplicates and leave 20 bases or more of their own."""
     span = X.cigar_query_span(F.col("cigar"), X.has(F.col("flag"), X.REVERSE))
-    parts = v.aln.filter(~X.has(F.col("flag"), X.DUPLICATE)).groupBy("qname").agg(F.count("*").alias("n"), F.min_by(span, "aln_id").alias("x"), F.max_by(span, "aln_id").alias("y"))
+    parts = v.aln.filter(~X.has(F.col("flag"), X.DUPLICATE)).groupBy("qname").agg(F.count("*").alias("n"), F.min(F.struct("aln_id", span.alias("s"))).alias("x"), F.max(F.struct("aln_id", span.alias("s"))).alias("y"))
+    parts = parts.select("qname", "n", F.col("x.s").alias("x"), F.col("y.s").alias("y"))
     shortest = F.least(F.col("x.end") - F.col("x.start"), F.col("y.end") - F.col("y.start")) + 1
     own = shortest - X.span_overlap(F.col("x"), F.col("y"))
     return parts.filter("n = 2").select("qname", own.alias("non_overlap")).filter("non_overlap >= 20")
@@ -116,7 +116,17 @@ def f16(v):
 @query("f18_read_sample", None)
 def f18(v):
     """A seeded tenth of the reads by name: both mates are kept or dropped together."""
-    return v.aln.filter(F.pmod(F.xxhash64("qname", F.lit(7)), F.lit(10)) == 0).select("aln_id", "qname")
+    from ..operators.reads import down_sampled
+
+    return down_sampled(v.aln, 7, share=0.1, name="qname").select("aln_id", "qname")
+
+
+@query("f18_base_budget", None)
+def f18b(v):
+    """Sequences sampled to a budget of 100,000 bases."""
+    from ..operators.reads import down_sampled
+
+    return down_sampled(v.seqs, 7, bases=100_000, name="contig").select("contig", F.length("seq").alias("len"))
 
 
 @query("f20_near_genes", oracle("bkp genes", """
@@ -156,10 +166,11 @@ def x04(v):
     return v.bkp.select("bkp_id", X.pair_tag(F.col("from_genome"), F.col("to_genome")).alias("pair"), X.hgt_tag(*ends, 100).alias("tag"), X.hgt_tag(*ends, 200, even=True).alias("even_tag"))
 
 
-@query("x05_x06_product_classes", oracle("genes", """
-    SELECT gene_id, regexp_extract(attrs, 'product=([^;]*)', 1) AS product, CASE WHEN regexp_matches(attrs, 'lactamase') THEN 'ARG' WHEN regexp_matches(attrs, 'glycosyl') THEN 'CAZYmes' WHEN regexp_matches(attrs, 'integrase') THEN 'Other_HGT_mechanisms'
-      WHEN regexp_matches(attrs, 'transposase') THEN 'transposon' WHEN regexp_matches(attrs, 'phage') THEN 'phage' WHEN regexp_matches(attrs, 'plasmid') THEN 'plasmid' ELSE 'NA' END AS cls,
-      regexp_matches(attrs, 'IS[0-9]') AS is_is FROM genes"""))
+# the last class whose keywords a product holds, in the order plasmid, phage, transposon, other, enzymes, resistance
+CLASSES = "CASE " + " ".join(f"WHEN regexp_matches(product, '{pattern}') THEN '{name}'" for name, pattern in reversed(X.PRODUCT_CLASSES)) + " ELSE 'unclassified' END"
+
+
+@query("x05_x06_product_classes", oracle("genes", f"SELECT gene_id, product, {CLASSES} AS cls, regexp_matches(product, 'IS[0-9]') AS is_is FROM (SELECT gene_id, regexp_extract(attrs, 'product=([^;]*)', 1) AS product FROM genes) p"))
 def x05(v):
     p = X.attributes(F.col("attrs"))["product"]
     return v.genes.select("gene_id", p.alias("product"), X.product_class(p).alias("cls"), X.is_insertion_sequence(p).alias("is_is"))
@@ -212,6 +223,6 @@ def x16(v):
     return v.ev.groupBy("receptor").agg(F.sum((length >= 900).cast("long")).alias("n_long"), F.round(F.sum(length * w) / F.sum(w).cast("double"), 6).alias("weighted"))
 
 
-@query("x11_event_tags", oracle("ev", "SELECT event_id, concat_ws('&', receptor, floor(insert_locus / 100.0)::bigint::varchar, donor, floor(delete_start / 100.0)::bigint::varchar, floor(delete_end / 100.0)::bigint::varchar) AS tag FROM ev"))
+@query("x11_event_tags", oracle("ev", "SELECT event_id, concat_ws('&', receptor, round_even(insert_locus / 100::double, 0)::bigint::varchar, donor, round_even(delete_start / 100::double, 0)::bigint::varchar, round_even(delete_end / 100::double, 0)::bigint::varchar) AS tag FROM ev"))
 def x11(v):
     return v.ev.select("event_id", X.event_tag(*[F.col(c) for c in ("receptor", "insert_locus", "donor", "delete_start", "delete_end")]).alias("tag"))

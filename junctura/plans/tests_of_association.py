@@ -33,7 +33,7 @@ def t02(v):
     SELECT tag, round(least(1.0, min(pv * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 5)::double AS q_value FROM (SELECT tag, pv, count(*) OVER () AS m, row_number() OVER (ORDER BY round(pv, 9), tag) AS r FROM f) x""", _GROUPS + _PRESENCE))
 def t03(v):
     rows = S.fisher_exact(presence(v), "a", "b", "c", "d").withColumn("p", F.round("p_value", 9))
-    return S.benjamini_hochberg(rows, "p", "tag").select("tag", F.round("q_value", 5).alias("q_value"))
+    return S.benjamini_hochberg(rows, "p").select("tag", F.round("q_value", 5).alias("q_value"))
 
 
 _MWU = """i AS (SELECT sample, round(avg((p1 = p2)::int), 9) AS v FROM w GROUP BY sample), j AS (SELECT i.sample, v, full_disease = 'CRC' AS first FROM i JOIN phe USING (sample) WHERE full_disease IN ('CRC', 'healthy')),
@@ -82,16 +82,41 @@ def t08(v):
     return S.converged(n, ["individual"], "time_point", "n").select("individual", F.round("slope", 6).alias("slope"), "converged")
 
 
+PROPERTIES = ("density", "transitivity", "assortativity", "fiedler")
+
+
+def network_properties(edges, by: str = "sample"):
+    """by, property, value of each group's graph (by, src, dst), rounded; undefined ones are left out."""
+    from ..operators import graph as G
+    from ..operators.checkpoints import stored
+
+    both = stored(G.graph_metrics(edges, [by]).join(G.algebraic_connectivity(edges, by), by))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.round(F.col(p).cast("double"), 3).alias("value")) for p in PROPERTIES])).alias("x")
+    return both.select(by, each).select(by, "x.*").filter("value is not null")
+
+
+def compared_groups(values):
+    """property, g1, g2, p, q of values (grp, property, value): rank-sum tests between all pairs g1 >= g2 of groups, a group
+    with itself among them, corrected over all pairs of a property."""
+    groups = values.select("grp").distinct()
+    pairs = groups.select(F.col("grp").alias("g1")).join(groups.select(F.col("grp").alias("g2")), F.col("g1") >= F.col("g2"))  # names of groups
+    side = lambda c, first: values.join(pairs, F.col("grp") == F.col(c)).select("property", "g1", "g2", "value", F.lit(first).alias("first"))
+    z = S.mann_whitney(side("g1", 1).unionByName(side("g2", 0)), ["property", "g1", "g2"], "first", "value", F.col("first") == 1, correct=False, ties=False)
+    tested = z.select("property", "g1", "g2", F.round(S.normal_two_sided(F.coalesce("z", F.lit(0.0))), 9).alias("p"))
+    return S.benjamini_hochberg(tested, "p", ["property"]).select("property", "g1", "g2", "p", F.round("q_value", 9).alias("q"))
+
+
 @query("g04_group_comparison", None)
 def g04(v):
-    """Rank tests of samples' intra-phylum shares between all pairs of disease groups, with corrected p-values."""
-    per = with_taxa(v).groupBy("sample").agg(F.avg((F.col("p1") == F.col("p2")).cast("int")).alias("v")).join(v.phe.select("sample", "full_disease"), "sample")
-    groups = v.phe.select("full_disease").distinct()
-    pairs = groups.select(F.col("full_disease").alias("g1")).join(groups.select(F.col("full_disease").alias("g2")), F.col("g1") < F.col("g2"))
-    rows = pairs.join(per, (F.col("full_disease") == F.col("g1")) | (F.col("full_disease") == F.col("g2")))
-    z = S.mann_whitney(rows, ["g1", "g2"], "full_disease", "v", F.col("full_disease") == F.col("g1"))
-    tested = z.withColumn("p", S.normal_two_sided(F.col("z")))
-    return S.benjamini_hochberg(tested.withColumn("pair", F.concat_ws("&", "g1", "g2")), "p", "pair").drop("pair")
+    """Properties of samples' genus networks of ten strongest edges, compared between disease groups."""
+    from ..operators.checkpoints import stored
+    from ..operators.order import top_k
+
+    w = with_taxa(v).filter("length(g1) > 3 AND length(g2) > 3")
+    counted = w.groupBy("sample", F.least("g1", "g2").alias("src"), F.greatest("g1", "g2").alias("dst")).agg(F.count("*").alias("n"))
+    edges = stored(top_k(counted, ["sample"], [F.desc("n"), F.asc("src"), F.asc("dst")], 10, full_only=True))
+    single = v.phe.filter("full_disease NOT LIKE '%;%' AND disease <> '' AND (disease <> 'control' OR full_disease = 'healthy')")
+    return compared_groups(network_properties(edges).join(single.select("sample", F.col("disease").alias("grp")), "sample"))
 
 
 @query("m04_markers", oracle("bkp phe", "SELECT tag FROM (SELECT tag, row_number() OVER (ORDER BY round(pv, 9), tag) AS r FROM f WHERE least(1.0, pv * (SELECT count(*) FROM f)) <= 1) x WHERE r <= 25", _GROUPS + _PRESENCE))

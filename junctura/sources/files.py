@@ -169,3 +169,104 @@ def write_events(df: DataFrame, path: str) -> None:
 
 def write_raw(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(", ", *[F.col(c.split()[0]).cast("string") for c in RAW_COLUMNS.split(", ")]).alias("value")).write.text(path)
+
+
+# --- annotation, designs and markers ------------------------------------------------------------------------------
+
+
+def _fields(spark: SparkSession, path: str) -> DataFrame:
+    """f: the blank-separated fields of lines that are no comments."""
+    return spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split(F.trim("value"), "\\s+").alias("f"))
+
+
+def repeat_regions(spark: SparkSession, path: str) -> DataFrame:
+    """contig, start, end of tandem repeats, whole regions left out."""
+    f = F.col("f")
+    return _fields(spark, path).filter((F.size("f") >= 5) & (f[2] != "region")).select(f[0].alias("contig"), f[3].cast("long").alias("start"), f[4].cast("long").alias("end"))
+
+
+def mobile_elements(spark: SparkSession, path: str) -> DataFrame:
+    """contig, start, end of transposable elements: the first three fields of each line."""
+    f = F.col("f")
+    return _fields(spark, path).filter((F.size("f") >= 3) & (f[2] != "region")).select(f[0].alias("contig"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"))
+
+
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    """sample, species, genus, abundance of one taxonomic profile a sample; the sample is the file's name up to the first
+    underscore. Lineages of fewer than six levels are left out."""
+    lines = spark.read.text(path).select("value", F.regexp_extract("_metadata.file_name", "^[^_]*", 0).alias("sample"))
+    f = F.split(F.trim("value"), "\\s+")
+    rows = lines.filter(~F.col("value").startswith("#")).select("sample", F.split(f[0], "\\|").alias("l"), f[2].try_cast("double").alias("abundance"))
+    return rows.filter(F.size("l") >= 6).select("sample", F.element_at("l", -1).alias("species"), F.element_at("l", -2).alias("genus"), "abundance")
+
+
+def marker_abundances(rows: DataFrame, markers: DataFrame) -> DataFrame:
+    """sample, marker, abundance of profiles(): each row counts for its species if that is a marker, else for its genus."""
+    own = markers.select("marker").distinct()
+    one = rows.join(own.select(F.col("marker").alias("species"), F.col("marker").alias("m1")), "species", "left")
+    two = one.join(own.select(F.col("marker").alias("genus"), F.col("marker").alias("m2")), "genus", "left")
+    return two.withColumn("marker", F.coalesce("m1", "m2")).filter("marker is not null").groupBy("sample", "marker").agg(F.sum("abundance").alias("abundance"))
+
+
+def ko_list(spark: SparkSession, path: str) -> DataFrame:
+    """ko of a list with one identifier a line, with or without its prefix."""
+    return spark.read.text(path).select(F.regexp_replace(F.trim("value"), "^ko:", "").alias("ko")).filter("ko <> ''")
+
+
+def ko_pathways(spark: SparkSession, path: str) -> DataFrame:
+    """ko, pathway of a tab-separated table, prefixes left off."""
+    f = F.split("value", "\t")
+    bare = lambda c: F.regexp_replace(F.trim(c), "^(ko|path):", "")
+    return spark.read.text(path).filter(F.size(f) >= 2).select(bare(f[0]).alias("ko"), bare(f[1]).alias("pathway")).distinct()
+
+
+def verified_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events with a last field Yes: sample, the event's columns and event (a hash of the row)."""
+    f = F.split("value", ",")
+    rows = spark.read.text(path).filter((F.size(f) >= 9) & (f[1] != "sample") & (F.trim(F.element_at(f, -1)) == "Yes"))
+    return rows.select(
+        F.xxhash64("value").alias("event"), f[1].alias("sample"), f[2].alias("receptor"), f[3].cast("long").alias("insert_locus"), f[4].alias("donor"), f[5].cast("long").alias("delete_start"), f[6].cast("long").alias("delete_end"), f[7].alias("reverse_flag"),
+    )
+
+
+def verified_bins(rows: DataFrame, size: int = 100) -> DataFrame:
+    """sample, tag, event, role of verified events: the bins of both contigs (ins, del), and those of the two junctions in
+    either spelling (pair)."""
+    from ..functions.columns import bin_even, hgt_tag
+
+    one = lambda ref, pos, role: F.struct(F.concat_ws("&", ref, bin_even(F.col(pos), size).cast("string")).alias("tag"), F.lit(role).alias("role"))
+    pair = lambda a, x, b, y: F.struct(hgt_tag(F.col(a), F.col(x), F.col(b), F.col(y), size, True).alias("tag"), F.lit("pair").alias("role"))
+    tags = [one("receptor", "insert_locus", "ins")]
+    for end in ("delete_start", "delete_end"):
+        tags += [one("donor", end, "del"), pair("receptor", "insert_locus", "donor", end), pair("donor", end, "receptor", "insert_locus")]
+    return rows.select("sample", "event", F.explode(F.array(*tags)).alias("x")).select("sample", "x.tag", "event", "x.role").distinct()
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """run, sample (behind an underscore, if its name has one), platform and layout (PAIRED or SINGLE) of a run table."""
+    f = F.split("value", ",")
+    name = F.element_at(f, -2)
+    sample = F.when(name.contains("_"), F.split(name, "_")[1]).otherwise(name)
+    layout = F.when(F.col("value").contains("PAIRED"), "PAIRED").when(F.col("value").contains("SINGLE"), "SINGLE")
+    return spark.read.text(path).filter((F.size(f) >= 6) & (f[0] != "Run")).select(f[0].alias("run"), sample.alias("sample"), F.element_at(f, -6).alias("platform"), layout.alias("layout"))
+
+
+def paired_runs(rows: DataFrame) -> DataFrame:
+    """sample, short_run, long_run: the runs of paired and of single reads of one sample."""
+    part = lambda layout, name: rows.filter(F.col("layout") == layout).select("sample", F.col("run").alias(name))
+    return part("PAIRED", "short_run").join(part("SINGLE", "long_run"), "sample")
+
+
+def design(spark: SparkSession, path: str) -> DataFrame:
+    """sample, individual, time_point of a table whose fourth and fifth fields these are."""
+    f = F.col("f")
+    return _fields(spark, path).filter((F.size("f") >= 5) & (f[0] != "Sample")).select(f[0].alias("sample"), f[3].alias("individual"), f[4].cast("int").alias("time_point"))
+
+
+def write_markers(markers: list[str], spark: SparkSession, path: str) -> None:
+    """A list of markers in its order."""
+    spark.createDataFrame(list(enumerate(markers)), "rank int, marker string").write.mode("overwrite").parquet(path)
+
+
+def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("rank", "marker")

@@ -1,9 +1,11 @@
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 
-from junctura.operators import alignment, events, graph, joins, kmers, order, stats
+from junctura.operators import alignment, events, graph, joins, kmers, learning, matching, mechanisms, order, reads, simulation, stats
 
 
 def test_islands_and_union(spark):
@@ -24,8 +26,23 @@ def test_band_interval_and_asof_joins(spark):
     got = [(r.i, r.j) for r in joins.interval_join(left, right, ["k"], "p", "s", "e", pad=5, bin_size=16).collect()]
     want = {(x[0], y[0]) for x in a for y in b if x[1] == y[1] and y[2] - 5 <= x[2] <= y[3] + 5}
     assert len(got) == len(want) and set(got) == want
-    got = {r.i: r.s for r in joins.asof_join(left, right, ["k"], "p", "s", slack=15).collect()}
-    assert got == {x[0]: max((y[2] for y in b if y[1] == x[1] and y[2] - 15 <= x[2]), default=None) for x in a}
+    for size in (1_000_000, 40, 1):
+        got = {r.i: r.s for r in joins.asof_join(left, right, ["k"], "p", "s", slack=15, bin_size=size).collect()}
+        assert got == {x[0]: max((y[2] for y in b if y[1] == x[1] and y[2] - 15 <= x[2]), default=None) for x in a}
+
+
+def test_split_reads_and_truth(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice("ab"), rnd.randrange(900), rnd.choice("cd"), rnd.randrange(900)) for i in range(60)]
+    ends = [(f"k{rnd.randrange(12)}", rnd.choice("ab"), rnd.choice("cd"), rnd.choice("ab"), rnd.randrange(900)) for _ in range(80)]
+    r = spark.createDataFrame(rows, "id long, a_ref string, a_pos long, b_ref string, b_pos long")
+    e = spark.createDataFrame(ends, "cl string, a_ref string, b_ref string, side string, pos long")
+    got = {tuple(x) for x in joins.split_reads_to_clusters(r, e, "id", "cl", 60).collect()}
+    hit = lambda x, c, side, p: any(y[:4] == (c, x[1], x[3], side) and abs(y[4] - p) < 60 for y in ends)
+    assert got == {(x[0], c) for x in rows for c in {y[0] for y in ends} if hit(x, c, "a", x[2]) and hit(x, c, "b", x[4])}
+    t = spark.createDataFrame([(1, "s", "a", 10, "b", 20), (2, "t", "a", 10, "b", 20), (3, "s", "a", 80, "b", 20)], "i long, sample string, ref1 string, pos1 long, ref2 string, pos2 long")
+    c = spark.createDataFrame([("s", "b", 60, "a", 30)], "sample string, cref1 string, cpos1 long, cref2 string, cpos2 long")
+    assert [x.i for x in joins.matched_truth(t, c, by=["sample"]).collect()] == [1]
 
 
 def brute_matching(edges):
@@ -46,6 +63,46 @@ def test_matching_is_optimal():
         weight = {(a, b): w for a, b, w in edges}
         assert sum(weight[e] for e in graph.max_weight_matching(n, edges)) == brute_matching(edges)
     assert graph.max_weight_matching(4, [(0, 1, 3), (1, 2, 4), (2, 3, 3)]) == {(0, 1), (2, 3)}
+    assert graph.max_weight_matching(0, []) == set()
+
+
+def test_matching_of_any_size_meets_its_bound():
+    rnd = random.Random(4)
+    for n, p in ((13, 0.5), (40, 0.2), (90, 0.06), (120, 0.4)):
+        edges = [(a, b, rnd.randrange(1, 25) / 2) for a, b in itertools.combinations(range(n), 2) if rnd.random() < p]
+        weight, solver = {(a, b): w for a, b, w in edges}, matching.Matcher(n, edges)
+        chosen = solver.solve()
+        assert len({v for e in chosen for v in e}) == 2 * len(chosen)
+        assert abs(sum(weight[e] for e in chosen) - solver.bound()) < 1e-6  # no matching weighs more
+    for n in (2, 3, 19, 200):  # paths, by the recursion
+        ws = [rnd.randrange(1, 9) / 2 for _ in range(n - 1)]
+        best = [0.0, 0.0]
+        for w in ws:
+            best.append(max(best[-1], best[-2] + w))
+        chosen = graph.max_weight_matching(n, [(i, i + 1, w) for i, w in enumerate(ws)])
+        assert sum(ws[a] for a, _ in chosen) == best[-1]
+
+
+def test_matching_per_component(spark):
+    rnd = random.Random(5)
+    edges = [(100 * c + a, 100 * c + b, rnd.randrange(1, 9) / 2) for c in range(30) for a, b in itertools.combinations(range(1 + c % 9), 2) if rnd.random() < 0.4]
+    edges += [(9001, 9000, 2.0), (9002, 9003, 1.0)]
+    got = graph.matching_per_component(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()
+    want = sum(brute_matching([e for e in edges if e[0] // 100 == c]) if c > 29 else brute_total([e for e in edges if e[0] // 100 == c]) for c in {e[0] // 100 for e in edges})
+    ends = [v for r in got for v in (r.src, r.dst)]
+    assert len(ends) == len(set(ends)) and sum(r.weight for r in got) == want
+
+
+def brute_total(edges):
+    """Greatest weight by recursion over the first vertex."""
+    if not edges:
+        return 0.0
+    v = edges[0][0]
+    best = brute_total([e for e in edges if v not in e[:2]])
+    for a, b, w in edges:
+        if v in (a, b):
+            best = max(best, w + brute_total([e for e in edges if not {a, b} & set(e[:2])]))
+    return best
 
 
 def test_components(spark):
@@ -97,6 +154,251 @@ def test_greedy_orders(spark):
     assert sorted((r.p, r.anchor) for r in order.running_mean_merge(pos, "c", "p", 300).collect()) == [(0, 151), (100, 151), (350, 151), (5000, 5000)]
 
 
+def brute_repeats(rows, near=50):
+    kept = []
+    for r in sorted(rows):
+        spelled = [r[1:], (r[3], r[4], r[1], r[2])]
+        if not any(k[1] == a and k[3] == b and abs(k[2] - p) < near and abs(k[4] - q) < near for k in kept for a, p, b, q in spelled):
+            kept.append(r)
+    return kept
+
+
+def brute_raw(rows, near=50):
+    pairs, out = {}, []
+    for i, r1, p1, r2, p2, rev, n in sorted(rows):
+        a, clusters = pairs.setdefault(frozenset((r1, r2)), ((r1, r2), []))
+        x, y = (p1, p2) if r1 == a[0] else (p2, p1)
+        joined = [c for c in clusters if c[0] == rev and abs(c[1] - x) < near and abs(c[2] - y) < near]
+        if not joined:
+            joined = [[rev, x, y, set(), set(), 0]]
+            clusters += joined
+        for c in joined:
+            c[3].add(x)
+            c[4].add(y)
+            c[5] += n
+    for a, clusters in pairs.values():
+        out += [(*a, c[0], sorted(c[3]), sorted(c[4]), c[5]) for c in clusters]
+    return sorted(out)
+
+
+def test_greedy_orders_against_whole_groups(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice("ab"), rnd.randrange(600), rnd.choice("ab"), rnd.randrange(600)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, from_ref string, from_pos long, to_ref string, to_pos long").repartition(3)
+    assert sorted(tuple(r) for r in order.drop_near_repeats(df).collect()) == brute_repeats(rows)
+    raw = [(i, a, p, b, q, rnd.choice(["True", "False"]), rnd.randrange(5)) for i, a, p, b, q in rows]
+    df = spark.createDataFrame(raw, "row_id long, ref1 string, pos1 long, ref2 string, pos2 long, reverse string, support long").repartition(3)
+    assert sorted(tuple(r) for r in order.merge_raw_clusters(df).collect()) == brute_raw(raw)
+    points = [(rnd.choice("ab"), rnd.randrange(20_000)) for _ in range(300)]
+    want = []
+    for c in "ab":
+        members, anchor = [], None
+        for p in [*sorted(p for k, p in points if k == c), None]:
+            if p is not None and anchor is not None and p - anchor < 80:
+                members.append(p)
+                anchor = sum(members) // len(members) + 1
+            else:
+                want += [(c, m, anchor) for m in members]
+                members, anchor = [p], p
+    got = order.running_mean_merge(spark.createDataFrame(points, "c string, p long"), "c", "p", 80).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    segs = [(rnd.choice("ab"), i, rnd.randrange(400), rnd.randrange(400, 800), rnd.choice("xyz")) for i in range(300)]
+    want = []
+    for g in "ab":
+        clusters = []
+        for _, i, s, e, x in sorted((r for r in segs if r[0] == g), key=lambda r: r[1]):
+            c = next((c for c in clusters if abs(c[0] - s) < 50 and abs(c[1] - e) < 50), None)
+            if c is None:
+                clusters.append([s, e, 1, {x}])
+            else:
+                c[2] += 1
+                c[3].add(x)
+        want += [(g, c[0], c[1], c[2], len(c[3])) for c in clusters]
+    got = order.merge_segments(spark.createDataFrame(segs, "g string, row_id long, start long, end long, recipient string"), ["g"]).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_corrections(spark):
+    rnd = random.Random(7)
+    rows = [(g, rnd.choice([0.001, 0.01, 0.02, 0.3, 1.0, rnd.random()])) for g in "ab" for _ in range(40)]
+    df = spark.createDataFrame(rows, "g string, p double")
+    for by in ([], ["g"]):
+        want = []
+        for g in ["a", "b"] if by else [None]:
+            ps = sorted(p for k, p in rows if g in (None, k))
+            want += [(p, round(min(1.0, min(x * len(ps) / (i + 1) for i, x in enumerate(ps) if x >= p)), 12)) for p in ps]
+        assert sorted((r.p, round(r.q_value, 12)) for r in stats.benjamini_hochberg(df, "p", by).collect()) == sorted(want)
+        n = 40 if by else 80
+        assert sorted((r.p, r.p_adj) for r in stats.bonferroni(df, "p", by).collect()) == sorted((p, min(1.0, p * n)) for _, p in rows)
+
+
+def test_crowded_clusters_in_the_plane(spark):
+    rnd = random.Random(8)
+    pts = [(i, "r", rnd.randrange(900), rnd.randrange(900)) for i in range(250)]
+    df = spark.createDataFrame(pts, "point long, k string, pos long, mate_pos long")
+    for eps in (1, 37, 60):
+        label = {p[0]: p[0] for p in pts}
+        changed = True
+        while changed:
+            changed = False
+            for x, y in itertools.combinations(pts, 2):
+                if (x[2] - y[2]) ** 2 + (x[3] - y[3]) ** 2 <= eps * eps and label[x[0]] != label[y[0]]:
+                    label[x[0]] = label[y[0]] = min(label[x[0]], label[y[0]])
+                    changed = True
+        assert {r.point: r.cluster for r in alignment.cluster_pairs(df, ["k"], eps).collect()} == label
+
+
+def test_global_alignments_against_the_recursion():
+    rnd = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rnd.choices("ACG", k=rnd.randrange(0, 13))) for _ in "xx")
+        n, m, low = len(a), len(b), -1e9
+        best, up, side = ([[v] * (m + 1) for _ in range(n + 1)] for v in (0.0, low, low))
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                up[i][j] = max(best[i - 1][j] - (0 if j == m else 5), up[i - 1][j] - (0 if j == m else 2))
+                side[i][j] = max(best[i][j - 1] - (0 if i == n else 5), side[i][j - 1] - (0 if i == n else 2))
+                best[i][j] = max(best[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -2), up[i][j], side[i][j])
+        score, x, y = alignment.global_alignment(a, b)
+        assert score == best[n][m] and (x.replace("-", ""), y.replace("-", "")) == (a, b)
+    assert alignment.homology_run("AC-GTTA", "ACTG-TA") == 2 and alignment.inserted_run("AC--GT-A-") == 2 and alignment.inserted_run("--ACG-") == 0
+
+
+def test_sequence_hashes_equal_those_of_columns(spark):
+    rnd = random.Random(1)
+    seqs = spark.createDataFrame([(f"c{i}", "".join(rnd.choices("ACGTNacg", (9, 9, 9, 9, 1, 1, 1, 1), k=i * 7))) for i in range(9)], "contig string, seq string")
+    for k in (5, 12, 28):
+        masks = kmers.coder(k, 3)
+        want = kmers.hashes(kmers.kmers(seqs, k, ["contig"]), masks, ["contig", "pos"]).select("contig", "pos", "hash_no", "h").collect()
+        got = kmers.sequence_hashes(seqs, k, masks, ["contig"], chunk=17).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == len(set(map(tuple, got)))
+
+
+def test_peaks_bins_and_support(spark):
+    rnd = random.Random(2)
+    k, n = 6, 300
+    hit = [int(rnd.random() < (0.9 if 80 < i < 160 else 0.2)) for i in range(n)]
+    total = lambda j: sum(hit[max(0, j - 4) : j + 1]) if j >= 4 else 0
+    want = set()
+    for j in range(2 * k + 11, n):
+        for m in range(k, 2 * k):
+            if j - 5 - k >= 0 and j - 5 - m >= 0:
+                d = total(j - 5) - total(j - 5 - k) + total(j - 5 - m) - total(j)
+                want |= {j - m - 5} if d >= 2 else {j} if d <= -2 else set()
+    hits = spark.createDataFrame([("c", i, h, 0) for i, h in enumerate(hit)], "contig string, pos long, any_hit int, all_hit int")
+    found = kmers.peaks(hits, spark.createDataFrame([("c", n)], "contig string, len long"), k)
+    assert {r.pos for r in found.collect()} == {p for p in want if p >= 0} and want
+    good = spark.createDataFrame([("c", 90, 170), ("c", 200, 230)], "contig string, start long, end long")
+    inside = sorted(p for p in want if 90 <= p <= 170 or 200 <= p <= 230)
+    assert sorted(r.pos for r in kmers.binned_peaks(found, good).collect()) == sorted({p // 50: p for p in reversed(inside)}.values())
+    votes = spark.createDataFrame([("c", 100, 1), ("c", 1600, 2), ("c", 3099, 1), ("c", 9000, 0), ("d", 700, 3)], "contig string, pos long, support int")
+    assert sorted(tuple(r) for r in kmers.support_intervals(votes).collect()) == [("c", 1, 600), ("c", 1100, 3599), ("d", 200, 1200)]
+
+
+def test_graph_measures(spark):
+    rnd = random.Random(3)
+    edges = [(s, a, b) for s in "xy" for a, b in itertools.combinations(range(9), 2) if rnd.random() < 0.4] + [("z", 1, 2), ("z", 2, 2)]
+    df = spark.createDataFrame(edges, "sample string, src long, dst long")
+    rows = {r.sample: r for r in graph.graph_metrics(df, ["sample"]).collect()}
+    fiedler = {r.sample: r.fiedler for r in graph.algebraic_connectivity(df, "sample").collect()}
+    for s in "xyz":
+        own = [(a, b) for k, a, b in edges if k == s and a != b]
+        nodes = sorted({v for e in own for v in e})
+        m = np.zeros((len(nodes), len(nodes)))
+        for a, b in own:
+            m[nodes.index(a), nodes.index(b)] = m[nodes.index(b), nodes.index(a)] = 1
+        d = m.sum(0)
+        x, y = np.nonzero(m)
+        corr = np.corrcoef(d[x], d[y])[0, 1] if len(set(d[x])) > 1 else None
+        assert (rows[s].assortativity is None) == (corr is None) and (corr is None or abs(rows[s].assortativity - corr) < 1e-9)
+        assert abs(fiedler[s] - np.linalg.eigvalsh(np.diag(d) - m)[1]) < 1e-9
+        triples = (d * (d - 1) / 2).sum()
+        assert abs(rows[s].transitivity - (np.trace(m @ m @ m) / 2 / triples if triples else 0)) < 1e-9
+
+
+def test_groups_compared(spark):
+    from junctura.plans.tests_of_association import compared_groups
+
+    rnd = random.Random(4)
+    rows = [(g, p, rnd.randrange(6) + (g == "b")) for g in "abc" for p in ("u", "v") for _ in range(8)]
+    got = {(r.property, r.g1, r.g2): (r.p, r.q) for r in compared_groups(spark.createDataFrame(rows, "grp string, property string, value long")).collect()}
+    for p in ("u", "v"):
+        ps = {}
+        for g1, g2 in [(a, b) for a in "abc" for b in "abc" if a >= b]:
+            x, y = ([v for g, q, v in rows if (g, q) == (k, p)] for k in (g1, g2))
+            both = sorted(x + y)
+            rank = lambda v, both=both: both.index(v) + (both.count(v) + 1) / 2
+            z = (sum(map(rank, x)) - len(x) * (len(x) + len(y) + 1) / 2) / (len(x) * len(y) * (len(x) + len(y) + 1) / 12) ** 0.5
+            ps[g1, g2] = round(math.erfc(abs(z) / 2**0.5), 9)
+        for k, v in ps.items():
+            q = min(min(1.0, w * len(ps) / sum(u <= w for u in ps.values())) for w in ps.values() if w >= v)
+            assert got[p, *k][0] == pytest.approx(v, abs=1e-8) and got[p, *k][1] == pytest.approx(q, abs=1e-8)
+
+
+def test_markers_are_chosen_inside_each_fold(spark):
+    rows = [(f"s{i}", f"C{i % 2}", float(i // 2 % 2)) for i in range(16)]
+    # one tag tells the classes apart in the first cohort only, another in the second only
+    tags = [(s, f"t{c}") for s, c, y in rows if y == 1.0] + [(s, "noise") for s, *_ in rows[::3]]
+    labels, presence = spark.createDataFrame(rows, "sample string, cohort string, label double"), spark.createDataFrame(tags, "sample string, tag string")
+    assert learning.markers(presence, labels.filter("cohort <> 'C1'"), 1) == ["tC0"] and learning.markers(presence, labels.filter("cohort <> 'C0'"), 1) == ["tC1"]
+    scores, mean = learning.leave_one_out(presence, labels, n=1)
+    assert scores == {"C0": 0.5, "C1": 0.5} and mean == 0.5
+    row = learning.validated(presence, labels, presence, labels, n=2).first()
+    assert row.auc == 1.0 and row.accuracy == 1.0 and row.false_positive_rate == 0.0
+
+
+def test_rebuilt_and_verified_recipients(spark):
+    refs = spark.createDataFrame([("r", "AAAACCCC"), ("d", "TTACGTTT")], "contig string, seq string")
+    ev = spark.createDataFrame([(1, "r", 4, "d", 2, 5, "False"), (2, "r", 4, "d", 2, 5, "True"), (3, "r", 1, "d", 6, 20, "False")], "event_id long, receptor string, insert_locus long, donor string, delete_start long, delete_end long, reverse_flag string")
+    got = {r.event_id: tuple(r)[1:] for r in simulation.rebuilt_recipients(ev, refs, window=3).collect()}
+    assert got == {1: ("AAAACGCCC", 3, 6, True), 2: ("AAACGTCCC", 3, 6, True), 3: ("ATTAAA", 1, 3, False)}
+    made = spark.createDataFrame([(i, 2000, 2500, n) for i, n in ((1, 4500), (2, 4500), (3, 9000), (4, 9000), (5, 4500))], "event_id long, left_junction long, right_junction long, length long")
+    aligned = [(1, 100, 4400), (2, 0, 2300), (2, 2200, 4500), (3, 0, 2300), (3, 2200, 9000), (4, 0, 2100), (4, 2400, 9000), (5, 1980, 4400)]
+    out = {r.event_id: (r.left_ok, r.right_ok, r.mapped, r.verified) for r in simulation.verified_junctions(made, spark.createDataFrame(aligned, "event_id long, t_start long, t_end long")).collect()}
+    assert out == {1: (True, True, True, True), 2: (True, True, False, False), 3: (True, True, True, True), 4: (True, True, False, False), 5: (False, True, True, False)}
+
+
+def test_simulation(spark):
+    rnd = random.Random(5)
+    seqs = spark.createDataFrame([(f"c{i}", "".join(rnd.choices("ACGT", k=400))) for i in range(40)], "contig string, seq string")
+    original = {r.contig: r.seq for r in seqs.collect()}
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for r in simulation.simulate_transfers(seqs, 3, length=100, snp=0.0).collect():
+        piece = original[r.donor][r.delete_start : r.delete_end]
+        assert r.seq == original[r.receptor][: r.insert_locus] + (turn(piece) if r.reverse_flag == "True" else piece) + original[r.receptor][r.insert_locus :]
+    long = spark.createDataFrame([("".join(rnd.choices("ACGT", k=20_000)),)], "s string")
+    a = long.select("s", simulation.with_snps("s", 0.05, 1).alias("t"), simulation.with_indels("s", 0.1, 1).alias("u")).first()
+    assert 0.03 < sum(x != y for x, y in zip(a.s, a.t, strict=True)) / 20_000 < 0.07 and len(a.u) != 20_000 and abs(len(a.u) - 20_000) < 400
+    pairs = simulation.simulated_reads(seqs, 10, 50, 1).collect()
+    assert len(pairs) == 40 * 40 and all(r.seq1 in original[r.contig] and turn(r.seq2) in original[r.contig] for r in pairs)
+    grid = simulation.scenarios(spark, ("snp", "depth"), 2)
+    assert grid.count() == 18 and grid.select("seed").distinct().count() == 18
+
+
+def test_mechanisms(spark):
+    rnd = random.Random(9)
+    make = lambda n: "".join(rnd.choices("ACGT", k=n))
+    flank = make(200)
+    donors = {"d1": make(1000), "d2": make(200) + flank + make(400) + flank + make(100), "d3": make(1000), "d4": make(500) + "N" + make(499)}
+    ev = [(1, "r", 50, "d1", 700, 300, "x"), (2, "r", 500, "d2", 300, 900, "x"), (3, "q", 5, "d3", 300, 700, "x"), (4, "q", 5, "d4", 450, 900, "x")]
+    reads_ = [(1, "start", 2, donors["d1"][220:260] + make(12) + donors["d1"][260:300], "+"), (1, "start", 1, "ACGT", "+"), (3, "end", 1, donors["d3"][640:670] + "ACGTA" + donors["d3"][670:700], "+")]
+    got = {r.event_id: r for r in mechanisms.mechanism_evidence(
+        spark.createDataFrame(ev, "event_id long, receptor string, insert_locus long, donor string, delete_start long, delete_end long, reverse_flag string"),
+        spark.createDataFrame([("r", 40, 60), ("d3", 0, 10)], "contig string, start long, end long"), spark.createDataFrame([("r", 490, 510)], "contig string, start long, end long"),
+        spark.createDataFrame(list(donors.items()), "contig string, seq string"), spark.createDataFrame(reads_, "event_id long, side string, row_id long, seq string, strand string"),
+    ).collect()}
+    assert got[1].inserted >= 12 and got[1].del_mechanism == "FoSTeS/MMBIR" and got[1].ins_mechanism == "VNTR"
+    assert got[2].homology == 200 and got[2].del_mechanism == "NAHR" and got[2].ins_mechanism == "TEI"
+    assert got[3].inserted > 0 and got[3].ins_mechanism == "NA" and got[4].homology == 0 and got[4].del_mechanism == "NHEJ"
+
+
+def test_down_sampled(spark):
+    df = spark.createDataFrame([(f"r{i}", m, "ACGT" * 5) for i in range(2000) for m in (1, 2)], "read_name string, mate int, seq string")
+    got = reads.down_sampled(df, 1, bases=20_000)
+    assert 15_000 < 20 * got.count() < 25_000 and got.groupBy("read_name").count().filter("count <> 2").isEmpty()
+    assert reads.down_sampled(df, 1, bases=10**9).count() == 4000 and got.count() == reads.down_sampled(df.repartition(7), 1, bases=20_000).count()
+
+
 def test_clusters_in_the_plane(spark):
     pts = [(1, "r", 0, 0), (2, "r", 60, 79), (3, "r", 60, 80), (4, "r", 160, 180), (5, "q", 0, 0), (6, "r", 500, 500)]
     df = spark.createDataFrame(pts, "point long, k string, pos long, mate_pos long")

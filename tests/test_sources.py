@@ -1,3 +1,10 @@
+import gzip
+import struct
+import zlib
+
+import pytest
+
+from junctura.sources import bam, checks, index
 from junctura.sources import files as S
 from junctura.streaming import arrivals
 
@@ -67,3 +74,84 @@ def test_tables(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["A_1:5-90"]
     g = write(tmp_path / "g.gff", "#x\nA_1\ts\tregion\t1\t9\t.\t+\t.\tID=r\nA_1\ts\tCDS\t1\t9\t.\t+\t.\tID=g1;product=p\n")
     assert S.gff(spark, g).count() == 1
+
+
+def block(raw):
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = z.compress(raw) + z.flush()
+    head = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(raw), len(raw))
+
+
+def alignment_record(name, flag, ref, pos, ops, seq, tags=b""):
+    codes = "=ACMGRSVTWYHKDBN"
+    packed = bytes(codes.index(a) << 4 | codes.index(b) for a, b in zip(seq[::2], seq[1::2] + "=" * (len(seq) % 2), strict=True))
+    raw = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 0, len(ops), flag, len(seq), -1, -1, 0) + name.encode() + b"\0"
+    raw += struct.pack(f"<{len(ops)}I", *(n << 4 | "MIDNSHP=X".index(o) for n, o in ops)) + packed + b"\xff" * len(seq) + tags
+    return struct.pack("<i", len(raw)) + raw
+
+
+def test_binary_alignments(spark, tmp_path):
+    tags = b"SAZB,20,-,3S2M,60,0;\0NMC\x05XBBs\x02\x00\x00\x00\x01\x00\xff\xffASf" + struct.pack("<f", 1.5)
+    body = b"BAM\1" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", 2) + b"".join(struct.pack("<i", 2) + n + b"\0" + struct.pack("<i", 900) for n in (b"A", b"B"))
+    body += alignment_record("q1", 99, 0, 9, [(3, "M"), (2, "S")], "ACGTN", tags) + b"".join(alignment_record(f"x{i}", 0, i % 2, i, [(4, "M")], "ACGT") for i in range(3000)) + alignment_record("u", 4, -1, -1, [], "")
+    (tmp_path / "in").mkdir()
+    for name, size in (("a.bam", 7), ("b.bam", 60_000)):
+        (tmp_path / "in" / name).write_bytes(b"".join(block(body[k : k + size * 100]) for k in range(0, len(body), size * 100)) + block(b""))
+    rows = bam.bam(spark, str(tmp_path / "in"))
+    got = rows.filter("qname = 'q1'").collect()
+    assert rows.count() == 2 * 3002 and len(got) == 2 and rows.filter("qname = 'u'").first().ref == "*"
+    assert (got[0].flag, got[0].ref, got[0].pos, got[0].cigar, got[0].seq, got[0].mate_ref) == (99, "A", 9, "3M2S", "ACGTN", "*")
+    assert got[0].tags == {"SA": "B,20,-,3S2M,60,0;", "NM": "5", "XB": "s,1,-1", "AS": "1.5"}
+    assert S.split_alignments(rows).count() == 2
+    bam.write_alignments(rows.filter("ref <> '*'"), str(tmp_path / "t"), 4)
+    assert sorted(r.qname for r in bam.fetch(spark, str(tmp_path / "t"), "A", 100, 103).select("qname").distinct().collect()) == ["x100", "x102", "x98"]
+    (tmp_path / "in" / "c.bam").write_bytes(block(body)[:-200])
+    with pytest.raises(Exception, match="cut off"):
+        bam.bam(spark, str(tmp_path / "in")).count()
+
+
+def test_index(spark, tmp_path):
+    seqs = spark.createDataFrame([("c", "ACGTTGCATGCATTGACCA"), ("short", "ACG")], "contig string, seq string")
+    index.write_index(seqs, str(tmp_path / "i"), 8, seed=3)
+    got = index.read_index(spark, str(tmp_path / "i"), 8, seed=3)
+    assert got.count() > 20 and got.select("contig").distinct().count() == 1
+    with pytest.raises(ValueError):
+        index.read_index(spark, str(tmp_path / "i"), 9, seed=3)
+
+
+def test_input_checks(spark, tmp_path):
+    ref, one, two = write(tmp_path / "r.fa", ">a"), write(tmp_path / "1.fq", "x"), str(tmp_path / "2.fq.gz")
+    (tmp_path / "2.fq.gz").write_bytes(gzip.compress(b"x"))
+    assert checks.input_problems(spark, ref, (one, one)) == [] and len(checks.input_problems(spark, ref, (one, two))) == 1
+    with pytest.raises(ValueError, match="does not exist.*must not be compressed"):
+        checks.check_inputs(spark, str(tmp_path / "no.fa.gz"), (one, one))
+
+
+def test_annotation_and_designs(spark, tmp_path):
+    rp = write(tmp_path / "rep.gff", "#x\nA_1 s region 1 900 . + .\nA_1 s repeat 5 9 . + .\n")
+    assert [tuple(r) for r in S.repeat_regions(spark, rp).collect()] == [("A_1", 5, 9)]
+    te = write(tmp_path / "tei.txt", "#x\nA_1\t10\t20\tIS3\n")
+    assert [tuple(r) for r in S.mobile_elements(spark, te).collect()] == [("A_1", 10, 20)]
+    (tmp_path / "p").mkdir()
+    line = "k__B|p__P|c__C|o__O|f__F|g__G{0}|s__S{0}\t2|3\t{1}\n"
+    write(tmp_path / "p" / "s1_profile.txt", "#v\n" + line.format(1, 2.5) + "k__B|p__P\t2\t9\n" + line.format(2, 0.5))
+    write(tmp_path / "p" / "s2_profile.txt", line.format(2, 4.0))
+    rows = S.profiles(spark, str(tmp_path / "p"))
+    assert sorted(tuple(r) for r in rows.collect()) == [("s1", "s__S1", "g__G1", 2.5), ("s1", "s__S2", "g__G2", 0.5), ("s2", "s__S2", "g__G2", 4.0)]
+    S.write_markers(["s__S1", "g__G2"], spark, str(tmp_path / "m"))
+    got = S.marker_abundances(rows, S.read_markers(spark, str(tmp_path / "m"))).collect()
+    assert sorted(tuple(r) for r in got) == [("s1", "g__G2", 0.5), ("s1", "s__S1", 2.5), ("s2", "g__G2", 4.0)]
+    ko = write(tmp_path / "ko.txt", "ko:K1\nK2\n\n")
+    assert sorted(r.ko for r in S.ko_list(spark, ko).collect()) == ["K1", "K2"]
+    kp = write(tmp_path / "kp.txt", "ko:K1\tpath:map1\nko:K1\tpath:ko1\n")
+    assert sorted(tuple(r) for r in S.ko_pathways(spark, kp).collect()) == [("K1", "ko1"), ("K1", "map1")]
+    ve = write(tmp_path / "v.csv", ",sample,receptor,insert_locus,donor,delete_start,delete_end,reverse_flag,verified\n0,s,A,150,B,250,1000,True,Yes\n1,s,A,1,B,2,3,True,No\n")
+    bins = S.verified_bins(S.verified_events(spark, ve))
+    assert sorted((r.tag, r.role) for r in bins.collect()) == [("A&2", "ins"), ("A&2&B&10", "pair"), ("A&2&B&2", "pair"), ("B&10", "del"), ("B&10&A&2", "pair"), ("B&2", "del"), ("B&2&A&2", "pair")]
+    rt = write(tmp_path / "runs.csv", "Run,L,P,x,y,z,Sample,q\nR1,PAIRED,ILLUMINA,x,y,z,g_S1,q\nR2,SINGLE,NANOPORE,x,y,z,S1,q\n")
+    rows = S.runs(spark, rt)
+    assert sorted(tuple(r) for r in rows.collect()) == [("R1", "S1", "ILLUMINA", "PAIRED"), ("R2", "S1", "NANOPORE", "SINGLE")]
+    assert [tuple(r) for r in S.paired_runs(rows).collect()] == [("S1", "R1", "R2")]
+    ds = write(tmp_path / "d.tsv", "Sample a b Individual Time\nS1 a b I1 4\n")
+    assert [tuple(r) for r in S.design(spark, ds).collect()] == [("S1", "I1", 4)]
