@@ -254,12 +254,13 @@ def excerpt(text: str, seed: int) -> str:
 
 def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Learns from at most rows rows of each language of df that have a text."""
-    labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
-    place = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 30))
-    drawn = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), place.alias("place")).join(sizes, "l")
-    # a share of each language a little over the bound, before its rows meet
-    some = drawn.filter(F.col("place") < F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("n")) * (1 << 30))
+    place = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 30)).alias("place")
+    # the first rows of each language are found without their texts, on every partition before they meet
+    rank = lambda *more: F.row_number().over(Window.partitionBy("l").orderBy("place", "k", *more))
+    ids = df.filter(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), place)
+    chosen = ids.withColumn("r", rank()).filter(F.col("r") <= rows).select("k", "l", "place").distinct()
+    # of rows ids a language, a tenth of what the model holds for one
+    some = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(chosen), ["k", "l"]).filter("t is not null")
 
     def run(batches):
         import pyarrow as pa
@@ -270,8 +271,7 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
 
     kinds = {f.name: f.dataType.simpleString() for f in some.schema}
     short = some.select("k", "t", "l", "place").mapInArrow(run, f"k {kinds['k']}, t string, l string, place long")
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("place", "k", "t"))
-    got = short.withColumn("r", rank).filter(F.col("r") <= rows).orderBy("l", "r").select("t", "l").collect()
+    got = short.withColumn("r", rank("t")).filter(F.col("r") <= rows).orderBy("l", "r").select("t", "l").collect()
     return train([r.t for r in got], [r.l for r in got])
 
 
