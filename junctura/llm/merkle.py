@@ -141,6 +141,10 @@ def _in_bucket() -> Column:
     return F.floor(F.col("pos") / BUCKET).cast("long").alias("bucket")
 
 
+def _by_bucket(above: DataFrame):
+    return above.select(F.col("key").alias("up_key"), F.col("pos").alias("up_pos"), "top", "path").groupBy("up_key", "up_pos")
+
+
 def bucket_roots(nodes: DataFrame) -> DataFrame:
     """The nodes four levels up: key, pos, n, h."""
 
@@ -168,7 +172,7 @@ def paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
         return pa.table([made.column("key"), made.column("pos"), pa.array([top.as_py()] * len(made), pa.string()), whole], ["key", "pos", "top", "path"])
 
     left = nodes.select("key", "pos", "n", "h").groupBy("key", _in_bucket())
-    return left.cogroup(above.groupBy("key", F.col("pos").alias("bucket"))).applyInArrow(run, f"key string, pos long, top string, path {PATH}")
+    return left.cogroup(_by_bucket(above)).applyInArrow(run, f"key string, pos long, top string, path {PATH}")
 
 
 # ---- trees
@@ -228,7 +232,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
         return made.append_column("subroot", top).select(["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"])
 
     rows = base.select("key", "pos", "n", "h", "t", "doc_id").groupBy("key", _in_bucket())
-    proven = rows.cogroup(above.groupBy("key", F.col("pos").alias("bucket"))).applyInArrow(run, "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string")
+    proven = rows.cogroup(_by_bucket(above)).applyInArrow(run, "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string")
     known = F.lit(root[0])
     return proven.select("doc_id", "leaf", "subroot", known.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == known).alias("verified"))
 
