@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_crf, license_scan, merkle, minhash_forest, mixing, piece_bpe, quality_rules, repeats, token_automaton, toxicity, transport_stream, warc
+from . import language_crf, lexical_index, license_scan, merkle, minhash_forest, mixing, piece_bpe, quality_rules, repeats, token_automaton, toxicity, transport_stream, warc
 
-_MODULES = (quality_rules, repeats, mixing, license_scan, piece_bpe, toxicity, transport_stream, warc, language_crf, minhash_forest, token_automaton, merkle)
+_MODULES = (quality_rules, repeats, mixing, license_scan, piece_bpe, toxicity, transport_stream, warc, language_crf, minhash_forest, token_automaton, lexical_index, merkle)
 
 
 def queries():
