@@ -72,8 +72,8 @@ class Block:
         raw, n = (text or "").encode(), 0
         for found in _terms(raw):
             number = self.number
-            for t in set(found) - number.keys():
-                number[t] = len(number)
+            for t in set(found):
+                number.setdefault(t, len(number))
             self.codes.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
             n += len(found)
         self.ids.append(doc_id)
