@@ -7,8 +7,8 @@ indexed, whatever the queries; N, L and the number of documents of each term are
 
 A search joins the terms of its items to their weights and these to the postings, and deals blocks to groups, with the
 items beside them. For a block the impacts of a term (its share of the score, a whole number) are cut into bitmaps, one a
-bit; they are added to the sums of all items that hold the term by carry arithmetic on 64 documents at a time. The sums of
-an item are bitmaps as well; its k best documents are found from the most significant slice down: with G sure of a place
+bit; they are added to the sums of all items that hold the term by bitwise carry-save arithmetic, 64 documents at a time. The
+sums of an item are bitmaps as well; its k best documents are found from the most significant slice down: with G sure of a place
 and E tied so far, a slice s keeps E & s if G and E & s hold more than k documents, and else moves E & s to G and keeps the
 rest of E. The first of what is still tied, in the order of ids, fill the last places. k rows an item and block remain to be ranked.
 
@@ -24,6 +24,8 @@ that no document holds, have no rows. Input columns besides ids and texts are of
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -147,39 +149,46 @@ def sliced(slots: np.ndarray, impacts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Sums:
-    """The sums of items over a block's documents, as bit slices: slices[b][item, group of 64 documents]."""
+    """The sums of items over a block's documents, as bit slices in carry-save form: the sum of an item and a document is that
+    of the numbers whose bits are parts[b, item, group of 64 documents] and carries[b, ...]. A term changes both by a few
+    operations over all bits at once; the carries run through the slices once, when a block is complete."""
 
-    def __init__(self, items: int, docs: int):
-        self.shape, self.slices = (items, -(-docs // 64)), []
+    def __init__(self, items: int, docs: int, bits: int):
+        self.shape = (items, -(-docs // 64))
+        self.parts, self.carries = np.zeros((2, bits, *self.shape), np.uint64)
 
     def add(self, items: np.ndarray, words: np.ndarray, planes: np.ndarray, shift: int = 0) -> None:
         """Adds a term's planes, times 2 to the power of shift, to the items' sums."""
         whole = len(words) == self.shape[1]
-        rows = items if whole else items[:, None]
-        at = (rows,) if whole else (rows, words)
-        carry, b = None, shift
-        while b - shift < len(planes) or carry is not None and carry.any():
-            if b >= len(self.slices):
-                self.slices.append(np.zeros(self.shape, np.uint64))
-            own = self.slices[b][at]
-            if b - shift < len(planes):
-                other = planes[b - shift]
-                half = own ^ other
-                if carry is None:
-                    self.slices[b][at], carry = half, own & other
-                else:
-                    self.slices[b][at], carry = half ^ carry, own & other | half & carry
-            else:
-                self.slices[b][at], carry = own ^ carry, own & carry
-            b += 1
+        at = (slice(shift, None), items) if whole else (slice(shift, None), items[:, None], words)
+        part, carry = self.parts[at], self.carries[at]
+        own = planes[:, None, :]
+        # the bits of a part, a carry and the term: their parity stays, their majority goes one bit up
+        both = part & carry
+        either = part ^ carry
+        n = len(planes)
+        both[:n] |= either[:n] & own
+        either[:n] ^= own
+        self.parts[at] = either
+        carry[1:] = both[:-1]
+        carry[0] = 0
+        self.carries[at] = carry
+
+    def slices(self) -> list[np.ndarray]:
+        """The bits of the sums, the least first."""
+        out, over = [], np.zeros(self.shape, np.uint64)
+        for part, carry in zip(self.parts, self.carries, strict=True):
+            half = part ^ carry
+            out.append(half ^ over)
+            over = part & carry | half & over
+        return out
 
     def top(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, place and sum of the k highest sums above 0 of each item, the first places of equal sums."""
-        if not self.slices:
-            return (np.zeros(0, np.int64),) * 3
-        tied = np.bitwise_or.reduce(self.slices)
+        slices = self.slices()
+        tied = np.bitwise_or.reduce(slices)
         sure = np.zeros(self.shape, np.uint64)
-        for s in reversed(self.slices):
+        for s in reversed(slices):
             with_bit = tied & s
             together = sure | with_bit
             crowded = (np.bitwise_count(together).sum(axis=1) > k)[:, None]
@@ -191,7 +200,7 @@ class Sums:
         nth = np.arange(len(more)) - np.searchsorted(more, more)
         item, place = np.r_[item, more[nth < room[more]]], np.r_[place, at[nth < room[more]]]
         score = np.zeros(len(item), np.int64)
-        for b, s in enumerate(self.slices):
+        for b, s in enumerate(slices):
             score |= (s[item, place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << b
         return item, place, score
 
@@ -240,6 +249,12 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     )
     dealt = rows.unionByName(queries).repartition(sets * parts, "part", "set").sortWithinPartitions("part", "set", "block", "kind", "term")
 
+    # no impact reaches a million times the weight of a term that one document holds
+    most = asked.agg(F.max(F.size("terms"))).first()[0]
+    bits = (most * 1_000_000 * int(1000 * math.log(2 * n + 2) + 1)).bit_length()
+    if bits > 63:
+        raise ValueError("an item has too many terms for 64-bit scores")
+
     def run(batches):
         import pyarrow as pa
 
@@ -270,7 +285,7 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
                     if sums is not None:
                         yield from found()
                     lengths, ids = np.frombuffer(columns[7][i].as_py(), np.int64), columns[8][i].as_py()
-                    pace, sums = 100 - 25 + 25 * lengths * n // total, Sums(len(items), len(ids))
+                    pace, sums = 100 - 25 + 25 * lengths * n // total, Sums(len(items), len(ids), bits)
                 elif of := holders.get(columns[4][i].as_py()):
                     slots, counts = np.frombuffer(columns[6][i].as_py(), np.uint16).astype(np.int64), np.frombuffer(columns[7][i].as_py(), np.uint32)
                     words, planes = sliced(slots, impacts(columns[5][i].as_py(), counts, pace[slots]))
