@@ -15,7 +15,7 @@ from ..functions.columns import genome
 from .checkpoints import stored
 from .graph import matching_per_component
 from .joins import canonical_pair
-from .order import islands
+from .scans import islands
 
 SHARED, LEAST_LENGTH, END_ZONE = 20, 500, 100
 

@@ -97,27 +97,45 @@ def canonical_hashes(seq: str, k: int, masks: list[list[int]]):
     return pos, [np.minimum(mixed(forward, m), mixed(backward, m)) for m in masks]
 
 
-def sequence_hashes(seqs: DataFrame, k: int, masks: list[list[int]], keep: list[str], seq: str = "seq", chunk: int = 500_000) -> DataFrame:
+def sequence_hashes(seqs: DataFrame, k: int, masks: list[list[int]], keep: list[str], seq: str = "seq", chunk: int = 500_000, places: bool = True) -> DataFrame:
     """keep, pos (from 0), hash_no and h (canonical) of every k-mer of ACGT only; a hash of 0 is none. Sequences shorter
-    than k have none and keep their names. Long sequences are worked off in chunks."""
+    than k have none and keep their names. Without places only keep and h. Sequences are put together, long ones in chunks,
+    until a chunk is full, with a letter between them that no k-mer may hold."""
     kinds = {f.name: f.dataType.simpleString() for f in seqs.schema}
 
-    def run(batches):
+    def hashed(group, columns):
         import numpy as np
         import pyarrow as pa
 
+        pos, found = canonical_hashes("N".join(text for *_, text in group), k, masks)
+        starts = np.cumsum([0, *(len(text) + 1 for *_, text in group[:-1])])
+        piece = np.searchsorted(starts, pos, side="right") - 1
+        h, n = np.concatenate(found), len(masks)
+        some = np.flatnonzero(h)
+        own = np.tile(piece, n)[some]
+        out = [c.take(pa.array(np.array([row for row, *_ in group])[own])) for c in columns]
+        if places:
+            at = np.tile(pos + (np.array([a for _, a, _ in group]) - starts)[piece], n)[some]
+            out += [pa.array(at), pa.array(np.repeat(np.arange(n, dtype=np.int32), len(pos))[some])]
+        return pa.RecordBatch.from_arrays([*out, pa.array(h[some])], names)
+
+    def run(batches):
         for batch in batches:
+            columns, group, size = batch.columns[:-1], [], 0
             for row in range(batch.num_rows):
                 text = batch.column(len(keep))[row].as_py() or ""
                 for a in range(0, max(len(text) - k + 1, 0), chunk):
-                    pos, found = canonical_hashes(text[a : a + chunk + k - 1], k, masks)
-                    pos, h = np.tile(pos + a, len(masks)), np.concatenate(found)
-                    number = np.repeat(np.arange(len(masks), dtype=np.int32), len(pos) // len(masks))
-                    some = h != 0
-                    same = pa.array(np.full(int(some.sum()), row))
-                    yield pa.RecordBatch.from_arrays([*[batch.column(i).take(same) for i in range(len(keep))], pa.array(pos[some]), pa.array(number[some]), pa.array(h[some])], [*keep, "pos", "hash_no", "h"])
-
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], "pos long", "hash_no int", "h long"])
+                    piece = text[a : a + chunk + k - 1]
+                    if group and size + len(piece) > chunk:
+                        yield hashed(group, columns)
+                        group, size = [], 0
+                    group.append((row, a, piece))
+                    size += len(piece)
+            if group:
+                yield hashed(group, columns)
+
+    names = [*keep, *(["pos", "hash_no"] if places else []), "h"]
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], *(["pos long", "hash_no int"] if places else []), "h long"])
     return seqs.select(*keep, seq).mapInArrow(run, schema)
 
 
@@ -132,63 +150,98 @@ def hit_positions(index: DataFrame, counted: DataFrame, n_hashes: int) -> DataFr
     return met.groupBy("contig", "pos").agg(F.count("*").alias("n")).select("contig", "pos", F.lit(1).alias("any_hit"), (F.col("n") >= n_hashes).cast("int").alias("all_hit"))
 
 
+def good_runs(hits: DataFrame, contigs: DataFrame, size: int, hit_ratio: float, match_ratio: float, chunk: int = 1 << 16) -> DataFrame:
+    """contig, a, b: runs of ends of trailing windows of size bases with enough positions hit by any and by all hash functions.
+
+    The sums over windows change only where a hit enters or leaves. Each chunk of a contig takes the changes inside it and,
+    at its first position, what the hits of a window before it amount to; changes at one place are put together, of which
+    little is left inside a long run, and the sums between two changes are one run of positions."""
+    least, both = int(size * hit_ratio), int(size * match_ratio)
+    if max(least, both) < 1 or chunk < size:
+        raise ValueError("a window needs a hit, and a chunk the length of a window")
+    at = lambda p: F.floor(p / chunk).cast("long")
+    own, left = at(F.col("pos")), at(F.col("pos") + size)
+    change = lambda c, p, sign: F.struct(c.alias("chunk"), p.cast("long").alias("p"), (F.col("any_hit") * sign).alias("x"), (F.col("all_hit") * sign).alias("y"))
+    changes = F.array(change(own, F.col("pos"), 1), change(left, F.col("pos") + size, -1))
+    crossing = F.array_append(changes, change(left, left * chunk, 1))
+    rows = hits.filter("any_hit > 0").select("contig", F.explode(F.when(own < left, crossing).otherwise(changes)).alias("c")).select("contig", "c.*")
+    steps = rows.repartition("contig", "chunk").groupBy("contig", "chunk", "p").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).filter("x <> 0 or y <> 0")
+    w = Window.partitionBy("contig", "chunk").orderBy("p")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.coalesce(F.lead("p").over(w), (F.col("chunk") + 1) * chunk)
+    held = steps.select("contig", "p", end.alias("end"), F.sum("x").over(upto).alias("x"), F.sum("y").over(upto).alias("y"))
+    held = held.filter((F.col("x") >= least) & (F.col("y") >= both)).join(contigs.select("contig", "len"), "contig")
+    runs = held.select("contig", F.greatest("p", F.lit(size - 1)).cast("long").alias("a"), (F.least("end", "len") - 1).cast("long").alias("b"))
+    return runs.filter("a <= b")
+
+
 def good_windows(hits: DataFrame, contigs: DataFrame, size: int, hit_ratio: float, match_ratio: float) -> DataFrame:
     """contig, pos: ends of trailing windows of size bases with enough positions hit by any and by all hash functions."""
-    every = contigs.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("pos"))
-    filled = every.join(hits, ["contig", "pos"], "left").fillna(0, ["any_hit", "all_hit"])
-    w = Window.partitionBy("contig").orderBy("pos").rangeBetween(-(size - 1), 0)
-    summed = filled.select("contig", "pos", F.sum("any_hit").over(w).alias("any_n"), F.sum("all_hit").over(w).alias("all_n"))
-    return summed.filter((F.col("any_n") >= int(size * hit_ratio)) & (F.col("all_n") >= int(size * match_ratio)) & (F.col("pos") >= size - 1)).select("contig", "pos")
+    return good_runs(hits, contigs, size, hit_ratio, match_ratio).select("contig", F.explode(F.sequence("a", "b")).alias("pos"))
 
 
-def good_intervals(windows: DataFrame, contigs: DataFrame, size: int) -> DataFrame:
-    """Runs of good windows, widened by twice the window and clipped to the contig; closer ones than a window merge."""
-    w = Window.partitionBy("contig").orderBy("pos")
-    opened = windows.withColumn("open", F.when(F.coalesce(F.col("pos") - F.lag("pos").over(w), F.lit(2)) > 1, 1).otherwise(0))
-    runs = opened.withColumn("n", F.sum("open").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("contig", "n").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    wide = runs.join(contigs, "contig").select("contig", F.greatest(F.col("a") - 2 * size, F.lit(1)).alias("start"), F.least(F.col("b") + 2 * size, F.col("len")).alias("end"))
-    from .order import interval_union
+def good_intervals(runs: DataFrame, contigs: DataFrame, size: int) -> DataFrame:
+    """Runs of good windows (contig, a, b), widened by twice the window and clipped to the contig; closer ones than a window
+    merge."""
+    wide = runs.join(contigs.select("contig", "len"), "contig").select("contig", F.greatest(F.col("a") - 2 * size, F.lit(1)).alias("start"), F.least(F.col("b") + 2 * size, F.col("len")).alias("end"))
+    from .scans import interval_union
 
     return interval_union(wide, ["contig"], "start", "end", gap=size - 1)
 
 
-def peaks(hits: DataFrame, contigs: DataFrame, k: int, width: int = 5, diff: int = 2) -> DataFrame:
+def peaks(hits: DataFrame, contigs: DataFrame, k: int, width: int = 5, diff: int = 2, chunk: int = 1 << 16) -> DataFrame:
     """contig, pos of edges of the hit signal: sums of hits over width bases that differ by diff or more between
-    positions m in [k, 2k) apart, with the left sum taken across the k-mer boundary."""
+    positions m in [k, 2k) apart, with the left sum taken across the k-mer boundary.
+
+    A chunk of a contig is looked at together with the hits up to 2 * (k + width) bases before it."""
     import pandas as pd
 
-    joined = hits.filter("any_hit > 0").select("contig", "pos").join(contigs, "contig")
+    back = 2 * (k + width)
+    chunks = F.explode(F.sequence(F.floor(F.col("pos") / chunk), F.floor((F.col("pos") + back) / chunk)))
+    joined = hits.filter("any_hit > 0").select("contig", "pos", chunks.alias("chunk")).join(contigs.select("contig", "len"), "contig")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        n = int(pdf.len.iloc[0])
-        hit = np.zeros(n, np.int64)
-        hit[pdf.pos.to_numpy()] = 1
+        base = int(pdf.chunk.iloc[0]) * chunk - back
+        n = min(int(pdf.len.iloc[0]) - base, back + chunk)
+        hit = np.zeros(max(n, 0), np.int64)
+        hit[pdf.pos.to_numpy() - base] = 1
         total = np.r_[0, np.cumsum(hit)]
-        s = np.zeros(n, np.int64)  # hits in the width bases that end at j
+        s = np.zeros(len(hit), np.int64)  # hits in the width bases that end at a position
         s[width - 1 :] = total[width:] - total[:-width]
-        j = np.arange(2 * k + 11, n)
-        found: set[int] = set()
+        j = np.arange(back, len(hit))
+        j = j[j + base >= 2 * k + 11]
+        found = []
         for m in range(k, 2 * k):
-            inside = j[j - width - k >= 0]
-            inside = inside[inside - width - m >= 0]
-            left = s[inside - width] - s[inside - width - k] + s[inside - width - m]
-            right = s[inside]
-            found |= set((inside - m - width)[left - right >= diff].tolist()) | set(inside[left - right <= -diff].tolist())
-        out = sorted(p for p in found if p >= 0)
-        return pd.DataFrame({"contig": np.full(len(out), pdf.contig.iloc[0], object), "pos": np.array(out, np.int64)})
+            inside = j[(j + base >= width + k) & (j + base >= width + m)]
+            change = s[inside - width] - s[inside - width - k] + s[inside - width - m] - s[inside]
+            found += [inside[change >= diff] - m - width, inside[change <= -diff]]
+        out = np.unique(np.concatenate(found)) + base
+        return pd.DataFrame({"contig": np.full(len(out), pdf.contig.iloc[0], object), "pos": out})
 
-    return joined.groupBy("contig").applyInPandas(run, "contig string, pos long")
+    # an edge may lie in the chunk before the position that shows it
+    return joined.groupBy("contig", "chunk").applyInPandas(run, "contig string, pos long").distinct()
 
 
 def binned_peaks(found: DataFrame, intervals: DataFrame, size: int = 50) -> DataFrame:
-    """Peaks inside good intervals, the first one of each bin: peak_id (a hash of its place), contig, pos."""
+    """Peaks inside good intervals (start <= pos < end): contig, pos and first, the first such peak of its bin."""
     from .joins import interval_join
 
-    inside = interval_join(found, intervals, ["contig"], "pos", "start", "end", how="left_semi")
-    first = inside.groupBy("contig", F.floor(F.col("pos") / size).alias("bin")).agg(F.min("pos").alias("pos"))
-    return first.select(F.xxhash64("contig", "pos").alias("peak_id"), "contig", "pos")
+    last = intervals.select("contig", "start", (F.col("end") - 1).alias("end")).filter("start <= end")
+    inside = interval_join(found, last, ["contig"], "pos", "start", "end", how="left_semi").withColumn("bin", F.floor(F.col("pos") / size))
+    first = inside.groupBy("contig", "bin").agg(F.min("pos").alias("first"))
+    return inside.join(first, ["contig", "bin"]).select("contig", "pos", "first")
+
+
+def peak_hashes(index: DataFrame, binned: DataFrame, near: int = 0) -> DataFrame:
+    """h, contig, pos: the peak that a hash stands for. The hashes at a peak's position and near bases before it stand for
+    the first peak of its bin; of several peaks that claim one hash the last has it, in the order of contig, peak, position
+    and hash function."""
+    claims = binned.withColumn("at", F.explode(F.sequence(F.col("pos") - near, F.col("pos")))).withColumnsRenamed({"pos": "peak"})
+    met = index.select("contig", F.col("pos").alias("at"), "hash_no", "h").join(claims, ["contig", "at"])
+    last = F.max(F.struct("contig", "peak", "at", "hash_no", "first"))
+    return met.groupBy("h").agg(last.alias("l")).select("h", "l.contig", F.col("l.first").alias("pos"))
 
 
 def read_votes(read_hashes: DataFrame, peak_hashes: DataFrame, least: int = 6) -> DataFrame:
@@ -247,7 +300,7 @@ def read_votes(read_hashes: DataFrame, peak_hashes: DataFrame, least: int = 6) -
 
 def support_intervals(votes: DataFrame, around: int = 500, least: int = 1) -> DataFrame:
     """contig, start, end about peaks (contig, pos, support) with enough support, those closer than around joined."""
-    from .order import interval_union
+    from .scans import interval_union
 
     wide = votes.filter(F.col("support") >= least).select("contig", F.greatest(F.col("pos") - around, F.lit(1).cast("long")).alias("start"), (F.col("pos") + around).alias("end"))
     return interval_union(wide, ["contig"], "start", "end", gap=around - 1)

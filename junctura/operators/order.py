@@ -1,10 +1,8 @@
-"""Order-dependent operators: islands, interval union, ranks, top-k and sequential greedy merges.
+"""Order-dependent operators: top-k, runs of equal rows, samples and the merge about a running mean.
 
-Those that a window can express are windows. The greedy ones, whose outcome depends on earlier outcomes, run in the order
-of an explicit row id over groups that cannot interact: a contig or contig pair is first cut, on Spark, into runs of
-occupied position bins, along both ends where there are two. Rows stream through a group; what is held is the state of
-its open clusters. Where positions leave no gap at all a run is the whole contig, as each outcome may then depend on all
-before it.
+The merge depends on all members of a cluster in their order, so it runs over groups that cannot interact: a contig is first
+cut, on Spark, into runs of occupied position bins. Rows stream through a group; what is held is the open cluster.
+Where positions leave no gap at all a run is the whole contig. The other greedy merges are in greedy.py.
 """
 
 from __future__ import annotations
@@ -14,37 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(df: DataFrame, by: list[str], pos: str, gap: int, tie: list[str] = (), name: str = "cluster") -> DataFrame:
-    """Single-linkage clusters on a line: a new one begins where the step is over gap; numbered from 1 in each group."""
-    w = Window.partitionBy(*by).orderBy(pos, *tie)
-    step = F.col(pos) - F.lag(pos).over(w)
-    opens = F.when(step.isNull() | (step > gap), 1).otherwise(0)
-    return df.withColumn("__open", opens).withColumn(name, F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__open")
-
-
-def interval_union(df: DataFrame, by: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
-    """Maximal intervals of the union of closed intervals; those that touch (or lie within gap) are joined."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*by, start, end, F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0).alias("__open"))
-    numbered = marked.withColumn("__n", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "__n").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__n")
-
-
-def interval_gaps(union: DataFrame, by: list[str], start: str, end: str, least: int) -> DataFrame:
-    """The stretches between successive intervals that are longer than least."""
-    w = Window.partitionBy(*by).orderBy(start)
-    before = union.select(*by, F.lag(end).over(w).alias("gap_start"), F.col(start).alias("gap_end"))
-    return before.filter(F.col("gap_end") - F.col("gap_start") > least)
-
-
-def rank_avg(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties at their mean."""
-    w = Window.partitionBy(*by)
-    peers = F.count("*").over(w.partitionBy(*by, value))
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (peers - 1) / F.lit(2.0))
-
-
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, full_only: bool = False) -> DataFrame:
     """The first k rows of each group; with full_only, groups with fewer rows are left out."""
     w = Window.partitionBy(*by)
@@ -105,13 +72,6 @@ def sorted_groups(df: DataFrame, key: str, order: list[str], start, schema: str)
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(stream, schema)
 
 
-def _around(cells: dict, x: int, y: int, near: int):
-    """What lies in the cell of a point and the eight about it."""
-    for i in (x // near - 1, x // near, x // near + 1):
-        for j in (y // near - 1, y // near, y // near + 1):
-            yield from cells.get((i, j), ())
-
-
 def running_mean_merge(df: DataFrame, by: str, pos: str, gap: int = 5000) -> DataFrame:
     """Positions of a contig merged along the line: a position within gap of the anchor joins it, and the anchor moves
     to int(mean) + 1 of its members. Columns: by, pos, anchor (the cluster's last one)."""
@@ -141,100 +101,3 @@ def running_mean_merge(df: DataFrame, by: str, pos: str, gap: int = 5000) -> Dat
         return step, close
 
     return sorted_groups(runs.select("group_key", by, pos), "group_key", [pos], start, f"{by} string, {pos} long, anchor long")
-
-
-def _pair_runs(df: DataFrame, ref1: str, pos1: str, ref2: str, pos2: str, near: int, more: list[str] = ()) -> DataFrame:
-    """df with __pair, and __key of rows that may interact: of one contig pair (and equal in more) and of runs of bins of
-    both ends. On one contig with itself the lesser position counts as the first, as either spelling may come."""
-    turned = (F.col(ref1) > F.col(ref2)) | ((F.col(ref1) == F.col(ref2)) & (F.col(pos1) > F.col(pos2)))
-    rows = df.withColumn("__pair", F.concat_ws("&", F.least(ref1, ref2), F.greatest(ref1, ref2)))
-    rows = rows.withColumn("__x", F.when(turned, F.col(pos2)).otherwise(F.col(pos1))).withColumn("__y", F.when(turned, F.col(pos1)).otherwise(F.col(pos2)))
-    rows = bin_runs(rows, ["__pair", *more], "__x", near, "__rx")
-    rows = bin_runs(rows, ["__pair", *more, "__rx"], "__y", near, "__ry")
-    return rows.withColumn("group_key", F.concat_ws("|", "__pair", *more, F.col("__rx").cast("string"), F.col("__ry").cast("string"))).drop("__x", "__y", "__rx", "__ry")
-
-
-def drop_near_repeats(df: DataFrame, near: int = 50) -> DataFrame:
-    """Rows kept in row_id order unless an earlier kept row of the contig pair lies within near bases at both ends, in
-    either orientation. Columns: row_id, from_ref, from_pos, to_ref, to_pos."""
-
-    def start():
-        cells: dict[str, dict] = {}
-
-        def step(r):
-            # kept rows by their first contig, which on a pair of two contigs is the spelling
-            for a, p, q in ((r.from_ref, r.from_pos, r.to_pos), (r.to_ref, r.to_pos, r.from_pos)):
-                if any(abs(x - p) < near and abs(y - q) < near for x, y in _around(cells.get(a, {}), p, q, near)):
-                    return ()
-            cells.setdefault(r.from_ref, {}).setdefault((r.from_pos // near, r.to_pos // near), []).append((r.from_pos, r.to_pos))
-            return [(r.row_id, r.from_ref, r.from_pos, r.to_ref, r.to_pos)]
-
-        return step, lambda: ()
-
-    rows = _pair_runs(df.select("row_id", "from_ref", "from_pos", "to_ref", "to_pos"), "from_ref", "from_pos", "to_ref", "to_pos", near)
-    return sorted_groups(rows.drop("__pair"), "group_key", ["row_id"], start, "row_id long, from_ref string, from_pos long, to_ref string, to_pos long")
-
-
-def merge_raw_clusters(df: DataFrame, near: int = 50) -> DataFrame:
-    """Raw clusters (row_id, ref1, pos1, ref2, pos2, reverse, support) of each unordered contig pair merged in row order:
-    a row joins every cluster of its direction whose first positions lie within near on both sides, in the orientation
-    of the pair's first row; else it opens one. Columns: ref1, ref2, reverse, p1 and p2 (distinct, sorted), support."""
-
-    def start():
-        clusters: list[dict] = []
-        cells: dict[tuple, list[dict]] = {}
-
-        def step(r):
-            # a contig's pair with itself has one spelling only
-            x, y = (r.pos1, r.pos2) if r.ref1 == r.first1 else (r.pos2, r.pos1)
-            joined = [c for c in _around(cells, x, y, near) if abs(c["x"] - x) < near and abs(c["y"] - y) < near]
-            if not joined:
-                joined = [{"row": (r.first1, r.first2, r.reverse), "x": x, "y": y, "p1": set(), "p2": set(), "support": 0}]
-                clusters.append(joined[0])
-                cells.setdefault((x // near, y // near), []).append(joined[0])
-            for c in joined:
-                c["p1"].add(x)
-                c["p2"].add(y)
-                c["support"] += r.support
-            return ()
-
-        return step, lambda: [(*c["row"], sorted(c["p1"]), sorted(c["p2"]), c["support"]) for c in clusters]
-
-    rows = df.select("row_id", "ref1", "pos1", "ref2", "pos2", "reverse", "support")
-    # one contig with itself: positions are taken as they are spelled, so the runs must not turn them
-    own, two = F.col("ref1") == F.col("ref2"), F.col("ref1") != F.col("ref2")
-    key = _pair_runs(rows.filter(two), "ref1", "pos1", "ref2", "pos2", near, ["reverse"])
-    loops = rows.filter(own).withColumn("__pair", F.concat_ws("&", "ref1", "ref2"))
-    loops = bin_runs(bin_runs(loops, ["__pair", "reverse"], "pos1", near, "__rx"), ["__pair", "reverse", "__rx"], "pos2", near, "__ry")
-    loops = loops.withColumn("group_key", F.concat_ws("|", "__pair", "reverse", F.col("__rx").cast("string"), F.col("__ry").cast("string"))).drop("__rx", "__ry")
-    first = rows.groupBy(F.concat_ws("&", F.least("ref1", "ref2"), F.greatest("ref1", "ref2")).alias("__pair")).agg(F.min_by("ref1", "row_id").alias("first1"), F.min_by("ref2", "row_id").alias("first2"))
-    keyed = key.unionByName(loops).join(first, "__pair").drop("__pair")
-    return sorted_groups(keyed, "group_key", ["row_id"], start, "ref1 string, ref2 string, reverse string, p1 array<long>, p2 array<long>, support long")
-
-
-def merge_segments(df: DataFrame, by: list[str], near: int = 50) -> DataFrame:
-    """Donor segments (row_id, start, end, recipient) of a group merged greedily: a segment within near bases at both
-    ends of a cluster's first one joins it. Columns: by, start, end (the first one's), n_segments, n_recipients."""
-
-    def start():
-        clusters: list[list] = []
-        cells: dict[tuple, list[int]] = {}
-
-        def step(r):
-            near_ones = [k for k in _around(cells, r.start, r.end, near) if abs(clusters[k][0] - r.start) < near and abs(clusters[k][1] - r.end) < near]
-            if near_ones:
-                c = clusters[min(near_ones)]
-                c[2] += 1
-                c[3].add(r.recipient)
-            else:
-                cells.setdefault((r.start // near, r.end // near), []).append(len(clusters))
-                clusters.append([r.start, r.end, 1, {r.recipient}, tuple(getattr(r, c) for c in by)])
-            return ()
-
-        return step, lambda: [(*c[4], c[0], c[1], c[2], len(c[3])) for c in clusters]
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["start long", "end long", "n_segments long", "n_recipients long"])
-    rows = bin_runs(bin_runs(df.select(*by, "row_id", "start", "end", "recipient"), by, "start", near, "__rx"), [*by, "__rx"], "end", near, "__ry")
-    keyed = rows.withColumn("group_key", F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "__rx", "__ry")])).drop("__rx", "__ry")
-    return sorted_groups(keyed, "group_key", ["row_id"], start, schema)

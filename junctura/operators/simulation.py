@@ -102,7 +102,7 @@ def verified_junctions(events: DataFrame, aligned: DataFrame, around: int = 30,
     part. mapped: one alignment spans both junctions, or, on recipients longer than long, two overlapping ones do
     together. verified: one alignment supports both junctions or, on long ones, those of the two junctions overlap; and
     both are supported, enough is covered, and it is mapped."""
-    from .order import interval_union
+    from .scans import interval_union
 
     met = events.join(aligned, "event_id")
     spans = lambda c: (F.col("t_start") <= F.col(c) - around) & (F.col("t_end") >= F.col(c) + around)

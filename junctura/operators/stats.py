@@ -9,13 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order import rank_avg
-
-
-def log_factorials(spark, largest: int) -> DataFrame:
-    """n and the logarithm of n! up to largest."""
-    ids = spark.range(0, largest + 1).withColumnRenamed("id", "n")
-    return ids.select("n", F.sum(F.when(F.col("n") > 0, F.log("n")).otherwise(0.0)).over(Window.partitionBy(F.lit(0)).orderBy("n")).alias("lf"))
+from .scans import rank_avg, value_ranks
 
 
 @F.pandas_udf(T.DoubleType())
@@ -55,26 +49,24 @@ def bonferroni(df: DataFrame, p: str, by: list[str] = ()) -> DataFrame:
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] = ()) -> DataFrame:
     """df with q_value: the least p * m / r of a p-value and all greater ones, r being the number of tests up to it.
 
-    Equal p-values share their value, so that only the distinct ones of a group, with their counts, are sorted."""
+    Equal p-values share their value, so that only the distinct ones of a group, with their counts, are put in order."""
     by = list(by)
     each = df.groupBy(*by, F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = each.withColumn("__r", F.sum("__n").over(group.orderBy("__p"))).withColumn("__m", F.sum("__n").over(group))
-    above = group.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
-    found = upto.select(*by, "__p", F.least(F.lit(1.0), F.min(F.col("__p") * F.col("__m") / F.col("__r")).over(above)).alias("q_value"))
+    share = F.col("__p") * F.col("total") / (F.col("before") + F.col("__n"))
+    found = value_ranks(each, by, "__p", "__n", share).select(*by, "__p", F.least(F.lit(1.0), F.col("lowest")).alias("q_value"))
     own = df.withColumn("__p", F.col(p))
     return own.join(found, [*by, "__p"]).drop("__p")
 
 
 def mann_whitney(df: DataFrame, by: list[str], group: str, value: str, first: Column, correct: bool = True, ties: bool = True) -> DataFrame:
     """by, n1, n2, u (of the rows where first holds), z: normal approximation with tie and continuity correction."""
-    ranked = rank_avg(df, by, value, "__rank").withColumn("__peers", F.count("*").over(Window.partitionBy(*by, value)))
-    agg = ranked.groupBy(*by).agg(
-        F.sum(F.when(first, 1).otherwise(0)).cast("long").alias("n1"),
-        F.sum(F.when(first, 0).otherwise(1)).cast("long").alias("n2"),
-        F.sum(F.when(first, F.col("__rank")).otherwise(0.0)).alias("__r1"),
-        # every row of a tie of t adds t * t - 1: together t^3 - t
-        F.sum(F.col("__peers") * F.col("__peers") - 1).alias("__t"),
+    each = df.groupBy(*by, F.col(value).alias("__v")).agg(F.sum(F.when(first, 1).otherwise(0)).alias("__a"), F.count("*").alias("__c"))
+    rank = F.col("before") + 1 + (F.col("__c") - 1) / F.lit(2.0)
+    agg = value_ranks(each, list(by), "__v", "__c").groupBy(*by).agg(
+        F.sum("__a").cast("long").alias("n1"),
+        F.sum(F.col("__c") - F.col("__a")).cast("long").alias("n2"),
+        F.sum(F.col("__a") * rank).alias("__r1"),
+        F.sum(F.col("__c") * F.col("__c") * F.col("__c") - F.col("__c")).alias("__t"),
     )
     n = (F.col("n1") + F.col("n2")).cast("double")
     u = F.col("__r1") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)

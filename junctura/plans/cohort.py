@@ -153,7 +153,7 @@ def a14(v):
 @query("a15_merged_segments", None)
 def a15(v):
     """Donor segments of each sample merged greedily."""
-    from ..operators.order import merge_segments
+    from ..operators.greedy import merge_segments
 
     rows = v.ev.select("sample", "donor", F.col("event_id").alias("row_id"), F.col("delete_start").alias("start"), F.col("delete_end").alias("end"), F.col("receptor").alias("recipient"))
     return merge_segments(rows, ["sample", "donor"])

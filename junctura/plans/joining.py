@@ -94,7 +94,7 @@ def j05(v):
 @query("j07_drop_near_repeats", None)
 def j07(v):
     """Breakpoints of the cohort without near repeats, in the order of their ids."""
-    from ..operators.order import drop_near_repeats
+    from ..operators.greedy import drop_near_repeats
 
     return drop_near_repeats(v.bkp.withColumn("row_id", F.col("bkp_id")))
 

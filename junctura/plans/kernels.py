@@ -9,6 +9,7 @@ from ..functions import columns as X
 from ..operators import alignment as A
 from ..operators import graph as G
 from ..operators import kmers as K
+from ..operators.checkpoints import stored
 from ..operators.joins import canonical_pair
 from .binding import oracle
 from .catalog import query
@@ -33,8 +34,12 @@ _KMERS = f"""kb AS (SELECT contig, n, 200 * b AS off, substring(seq, 200 * b + 1
     kh AS (SELECT contig, n, pos, 0 AS hash_no, h0 AS h FROM k2 WHERE h0 <> 0 UNION ALL SELECT contig, n, pos, 1, h1 FROM k2 WHERE h1 <> 0 UNION ALL SELECT contig, n, pos, 2, h2 FROM k2 WHERE h2 <> 0)"""
 
 
-def _hashes(v):
-    return K.sequence_hashes(v.seqs, _K, _MASKS, ["contig", "n"])
+def _hashes(v, which: str = "true", keep: tuple[str, ...] = ("contig", "n"), places: bool = True):
+    return K.sequence_hashes(v.seqs.filter(which), _K, _MASKS, list(keep), places=places)
+
+
+#: Of the sequences the even ones stand for reads, the odd ones for the reference.
+_READS, _REFERENCE = "n % 2 = 0", "n % 2 = 1"
 
 
 @query("k01_k03_hashes", oracle("seqs", "SELECT contig, hash_no, count(*)::bigint AS n, min(h)::bigint AS least, bit_xor(h * (pos + 1))::bigint AS digest FROM kh GROUP BY contig, hash_no", _KMERS))
@@ -46,12 +51,11 @@ def k03(v):
 @query("k04_frequent_hashes", oracle("seqs", "SELECT h, count(*)::bigint AS n FROM kh WHERE n % 2 = 0 GROUP BY h HAVING count(*) >= 3", _KMERS))
 def k04(v):
     """Of the even sequences, which stand for reads here; the odd ones stand for the reference."""
-    return K.frequent(_hashes(v).filter("n % 2 = 0"))
+    return K.frequent(_hashes(v, _READS, (), False))
 
 
 def _hits(v):
-    h = _hashes(v)
-    return K.hit_positions(h.filter("n % 2 = 1"), K.frequent(h.filter("n % 2 = 0")), _E)
+    return K.hit_positions(_hashes(v, _REFERENCE, ("contig",)), K.frequent(_hashes(v, _READS, (), False)), _E)
 
 
 @query("k05_k06_hit_positions", oracle("seqs", f"SELECT contig, pos, 1 AS any_hit, (count(*) >= {_E})::int AS all_hit FROM kh WHERE n % 2 = 1 AND h IN (SELECT h FROM kh WHERE n % 2 = 0 GROUP BY h HAVING count(*) >= 3) GROUP BY contig, pos", _KMERS))
@@ -78,7 +82,7 @@ def k07(v):
       SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 49 THEN 0 ELSE 1 END AS op FROM (
         SELECT r.contig, greatest(min(pos) - 100, 1) AS s, least(max(pos) + 100, length(min(seq))) AS e FROM (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS k FROM gw) r JOIN seqs ON seqs.contig = r.contig GROUP BY r.contig, k) a) b) c GROUP BY contig, g""", _WINDOWS))
 def k08(v):
-    return K.good_intervals(K.good_windows(_hits(v), _lengths(v), 50, 0.9, 0.2), _lengths(v), 50)
+    return K.good_intervals(K.good_runs(_hits(v), _lengths(v), 50, 0.9, 0.2), _lengths(v), 50)
 
 
 @query("k09_peaks", None)
@@ -87,18 +91,25 @@ def k09(v):
     return K.peaks(_hits(v), _lengths(v), _K)
 
 
+def _binned(v):
+    hits = stored(_hits(v))
+    return K.binned_peaks(K.peaks(hits, _lengths(v), _K), K.good_intervals(K.good_runs(hits, _lengths(v), 50, 0.9, 0.2), _lengths(v), 50))
+
+
 @query("k10_binned_peaks", None)
 def k10(v):
-    """Peaks within good intervals, one a bin."""
-    return K.binned_peaks(K.peaks(_hits(v), _lengths(v), _K), K.good_intervals(K.good_windows(_hits(v), _lengths(v), 50, 0.9, 0.2), _lengths(v), 50))
+    """Peaks within good intervals, with the first one of their bin."""
+    return _binned(v)
+
+
+#: Votes that a contig needs of a read.
+_LEAST_VOTES = 6
 
 
 def _votes(v):
-    found = K.peaks(_hits(v), _lengths(v), _K)
-    h = _hashes(v)
-    near = h.filter("n % 2 = 1").join(found, ["contig", "pos"]).select("h", "contig", "pos")
-    reads = h.filter("n % 2 = 0").select(F.col("contig").alias("read_name"), F.col("pos").alias("pos_in_read"), "hash_no", "h")
-    return K.read_votes(reads, near, 3)
+    table = K.peak_hashes(_hashes(v, _REFERENCE, ("contig",)), _binned(v))
+    reads = _hashes(v, _READS, ("contig",)).select(F.col("contig").alias("read_name"), F.col("pos").alias("pos_in_read"), "hash_no", "h")
+    return K.read_votes(reads, table, _LEAST_VOTES)
 
 
 @query("k11_k12_read_votes", None)

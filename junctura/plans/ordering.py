@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..operators import greedy as G
 from ..operators import order as O
+from ..operators import scans as S
 from .binding import oracle
 from .catalog import query
 
@@ -15,7 +17,7 @@ from .catalog import query
     SELECT donor, receptor, max(k)::bigint AS clusters FROM (SELECT donor, receptor, sum(op) OVER (PARTITION BY donor, receptor ORDER BY delete_start, event_id) AS k FROM (
       SELECT *, CASE WHEN delete_start - lag(delete_start) OVER (PARTITION BY donor, receptor ORDER BY delete_start, event_id) <= 100 THEN 0 ELSE 1 END AS op FROM ev) x) y GROUP BY donor, receptor"""))
 def w01(v):
-    return O.islands(v.ev, ["donor", "receptor"], "delete_start", 100, ["event_id"]).groupBy("donor", "receptor").agg(F.max("cluster").alias("clusters"))
+    return S.islands(v.ev, ["donor", "receptor"], "delete_start", 100, ["event_id"]).groupBy("donor", "receptor").agg(F.max("cluster").alias("clusters"))
 
 
 _UNION = """u AS (SELECT contig, min(g_start) AS s, max(g_end) AS e FROM (SELECT *, sum(op) OVER (PARTITION BY contig ORDER BY g_start, g_end, gene_id ROWS UNBOUNDED PRECEDING) AS k FROM (
@@ -24,12 +26,12 @@ _UNION = """u AS (SELECT contig, min(g_start) AS s, max(g_end) AS e FROM (SELECT
 
 @query("w03_interval_union", oracle("genes", "SELECT contig, s AS g_start, e AS g_end FROM u", _UNION))
 def w03(v):
-    return O.interval_union(v.genes, ["contig"], "g_start", "g_end")
+    return S.interval_union(v.genes, ["contig"], "g_start", "g_end")
 
 
 @query("w03_interval_gaps", oracle("genes", "SELECT * FROM (SELECT contig, lag(e) OVER (PARTITION BY contig ORDER BY s) AS gap_start, s AS gap_end FROM u) x WHERE gap_end - gap_start > 1000", _UNION))
 def w03b(v):
-    return O.interval_gaps(O.interval_union(v.genes, ["contig"], "g_start", "g_end"), ["contig"], "g_start", "g_end", 1000)
+    return S.interval_gaps(S.interval_union(v.genes, ["contig"], "g_start", "g_end"), ["contig"], "g_start", "g_end", 1000)
 
 
 @query("w04_running_mean_merge", None)
@@ -42,7 +44,7 @@ def w04(v):
 def w05(v):
     """Raw clusters of each contig pair merged in row order."""
     rows = v.bkp.selectExpr("bkp_id AS row_id", "from_ref AS ref1", "from_pos AS pos1", "to_ref AS ref2", "to_pos AS pos2", "if_reverse AS reverse", "cross_split_reads AS support")
-    return O.merge_raw_clusters(rows)
+    return G.merge_raw_clusters(rows)
 
 
 _EDGES = "x AS (SELECT sample, pair, max(cross_split_reads)::bigint AS score FROM (SELECT *, least(from_genome, to_genome) || '&' || greatest(from_genome, to_genome) AS pair FROM bkp) b GROUP BY sample, pair)"
@@ -92,7 +94,7 @@ def w10(v):
 
 @query("w12_average_ranks", oracle("abund", "SELECT sample, species, rank() OVER (PARTITION BY sample ORDER BY round(abundance / 500)) + (count(*) OVER (PARTITION BY sample, round(abundance / 500)) - 1) / 2.0::double AS rk FROM abund"))
 def w12(v):
-    return O.rank_avg(v.abund.withColumn("a", F.round(F.col("abundance") / 500)), ["sample"], "a", "rk").select("sample", "species", "rk")
+    return S.rank_avg(v.abund.withColumn("a", F.round(F.col("abundance") / 500)), ["sample"], "a", "rk").select("sample", "species", "rk")
 
 
 @query("s27_consecutive_distinct", oracle("ev", "SELECT event_id, receptor, insert_locus FROM (SELECT *, lag(insert_locus) OVER (PARTITION BY receptor ORDER BY event_id) AS p FROM ev) x WHERE p IS NULL OR p <> insert_locus"))

@@ -5,14 +5,55 @@ import random
 import numpy as np
 import pytest
 
-from junctura.operators import alignment, events, graph, joins, kmers, learning, matching, mechanisms, order, reads, simulation, stats
+from junctura.operators import alignment, events, graph, greedy, joins, kmers, learning, matching, mechanisms, order, reads, scans, simulation, stats
 
 
 def test_islands_and_union(spark):
     df = spark.createDataFrame([("a", p) for p in (10, 110, 211, 300)], "g string, p long")
-    assert order.islands(df, ["g"], "p", 100).agg({"cluster": "max"}).first()[0] == 2
+    assert scans.islands(df, ["g"], "p", 100).agg({"cluster": "max"}).first()[0] == 2
     iv = spark.createDataFrame([("a", 1, 5), ("a", 5, 9), ("a", 2, 3), ("a", 11, 12)], "g string, s long, e long")
-    assert sorted(tuple(r) for r in order.interval_union(iv, ["g"], "s", "e").collect()) == [("a", 1, 9), ("a", 11, 12)]
+    assert sorted(tuple(r) for r in scans.interval_union(iv, ["g"], "s", "e").collect()) == [("a", 1, 9), ("a", 11, 12)]
+
+
+def test_scans_over_bins(spark):
+    rnd = random.Random(11)
+    rows = [(g, rnd.randrange(3000), rnd.randrange(0, 90)) for g in "aab" for _ in range(120)] + [("c", 0, 2999), ("c", 5, 6), ("c", 2999, 3100), ("c", 3300, 3301)]
+    iv = spark.createDataFrame([(i, g, s, s + n) for i, (g, s, n) in enumerate(rows)], "i long, g string, s long, e long")
+    for size, gap in ((1_000_000, 0), (64, 0), (10, 7), (1, 1)):
+        union, numbers = [], {}
+        for g in "abc":
+            last = None
+            own = sorted((s, s + n) for k, s, n in rows if k == g)
+            for s, e in own:
+                if last is not None and s <= union[-1][2] + gap:
+                    union[-1][2] = max(union[-1][2], e)
+                else:
+                    union.append([g, s, e])
+                last = s
+            for a, (s, _) in zip([None, *own], own, strict=False):
+                numbers[g, s] = numbers.get((g, a and a[0]), 0) + (a is None or s - a[0] > gap)
+        got = scans.interval_union(iv, ["g"], "s", "e", gap, size)
+        assert sorted(map(list, got.collect())) == union
+        gaps = [(x[0], x[2], y[1]) for x, y in zip(union, union[1:], strict=False) if x[0] == y[0] and y[1] - x[2] > 20]
+        assert sorted(map(tuple, scans.interval_gaps(got, ["g"], "s", "e", 20, size).collect())) == gaps
+        assert {(r.g, r.s): r.cluster for r in scans.islands(iv, ["g"], "s", gap, ["i"], bin_size=size).collect()} == numbers
+        # no window has a whole contig as its key but those over the table of bins
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert all("__bin" in line for line in plan.split("\n") if "Window [" in line)
+
+
+def test_ranks_over_ranges(spark):
+    rnd = random.Random(12)
+    rows = [(g, None if rnd.random() < 0.1 else rnd.randrange(30)) for g in "aaab" for _ in range(60)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    for by in ([], ["g"]):
+        want = []
+        for g in "ab" if by else [None]:
+            own = [v for k, v in rows if g in (None, k)]
+            low = lambda v: -1 if v is None else v
+            want += [(low(v), sum(low(x) < low(v) for x in own) + (own.count(v) + 1) / 2) for v in own]
+        got = scans.rank_avg(df, by, "v", "rk")
+        assert sorted((-1 if r.v is None else r.v, r.rk) for r in got.collect()) == sorted(want)
 
 
 def test_band_interval_and_asof_joins(spark):
@@ -146,9 +187,9 @@ def test_local_scores_against_the_recursion():
 def test_greedy_orders(spark):
     rows = [(1, "a", 100, "b", 100), (2, "a", 140, "b", 140), (3, "a", 180, "b", 180), (4, "b", 105, "a", 95)]
     df = spark.createDataFrame(rows, "row_id long, from_ref string, from_pos long, to_ref string, to_pos long")
-    assert sorted(r.row_id for r in order.drop_near_repeats(df).collect()) == [1, 3]
+    assert sorted(r.row_id for r in greedy.drop_near_repeats(df).collect()) == [1, 3]
     raw = spark.createDataFrame([(1, "a", 10, "b", 20, "True", 2), (2, "b", 25, "a", 15, "True", 3), (3, "a", 10, "b", 20, "False", 1)], "row_id long, ref1 string, pos1 long, ref2 string, pos2 long, reverse string, support long")
-    got = sorted((r.reverse, r.p1, r.p2, r.support) for r in order.merge_raw_clusters(raw).collect())
+    got = sorted((r.reverse, r.p1, r.p2, r.support) for r in greedy.merge_raw_clusters(raw).collect())
     assert got == [("False", [10], [20], 1), ("True", [10, 15], [20, 25], 5)]
     pos = spark.createDataFrame([("a", p) for p in (0, 100, 350, 5000)], "c string, p long")
     assert sorted((r.p, r.anchor) for r in order.running_mean_merge(pos, "c", "p", 300).collect()) == [(0, 151), (100, 151), (350, 151), (5000, 5000)]
@@ -185,10 +226,17 @@ def test_greedy_orders_against_whole_groups(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice("ab"), rnd.randrange(600), rnd.choice("ab"), rnd.randrange(600)) for i in range(400)]
     df = spark.createDataFrame(rows, "row_id long, from_ref string, from_pos long, to_ref string, to_pos long").repartition(3)
-    assert sorted(tuple(r) for r in order.drop_near_repeats(df).collect()) == brute_repeats(rows)
+    assert sorted(tuple(r) for r in greedy.drop_near_repeats(df).collect()) == brute_repeats(rows)
+    # a contig pair without gaps, and points that lie on one another: few rounds, whatever the number of rows
+    gapless = [(i, "a", p, "b", p + rnd.randrange(3)) for i, p in enumerate(rnd.sample([*range(0, 9000, 6)] * 2, 3000))]
+    rounds: list[int] = []
+    df = spark.createDataFrame(gapless, "row_id long, from_ref string, from_pos long, to_ref string, to_pos long")
+    kept = greedy.drop_near_repeats(df, rounds=rounds)
+    assert sorted(tuple(r) for r in kept.collect()) == brute_repeats(gapless) and len(rounds) <= 12
+    assert "InPandas" not in kept._jdf.queryExecution().executedPlan().toString()
     raw = [(i, a, p, b, q, rnd.choice(["True", "False"]), rnd.randrange(5)) for i, a, p, b, q in rows]
     df = spark.createDataFrame(raw, "row_id long, ref1 string, pos1 long, ref2 string, pos2 long, reverse string, support long").repartition(3)
-    assert sorted(tuple(r) for r in order.merge_raw_clusters(df).collect()) == brute_raw(raw)
+    assert sorted(tuple(r) for r in greedy.merge_raw_clusters(df).collect()) == brute_raw(raw)
     points = [(rnd.choice("ab"), rnd.randrange(20_000)) for _ in range(300)]
     want = []
     for c in "ab":
@@ -214,7 +262,7 @@ def test_greedy_orders_against_whole_groups(spark):
                 c[2] += 1
                 c[3].add(x)
         want += [(g, c[0], c[1], c[2], len(c[3])) for c in clusters]
-    got = order.merge_segments(spark.createDataFrame(segs, "g string, row_id long, start long, end long, recipient string"), ["g"]).collect()
+    got = greedy.merge_segments(spark.createDataFrame(segs, "g string, row_id long, start long, end long, recipient string"), ["g"]).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
@@ -286,15 +334,77 @@ def test_peaks_bins_and_support(spark):
                 d = total(j - 5) - total(j - 5 - k) + total(j - 5 - m) - total(j)
                 want |= {j - m - 5} if d >= 2 else {j} if d <= -2 else set()
     hits = spark.createDataFrame([("c", i, h, 0) for i, h in enumerate(hit)], "contig string, pos long, any_hit int, all_hit int")
-    found = kmers.peaks(hits, spark.createDataFrame([("c", n)], "contig string, len long"), k)
-    assert {r.pos for r in found.collect()} == {p for p in want if p >= 0} and want
+    contigs = spark.createDataFrame([("c", n)], "contig string, len long")
+    for chunk in (1 << 16, 64, 17):
+        found = kmers.peaks(hits, contigs, k, chunk=chunk)
+        assert sorted(r.pos for r in found.collect()) == sorted(p for p in want if p >= 0) and want
     good = spark.createDataFrame([("c", 90, 170), ("c", 200, 230)], "contig string, start long, end long")
-    inside = sorted(p for p in want if 90 <= p <= 170 or 200 <= p <= 230)
-    assert sorted(r.pos for r in kmers.binned_peaks(found, good).collect()) == sorted({p // 50: p for p in reversed(inside)}.values())
+    inside = sorted(p for p in want if 90 <= p < 170 or 200 <= p < 230)
+    first = {p // 50: p for p in reversed(inside)}
+    assert sorted((r.pos, r.first) for r in kmers.binned_peaks(found, good).collect()) == [(p, first[p // 50]) for p in inside]
     votes = spark.createDataFrame([("c", 100, 1), ("c", 1600, 2), ("c", 3099, 1), ("c", 9000, 0), ("d", 700, 3)], "contig string, pos long, support int")
     assert sorted(tuple(r) for r in kmers.support_intervals(votes).collect()) == [("c", 1, 600), ("c", 1100, 3599), ("d", 200, 1200)]
 
 
+def test_windows_from_runs(spark):
+    rnd = random.Random(3)
+    size, lens = 10, {"c": 400, "d": 9, "e": 60}
+    hit = {c: [(x := int(rnd.random() < (0.95 if i // 70 % 2 else 0.3)), x * int(rnd.random() < 0.5)) for i in range(n)] for c, n in lens.items()}
+    rows = [(c, i, *h) for c, hs in hit.items() for i, h in enumerate(hs) if h[0]]
+    hits = spark.createDataFrame(rows, "contig string, pos long, any_hit int, all_hit int").repartition(3)
+    contigs = spark.createDataFrame([*lens.items()], "contig string, len long")
+    want = [(c, i) for c, hs in hit.items() for i in range(size - 1, len(hs)) if sum(h[0] for h in hs[i - size + 1 : i + 1]) >= 8 and sum(h[1] for h in hs[i - size + 1 : i + 1]) >= 4]
+    for chunk in (1 << 16, 64, 10):
+        runs = kmers.good_runs(hits, contigs, size, 0.8, 0.4, chunk)
+        assert sorted((r.contig, p) for r in runs.collect() for p in range(r.a, r.b + 1)) == want and want
+    assert sorted(map(tuple, kmers.good_windows(hits, contigs, size, 0.8, 0.4).collect())) == want
+    found = []
+    for c, i in want:
+        s, e = max(i - 2 * size, 1), min(i + 2 * size, lens[c])
+        if found and found[-1][0] == c and s - found[-1][2] < size:
+            found[-1][2] = max(e, found[-1][2])
+        else:
+            found.append([c, s, e])
+    assert sorted(map(list, kmers.good_intervals(runs, contigs, size).collect())) == found
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(0" not in plan and all("chunk" in line for line in plan.split("\n") if "Window [" in line)
+
+
+def test_peaks_of_hashes_and_their_votes(spark):
+    rnd = random.Random(5)
+    k, n_hashes = 8, 3
+    ref = {c: "".join(rnd.choices("ACGT", k=260)) for c in ("c1", "c2", "c3")}
+    reads = {f"r{i}": ref[a := rnd.choice([*ref])][(p := rnd.randrange(150)) : p + 50] + ref[rnd.choice([*ref])][q : q + 50] for i in range(25) for q in [rnd.randrange(150)]}
+    masks = kmers.coder(k, n_hashes)
+    table = lambda seqs: [(c, p, e, int(h)) for c, s in seqs.items() for pos, hs in [kmers.canonical_hashes(s, k, masks)] for e, own in enumerate(hs) for p, h in zip(pos.tolist(), own, strict=True) if h]
+    index, asked = table(ref), table(reads)
+    good = {"c1": [(20, 120), (150, 200)], "c2": [(0, 90)], "c3": [(60, 61), (70, 220)]}
+    peaks = sorted({(c, rnd.randrange(250)) for c in ref for _ in range(60)})
+    # the reference's order: peaks along each contig, one that shares the bin of the last one kept stands for it
+    stand, last, binned = {}, None, []
+    for c, p in peaks:
+        if any(s <= p < e for s, e in good[c]):
+            if last is None or (last[0], last[1] // 50) != (c, p // 50):
+                last = (c, p)
+            binned.append((c, p, last[1]))
+            for at in range(p - 2, p + 1):
+                for e in range(n_hashes):
+                    for h in {x[3] for x in index if x[:3] == (c, at, e)}:
+                        stand[h] = last
+    seqs = lambda t: spark.createDataFrame([*t.items()], "contig string, seq string")
+    own = kmers.sequence_hashes(seqs(ref), k, masks, ["contig"])
+    assert sorted(map(tuple, own.collect())) == sorted(index)
+    assert sorted(r.h for r in kmers.sequence_hashes(seqs(ref), k, masks, [], places=False).collect()) == sorted(x[3] for x in index)
+    intervals = spark.createDataFrame([(c, s, e) for c, x in good.items() for s, e in x], "contig string, start long, end long")
+    found = kmers.binned_peaks(spark.createDataFrame(peaks, "contig string, pos long"), intervals)
+    assert sorted(map(tuple, found.collect())) == sorted(binned)
+    claims = kmers.peak_hashes(own, found, near=2)
+    assert {r.h: (r.contig, r.pos) for r in claims.collect()} == stand
+    votes = kmers.sequence_hashes(seqs(reads), k, masks, ["contig"]).withColumnsRenamed({"contig": "read_name", "pos": "pos_in_read"})
+    got = {(x.contig, x.pos): x.support for x in kmers.read_votes(votes, claims).collect()}
+    assert got == brute_votes(asked, [(h, c, p) for h, (c, p) in stand.items()], 6) and got
+
+
 def test_graph_measures(spark):
     rnd = random.Random(3)
     edges = [(s, a, b) for s in "xy" for a, b in itertools.combinations(range(9), 2) if rnd.random() < 0.4] + [("z", 1, 2), ("z", 2, 2)]
