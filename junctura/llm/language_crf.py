@@ -6,9 +6,9 @@ with them, on sequences of segments from texts of different languages, so the ch
 labelled word by word with forward-backward posteriors; the language with the largest sum over the whole text wins.
 
 Training runs on the driver over at most SAMPLE_ROWS labelled texts of each language (the first by a seeded hash), so
-that a rare language is learned as well as a frequent one. A text of more than SAMPLE_WORDS words gives as many, in runs
-of RUN from places all over it, drawn by a seeded hash. These bounds are for learning only. Prediction is a map over partitions and reads every whole text: blocks of
-BLOCK words are multiplied up as matrices at once, so a long text costs no long chain of steps.
+that a rare language is learned as well as a frequent one; each of them is read whole. The bound is for learning only.
+Prediction is a map over partitions and reads every whole text: blocks of BLOCK words are multiplied up as matrices at
+once, so a long text costs no long chain of steps.
 
 Cases: an empty table gives an empty one. A null text or one without letters gives `und` with score 0. Texts that equal each other get equal results.
 Rows without a language are predicted but never learned from; with nothing to learn from, every text gives `und`.
@@ -18,6 +18,7 @@ Input columns named lang_pred or score are replaced, others are carried along.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +30,28 @@ from .common import documents, fold, pieces_of, small_batches
 
 NAME = "op9_language_crf"
 UNKNOWN = "und"
-SAMPLE_ROWS, SAMPLE_WORDS, RUN, SEED = 1000, 400, 40, 9
+#: Labelled rows of a language that a model learns from, as whole texts.
+SAMPLE_ROWS, SEED = 400, 9
 BUCKETS, LEXICON, GRAMS = 1 << 17, 4000, 4
 LENGTH, BATCH, EPOCHS, RATE, SEGMENT = 32, 256, 2, 0.3, 14
 BLOCK = 64
 CACHE_WORDS = 200_000
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _no_letters() -> str:
+    """The characters that \\w takes besides letters, decimal digits and _, as ranges of a pattern: numbers such as ½, ² or Ⅷ."""
+    out, last = [], -2
+    for c in range(0x80, sys.maxunicode + 1):
+        if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal():
+            if c == last + 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+            last = c
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+WORD = re.compile(rf"[^\W\d_{_no_letters()}]+")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -242,16 +259,6 @@ class Labeller:
         return langs, scores
 
 
-def excerpt(text: str, seed: int) -> str:
-    """The words of a text, or, if it has more than SAMPLE_WORDS, runs of RUN of them from places all over it."""
-    words = WORD.findall(text)
-    if len(words) <= SAMPLE_WORDS:
-        return " ".join(words)
-    places = -(-len(words) // RUN)
-    chosen = np.sort(np.random.default_rng(seed).choice(places, SAMPLE_WORDS // RUN, replace=False)) * RUN
-    return " ".join(w for a in chosen.tolist() for w in words[a : a + RUN])
-
-
 def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Learns from at most rows rows of each language of df that have a text."""
     place = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 30)).alias("place")
@@ -262,16 +269,7 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
     # of rows ids a language, a tenth of what the model holds for one
     some = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(chosen), ["k", "l"]).filter("t is not null")
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            seeds = batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([excerpt(t.as_py(), s) for t, s in zip(batch.column(1), seeds, strict=True)]), batch.column(2), batch.column(3)], ["k", "t", "l", "place"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
-    short = some.select("k", "t", "l", "place").mapInArrow(run, f"k {kinds['k']}, t string, l string, place long")
-    got = short.withColumn("r", rank("t")).filter(F.col("r") <= rows).orderBy("l", "r").select("t", "l").collect()
+    got = some.withColumn("r", rank("t")).filter(F.col("r") <= rows).orderBy("l", "r").select("t", "l").collect()
     return train([r.t for r in got], [r.l for r in got])
 
 

@@ -308,7 +308,9 @@ def unmet(sets: DataFrame, found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.frombuffer(b"".join(raw[a:b]), np.int64))], ["node", "n", "shingle"])
 
     each = sets.mapInArrow(run, "node long, n long, shingle long")
-    held = each.withColumn("holders", F.count("*").over(Window.partitionBy("shingle"))).filter("holders > 1")
+    # counted before they are shuffled, so a shingle that very many hold is one row a partition
+    counts = each.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    held = each.join(counts.hint("merge"), "shingle")
     listed = held.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("x"))
     # shingles that no other set holds come first and can meet nothing
     alone = F.col("n") - F.size("x")

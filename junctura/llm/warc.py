@@ -28,7 +28,9 @@ from .common import shared_dir, small_batches, staged
 
 NAME = "op8_warc"
 MIN_REVISIT = 1000
-ARCHIVE_BYTES, SPLIT_BYTES, CHUNK = 64 << 20, 4 << 20, 1 << 20
+ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 20
+#: Bytes of a split: so that each core has a few, within these bounds; and the most tasks, each with as many splits as it takes.
+LEAST_SPLIT, LARGEST_SPLIT, MOST_TASKS = 4 << 20, 128 << 20, 100_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -173,12 +175,15 @@ def records_in(source, start: int, end: int):
         raise ArchiveError(f"no record at byte {at}")
 
 
-def read_archives(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, folder: str, split_bytes: int | None = None, payload: bool = True) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload (null for revisits)."""
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    if split_bytes is None:
+        split_bytes = min(max(total // (4 * manifest.sparkSession.sparkContext.defaultParallelism), LEAST_SPLIT), LARGEST_SPLIT)
     starts = F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))
     splits = manifest.filter("bytes > 0").select("path", F.explode(starts).alias("start"))
-    # a task for each split: by their own bytes these rows would all be put into one
-    splits = splits.repartition(max(1, splits.count()))
+    # dealt to tasks by number: by their own bytes these rows would all be put into one
+    splits = splits.repartition(min(max(1, total // split_bytes), MOST_TASKS))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
 
     def run(batches):

@@ -80,12 +80,34 @@ def test_fit_reads_labelled_rows_only(spark):
     assert L.Labeller(L.fit(df.limit(0))).label(["abc", None]) == (["und", "und"], [0.0, 0.0])
 
 
-def test_sample_draws_each_language_and_whole_texts(spark):
-    text = " ".join(f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(5000))
-    words = L.WORD.findall(L.excerpt(text, 3))
-    every = L.WORD.findall(text)
-    places = [i for i in range(0, len(every), L.RUN) if every[i : i + L.RUN] == words[-L.RUN :]]
-    assert len(words) == L.SAMPLE_WORDS and places and max(places) > 2000 and L.excerpt("a b", 1) == "a b"
-    rows = [(i, f"thing and {i}", "en") for i in range(300)] + [(1000 + i, "schung ein", "de") for i in range(3)]
-    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
-    assert model.languages == ["de", "en"] and L.Labeller(model).label(["schung ein"])[0] == ["de"]
+def test_sample_draws_each_language_and_whole_texts(spark, monkeypatch):
+    text = "zzz " * 3000 + "schung ein"
+    rows = [(i, f"thing and {i}", "en") for i in range(300)] + [(1000 + i, text, "de") for i in range(3)]
+    seen = []
+    monkeypatch.setattr(L, "train", lambda texts, langs: seen.extend(zip(langs, texts, strict=True)))
+    L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    assert sorted(seen) == sorted([("de", text)] * 3 + [s for s in seen if s[0] == "en"]) and len(seen) == 23
+
+
+def test_rows_that_repeat_an_id_in_two_languages(spark):
+    rows = [(1, "the thing", "en"), (1, "die Sache", "de"), (1, "die Sache", "de"), (2, "la cosa", "es")]
+    assert L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en", "es"]
+
+
+def test_letters_alone_make_words():
+    assert L.WORD.findall("a½b Ⅷ ① ² é x_1 世界 ٣") == ["a", "b", "é", "x", "世界"]
+    import sys
+
+    some = [chr(c) for c in range(0, sys.maxunicode + 1, 3) if not 0xD800 <= c < 0xE000]
+    assert all(bool(L.WORD.fullmatch(x)) == x.isalpha() for x in some)
+
+
+def test_query_on_held_out_rows(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in L.query(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    told = [(got[r.doc_id].lang_pred, r.lang) for r in rows if got[r.doc_id].held_out and r.lang and got[r.doc_id].lang_pred != "und"]
+    assert len(told) > 100 and sum(a == b for a, b in told) >= 0.97 * len(told)
