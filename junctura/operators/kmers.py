@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import reverse_complement
+from .checkpoints import stored
 
 #: Each code's bits of A, C, G, T.
 CODES = ("1001", "1100", "1010")
@@ -97,10 +98,10 @@ def canonical_hashes(seq: str, k: int, masks: list[list[int]]):
     return pos, [np.minimum(mixed(forward, m), mixed(backward, m)) for m in masks]
 
 
-def sequence_hashes(seqs: DataFrame, k: int, masks: list[list[int]], keep: list[str], seq: str = "seq", chunk: int = 500_000, places: bool = True) -> DataFrame:
+def sequence_hashes(seqs: DataFrame, k: int, masks: list[list[int]], keep: list[str], seq: str = "seq", chunk: int = 500_000) -> DataFrame:
     """keep, pos (from 0), hash_no and h (canonical) of every k-mer of ACGT only; a hash of 0 is none. Sequences shorter
-    than k have none and keep their names. Without places only keep and h. Sequences are put together, long ones in chunks,
-    until a chunk is full, with a letter between them that no k-mer may hold."""
+    than k have none and keep their names. Sequences are put together, long ones in chunks, until a chunk is full, with a
+    letter between them that no k-mer may hold."""
     kinds = {f.name: f.dataType.simpleString() for f in seqs.schema}
 
     def hashed(group, columns):
@@ -112,41 +113,63 @@ def sequence_hashes(seqs: DataFrame, k: int, masks: list[list[int]], keep: list[
         piece = np.searchsorted(starts, pos, side="right") - 1
         h, n = np.concatenate(found), len(masks)
         some = np.flatnonzero(h)
-        own = np.tile(piece, n)[some]
-        out = [c.take(pa.array(np.array([row for row, *_ in group])[own])) for c in columns]
-        if places:
-            at = np.tile(pos + (np.array([a for _, a, _ in group]) - starts)[piece], n)[some]
-            out += [pa.array(at), pa.array(np.repeat(np.arange(n, dtype=np.int32), len(pos))[some])]
-        return pa.RecordBatch.from_arrays([*out, pa.array(h[some])], names)
+        rows = pa.array(np.array([row for row, *_ in group])[np.tile(piece, n)[some]])
+        at = np.tile(pos + (np.array([a for _, a, _ in group]) - starts)[piece], n)[some]
+        number = np.repeat(np.arange(n, dtype=np.int32), len(pos))[some]
+        return pa.RecordBatch.from_arrays([*[c.take(rows) for c in columns], pa.array(at), pa.array(number), pa.array(h[some])], [*keep, "pos", "hash_no", "h"])
 
     def run(batches):
         for batch in batches:
-            columns, group, size = batch.columns[:-1], [], 0
-            for row in range(batch.num_rows):
-                text = batch.column(len(keep))[row].as_py() or ""
-                for a in range(0, max(len(text) - k + 1, 0), chunk):
-                    piece = text[a : a + chunk + k - 1]
-                    if group and size + len(piece) > chunk:
-                        yield hashed(group, columns)
-                        group, size = [], 0
-                    group.append((row, a, piece))
-                    size += len(piece)
-            if group:
-                yield hashed(group, columns)
-
-    names = [*keep, *(["pos", "hash_no"] if places else []), "h"]
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], *(["pos long", "hash_no int"] if places else []), "h long"])
+            texts = batch.column(len(keep)).to_pylist()
+            for group in _groups(texts, k, chunk):
+                yield hashed(group, batch.columns[:-1])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], "pos long", "hash_no int", "h long"])
     return seqs.select(*keep, seq).mapInArrow(run, schema)
 
 
-def frequent(read_hashes: DataFrame, least: int = 3) -> DataFrame:
-    """The hashes that occur at least so often, over all hash functions together."""
-    return read_hashes.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+def _groups(texts: list[str | None], k: int, chunk: int):
+    """(row, offset, piece) of texts, in lists of about chunk letters."""
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        for a in range(0, max(len(text or "") - k + 1, 0), chunk):
+            piece = text[a : a + chunk + k - 1]
+            if group and size + len(piece) > chunk:
+                yield group
+                group, size = [], 0
+            group.append((row, a, piece))
+            size += len(piece)
+    if group:
+        yield group
+
+
+def hash_counts(seqs: DataFrame, k: int, masks: list[list[int]], seq: str = "seq", chunk: int = 2_000_000) -> DataFrame:
+    """h and n, the number of its occurrences over all hash functions together, of all k-mers of sequences. Occurrences are
+    put together within about chunk letters before they are shuffled, so that frequent hashes are few rows."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for group in _groups(batch.column(0).to_pylist(), k, chunk):
+                _, found = canonical_hashes("N".join(text for *_, text in group), k, masks)
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h[h != 0]), pa.array(n[h != 0])], ["h", "n"])
+
+    # what is left to put together is mostly single: no second table of it before the shuffle
+    return seqs.select(seq).mapInArrow(run, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent(counted: DataFrame, least: int = 3) -> DataFrame:
+    """Of hash_counts() those that occur at least so often."""
+    return counted.filter(F.col("n") >= least)
 
 
 def hit_positions(index: DataFrame, counted: DataFrame, n_hashes: int) -> DataFrame:
-    """contig, pos, any_hit, all_hit of the reference positions with a frequent hash."""
-    met = index.join(counted.select("h"), "h", "left_semi")
+    """contig, pos, any_hit, all_hit of the reference positions with a frequent hash. The frequent hashes are written first:
+    by the size of that table Spark broadcasts it or not, and in the first case the index is not shuffled."""
+    met = index.join(stored(counted.select("h")), "h", "left_semi")
     return met.groupBy("contig", "pos").agg(F.count("*").alias("n")).select("contig", "pos", F.lit(1).alias("any_hit"), (F.col("n") >= n_hashes).cast("int").alias("all_hit"))
 
 

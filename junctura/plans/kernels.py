@@ -34,8 +34,12 @@ _KMERS = f"""kb AS (SELECT contig, n, 200 * b AS off, substring(seq, 200 * b + 1
     kh AS (SELECT contig, n, pos, 0 AS hash_no, h0 AS h FROM k2 WHERE h0 <> 0 UNION ALL SELECT contig, n, pos, 1, h1 FROM k2 WHERE h1 <> 0 UNION ALL SELECT contig, n, pos, 2, h2 FROM k2 WHERE h2 <> 0)"""
 
 
-def _hashes(v, which: str = "true", keep: tuple[str, ...] = ("contig", "n"), places: bool = True):
-    return K.sequence_hashes(v.seqs.filter(which), _K, _MASKS, list(keep), places=places)
+def _hashes(v, which: str = "true", keep: tuple[str, ...] = ("contig", "n")):
+    return K.sequence_hashes(v.seqs.filter(which), _K, _MASKS, list(keep))
+
+
+def _frequent(v):
+    return K.frequent(K.hash_counts(v.seqs.filter(_READS), _K, _MASKS))
 
 
 #: Of the sequences the even ones stand for reads, the odd ones for the reference.
@@ -51,11 +55,11 @@ def k03(v):
 @query("k04_frequent_hashes", oracle("seqs", "SELECT h, count(*)::bigint AS n FROM kh WHERE n % 2 = 0 GROUP BY h HAVING count(*) >= 3", _KMERS))
 def k04(v):
     """Of the even sequences, which stand for reads here; the odd ones stand for the reference."""
-    return K.frequent(_hashes(v, _READS, (), False))
+    return _frequent(v)
 
 
 def _hits(v):
-    return K.hit_positions(_hashes(v, _REFERENCE, ("contig",)), K.frequent(_hashes(v, _READS, (), False)), _E)
+    return K.hit_positions(_hashes(v, _REFERENCE, ("contig",)), _frequent(v), _E)
 
 
 @query("k05_k06_hit_positions", oracle("seqs", f"SELECT contig, pos, 1 AS any_hit, (count(*) >= {_E})::int AS all_hit FROM kh WHERE n % 2 = 1 AND h IN (SELECT h FROM kh WHERE n % 2 = 0 GROUP BY h HAVING count(*) >= 3) GROUP BY contig, pos", _KMERS))
