@@ -98,10 +98,95 @@ def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -2, opening
     return float(best[n, m]), "".join(reversed(p)), "".join(reversed(q))
 
 
+#: Cells of the matrices of pairs that are aligned side by side.
+CELLS = 1 << 20
+
+
+def _by_shape(a: list[str], b: list[str]):
+    """(indices, codes of a's strings, codes of b's) of pairs whose strings have the same two lengths, some at a time."""
+    import numpy as np
+
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        shapes.setdefault((len(x), len(y)), []).append(i)
+    codes = lambda strings, n: np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).reshape(len(strings), n)
+    for (n, m), own in shapes.items():
+        step = max(1, CELLS // ((n + 1) * (m + 1)))
+        for k in range(0, len(own), step):
+            some = own[k : k + step]
+            yield some, codes([a[i] for i in some], n), codes([b[i] for i in some], m)
+
+
+def local_batch(a: list[str], b: list[str], match: int = 2, mismatch: int = -3, opening: int = 5, extending: int = 2) -> list[int]:
+    """local_score of each pair of strings, the matrices of many pairs filled side by side, row by row."""
+    import numpy as np
+
+    out = np.zeros(len(a), np.int64)
+    for some, x, y in _by_shape(a, b):
+        rows, m = y.shape
+        steps = np.arange(m + 1, dtype=np.int32) * extending
+        h, f, best = np.zeros((rows, m + 1), np.int32), np.full((rows, m + 1), -(10**6), np.int32), np.zeros(rows, np.int32)
+        for i in range(x.shape[1]):
+            f = np.maximum(h - opening, f - extending)
+            g = np.zeros((rows, m + 1), np.int32)
+            g[:, 1:] = np.maximum(0, np.maximum(h[:, :-1] + np.where(y == x[:, i, None], match, mismatch), f[:, 1:]))
+            run = np.maximum.accumulate(g + steps, axis=1)[:, :-1] - opening + extending - steps[1:]
+            g[:, 1:] = np.maximum(g[:, 1:], run)
+            best = np.maximum(best, g.max(axis=1))
+            h = g
+        out[some] = best
+    return out.tolist()
+
+
+def global_batch(a: list[str], b: list[str], match: int = 1, mismatch: int = -2, opening: int = 5, extending: int = 2) -> list[tuple[float, str, str]]:
+    """global_alignment of each pair of strings: matrices of many pairs side by side, and their tracebacks step by step."""
+    import numpy as np
+
+    out: list = [None] * len(a)
+    for some, x, y in _by_shape(a, b):
+        (rows, n), m = x.shape, y.shape[1]
+        low = -(10**7)
+        best, up, side = np.zeros((n + 1, rows, m + 1), np.int32), np.full((n + 1, rows, m + 1), low, np.int32), np.full((n + 1, rows, m + 1), low, np.int32)
+        for i in range(1, n + 1):
+            up[i, :, 1:] = np.maximum(best[i - 1, :, 1:] - opening, up[i - 1, :, 1:] - extending)
+            if m:
+                up[i, :, m] = np.maximum(best[i - 1, :, m], up[i - 1, :, m])
+            g = best[i].copy()
+            g[:, 1:] = np.maximum(best[i - 1, :, :-1] + np.where(y == x[:, i - 1, None], match, mismatch), up[i, :, 1:])
+            first, more = (0, 0) if i == n else (opening, extending)
+            steps = np.arange(m + 1, dtype=np.int32) * more
+            side[i, :, 1:] = np.maximum.accumulate(g + steps, axis=1)[:, :-1] - first + more - steps[1:]
+            best[i, :, 1:] = np.maximum(g[:, 1:], side[i, :, 1:])
+        gap, r = ord("-"), np.arange(rows)
+        i, j, state = np.full(rows, n), np.full(rows, m), np.zeros(rows, np.int8)  # 0: best, 1: up, 2: side
+        made = np.zeros((2, n + m, rows), np.uint32)
+        for step in range(n + m):
+            live = (i > 0) | (j > 0)
+            if not live.any():
+                break
+            here, both = best[i, r, j], (i > 0) & (j > 0)
+            c, d = (x[r, i - 1], y[r, j - 1]) if n and m else (np.zeros(rows, np.uint32),) * 2
+            pair = live & (state == 0) & both & (here == best[i - 1, r, j - 1] + np.where(c == d, match, mismatch))
+            up_now = np.where(state == 0, (i > 0) & ((j == 0) | (here == up[i, r, j])), state == 1)
+            rise, slide = live & ~pair & up_now, live & ~pair & ~up_now
+            first_up, first_side = np.where((j > 0) & (j < m), opening, 0), np.where((i > 0) & (i < n), opening, 0)
+            ends_up = (j == 0) | (up[i, r, j] == best[i - 1, r, j] - first_up)
+            ends_side = (i == 0) | (side[i, r, j] == best[i, r, j - 1] - first_side)
+            state = np.where(rise, np.where(ends_up, 0, 1), np.where(slide, np.where(ends_side, 0, 2), 0)).astype(np.int8)
+            made[0, step] = np.where(pair | rise, x[r, i - 1] if n else gap, np.where(slide, gap, 0))
+            made[1, step] = np.where(pair | slide, y[r, j - 1] if m else gap, np.where(rise, gap, 0))
+            i, j = i - (pair | rise), j - (pair | slide)
+        told = ["".join(map(chr, col[col > 0][::-1])) for side_ in made for col in side_.T]
+        for k, (index, total) in enumerate(zip(some, best[n, :, m].tolist(), strict=True)):
+            out[index] = (float(total), told[k], told[rows + k])
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def local_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Local score over the first string's length: 0 to 2."""
-    return pd.Series([local_score(x, y) / len(x) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
+    """Local score over the first string's length: 0 to 2; 0 for a missing or empty string."""
+    x, y = a.fillna("").tolist(), b.fillna("").tolist()
+    return pd.Series([s / len(p) if p else 0.0 for p, s in zip(x, local_batch(x, y), strict=True)], dtype=float)
 
 
 def context_similarity(a: Column, b: Column) -> Column:
@@ -112,7 +197,7 @@ def context_similarity(a: Column, b: Column) -> Column:
 @F.pandas_udf(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
 def aligned_pair(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Both strings of a global alignment."""
-    return pd.DataFrame([global_alignment(x or "", y or "")[1:] for x, y in zip(a, b, strict=True)], columns=["a", "b"], dtype=object)
+    return pd.DataFrame([found[1:] for found in global_batch(a.fillna("").tolist(), b.fillna("").tolist())], columns=["a", "b"], dtype=object)
 
 
 def homology_run(a: str, b: str) -> int:

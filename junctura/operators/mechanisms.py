@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import mechanism, reverse_complement
-from .alignment import global_alignment, homology_run, inserted_run
+from .alignment import global_batch, homology_run, inserted_run
 from .joins import interval_join
 
 FLANK, LEAST_READ = 100, 50
@@ -16,12 +16,14 @@ FLANK, LEAST_READ = 100, 50
 
 @F.pandas_udf(T.IntegerType())
 def _homology(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([homology_run(*global_alignment(x, y)[1:]) if x and y else 0 for x, y in zip(a, b, strict=True)], dtype="int32")
+    x, y = a.fillna("").tolist(), b.fillna("").tolist()
+    return pd.Series([homology_run(*found[1:]) if p and q else 0 for p, q, found in zip(x, y, global_batch(x, y), strict=True)], dtype="int32")
 
 
 @F.pandas_udf(T.IntegerType())
 def _inserted(read: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([inserted_run(global_alignment(x, y)[2]) if x and y else 0 for x, y in zip(read, ref, strict=True)], dtype="int32")
+    x, y = read.fillna("").tolist(), ref.fillna("").tolist()
+    return pd.Series([inserted_run(found[2]) if p and q else 0 for p, q, found in zip(x, y, global_batch(x, y), strict=True)], dtype="int32")
 
 
 def _cut(seq: Column, a: Column, b: Column) -> Column:

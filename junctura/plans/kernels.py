@@ -197,30 +197,37 @@ def w02(v):
     return A.raw_clusters(A.cluster_pairs(points, by, 300), by)
 
 
+def window_pairs(v, size: int):
+    """contig, at (from 0), x and y: the windows of size letters of each sequence, one after another to its end, beside those of
+    the sequence that follows it."""
+    windows = v.seqs.select("contig", "n", F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0)).alias("x"))
+    following = windows.select((F.col("n") - 1).alias("n"), F.col("x").alias("y"))
+    both = windows.join(following, "n").select("contig", F.posexplode(F.arrays_zip("x", "y")).alias("at", "w"))
+    return both.select("contig", "at", "w.x", "w.y").filter("x is not null and y is not null")
+
+
 @query("u01_local_similarity", None)
 def u01(v):
-    """Local similarity of neighbouring sequences' heads."""
-    two = v.seqs.select((F.col("n") - 1).alias("n"), F.substring("seq", 1, 50).alias("y"))
-    return v.seqs.join(two, "n").filter("length(seq) >= 50").select("contig", F.round(A.local_similarity(F.substring("seq", 1, 50), F.col("y")), 6).alias("similarity"))
+    """Local similarity of neighbouring sequences, window by window."""
+    return window_pairs(v, 50).select("contig", "at", F.round(A.local_similarity("x", "y"), 6).alias("similarity"))
 
 
 @query("u03_precise_breakpoints", None)
 def u03(v):
-    """Clips from places all over the sequences are placed on the stretch about them again."""
-    some = v.seqs.filter("length(seq) >= 120").withColumn("at", F.pmod(F.xxhash64("contig"), F.length("seq") - 30).cast("long"))
-    lo = F.greatest(F.col("at") - 200, F.lit(0).cast("long"))
-    ref = F.substring("seq", (lo + 1).cast("int"), F.lit(430))
-    clusters = some.select(F.col("n").alias("cluster"), lo.alias("lo"), (lo + F.length(ref)).cast("long").alias("hi"), ref.alias("ref"))
-    reads = some.select(F.col("n").alias("cluster"), F.col("n").alias("row_id"), F.substring("seq", (F.col("at") + 1).cast("int"), F.lit(30)).alias("clip"), F.lit(True).alias("right"))
+    """A clip of each stretch of the sequences is placed on the stretch again."""
+    stretches = v.seqs.select("n", F.posexplode(F.regexp_extract_all("seq", F.lit(".{1,430}"), F.lit(0))).alias("at", "ref")).filter("length(ref) >= 120")
+    some = stretches.withColumn("cluster", F.col("n") * 1_000_000 + F.col("at")).withColumn("lo", F.col("at").cast("long") * 430)
+    clusters = some.select("cluster", "lo", (F.col("lo") + F.length("ref")).cast("long").alias("hi"), "ref")
+    place = F.pmod(F.xxhash64("cluster"), F.length("ref") - 30).cast("int")
+    reads = some.select("cluster", F.col("cluster").alias("row_id"), F.substring("ref", place + 1, F.lit(30)).alias("clip"), F.lit(True).alias("right"))
     return A.precise_breakpoints(clusters, reads)
 
 
 @query("u02_x13_junctions", None)
 def u02(v):
-    """Homology and inserted bases in global alignments of flanks."""
-    two = v.seqs.select((F.col("n") - 1).alias("n"), F.substring("seq", 10, 30).alias("y"))
-    pairs = v.seqs.join(two, "n").select("contig", A.aligned_pair(F.substring("seq", 1, 30), "y").alias("p"))
-    return pairs.select("contig", A.junction_runs("p.a", "p.b").alias("r")).select("contig", "r.homology", "r.inserted")
+    """Homology and inserted bases in global alignments of the windows of neighbouring sequences."""
+    pairs = window_pairs(v, 30).select("contig", "at", A.aligned_pair("x", "y").alias("p"))
+    return pairs.select("contig", "at", A.junction_runs("p.a", "p.b").alias("r")).select("contig", "at", "r.homology", "r.inserted")
 
 
 def _labelled(v):
@@ -312,17 +319,16 @@ def u05(v):
 
 
 @query("x15_microhomology", oracle("seqs", """
-    SELECT contig, coalesce(max(k), 0)::bigint AS longest FROM (SELECT a.contig, k FROM pr a, (SELECT unnest(range(3, 11)) AS k) ks
-      WHERE len(list_intersect(list_transform(range(1, 32 - k), lambda i: substring(a.x, i::int, k::int)), list_transform(range(1, 32 - k), lambda i: substring(a.y, i::int, k::int)))) > 0) z GROUP BY contig""",
-    "pr AS (SELECT a.contig, substring(a.seq, 1, 30) AS x, substring(b.seq, 41, 30) AS y FROM seqs a JOIN seqs b ON a.n = b.n - 1 WHERE length(a.seq) >= 30 AND length(b.seq) >= 70)"))
+    SELECT contig, max(k)::bigint AS longest FROM (SELECT contig, x, y, k FROM pr, (SELECT unnest(range(3, 11)) AS k) ks
+      WHERE len(list_intersect(list_transform(range(1, length(x) - k + 2), lambda i: substring(x, i::int, k::int)), list_transform(range(1, length(y) - k + 2), lambda i: substring(y, i::int, k::int)))) > 0) z GROUP BY contig""",
+    """wd AS (SELECT contig, n, regexp_extract_all(seq, '.{1,30}') AS w FROM seqs),
+    pr AS (SELECT contig, unnest(wa) AS x, unnest(wb) AS y FROM (SELECT a.contig, a.w[1:least(len(a.w), len(b.w))] AS wa, b.w[1:least(len(a.w), len(b.w))] AS wb FROM wd a JOIN wd b ON a.n = b.n - 1) p)"""))
 def x15(v):
-    """The longest k (3 to 10) of which two flanks share a k-mer."""
-    two = v.seqs.filter("length(seq) >= 70").select((F.col("n") - 1).alias("n"), F.substring("seq", 41, 30).alias("y"))
-    pairs = v.seqs.filter("length(seq) >= 30").join(two, "n").select("contig", F.substring("seq", 1, 30).alias("x"), "y")
-    cut = lambda c, k: F.transform(F.sequence(F.lit(1), F.lit(31 - k)), lambda i: F.substr(F.col(c), i, F.lit(k)))
+    """The longest k (3 to 10) of which two windows at one place of neighbouring sequences share a k-mer."""
+    cut = lambda c, k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substr(F.col(c), i, F.lit(k))))
     found = [F.when(F.arrays_overlap(cut("x", k), cut("y", k)), F.lit(k)) for k in range(3, 11)]
-    longest = F.greatest(*found)
-    return pairs.select("contig", longest.cast("long").alias("longest")).filter("longest is not null")
+    longest = window_pairs(v, 30).select("contig", F.greatest(*found).cast("long").alias("longest"))
+    return longest.groupBy("contig").agg(F.max("longest").alias("longest")).filter("longest is not null")
 
 
 @query("t09_saturation_fit", None)

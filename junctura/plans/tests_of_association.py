@@ -128,12 +128,12 @@ def m04(v):
 
 @query("f17_context_similarity", None)
 def f17(v):
-    """Breakpoint contexts compared either way round."""
+    """The windows of neighbouring sequences compared either way round."""
     from ..operators.alignment import context_similarity
+    from .kernels import window_pairs
 
-    one = v.seqs.select("contig", F.substring("seq", 1, 60).alias("x"), "n")
-    two = v.seqs.select((F.col("n") - 1).alias("n"), F.substring("seq", 30, 60).alias("y"))
-    return one.join(two, "n").filter("length(x) = 60 and length(y) = 60").select("contig", F.round(context_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+    pairs = window_pairs(v, 60)
+    return pairs.select("contig", "at", F.round(context_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 @query("x03_genome_names", oracle("contigs", "SELECT contig, regexp_replace(contig, '_[^_]*$', '') AS genome FROM contigs"))

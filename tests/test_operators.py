@@ -298,7 +298,7 @@ def test_crowded_clusters_in_the_plane(spark):
 
 
 def test_global_alignments_against_the_recursion():
-    rnd = random.Random(3)
+    rnd, pairs = random.Random(3), []
     for _ in range(300):
         a, b = ("".join(rnd.choices("ACG", k=rnd.randrange(0, 13))) for _ in "xx")
         n, m, low = len(a), len(b), -1e9
@@ -308,11 +308,37 @@ def test_global_alignments_against_the_recursion():
                 up[i][j] = max(best[i - 1][j] - (0 if j == m else 5), up[i - 1][j] - (0 if j == m else 2))
                 side[i][j] = max(best[i][j - 1] - (0 if i == n else 5), side[i][j - 1] - (0 if i == n else 2))
                 best[i][j] = max(best[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -2), up[i][j], side[i][j])
+        pairs.append((a, b))
         score, x, y = alignment.global_alignment(a, b)
         assert score == best[n][m] and (x.replace("-", ""), y.replace("-", "")) == (a, b)
+    # many at a time, of all shapes
+    pairs += [("".join(rnd.choices("ACG", k=30)), "".join(rnd.choices("ACG", k=30))) for _ in range(200)]
+    assert alignment.global_batch(*map(list, zip(*pairs, strict=True))) == [alignment.global_alignment(a, b) for a, b in pairs]
+    assert alignment.local_batch(*map(list, zip(*pairs, strict=True))) == [alignment.local_score(a, b) for a, b in pairs]
     assert alignment.homology_run("AC-GTTA", "ACTG-TA") == 2 and alignment.inserted_run("AC--GT-A-") == 2 and alignment.inserted_run("--ACG-") == 0
 
 
+def test_windows_of_whole_sequences(spark):
+    from types import SimpleNamespace
+
+    from junctura.plans.kernels import window_pairs
+
+    rnd = random.Random(8)
+    seqs = {i: "".join(rnd.choices("ACGT", k=n)) for i, n in enumerate((95, 130, 0, 61, 60, 7))}
+    v = SimpleNamespace(seqs=spark.createDataFrame([(f"c{i}", i, s) for i, s in seqs.items()], "contig string, n long, seq string"))
+    pairs = [(f"c{i}", k, x, y) for i in range(5) for k in range(9) if (x := seqs[i][60 * k : 60 * k + 60]) and (y := seqs[i + 1][60 * k : 60 * k + 60])]
+    got = window_pairs(v, 60)
+    assert sorted(map(tuple, got.collect())) == sorted(pairs)
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = [(c, k, round(max(naive_local(x, y), naive_local(x, turned(y))) / len(x), 6)) for c, k, x, y in pairs]
+    found = got.select("contig", "at", alignment.context_similarity("x", "y").alias("s")).collect()
+    assert sorted((r.contig, r.at, round(r.s, 6)) for r in found) == sorted(want)
+    runs = got.select("contig", "at", alignment.aligned_pair("x", "y").alias("p")).select("contig", "at", alignment.junction_runs("p.a", "p.b").alias("r")).collect()
+    both = {(c, k): alignment.global_alignment(x, y)[1:] for c, k, x, y in pairs}
+    brute = lambda a, b: max((len(list(g)) for ok, g in itertools.groupby(zip(a, b, strict=True), lambda p: "-" not in p) if ok), default=0)
+    assert all(r.r.homology == brute(*both[r.contig, r.at]) for r in runs)
+
+
 def test_sequence_hashes_equal_those_of_columns(spark):
     rnd = random.Random(1)
     seqs = spark.createDataFrame([(f"c{i}", "".join(rnd.choices("ACGTNacg", (9, 9, 9, 9, 1, 1, 1, 1), k=i * 7))) for i in range(9)], "contig string, seq string")
