@@ -18,14 +18,15 @@ def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series
 
     quads = pd.DataFrame({"a": a, "b": b, "c": c, "d": d})
     known: dict[tuple, float] = {}
-    lg = np.vectorize(math.lgamma, otypes=[float])
     for q in set(map(tuple, quads.to_numpy().tolist())):
         w, x, y, z = (int(v) for v in q)
         n1, n2, k = w + x, y + z, w + y
-        support = np.arange(max(0, k - n2), min(n1, k) + 1)
-        p = -(lg(support + 1) + lg(n1 - support + 1) + lg(k - support + 1) + lg(n2 - k + support + 1))
+        least, most = max(0, k - n2), min(n1, k)
+        # each outcome's chance is the one before times a ratio of small numbers
+        i = np.arange(least, most, dtype=float)
+        p = np.r_[0.0, np.cumsum(np.log((n1 - i) * (k - i) / ((i + 1) * (n2 - k + i + 1))))]
         p = np.exp(p - p.max())
-        known[q] = float(min(1.0, p[p <= p[w - support[0]] * (1 + 1e-7)].sum() / p.sum()))
+        known[q] = float(min(1.0, p[p <= p[w - least] * (1 + 1e-7)].sum() / p.sum()))
     return pd.Series([known[q] for q in map(tuple, quads.to_numpy().tolist())], dtype=float)
 
 

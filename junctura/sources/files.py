@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import read_id
+from .ranges import reads
 
 ACC_COLUMNS = (
     "from_ref string, from_pos long, from_side string, from_strand string, to_ref string, to_pos long, to_side string, to_strand string, if_reverse string, "
@@ -31,15 +32,8 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str, mate: int = 1) -> DataFrame:
-    """read_name, mate, seq of four-line records, from splits of any size.
-
-    The text is cut at line feeds before `+`. What stands before such a cut are a record's name and sequence as the last
-    two lines, unless the cut is a quality line that begins with `+`; then there is a rest of one line only, which is no
-    record. Qualities that begin with `@` do no harm, as only the last two lines are read."""
-    chunks = spark.read.option("lineSep", "\n+").text(path)
-    pattern = "(?:^|\n)@([^\n]+)\n([A-Za-z.*-]+)\r?$"
-    hit = chunks.filter(F.col("value").rlike(pattern))
-    return hit.select(read_id(F.regexp_extract("value", pattern, 1)).alias("read_name"), F.lit(mate).cast("tinyint").alias("mate"), F.regexp_extract("value", pattern, 2).alias("seq"))
+    """read_name, mate, seq and qual of four-line records, from byte ranges of the files."""
+    return reads(spark, path, mate)
 
 
 def read_pairs(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -91,6 +85,17 @@ def acc_breakpoints(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(~F.col("__f").endswith(".repeat.acc.csv")).drop("__f").join(head, "sample", "left")
 
 
+def write_acc(df: DataFrame, path: str, reads_num: int, insert_size: int) -> None:
+    """One sample's breakpoints as acc_breakpoints() reads them: each file of the folder has the comment line with the number
+    of reads and the insert size, the names of the columns, and its rows."""
+    names = [c.split()[0] for c in ACC_COLUMNS.split(", ")]
+    head = f"# the number of reads in the sample is: {reads_num}; Insert size is {insert_size}.\n{','.join(names)}\n"
+    body = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    # a partition's first row brings the head with it
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    df.select(F.when(first, F.concat(F.lit(head), body)).otherwise(body).alias("value")).write.text(path)
+
+
 def raw_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Raw clusters; lines without exactly ten fields are dropped."""
     f = F.transform(F.split("value", ","), lambda x: F.trim(x))
@@ -111,6 +116,24 @@ def truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(f.alias("f")).filter(F.size("f") >= 6).selectExpr("f[0] AS receptor", "cast(f[1] AS long) AS insert_locus", "f[2] AS donor", "cast(f[3] AS long) AS delete_start", "cast(f[4] AS long) AS delete_end", "f[5] AS reverse_flag")
 
 
+def write_truth(df: DataFrame, path: str) -> None:
+    """Events as truth() reads them."""
+    names = ("receptor", "insert_locus", "donor", "delete_start", "delete_end", "reverse_flag")
+    df.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in names]).alias("value")).write.text(path)
+
+
+def competitor_calls(spark: SparkSession, path: str) -> DataFrame:
+    """sample, cref1, cpos1, cref2, cpos2 of another caller's tables, one a sample: comma-separated, the ends in the first four
+    fields. A line with the ends of the line before it is left out."""
+    from ..operators.order import consecutive_distinct
+
+    f = F.split("value", ",")
+    lines = spark.read.text(path).select(F.regexp_replace("_metadata.file_name", "\\.[^.]*$", "").alias("sample"), F.monotonically_increasing_id().alias("line"), f.alias("f"))
+    place = lambda k: F.col("f")[k].try_cast("long")
+    rows = lines.filter((F.size("f") >= 4) & (F.col("f")[0] != "from_ref")).select("sample", "line", F.col("f")[0].alias("cref1"), place(1).alias("cpos1"), F.col("f")[2].alias("cref2"), place(3).alias("cpos2"))
+    return consecutive_distinct(rows, ["sample"], ["line"], ["cref1", "cpos1", "cref2", "cpos2"]).drop("line")
+
+
 def _tabbed(spark: SparkSession, path: str, schema: str, comment: str = "#") -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("comment", comment).option("quote", "").csv(path)
 

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from junctura.sources import bam, checks, index
+from junctura.sources import bam, checks, index, ranges
 from junctura.sources import files as S
 from junctura.streaming import arrivals
 
@@ -28,6 +28,43 @@ def test_sequences(spark, tmp_path):
     assert sorted((r.read_name, r.seq) for r in S.fastq(spark, fq).collect()) == [("q1", "ACGT"), ("q2", "TTTT"), ("q3", "GG"), ("q4", "C")]
 
 
+def test_reads_from_ranges_of_any_size(spark, tmp_path):
+    import gzip
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(120):
+        n = rnd.randrange(1, 40)
+        qual = rnd.choice("@+I") + "".join(rnd.choices("@+IJ", k=n - 1))
+        rows.append((f"q{i}", "".join(rnd.choices("ACGTN", k=n)), qual))
+    text = "".join(f"@{n}{rnd.choice(['', '/1', ' x', chr(9) + 'y'])}\n{s}\n+{rnd.choice(['', n])}\n{q}\n" for n, s, q in rows)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fq").write_text(text)
+    for size in (1, 7, 100, 5000, 1 << 26):
+        got = ranges.reads(spark, str(tmp_path / "in"), 2, size)
+        assert sorted(tuple(r) for r in got.collect()) == sorted((n, 2, s, q) for n, s, q in rows)
+    (tmp_path / "in" / "b.fq.gz").write_bytes(gzip.compress(text.replace("\n", "\r\n").encode()))
+    assert sorted((r.read_name, r.seq, r.qual) for r in S.fastq(spark, str(tmp_path / "in")).collect()) == sorted(rows * 2)
+    (tmp_path / "none").mkdir()
+    assert S.fastq(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_sinks_close_the_chain(spark, tmp_path):
+    write(tmp_path / "s1.acc.csv", acc(500, [("A", 1, "B", 2), ("A", 3, "A", 4), ("C", 3, "A", 9)]))
+    rows = S.acc_breakpoints(spark, str(tmp_path / "s1.acc.csv"))
+    S.write_acc(rows.repartition(2), str(tmp_path / "out"), 500, 300)
+    again = S.acc_breakpoints(spark, str(tmp_path / "out"))
+    key = [c for c in rows.columns if c not in ("sample", "reads_num")]
+    assert sorted(map(str, again.select(key).collect())) == sorted(map(str, rows.select(key).collect()))
+    assert {r.reads_num for r in again.collect()} == {500}
+    events = spark.createDataFrame([("A", 5, "B", 7, 9, "True")], "receptor string, insert_locus long, donor string, delete_start long, delete_end long, reverse_flag string")
+    S.write_truth(events, str(tmp_path / "truth"))
+    assert [tuple(r) for r in S.truth(spark, str(tmp_path / "truth")).collect()] == [("A", 5, "B", 7, 9, "True")]
+    write(tmp_path / "s9.csv", "from_ref,from_pos,to_ref,to_pos,x\nA,1,B,2,7\nA,1,B,2,8\nC,1,B,2,8\nA,1,B,2,8\n")
+    assert sorted(tuple(r) for r in S.competitor_calls(spark, str(tmp_path / "s9.csv")).collect()) == [("s9", "A", 1, "B", 2)] * 2 + [("s9", "C", 1, "B", 2)]
+
+
 def test_alignments(spark, tmp_path):
     sam = write(tmp_path / "a.sam", "@HD\tVN:1\nq1\t99\tA\t10\t60\t50M\t=\t100\t140\tACGT\t*\tNM:i:0\tSA:Z:B,20,-,10S40M,60,0;\nq2\t0\tA\t5\t9\t4M\t*\t0\t0\tACGT\t*\n")
     rows = S.sam(spark, sam)
