@@ -148,6 +148,35 @@ def test_binary_alignments(spark, tmp_path):
         bam.bam(spark, str(tmp_path / "in")).count()
 
 
+def test_binary_alignments_by_ranges_and_regions(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    head = b"BAM\1" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", 2) + b"".join(struct.pack("<i", 2) + n + b"\0" + struct.pack("<i", 90_000) for n in (b"A", b"B"))
+    rows = sorted((rnd.randrange(2), rnd.randrange(80_000), f"r{i}", n) for i in range(700) for n in [rnd.choice([4, 90, 900, 30_000])])
+    body = head + b"".join(alignment_record(q, 0, ref, pos, [(n, "M")], "ACGT" * (min(n, 900) // 4) + "A" * (n % 2)) for ref, pos, q, n in rows)
+    for name, size in (("a.bam", 331), ("b.bam", 20_000)):
+        (tmp_path / name).write_bytes(b"".join(block(body[k : k + size]) for k in range(0, len(body), size)) + block(b""))
+        path = str(tmp_path / name)
+        bytes_ = (tmp_path / name).stat().st_size
+        for split in (97, 1000, 40_000, 1 << 26) if size > 1000 else (5000, 1 << 26):
+            with open(path, "rb") as f:
+                got = [r[2][0] for a in range(0, bytes_, split) for r in bam.records(f, a, a + split, bytes_)]
+            assert got == [q for *_, q, _ in rows], split
+        assert sorted(r.qname for r in bam.bam(spark, path, 5000).collect()) == sorted(q for *_, q, _ in rows)
+        index_ = bam.linear_index(spark, path, 20_000)
+        for ref, start, end in (("A", 30_000, 30_400), ("B", 0, 2000), ("B", 79_000, 90_000), ("A", 60_000, 70_000)):
+            found = bam.fetch_blocks(index_, ref, start, end)
+            want = [q for r, p, q, n in rows if "AB"[r] == ref and p < end and p + n > start]
+            got = found.collect()
+            assert sorted(r.qname for r in got) == sorted(want) and want
+        # what lies before the first window and behind the region is not read
+        with open(path, "rb") as f:
+            blocks = [(b, r[2], r[3]) for b, _, r in bam.records(f)]
+        used = {r.block for r in bam.fetch_blocks(index_, "B", 79_000, 90_000).collect()}
+        assert min(used) > blocks[0][0] and used <= {b for b, ref, _ in blocks if ref == "B"}
+
+
 def test_index(spark, tmp_path):
     seqs = spark.createDataFrame([("c", "ACGTTGCATGCATTGACCA"), ("short", "ACG")], "contig string, seq string")
     index.write_index(seqs, str(tmp_path / "i"), 8, seed=3)
