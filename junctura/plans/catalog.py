@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from . import cohort, kernels, joining, ordering, projections, tests_of_association  # noqa: F401
+    from . import cohort, files, kernels, joining, ordering, projections, tests_of_association  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

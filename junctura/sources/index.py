@@ -1,26 +1,52 @@
-"""The k-mer index of a reference as a table, written once for each set of parameters."""
+"""The k-mer index of a reference as a bucketed table, written once for each set of parameters.
+
+Rows lie in buckets by their hash and sorted by it, so that a probe, dealt to as many partitions, is merged with them as they
+are read: the reference's hashes are shuffled when the index is written and never again.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.kmers import coder, sequence_hashes
 
+COLUMNS = "contig string, pos long, hash_no int, h long"
+
+
+def _name(path: str, k: int, n_hashes: int, seed: int) -> tuple[str, str]:
+    folder = f"{path}/k={k}/hashes={n_hashes}/seed={seed}"
+    return folder, f"kmers_{hashlib.sha256(folder.encode()).hexdigest()[:24]}"
+
 
-def _folder(path: str, k: int, n_hashes: int, seed: int) -> str:
-    return f"{path}/k={k}/hashes={n_hashes}/seed={seed}"
+def _buckets(folder: str, spark: SparkSession) -> int:
+    """The number of buckets that an index was written with, kept beside its files; 0 if there is none."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}-buckets")
+    if not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path):
+        return 0
+    return int(spark.read.text(f"{folder}-buckets").first()[0])
 
 
-def write_index(seqs: DataFrame, path: str, k: int, n_hashes: int = 3, seed: int = 1) -> None:
-    """contig, pos, hash_no, h of all k-mers of seqs (contig, seq), in ranges of h, by which probes find their files."""
-    found = sequence_hashes(seqs, k, coder(k, n_hashes, seed), ["contig"])
-    found.repartitionByRange("h").sortWithinPartitions("h").write.mode("overwrite").parquet(_folder(path, k, n_hashes, seed))
+def write_index(seqs: DataFrame, path: str, k: int, n_hashes: int = 3, seed: int = 1, buckets: int | None = None) -> None:
+    """contig, pos, hash_no, h of all k-mers of seqs (contig, seq), in buckets of h (as many as shuffles have partitions, if not
+    given: at scale some 100 MB each)."""
+    spark = seqs.sparkSession
+    folder, name = _name(path, k, n_hashes, seed)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = sequence_hashes(seqs, k, coder(k, n_hashes, seed), ["contig"]).select("contig", "pos", "hash_no", "h")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    # a bucket's rows come to one task, so that it is one file
+    found.repartition(n, "h").write.mode("overwrite").format("parquet").bucketBy(n, "h").sortBy("h").option("path", folder).saveAsTable(name)
+    spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}-buckets")
 
 
 def read_index(spark: SparkSession, path: str, k: int, n_hashes: int = 3, seed: int = 1) -> DataFrame:
     """The index with these parameters; ValueError if none was written with them."""
-    try:
-        return spark.read.parquet(_folder(path, k, n_hashes, seed)).select("contig", "pos", "hash_no", "h")
-    except AnalysisException as e:
-        raise ValueError(f"no index for k={k}, {n_hashes} hashes and seed {seed}") from e
+    folder, name = _name(path, k, n_hashes, seed)
+    n = _buckets(folder, spark)
+    if not n:
+        raise ValueError(f"no index for k={k}, {n_hashes} hashes and seed {seed}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {n} BUCKETS LOCATION '{folder}'")
+    return spark.table(name).select("contig", "pos", "hash_no", "h")

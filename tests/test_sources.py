@@ -184,6 +184,14 @@ def test_index(spark, tmp_path):
     assert got.count() > 20 and got.select("contig").distinct().count() == 1
     with pytest.raises(ValueError):
         index.read_index(spark, str(tmp_path / "i"), 9, seed=3)
+    # a probe by many hashes leaves the index where it lies
+    spark.sql(f"DROP TABLE {index._name(str(tmp_path / 'i'), 8, 3, 3)[1]}")  # as in another session
+    again = index.read_index(spark, str(tmp_path / "i"), 8, seed=3)
+    probe = again.join(got.select("h").distinct().hint("merge"), "h", "left_semi")
+    assert probe.count() == got.count()
+    probe = again.hint("merge").join(spark.range(5).withColumnRenamed("id", "h"), "h")
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 def test_input_checks(spark, tmp_path):
