@@ -601,3 +601,27 @@ def test_read_votes(spark):
     p = spark.createDataFrame(peaks, "h long, contig string, pos long")
     got = {(x.contig, x.pos): x.support for x in kmers.read_votes(r, p, 3).collect()}
     assert got == brute_votes(reads, peaks, 3) and {("x", 7), ("y", 8), ("z", 9)} <= set(got)
+
+
+def test_seeded_sample(spark):
+    df = spark.range(200).withColumnRenamed("id", "k")
+    one, again, other = (sorted(r.k for r in order.seeded_sample(d, "k", 20, seed).collect()) for d, seed in ((df, 3), (df.repartition(7), 3), (df, 4)))
+    assert one == again != other and len(set(one)) == 20
+    # a sample of more rows holds that of fewer
+    assert set(one) <= {r.k for r in order.seeded_sample(df, "k", 90, 3).collect()}
+    counts = [0] * 200
+    for seed in range(40):
+        for r in order.seeded_sample(df, "k", 50, seed).collect():
+            counts[r.k] += 1
+    assert min(counts) >= 1 and max(counts) <= 25  # ten are to be expected
+
+
+def test_saturation_fit_against_a_grid(spark):
+    rnd = random.Random(4)
+    curves = {g: (a, b) for g, a, b in (("x", 40.0, 0.3), ("y", 7.0, 0.05), ("z", 900.0, 1.1))}
+    rows = [(g, float(x), a * (1 - math.exp(-b * x)) * (1 + rnd.uniform(-0.03, 0.03))) for g, (a, b) in curves.items() for x in range(1, 12)]
+    loss = lambda g, a, b: sum((y - a * (1 - math.exp(-b * x))) ** 2 for k, x, y in rows if k == g)
+    for r in stats.saturation_fit(spark.createDataFrame(rows, "g string, x double, y double"), "g").collect():
+        a0, b0 = curves[r.g]
+        grid = min(loss(r.g, a0 * i / 100, b0 * j / 100) for i in range(70, 140, 2) for j in range(60, 150, 2))
+        assert loss(r.g, r.a, r.b) <= grid * (1 + 1e-9) and abs(r.a / a0 - 1) < 0.3
