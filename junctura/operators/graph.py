@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import stored
+from .checkpoints import discard, stored
 from .matching import max_weight_matching
 from .order import sorted_groups
 
@@ -18,12 +18,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     labels = stored(nodes.groupBy("node").agg(F.min("label").alias("label")))
     while True:
         met = e.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la <> lb")
-        if met.isEmpty():
+        hooks = met.select(F.explode(F.array("a", "b", "la", "lb")).alias("node"), F.least("la", "lb").alias("label"), F.lit(True).alias("hooked"))
+        low = stored(hooks.unionByName(labels.withColumn("hooked", F.lit(False))).groupBy("node").agg(F.min("label").alias("label"), F.max("hooked").alias("hooked")))
+        # without an edge between two labels the labels are final
+        if low.filter("hooked").isEmpty():
+            discard(e, low)
             return labels.withColumnRenamed("label", "component")
-        hooks = met.select(F.explode(F.array("a", "b", "la", "lb")).alias("node"), F.least("la", "lb").alias("label"))
-        low = stored(hooks.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
         up = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = stored(low.join(up, "label").select("node", F.col("next").alias("label")))
+        before, labels = labels, stored(low.join(up, "label").select("node", F.col("next").alias("label")))
+        discard(before, low)
 
 
 def matching_per_component(edges: DataFrame) -> DataFrame:
