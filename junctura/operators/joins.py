@@ -61,22 +61,23 @@ def asof_join(points: DataFrame, segments: DataFrame, keys: list[str], pos: str,
     bin_size; what a bin needs from before it is the last segment of an earlier one, carried over the bins alone."""
     from pyspark.sql import Window
 
+    from .scans import _same
+
     seg_cols = [c for c in segments.columns if c not in keys]
     point_cols = [c for c in points.columns if c not in keys]
-    s = segments.select(*keys, (F.col(start) - slack).alias("__at"), F.struct(*seg_cols).alias("__s")).withColumn("__bin", _bin(F.col("__at"), bin_size))
-    p = points.select(*keys, F.col(pos).alias("__at"), F.struct(*point_cols).alias("__p")).withColumn("__bin", _bin(F.col("__at"), bin_size))
-    last = s.groupBy(*keys, "__bin").agg(F.max(F.struct("__at", "__s")).alias("__last"))
-    none = F.lit(None).cast(last.schema["__last"].dataType)
-    bins = last.unionByName(p.select(*keys, "__bin", none.alias("__last"))).groupBy(*keys, "__bin").agg(F.max("__last").alias("__last"))
-    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = bins.withColumn("__s", F.last("__last", ignorenulls=True).over(earlier)["__s"]).filter(F.col("__s").isNotNull())
+    s = segments.select(*keys, (F.col(start) - slack).cast("long").alias("__at"), F.struct(*seg_cols).alias("__s"))
+    p = points.select(*keys, F.col(pos).cast("long").alias("__at"), F.struct(*point_cols).alias("__p"))
     no_point, no_segment = F.lit(None).cast(p.schema["__p"].dataType).alias("__p"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s")
-    before = carried.select(*keys, "__bin", F.lit(None).cast("long").alias("__at"), F.lit(0).alias("__kind"), no_point, "__s")
-    own = s.select(*keys, "__bin", F.col("__at").cast("long"), F.lit(0).alias("__kind"), no_point, "__s")
-    asked = p.select(*keys, "__bin", F.col("__at").cast("long"), F.lit(1).alias("__kind"), "__p", no_segment)
+    both = s.select(*keys, "__at", F.lit(0).alias("__kind"), no_point, "__s").unionByName(p.select(*keys, "__at", F.lit(1).alias("__kind"), "__p", no_segment))
+    both = both.withColumn("__bin", _bin(F.col("__at"), bin_size))
     w = Window.partitionBy(*keys, "__bin").orderBy(F.asc_nulls_first("__at"), "__kind", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    met = before.unionByName(own).unionByName(asked).withColumn("__s", F.last("__s", ignorenulls=True).over(w)).filter("__kind = 1")
-    return met.select(*keys, "__p.*", *[F.col(f"__s.{c}").alias(c) for c in seg_cols])
+    met = both.withColumn("__s", F.last("__s", ignorenulls=True).over(w)).filter("__kind = 1")
+    # one row a bin, put together before it is shuffled
+    last = both.groupBy(*keys, "__bin").agg(F.max(F.when(F.col("__kind") == 0, F.struct("__at", "__s"))).alias("__last"))
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "__bin", F.last("__last", ignorenulls=True).over(earlier)["__s"].alias("__before")).filter("__before is not null")
+    out = met.alias("l").join(carried.alias("r"), _same("l", "r", [*keys, "__bin"]), "left").select("l.*", F.coalesce("l.__s", "r.__before").alias("__found"))
+    return out.select(*keys, "__p.*", *[F.col(f"__found.{c}").alias(c) for c in seg_cols])
 
 
 def fallback_join(left: DataFrame, dim: DataFrame, keys: list[Column], dim_key: str, value: str) -> DataFrame:
