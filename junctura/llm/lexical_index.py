@@ -82,8 +82,8 @@ class Block:
         self.lengths.append(n)
         self.bytes += len(raw)
 
-    def full(self) -> bool:
-        return len(self.ids) >= BLOCK_DOCS or self.bytes >= BLOCK_BYTES
+    def full(self, most_bytes: int) -> bool:
+        return len(self.ids) >= BLOCK_DOCS or self.bytes >= most_bytes
 
     def batches(self, block: int):
         """The block's rows: its documents under a null term (lengths as counts), then its terms."""
@@ -114,7 +114,7 @@ class Block:
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, kinds[-1])], names)
 
 
-def build(docs: DataFrame) -> DataFrame:
+def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The index of docs (doc_id, text), staged. A row with a term has the number of documents (docs) and occurrences (terms)
     in the block, and the documents' places and frequencies; a row without one has the block's documents with terms, their
     terms, the lengths of all documents, and their ids, in the order of places."""
@@ -126,7 +126,7 @@ def build(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block.add(doc_id, text)
-                if block.full():
+                if block.full(block_bytes):
                     yield from block.batches(number)
                     number, block = number + 1, Block()
         if block.ids:
@@ -225,7 +225,9 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     index_docs, index_terms = index.filter("term is null"), index.filter("term is not null")
     asked = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     asked = staged(asked.select("item_id", F.monotonically_increasing_id().alias("item"), terms_of(F.col("text")).alias("terms")).filter(F.size("terms") > 0), "items")
-    n, total, blocks = index_docs.agg(F.sum("docs"), F.sum("terms"), F.count("*")).first()
+    # a block's number: the scan's partition in the upper bits, a count below
+    lane, turn = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    n, total, blocks, lanes = index_docs.agg(F.sum("docs"), F.sum("terms"), F.count("*"), F.max(lane) + 1).first()
     count = asked.count()
     if not n or not count:
         return items.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
@@ -234,7 +236,7 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     weights = staged(df.select("term", F.floor(1000 * F.log((2.0 * F.lit(n) + 2) / (2.0 * F.col("df") + 1))).cast("long").alias("weight")), "weights")
     # groups: blocks are dealt to parts, and the items, cut into sets of a bounded number, meet each part
     sets, parts = -(-count // GROUP_ITEMS), max(-(-blocks // 16), min(blocks, 256))
-    part_of = F.pmod(F.xxhash64("block"), F.lit(parts))
+    part_of = F.pmod(turn * lanes + lane, F.lit(parts))
     each_set = F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))
     hits = index_terms.join(weights, "term").filter("weight > 0").select("block", "term", "weight", "slots", "counts")
     heads = index_docs.select("block", "counts", "ids")
@@ -247,7 +249,7 @@ def search(index: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         F.lit(-1).cast("long").alias("block"), F.lit(0).alias("kind"), none("string", "term"), F.col("item").alias("weight"), none("binary", "slots"), none("binary", "counts"),
         F.array("item_id").alias("ids"), "terms", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.xxhash64("item"), F.lit(sets)).cast("int").alias("set"),
     )
-    dealt = rows.unionByName(queries).repartition(sets * parts, "part", "set").sortWithinPartitions("part", "set", "block", "kind", "term")
+    dealt = rows.unionByName(queries).repartitionById(sets * parts, (F.col("part") * sets + F.col("set")).cast("int")).sortWithinPartitions("part", "set", "block", "kind", "term")
 
     # no impact reaches a million times the weight of a term that one document holds
     most = asked.agg(F.max(F.size("terms"))).first()[0]

@@ -31,10 +31,10 @@ def brute(docs, items, k):
     return sorted(out, key=str)
 
 
-def searched(spark, docs, items, k):
+def searched(spark, docs, items, k, block_bytes=L.BLOCK_BYTES):
     d = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, block int").repartition(3)
     q = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, term string")
-    return sorted((tuple(r) for r in L.search(L.build(d.select("doc_id", "text", "block")), q, k).collect()), key=str)
+    return sorted((tuple(r) for r in L.search(L.build(d.select("doc_id", "text", "block"), block_bytes), q, k).collect()), key=str)
 
 
 def test_search_equals_brute_force(spark, monkeypatch):
@@ -46,10 +46,9 @@ def test_search_equals_brute_force(spark, monkeypatch):
     items = [(i, text(rnd.randrange(1, 25))) for i in range(12)] + [(50, "w5 w6 W5 w5"), (51, "absent"), (52, None), (53, "!"), (50, "w5 w6 W5 w5"), (50, "the")]
     want = brute(docs, items, 20)
     assert searched(spark, docs, items, 20) == want and len(want) > 100
-    monkeypatch.setattr(L, "BLOCK_BYTES", 600)  # many blocks, and more sets of items than one
     monkeypatch.setattr(L, "GROUP_ITEMS", 4)
-    monkeypatch.setattr(L, "PIECE", 50)
-    assert searched(spark, docs, items, 20) == want
+    for size in (600, 5000):  # many blocks, and more sets of items than one
+        assert searched(spark, docs, items, 20, size) == want
     assert searched(spark, [], items, 20) == searched(spark, docs, [], 20) == searched(spark, [(1, None)], items, 20) == []
 
 
@@ -73,6 +72,12 @@ def test_sums_of_slices():
             assert sorted((-s, p) for j, p, s in zip(item, place, score, strict=True) if j == i) == best
 
 
+def test_long_texts_are_cut_between_terms(monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 50)
+    text = "ab, cd " * 100 + "x" * 300 + " É-y"
+    assert [t.decode() for part in L._terms(text.encode()) for t in part] == terms(text)
+
+
 def test_query_equals_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
