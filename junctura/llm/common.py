@@ -43,6 +43,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def staged_alone(df: DataFrame, name: str) -> DataFrame:
+    """staged(), with the shuffle files of the write deleted at its end instead of when the driver collects garbage: for
+    jobs that write many tables in a row and read none but those again."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        return staged(df, name)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that staged() gave, once nothing reads them any more: what followed has been written itself."""
     for t in tables:

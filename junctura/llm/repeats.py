@@ -2,6 +2,8 @@
 
 Symbols are the bytes of a text or its words: with unit "byte" a repeat has at least `least` bytes (op2: LEAST), with
 "word" at least `least` words (PASSAGE: over 50), whatever blanks stand between them; words are held as 64-bit hashes.
+Several searches (least, unit) go through one scan and the same tables, column u telling them apart; their anchors have
+hashes of their own.
 
 Distribution: copies of a text are one text with a count. Each window of `least` symbols belongs to one anchor, the
 leftmost least hash of a shorter string inside it, so equal windows have equal anchors at equal offsets. An anchor owns
@@ -33,21 +35,25 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, pieces_of, small_batches, spread, staged
+from .common import discard, documents, pieces_of, small_batches, spread, staged_alone
 
 NAME = "op2_repeats"
 #: Least bytes of a repeat, least words of a passage, and most symbols of an anchor's hash.
-LEAST, PASSAGE, GRAM = 400, 51, 64
+LEAST, PASSAGE, GRAM = 400, 51, 128
 #: Different segments of one anchor that meet in one task; larger groups are split by offset.
 GROUP = 1024
 #: Symbols of the segments that are searched at once, unless one group has more.
 CHUNK = 1_000_000
+#: The searches of the query; remove_repeats() takes one.
+SEARCHES = ((LEAST, "byte"), (PASSAGE, "word"))
 EMPTY_SHA = sha256(b"").hexdigest()
 
 _RND = np.random.default_rng(2)
 _TABLE = _RND.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+#: Sets the anchors of one search apart from the next one's.
+_SALT = 0x2545F4914F6CDD1D
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -238,9 +244,9 @@ def _true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _scan(rows: DataFrame, least: int, unit: str) -> DataFrame:
-    """doc_id, h, n_symbols and the anchors as arrays of rows (doc_id, h, text)."""
-    schema = "doc_id long, h long, n_symbols long, q array<int>, lo array<smallint>, hi array<smallint>, key array<long>, th array<long>"
+def _scan(rows: DataFrame, searches: tuple) -> DataFrame:
+    """doc_id, h, u, n_symbols and the anchors as arrays, for each search of rows (doc_id, h, text)."""
+    schema = "doc_id long, h long, u int, n_symbols long, q array<int>, lo array<smallint>, hi array<smallint>, key array<long>, th array<long>"
 
     def run(batches):
         import pyarrow as pa
@@ -249,49 +255,57 @@ def _scan(rows: DataFrame, least: int, unit: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in pieces_of(texts, 700_000):
-                symbols, lengths = symbols_of([(t or "").encode() for t in texts[a:b]], unit)
-                made = anchors(symbols, lengths, least)
-                borders = pa.array(np.r_[0, np.cumsum([len(m[0]) for m in made])].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(borders, pa.array(np.concatenate([m[i] for m in made]).astype(k))) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths), *lists], ["doc_id", "h", "n_symbols", "q", "lo", "hi", "key", "th"])
+                raw = [(t or "").encode() for t in texts[a:b]]
+                for u, (least, unit) in enumerate(searches):
+                    symbols, lengths = symbols_of(raw, unit)
+                    made = anchors(symbols, lengths, least)
+                    borders = pa.array(np.r_[0, np.cumsum([len(m[0]) for m in made])].astype(np.int32))
+                    flat = [np.concatenate([m[i] for m in made]).astype(k) for i, k in enumerate(kinds)]
+                    flat[3] = flat[3] ^ np.int64(u * _SALT)
+                    lists = [pa.ListArray.from_arrays(borders, pa.array(x)) for x in flat]
+                    own = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.full(b - a, u, np.int32)), pa.array(lengths)]
+                    yield pa.RecordBatch.from_arrays([*own, *lists], ["doc_id", "h", "u", "n_symbols", "q", "lo", "hi", "key", "th"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _segments(texts: DataFrame, wanted: DataFrame, least: int, unit: str) -> DataFrame:
-    """The symbols of wanted segments (h, q, key, th, c, d, lo, hi): k0, t0, key, th, c, d, q (in seg), lo, hi, seg."""
-    packed = wanted.groupBy("h").agg(F.collect_list(F.struct("q", "key", "th", "c", "d", "lo", "hi")).alias("w"))
+def _segments(texts: DataFrame, wanted: DataFrame, searches: tuple) -> DataFrame:
+    """The symbols of wanted segments (h, q, u, key, th, c, d, lo, hi): k0, t0, key, th, c, d, u, q (in seg), lo, hi, seg."""
+    packed = wanted.groupBy("h").agg(F.collect_list(F.struct("q", "u", "key", "th", "c", "d", "lo", "hi")).alias("w"))
 
     def run(batches):
         for batch in batches:
             for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                symbols, _ = symbols_of([(text or "").encode()], unit)
-                for k in range(0, len(some), 2000):
-                    rows = [(w["key"], w["th"], w["key"], w["th"], w["c"], w["d"], w["hi"], w["lo"], w["hi"], symbols[w["q"] - w["hi"] : w["q"] - w["lo"] + least].tobytes()) for w in some[k : k + 2000]]
-                    yield _batch(rows)
+                raw = (text or "").encode()
+                for u, (least, unit) in enumerate(searches):
+                    mine = [w for w in some if w["u"] == u]
+                    symbols = symbols_of([raw], unit)[0] if mine else None
+                    for k in range(0, len(mine), 2000):
+                        yield _batch([(w["key"], w["th"], w["key"], w["th"], w["c"], w["d"], u, w["hi"], w["lo"], w["hi"], symbols[w["q"] - w["hi"] : w["q"] - w["lo"] + least].tobytes()) for w in mine[k : k + 2000]])
 
     return texts.join(packed, "h").select("text", "w").mapInArrow(run, _SEGMENT)
 
 
-_SEGMENT = "k0 long, t0 long, key long, th long, c long, d long, q int, lo int, hi int, seg binary"
+_SEGMENT = "k0 long, t0 long, key long, th long, c long, d long, u int, q int, lo int, hi int, seg binary"
 
 
 def _batch(rows: list[tuple]):
     import pyarrow as pa
 
-    kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [[]] * 10
+    kinds = [pa.int64()] * 6 + [pa.int32()] * 4 + [pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 11
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
 
-def _search(segments: DataFrame, least: int, unit: str) -> DataFrame:
+def _search(segments: DataFrame, searches: tuple) -> DataFrame:
     """k0, t0, o1, o2: offset ranges of repeated windows, from whole groups of segments with one key."""
-    kind = _dtype(unit)
 
-    def solve(rows: list):
+    def solve(rows: list, u: int):
         import pyarrow as pa
 
-        found = [(k0, t0, hi - b, hi - a) for (k0, t0, _, hi, _), flags in zip(rows, repeated_windows([np.frombuffer(r[4], kind) for r in rows], least), strict=True) for a, b in _true_runs(flags)]
+        least, unit = searches[u]
+        kind = _dtype(unit)
+        found = [(k0, t0, hi - b, hi - a) for (k0, t0, _, _, hi, _), flags in zip(rows, repeated_windows([np.frombuffer(r[5], kind) for r in rows], least), strict=True) for a, b in _true_runs(flags)]
         columns = zip(*found, strict=True) if found else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["k0", "t0", "o1", "o2"])
 
@@ -299,28 +313,28 @@ def _search(segments: DataFrame, least: int, unit: str) -> DataFrame:
         rows, size, last = [], 0, None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= CHUNK and row[2] != last:
-                    yield solve(rows)
+                if last is not None and (row[2] != last[0] or size >= CHUNK and row[3] != last[1]):
+                    yield solve(rows, last[0])
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4]) // np.dtype(kind).itemsize
-                last = row[2]
+                size += len(row[5]) // np.dtype(_dtype(searches[row[2]][1])).itemsize
+                last = row[2:4]
         if rows:
-            yield solve(rows)
+            yield solve(rows, last[0])
 
-    dealt = segments.select("k0", "t0", "key", "hi", "seg").repartition("key").sortWithinPartitions("key")
+    dealt = segments.select("k0", "t0", "u", "key", "hi", "seg").repartition("key").sortWithinPartitions("u", "key")
     return dealt.mapInArrow(run, "k0 long, t0 long, o1 int, o2 int")
 
 
-def _narrowed(segments: DataFrame, width: int, least: int, unit: str) -> DataFrame:
-    """Segments cut into offset ranges of a width, keyed by the symbols that all windows of a range share."""
-    kind = _dtype(unit)
+def _narrowed(segments: DataFrame, widths: list[int], searches: tuple) -> DataFrame:
+    """Segments cut into offset ranges of their search's width, keyed by the symbols that all windows of a range share."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for k0, t0, key, _, c, _, q, lo, hi, seg in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                symbols, cuts = np.frombuffer(seg, kind), []
+            for k0, t0, key, _, c, _, u, q, lo, hi, seg in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                (least, unit), width = searches[u], widths[u]
+                symbols, cuts = np.frombuffer(seg, _dtype(unit)), []
                 hashes = Hashes(symbols)
                 for bin_ in range(lo // width, hi // width + 1):
                     b0, b1 = bin_ * width, bin_ * width + width - 1
@@ -331,7 +345,7 @@ def _narrowed(segments: DataFrame, width: int, least: int, unit: str) -> DataFra
                 keys = _mix(shared + np.array([key], np.int64).view(np.uint64) + x[:, 2].astype(np.uint64)).view(np.int64).tolist()
                 ths = _mix(whole + (x[:, 1] * 1024 + x[:, 0]).astype(np.uint64)).view(np.int64).tolist()
                 for (a, b, _, _), k, t in zip(cuts, keys, ths, strict=True):
-                    rows.append((k0, t0, k, t, c, 0, b, a, b, symbols[q - b : q - a + least].tobytes()))
+                    rows.append((k0, t0, k, t, c, 0, u, b, a, b, symbols[q - b : q - a + least].tobytes()))
             yield _batch(rows)
 
     return segments.mapInArrow(run, _SEGMENT)
@@ -342,47 +356,52 @@ def text_hash(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", least: int = LEAST, unit: str = "byte") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(the texts that occur in several rows and have least symbols or more: h; of the others those with repeats: h,
-    text, spans; the tables they are read from, for discard()). h is text_hash(); spans are array<struct<a, b>> of
-    repeated ranges [a, b) of symbols, which may overlap."""
+def repeated_spans(docs: DataFrame, text: str = "text", searches: tuple = SEARCHES[:1]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(the texts that occur in several rows and have least symbols or more: h, u; of the others those with repeats: h,
+    text, spans; the tables they are read from, for discard()). h is text_hash(), u the place of the search; spans are
+    array<struct<u, a, b>> of repeated ranges [a, b) of its symbols, which may overlap."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scan = staged(_scan(rows, least, unit), "scan")
-    copied = staged(scan.filter(F.col("n_symbols") >= least).groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id")).filter("n > 1").drop("n"), "copied")
+    least = F.get(F.array(*[F.lit(n) for n, _ in searches]), F.col("u"))
+    scan = staged_alone(_scan(rows, searches), "scan")
+    copied = staged_alone(scan.filter(F.col("n_symbols") >= least).groupBy("h", "u").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id")).filter("n > 1").drop("n"), "copied")
     # of copies one is searched; a repeat within it or with another text needs no more
-    once = scan.filter(F.size("q") > 0).join(copied, "h", "left").filter("least_id is null or least_id = doc_id")
-    every = once.select("h", "doc_id", F.explode(F.arrays_zip("q", "lo", "hi", "key", "th")).alias("x")).select("h", "doc_id", "x.*")
-    keys = staged(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
-    found = staged(every.join(keys, "key", "left_semi"), "anchors")
-    texts = staged(rows.join(found.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").dropDuplicates(["h"]).select("h", "text"), "texts")
-
-    kinds = staged(found.groupBy("key", "th").agg(F.count("*").alias("c"), F.min("lo").cast("int").alias("lo"), F.min("hi").cast("int").alias("hi"), F.min(F.struct("h", "q")).alias("at")), "kinds")
-    sizes = staged(kinds.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "sizes")
+    once = scan.filter(F.size("q") > 0).join(copied, ["h", "u"], "left").filter("least_id is null or least_id = doc_id")
+    every = once.select("h", "u", "doc_id", F.explode(F.arrays_zip("q", "lo", "hi", "key", "th")).alias("x")).select("h", "u", "doc_id", "x.*")
+    keys = staged_alone(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
+    found = staged_alone(every.join(keys, "key", "left_semi"), "anchors")
+    # one row of each text; the rows that repeat an id and a text meet by the keys of the join
+    first = found.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    texts = staged_alone(rows.join(first, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("h", "text"), "texts")
+    discard(scan, keys)
+
+    kinds = staged_alone(found.groupBy("key", "th").agg(F.count("*").alias("c"), F.min("u").alias("u"), F.min("lo").cast("int").alias("lo"), F.min("hi").cast("int").alias("hi"), F.min(F.struct("h", "q")).alias("at")), "kinds")
+    sizes = staged_alone(kinds.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "sizes")
     results = kinds.filter("c > 1").select(F.col("key").alias("k0"), F.col("th").alias("t0"), F.col("lo").alias("o1"), F.col("hi").alias("o2"))
-    wanted = kinds.join(sizes, "key").select("at.*", "key", "th", "c", "d", "lo", "hi")
-    segments = staged(_segments(texts, wanted, least, unit), "segments")
-    results = results.unionByName(staged(_search(segments.filter(F.col("d") <= GROUP), least, unit), "searched"))
-    hot, width, spent = segments.filter(F.col("d") > GROUP), _sizes(least)[1], [segments]
+    wanted = kinds.join(sizes, "key").select("at.*", "u", "key", "th", "c", "d", "lo", "hi")
+    segments = staged_alone(_segments(texts, wanted, searches), "segments")
+    results = results.unionByName(staged_alone(_search(segments.filter(F.col("d") <= GROUP), searches), "searched"))
+    hot, widths, spent = segments.filter(F.col("d") > GROUP), [_sizes(n)[1] for n, _ in searches], [segments]
     while not hot.isEmpty():
-        width = -(-width // 4)
-        cut = staged(_narrowed(hot, width, least, unit).drop("d"), "cut")
-        kinds_ = staged(cut.groupBy("key", "th").agg(F.sum("c").alias("all"), F.min(F.struct("k0", "t0")).alias("at")), "cut-kinds")
-        sizes_ = staged(kinds_.groupBy("key").agg(F.count("*").alias("d"), F.min("all").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "cut-sizes")
+        widths = [-(-w // 4) for w in widths]
+        cut = staged_alone(_narrowed(hot, widths, searches).drop("d"), "cut")
+        kinds_ = staged_alone(cut.groupBy("key", "th").agg(F.sum("c").alias("all"), F.min(F.struct("k0", "t0")).alias("at")), "cut-kinds")
+        sizes_ = staged_alone(kinds_.groupBy("key").agg(F.count("*").alias("d"), F.min("all").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "cut-sizes")
         both = cut.join(kinds_, ["key", "th"])
-        whole = staged(both.filter("all > 1").select("k0", "t0", F.col("lo").alias("o1"), F.col("hi").alias("o2")), "cut-found")
+        whole = staged_alone(both.filter("all > 1").select("k0", "t0", F.col("lo").alias("o1"), F.col("hi").alias("o2")), "cut-found")
         single = both.filter((F.col("at.k0") == F.col("k0")) & (F.col("at.t0") == F.col("t0"))).join(sizes_, "key")
-        left = staged(single.select(*[x.split()[0] for x in _SEGMENT.split(", ")]), "cut-segments")
-        results = results.unionByName(whole).unionByName(staged(_search(left.filter(F.col("d") <= GROUP), least, unit), "searched"))
+        left = staged_alone(single.select(*[x.split()[0] for x in _SEGMENT.split(", ")]), "cut-segments")
+        results = results.unionByName(whole).unionByName(staged_alone(_search(left.filter(F.col("d") <= GROUP), searches), "searched"))
         hot = left.filter(F.col("d") > GROUP)
         discard(*spent, cut, kinds_, sizes_)
         spent = [left]
     # one row for each kind of segment, so that its places meet no other row
-    ranges = staged(results.groupBy("k0", "t0").agg(F.collect_list(F.struct("o1", "o2")).alias("o")), "ranges")
-    discard(scan, keys, sizes, kinds, *spent)
-    placed = found.join(ranges, (F.col("key") == F.col("k0")) & (F.col("th") == F.col("t0"))).select("h", "q", F.explode("o").alias("o"))
-    spans = placed.groupBy("h").agg(F.collect_list(F.struct((F.col("q") - F.col("o.o2")).alias("a"), (F.col("q") - F.col("o.o1") + least).alias("b"))).alias("spans"))
-    return copied.select("h"), texts.join(spans, "h").join(copied.select("h"), "h", "left_anti"), [copied, found, texts, ranges]
+    ranges = staged_alone(results.groupBy("k0", "t0").agg(F.collect_list(F.struct("o1", "o2")).alias("o")), "ranges")
+    discard(sizes, kinds, *spent)
+    placed = found.join(ranges, (F.col("key") == F.col("k0")) & (F.col("th") == F.col("t0"))).select("h", "u", "q", F.explode("o").alias("o"))
+    own = placed.join(copied.select("h", "u"), ["h", "u"], "left_anti")
+    spans = own.groupBy("h").agg(F.collect_list(F.struct("u", (F.col("q") - F.col("o.o2")).alias("a"), (F.col("q") - F.col("o.o1") + least).alias("b"))).alias("spans"))
+    return copied.select("h", "u"), texts.join(spans, "h"), [copied, found, texts, ranges]
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -396,36 +415,39 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(touched: DataFrame, unit: str) -> DataFrame:
-    """h, n_removed (bytes), n_spans, kept_sha256, rest (the remaining bytes as text; split characters fall away)."""
+def _cut(touched: DataFrame, searches: tuple) -> DataFrame:
+    """h, u, n_removed (bytes), n_spans, kept_sha256, rest (the remaining bytes as text; split characters fall away)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw, runs, at, parts = text.encode(), merged(spans), 0, []
-                if unit == "word":
-                    first, last = word_places(raw)
-                    runs = [(int(first[a]), int(last[b - 1])) for a, b in runs]
-                for a, b in runs:
-                    parts.append(raw[at:a])
-                    at = b
-                rest = b"".join([*parts, raw[at:]])
-                out.append((len(raw) - len(rest), len(runs), sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if rest.strip() else ""))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["h", "n_removed", "n_spans", "kept_sha256", "rest"])
-
-    return touched.select("h", "text", "spans").mapInArrow(run, "h long, n_removed long, n_spans long, kept_sha256 string, rest string")
-
-
-def outcomes(docs: DataFrame, text: str = "text", least: int = LEAST, unit: str = "byte") -> DataFrame:
-    """A staged row for each text that loses something: h, n_removed, n_spans, kept_sha256, rest. Of a text that occurs
+            for h, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                raw = text.encode()
+                for u in sorted({x["u"] for x in spans}):
+                    runs, at, parts = merged([x for x in spans if x["u"] == u]), 0, []
+                    if searches[u][1] == "word":
+                        first, last = word_places(raw)
+                        runs = [(int(first[a]), int(last[b - 1])) for a, b in runs]
+                    for a, b in runs:
+                        parts.append(raw[at:a])
+                        at = b
+                    rest = b"".join([*parts, raw[at:]])
+                    out.append((h, u, len(raw) - len(rest), len(runs), sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if rest.strip() else ""))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "u", "n_removed", "n_spans", "kept_sha256", "rest"])
+
+    return touched.select("h", "text", "spans").mapInArrow(run, "h long, u int, n_removed long, n_spans long, kept_sha256 string, rest string")
+
+
+def outcomes(docs: DataFrame, text: str = "text", searches: tuple = SEARCHES[:1]) -> DataFrame:
+    """A staged row for each text that loses something by a search: h, u, n_removed, n_spans, kept_sha256, rest. Of a text that occurs
     in several rows all is lost; n_removed is null then, as it is the text's length."""
-    copied, touched, tables = repeated_spans(docs, text, least, unit)
-    whole = copied.select("h", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("rest"))
-    out = staged(_cut(touched, unit).unionByName(whole), "outcomes")
+    copied, touched, tables = repeated_spans(docs, text, searches)
+    whole = copied.select("h", "u", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("rest"))
+    out = staged_alone(_cut(touched, searches).unionByName(whole), "outcomes")
     discard(*tables)
     return out
 
@@ -434,7 +456,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, unit: str = "byte") -> D
     """docs with repeats of least symbols or more cut out of text; rows of which no word is left fall away.
 
     In words a cut runs from the first word's first byte to the last one's last, so that no character is split."""
-    rest = outcomes(docs, least=least, unit=unit).select(F.col("h").alias("__h"), "rest")
+    rest = outcomes(docs, searches=((least, unit),)).select(F.col("h").alias("__h"), "rest")
     joined = docs.withColumn("__h0", text_hash()).join(rest, F.col("__h0") == F.col("__h"), "left")
     return joined.filter("rest is null or rest <> ''").select(*[F.coalesce("rest", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
@@ -442,13 +464,14 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, unit: str = "byte") -> D
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns at LEAST bytes, and text: the document without its passages of PASSAGE words or more."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    passages = outcomes(docs, least=PASSAGE, unit="word").select("h", F.col("rest").alias("passages_rest"))
-    both = outcomes(docs).drop("rest").join(passages, "h", "full")
+    made = outcomes(docs, searches=SEARCHES)
+    passages = made.filter("u = 1").select("h", F.col("rest").alias("passages_rest"))
+    removed = made.filter("u = 0").drop("u", "rest")
     body = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select("doc_id", F.col("text").alias("__text"), text_hash().alias("h"), F.octet_length(body).cast("long").alias("n_bytes"))
     none = F.lit(0).cast("long")
     cut = F.col("kept_sha256").isNotNull()
-    return sized.join(both, "h", "left").select(
+    return sized.join(removed, "h", "left").join(passages, "h", "left").select(
         "doc_id", "n_bytes", F.when(cut, F.coalesce("n_removed", "n_bytes")).otherwise(none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
         F.coalesce("kept_sha256", F.sha2(F.coalesce("__text", F.lit("")), 256)).alias("kept_sha256"), F.coalesce("passages_rest", "__text").alias("text"),
     )
