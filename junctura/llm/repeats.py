@@ -370,10 +370,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", searches: tuple = SEARCH
     every = once.select("h", "u", "doc_id", F.explode(F.arrays_zip("q", "lo", "hi", "key", "th")).alias("x")).select("h", "u", "doc_id", "x.*")
     keys = staged_alone(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     found = staged_alone(every.join(keys, "key", "left_semi"), "anchors")
+    discard(scan, keys)
     # one row of each text; the rows that repeat an id and a text meet by the keys of the join
     first = found.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     texts = staged_alone(rows.join(first, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("h", "text"), "texts")
-    discard(scan, keys)
 
     kinds = staged_alone(found.groupBy("key", "th").agg(F.count("*").alias("c"), F.min("u").alias("u"), F.min("lo").cast("int").alias("lo"), F.min("hi").cast("int").alias("hi"), F.min(F.struct("h", "q")).alias("at")), "kinds")
     sizes = staged_alone(kinds.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).filter("d > 1 and least = 1").select("key", "d"), "sizes")
