@@ -57,7 +57,7 @@ def event_pairs(bkp: DataFrame, shared: int = SHARED, least: int = LEAST_LENGTH)
         right = at("head").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
         near = F.abs(F.col("tail_close") - F.col("head_close")) < shared
         length = F.col("head_far") - F.col("tail_far")
-        met = at("tail").join(right, ["sample", "a_ref", "b_ref", "if_reverse", "bin"]).filter(near & (length > shared) & (length >= least))
+        met = at("tail").join(right, ["sample", "a_ref", "b_ref", "if_reverse", "bin"]).filter(near & (length > shared) & (length >= least) & (F.col("tail") != F.col("head")))
         first = F.col("tail") < F.col("head")
         return met.select(
             "sample", F.least("tail", "head").alias("i"), F.greatest("tail", "head").alias("j"), F.col(f"{close}_ref").alias("receptor"),
