@@ -39,3 +39,39 @@ def test_breakpoints_of_one_id_are_no_pair(spark):
     row = lambda i, pos, side: (i, "S1", "G1_1", 100, "head", "G2_1", pos, side, "True", 2)
     twice = spark.createDataFrame([row(7, 1000, "tail"), row(7, 2000, "head"), row(8, 2100, "head")], columns)
     assert [(r.i, r.j) for r in events.event_pairs(twice).collect()] == [(7, 8)]
+
+
+def test_hit_tracks_equal_the_operators_over_long_tables(spark):
+    from junctura.operators import kmers
+
+    rnd = random.Random(3)
+    k, masks, n_hashes = 6, kmers.coder(6, 3), 3
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    common = text(150)
+    refs = [(f"c{i}", text(60) + common[i : 90 + i] + text(rnd.randrange(200))) for i in range(5)] + [("short", "ACG"), ("empty", ""), ("odd", "ACGTN" * 30)]
+    reads = [(f"r{i}", common + text(20)) for i in range(4)]
+    make = lambda rows: spark.createDataFrame(rows, "contig string, seq string")
+    counted = kmers.hash_counts(make(reads), k, masks, chunk=100, least=3)
+    plain = kmers.sequence_hashes(make(reads), k, masks, ["contig"]).groupBy("h").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.filter("n >= 3").collect()))
+    bits = kmers.frequent_bits(make(reads), k, masks)
+    hits = kmers.hit_positions(kmers.sequence_hashes(make(refs), k, masks, ["contig"]), counted, n_hashes)
+    lengths = make(refs).select("contig", F.length("seq").cast("long").alias("len"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for chunk in (37, 500_000):
+        track = lambda derive, schema, margin: kmers.hit_tracks(make(refs), k, masks, bits, derive, schema, margin, chunk)  # noqa: E731, B023
+        assert rows(track(kmers.track_positions(n_hashes), "pos long, any_hit int, all_hit int", 0)) == rows(hits)
+        runs = track(kmers.track_runs(n_hashes, 20, 0.8, 0.2), "a long, b long", 20)
+        good = rows(kmers.good_windows(hits, lengths, 20, 0.8, 0.2))
+        assert good and rows(runs.select("contig", F.explode(F.sequence("a", "b")))) == good
+        found = rows(track(kmers.track_peaks(k), "pos long", 2 * (k + 5)))
+        assert found and found == rows(kmers.peaks(hits, lengths, k))
+    want = kmers.occupancy(kmers.sequence_hashes(make(reads), k, masks, ["contig"]), k)
+    assert rows(kmers.table_occupancy(make(reads), k, masks)) == rows(want)
+    table = spark.createDataFrame([(h,) for h in (3, 900)], "h long")
+    kept = kmers.sequence_hashes(make(reads), k, masks, ["contig"], only=kmers.hash_bits(table, k))
+    assert rows(kept) == [r for r in rows(kmers.sequence_hashes(make(reads), k, masks, ["contig"])) if r[3] in (3, 900)]
+    spots = hits.select("contig", "pos").filter("pos % 7 = 0")
+    at = kmers.hashes(kmers.peak_kmers(make(refs), spots, k), masks, ["contig", "pos"])
+    want = kmers.sequence_hashes(make(refs), k, masks, ["contig"]).join(spots, ["contig", "pos"], "left_semi").select("contig", "pos", "hash_no", "h")
+    assert rows(at) == rows(want)
