@@ -75,3 +75,50 @@ def test_hit_tracks_equal_the_operators_over_long_tables(spark):
     at = kmers.hashes(kmers.peak_kmers(make(refs), spots, k), masks, ["contig", "pos"])
     want = kmers.sequence_hashes(make(refs), k, masks, ["contig"]).join(spots, ["contig", "pos"], "left_semi").select("contig", "pos", "hash_no", "h")
     assert rows(at) == rows(want)
+
+
+def test_covering_and_near_counts_equal_brute_force(spark):
+    from junctura.operators import joins
+
+    rnd = random.Random(5)
+    points = [(f"c{rnd.randrange(2)}", i, rnd.randrange(-50, 300)) for i in range(60)]
+    spans = [(f"c{rnd.randrange(2)}", a, a + rnd.randrange(-5, 40)) for a in (rnd.randrange(250) for _ in range(50))]
+    p, s = spark.createDataFrame(points, "c string, id long, pos long"), spark.createDataFrame(spans, "c string, a long, b long")
+    want = {i: sum(d == c and a - 3 <= x <= b + 3 for d, a, b in spans) for c, i, x in points}
+    for size in (16, 1_000_000):
+        got = {r.id: r.covering for r in joins.covering_counts(p, s, ["c"], "pos", "a", "b", pad=3, bin_size=size).collect()}
+        assert got == {i: n for i, n in want.items() if n}
+    want = {i: sum(d == c and abs(a - x) <= 7 for d, a, _ in spans) for c, i, x in points}
+    assert {r.id: r.near for r in joins.near_counts(p, s, ["c"], "pos", "a", 7).collect()} == {i: n for i, n in want.items() if n}
+
+
+def test_rows_of_one_read_attach_it_together(spark):
+    from junctura.operators import joins
+
+    reads = spark.createDataFrame([(1, "a", 100, "b", 9000), (1, "a", 7000, "b", 500), (2, "a", 100, "b", 9000)], "id long, a_ref string, a_pos long, b_ref string, b_pos long")
+    ends = spark.createDataFrame([("k", "a", "b", "a", 120), ("k", "a", "b", "b", 480), ("k", "a", "b", "b", 30000)], "cid string, a_ref string, b_ref string, side string, pos long")
+    assert [tuple(r) for r in joins.split_reads_to_clusters(reads, ends, "id", "cid", 300).collect()] == [(1, "k")]
+
+
+def test_greedy_rounds_broadcast_no_repeated_cells(spark, monkeypatch):
+    from junctura.operators import greedy
+
+    plans = []
+    kept = greedy.stored
+    monkeypatch.setattr(greedy, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    rows = spark.createDataFrame([("p", i, i * 20, i * 20) for i in range(40)], "pair string, row_id long, x long, y long")
+    greedy.first_rows(rows, ["pair"], 50)
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_precise_breakpoints_take_the_first_read_of_each_cluster(spark):
+    from junctura.operators import alignment
+
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    refs = [(c, 1000 * c, 1200, text(200)) for c in range(1, 4)]
+    changed = lambda s: s[:10] + ("A" if s[10] != "A" else "C") + s[11:]
+    reads = [(1, 5, refs[0][3][40:70], True), (1, 3, changed(refs[0][3][90:120]), True), (2, 1, text(30), True), (2, 2, refs[1][3][60:90], False), (9, 1, refs[0][3][:30], True)]
+    got = alignment.precise_breakpoints(spark.createDataFrame(refs, "cluster long, lo long, hi long, ref string"), spark.createDataFrame(reads, "cluster long, row_id long, clip string, right boolean"))
+    found = {r.cluster: (r.pos, r.row_id) for r in got.collect()}
+    assert found[1] == (1090, 3) and found[2] in ((2090, 2), (2060 + 30, 2)) and set(found) == {1, 2}
