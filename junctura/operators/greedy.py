@@ -44,15 +44,16 @@ def first_rows(rows: DataFrame, key: list[str], near: int, rounds: list[int] | N
         if rounds is not None:
             rounds.append(count)
         first = left.groupBy(*cell).agg(F.min(F.struct("row_id", "x", "y")).alias("f")).select(*cell, F.col("f.row_id").alias("o"), F.col("f.x").alias("ox"), F.col("f.y").alias("oy"))
-        met = left.join(_about(first), cell).filter(_near(near) & (F.col("row_id") < F.col("o")))
-        free = first.join(met.select("o").distinct(), "o", "left_anti")
+        # rows repeated into nine cells are never broadcast: Spark takes them for as small as the table that they come from
+        met = left.join(_about(first).hint("merge"), cell).filter(_near(near) & (F.col("row_id") < F.col("o")))
+        free = first.join(met.select("o").distinct().hint("merge"), "o", "left_anti")
         made = stored(free.select(*cell, "o", "ox", "oy"))
         parts.append(made)
         close = _about(made).select(*[F.col(c).alias(f"o_{c}") for c in cell], "ox", "oy")
         same = _near(near)
         for c in cell:
             same = same & (F.col(c) == F.col(f"o_{c}"))
-        before, left = left, stored(left.join(close, same, "left_anti"))
+        before, left = left, stored(left.join(close.hint("merge"), same, "left_anti"))
         discard(before)
     discard(left)
     for p in parts:
@@ -66,7 +67,7 @@ def near_chosen(rows: DataFrame, chosen: DataFrame, key: list[str], near: int) -
     """rows (key, row_id, x, y and others) with each chosen row near them, as o, ox and oy."""
     cell = [*key, "__cx", "__cy"]
     spread = _about(chosen.select(*key, F.col("row_id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), *_cell("x", "y", near)))
-    return rows.select("*", *_cell("x", "y", near)).join(spread, cell).filter(_near(near)).drop("__cx", "__cy")
+    return rows.select("*", *_cell("x", "y", near)).join(spread.hint("merge"), cell).filter(_near(near)).drop("__cx", "__cy")
 
 
 def _pair(ref1: str, ref2: str) -> Column:
