@@ -25,12 +25,12 @@ def a01(v):
       SELECT bkp_id, 1 AS side, qname FROM bkp JOIN a ON contig = from_ref AND abs(gp - from_pos) <= 60 UNION ALL SELECT bkp_id, 2, qname FROM bkp JOIN a ON contig = to_ref AND abs(gp - to_pos) <= 60) x GROUP BY bkp_id""",
     "a AS (SELECT qname, split_part(ref, ':', 1) AS contig, regexp_extract(ref, ':([0-9]+)-', 1)::bigint + pos AS gp FROM aln)"))
 def a03(v):
-    from ..operators.joins import band_join
+    from ..operators.joins import distinct_near
 
-    a = v.aln.select("qname", X.segment_contig(F.col("ref")).alias("contig"), X.segment_to_global(F.col("ref"), F.col("pos")).alias("gp"))
-    side = lambda n, ref, pos: band_join(v.bkp.select("bkp_id", F.col(ref).alias("contig"), pos), a, ["contig"], pos, "gp", 60, strict=False).select("bkp_id", F.lit(n).alias("side"), "qname")
-    both = side(1, "from_ref", "from_pos").unionByName(side(2, "to_ref", "to_pos"))
-    return both.groupBy("bkp_id").agg(F.countDistinct(F.when(F.col("side") == 1, F.col("qname"))).alias("n_from"), F.countDistinct(F.when(F.col("side") == 2, F.col("qname"))).alias("n_to"), F.countDistinct("qname").alias("n_any"))
+    a = v.aln.select("qname", X.segment_contig(F.col("ref")).alias("contig"), X.segment_to_global(F.col("ref"), F.col("pos")).alias("at"))
+    side = lambda n, ref, pos: v.bkp.select("bkp_id", F.lit(n).alias("side"), F.col(ref).alias("contig"), F.col(pos).alias("pos"))
+    counts = distinct_near(side(1, "from_ref", "from_pos").unionByName(side(2, "to_ref", "to_pos")), a, "bkp_id", "qname", 60)
+    return counts.select("bkp_id", F.col("n_1").alias("n_from"), F.col("n_2").alias("n_to"), "n_any")
 
 
 @query("a04_breakpoints_per_sample", oracle("bkp phe", """
