@@ -6,14 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import kmers as K
 from ..operators.checkpoints import shared_folder
 from ..sources import files as S
 from ..sources import index
 from ..sources.ranges import reads
 from .binding import oracle
 from .catalog import query
-from .kernels import _E, _K, _KMERS, _READS, _REFERENCE, _frequent
+from .kernels import _E, _K, _KMERS, _REFERENCE, _bits
 
 
 def _folder(v, name: str) -> str:
@@ -43,8 +42,8 @@ def s02(v):
 def s07(v):
     """The hit positions of a reference whose index has been written, probed by the reads' frequent hashes."""
     path = _folder(v, "index")
-    index.write_index(v.seqs.filter(_REFERENCE).select("contig", "seq"), path, _K, _E)
-    return K.hit_positions(index.read_index(v.spark, path, _K, _E), _frequent(v), _E)
+    index.write_tracks(v.seqs.filter(_REFERENCE).select("contig", "seq"), path, _K, _E)
+    return index.probed_tracks(v.spark, path, _bits(v), _K, _E)
 
 
 @query("s09_bed", oracle("genes", "SELECT contig, greatest(g_start, 1)::bigint AS start, g_end::bigint AS end FROM genes WHERE g_end - greatest(g_start, 1) >= 50"))
