@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import mechanism, reverse_complement
-from .alignment import global_batch, homology_run, inserted_run
+from .alignment import runs_batch
 from .joins import interval_join
 
 FLANK, LEAST_READ = 100, 50
@@ -17,13 +17,13 @@ FLANK, LEAST_READ = 100, 50
 @F.pandas_udf(T.IntegerType())
 def _homology(a: pd.Series, b: pd.Series) -> pd.Series:
     x, y = a.fillna("").tolist(), b.fillna("").tolist()
-    return pd.Series([homology_run(*found[1:]) if p and q else 0 for p, q, found in zip(x, y, global_batch(x, y), strict=True)], dtype="int32")
+    return pd.Series(runs_batch(x, y)[0])
 
 
 @F.pandas_udf(T.IntegerType())
 def _inserted(read: pd.Series, ref: pd.Series) -> pd.Series:
     x, y = read.fillna("").tolist(), ref.fillna("").tolist()
-    return pd.Series([inserted_run(found[2]) if p and q else 0 for p, q, found in zip(x, y, global_batch(x, y), strict=True)], dtype="int32")
+    return pd.Series(runs_batch(x, y)[1])
 
 
 def _cut(seq: Column, a: Column, b: Column) -> Column:
