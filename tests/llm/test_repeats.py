@@ -121,3 +121,28 @@ def test_query_returns_the_text_without_passages(spark, tmp_path):
     got = [r for r in R.query(spark, str(tmp_path)).collect()]
     assert len(got) == 9 and all(r.n_removed == 0 and (passage not in (r.text or "")) for r in got)
     assert {r.doc_id: r.text for r in got if r.doc_id in (9, 10, 11)} == {9: rows[5][1], 10: None, 11: ""}
+
+
+def test_all_anchors_are_dealt_out_once(spark, monkeypatch):
+    # each anchor went through a shuffle by text and one by key while the scan's table stood beside them
+    plans, staged = {}, R.staged_alone
+    monkeypatch.setattr(R, "staged_alone", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and staged(df, name))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus())], "doc_id long, text string")
+        R.repeated_spans(docs, searches=R.SEARCHES)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    from_scan = {name: plan.count("Exchange hashpartitioning") for name, plan in plans.items() if "Generate explode(arrays_zip" in plan}
+    assert len(from_scan) == 2
+    assert max(from_scan.values()) == 2, "all anchors on one side, the keys that occur twice on the other"
+
+
+def test_places_are_packed_without_loss(spark):
+    # offsets of a long least need over eight bits, and two of four equal rows with one id are copies too
+    text = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, text), (1, text), (2, "x " + text), (3, "y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(tuple(r) for r in R.remove_repeats(docs, 2000).collect())
+    assert left == [(2, "x "), (3, "y z")]
