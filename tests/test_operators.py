@@ -339,6 +339,25 @@ def test_windows_of_whole_sequences(spark):
     assert all(r.r.homology == brute(*both[r.contig, r.at]) for r in runs)
 
 
+def test_local_batch_at_the_bounds_of_a_byte():
+    rnd, same = random.Random(5), "ACGT" * 20
+    pairs = [(same[:n], same[:n]) for n in (1, 59, 60, 61, 62, 63, 64, 80)] + [("a\x00b\x01", "\x00b\x01"), ("é\xffé", "\xffé"), ("\u0141x\u0141", "\u0141x"), ("\u0141x", "Ax"), ("", "A"), ("A", "")]
+    pairs += [("".join(rnd.choices("ACG", k=rnd.randrange(55, 66))), "".join(rnd.choices("ACG", k=rnd.randrange(55, 66)))) for _ in range(60)]
+    pairs += [(x, x[:20] + "TT" + x[20:50]) for x, _ in pairs[-20:]]
+    assert alignment.local_batch(*map(list, zip(*pairs, strict=True))) == [alignment.local_score(a, b) if max(a + b) < "\u0100" and (a + b).isascii() else naive_local(a, b) for a, b in pairs]
+    for costs in ((1, -1, 30, 2), (2, -3, 5, 5), (3, -120, 5, 2)):
+        assert alignment.local_batch(*map(list, zip(*pairs[-60:], strict=True)), *costs) == [alignment.local_score(a, b, *costs) for a, b in pairs[-60:]]
+
+
+def test_windows_are_made_once(spark):
+    # each side of the join read the documents and made the sequences anew; the turned window was made letter by letter
+    from junctura.plans import catalog
+
+    plan = catalog.queries()["f17_context_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "regexp_extract_all" not in plan
+    assert "translate(reverse" not in plan and plan.count("Join") == 1
+
+
 def test_sequence_hashes_equal_those_of_columns(spark):
     rnd = random.Random(1)
     seqs = spark.createDataFrame([(f"c{i}", "".join(rnd.choices("ACGTNacg", (9, 9, 9, 9, 1, 1, 1, 1), k=i * 7))) for i in range(9)], "contig string, seq string")
